@@ -33,6 +33,8 @@ from .shared import BLOOM_BITS, bloom, materialize
 U = np.uint64
 #: Ratio of the bounds of neighbouring size levels.
 WIDTH = 1.5
+#: Mask of a signature's level.
+LEVELS = 127
 #: n-grams of a fragment for counting; n-grams and sets of a block of the exhaustive step.
 PART, BLOCK, MEMBERS = 1024, 100_000, 1000
 
@@ -54,14 +56,14 @@ class Plan:
         return (self.den - self.num) * n // self.num
 
     def levels(self, n: int) -> Iterator[tuple[int, int, int]]:
-        """(level, fragments, fragments with content that suffice) at which a set of ``n`` is looked up."""
+        """(level, fragments, most fragments that differ from a linked set) at which a set of ``n`` is looked up."""
         k = int(np.searchsorted(self.bounds, n, side="right")) - 1
         for level in (k, k - 1):
             if level < 0 or (level < k and self.num * n > self.den * int(self.bounds[k] - 1)):
                 continue
             most = self.differ(int(self.bounds[level + 1]) - 1)
             if least := min(most, self.differ(n)):  # else only equal sets link, and those are one class
-                yield level, most + 3 + most // 40, least + 1
+                yield level, most + 3 + most // 8, least
 
 
 def cut(s: np.ndarray, m: int) -> np.ndarray:
@@ -70,21 +72,33 @@ def cut(s: np.ndarray, m: int) -> np.ndarray:
     return np.searchsorted(where, np.arange(m + 1, dtype=U))
 
 
+def _full(s: np.ndarray, m: int, differ: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Cuts, the fragments to look the set up under, and how many of them it shares with any linked set."""
+    at = cut(s, m)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    if len(full) <= differ:  # so few fragments hold something that the equal ones may be empty
+        full = np.arange(m)
+    return at, full, len(full) - differ
+
+
 def signatures(s: np.ndarray, plan: Plan) -> np.ndarray:
-    """Hashes of the fragments under which the set is looked up."""
+    """Hashes of the fragments under which the set is looked up; the low bits hold the level."""
     out = []
     sums = np.zeros(len(s) + 1, dtype=U)
     np.cumsum(words.mix(s), out=sums[1:])
-    for level, m, enough in plan.levels(len(s)):
-        at = cut(s, m)
-        full = at[1:] > at[:-1]
-        key = (np.arange(m, dtype=U) << U(8)) + U(level)
-        sig = words.mix((sums[at[1:]] - sums[at[:-1]]) ^ words.mix(key))
-        # with enough fragments that hold something, an equal one is among those
-        out.append(sig[full] if int(full.sum()) >= enough else sig)
+    for level, m, differ in plan.levels(len(s)):
+        at, full, _ = _full(s, m, differ)
+        key = (full.astype(U) << U(8)) + U(level)
+        sig = words.mix((sums[at[full + 1]] - sums[at[full]]) ^ words.mix(key))
+        out.append(sig & ~U(LEVELS) | U(level))
     return np.concatenate(out) if out else np.zeros(0, dtype=U)
 
 
+def shared_least(s: np.ndarray, plan: Plan) -> list[dict]:
+    """Per level the number of signatures that a set has in common with any linked set, at least."""
+    return [{"level": level, "least": _full(s, m, differ)[2]} for level, m, differ in plan.levels(len(s))]
+
+
 def class_of(s: np.ndarray) -> int:
     h = words.mix(words.mix(s ^ U(0xA24BAED4963EE407)).sum(dtype=U).reshape(1) + U(len(s)))
     return int(h.view(np.int64)[0])
@@ -110,21 +124,22 @@ class _Recent:
         return True
 
 
-def classes_of(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, cls)`` per row; ``cls`` is null for a text without words."""
+def classes_of(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
+    """``(doc_id, n, cls, needs)`` per row; ``cls`` is null for a text without words."""
+    needs_type = pa.list_(pa.struct([("level", pa.int32()), ("least", pa.int32())]))
 
     def run(it):
         for batch in it:
             n = np.zeros(batch.num_rows, dtype=np.int64)
-            cls = [None] * batch.num_rows
+            cls, needs = [None] * batch.num_rows, [[]] * batch.num_rows
             for i, s in _sets(batch, k):
                 n[i] = len(s)
                 if len(s):
-                    cls[i] = class_of(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"])
+                    cls[i], needs[i] = class_of(s), shared_least(s, plan)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cls, pa.int64()), pa.array(needs, needs_type)], ["doc_id", "n", "cls", "needs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, needs array<struct<level:int,least:int>>")
 
 
 def signature_rows(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
@@ -269,13 +284,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     """
     plan = Plan(num, den, part, block)
     docs = docs.select("doc_id", "text")
-    rows = materialize(classes_of(docs, n), "classes")
-    sizes = rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("low"))
+    rows = materialize(classes_of(docs, n, plan), "classes")
+    sizes = rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("low"), F.first("needs").alias("needs"))
     sizes = materialize(sizes, "sizes")
 
     by_sig = Window.partitionBy("sig")
-    multi = signature_rows(docs, n, plan).withColumn("hub", F.min("cls").over(by_sig)).withColumn("top", F.max("cls").over(by_sig))
-    multi = materialize(multi.where("hub < top"), "buckets")
+    bounds = [F.min("cls").over(by_sig).alias("hub"), F.max("cls").over(by_sig).alias("top")]
+    multi = signature_rows(docs, n, plan).select("sig", "cls", *bounds).where("hub < top").select("sig", "cls").distinct()
+    multi = materialize(multi.withColumn("level", F.expr(f"cast(sig & {LEVELS}L as int)")), "buckets")
+    # a linked set shares a known number of signatures; classes that share fewer with all others leave
+    needs = sizes.select("cls", F.inline("needs")).where("least > 1")
+    few = multi.groupBy("cls", "level").agg(F.count("*").alias("k")).join(needs, ["cls", "level"]).where("k < least").select("cls", "level")
+    multi = multi.join(few, ["cls", "level"], "left_anti").select("sig", "cls", *bounds).where("hub < top")
+    multi = materialize(multi, "candidates")
 
     pairs = multi.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     pairs = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
