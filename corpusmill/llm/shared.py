@@ -78,3 +78,34 @@ def bloom(keys: DataFrame) -> bytes:
     bits = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
     bits[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
     return np.unpackbits(bits.view(np.uint8), bitorder="little").tobytes()
+
+
+def extend(docs: DataFrame, fn, fields: list[tuple[str, str]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if None) and the ``fields`` that ``fn`` makes of the texts.
+
+    ``fn`` takes the UTF-8 texts of a batch (None for null) and returns one Arrow
+    array per field. Rows are neither moved nor reordered.
+    """
+    import pyarrow as pa
+
+    keep = docs.columns if keep is None else keep
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [*keep, *(name for name, _ in fields)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"column names clash: {names}")
+
+    def run(it):
+        for batch in it:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *fn(texts)], names)
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{c}` {kind}" for c, kind in fields])
+    return docs.select(F.col(text).alias("_text_"), *keep).mapInArrow(run, schema)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column has it (in any case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
