@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import BLOOM_BITS, bloom, materialize
+from .shared import BLOOM_BITS, bloom, materialize, small_batches
 
 U = np.uint64
 #: Ratio of the bounds of neighbouring size levels.
@@ -283,6 +283,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     Classes are told apart by 64-bit hashes of their sets.
     """
     plan = Plan(num, den, part, block)
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = materialize(classes_of(docs, n, plan), "classes")
     sizes = rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("low"), F.first("needs").alias("needs"))

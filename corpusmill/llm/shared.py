@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch of texts, about.
+BATCH_BYTES = 32 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -88,6 +91,7 @@ def extend(docs: DataFrame, fn, fields: list[tuple[str, str]], text: str = "text
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = [*keep, *(name for name, _ in fields)]
@@ -103,6 +107,12 @@ def extend(docs: DataFrame, fn, fields: list[tuple[str, str]], text: str = "text
     return docs.select(F.col(text).alias("_text_"), *keep).mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session in bytes, for texts of any length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores until no column has it (in any case)."""
     lower = {c.lower() for c in taken}

@@ -77,6 +77,11 @@ def hash_words(texts: Iterable[bytes], gaps: np.ndarray = WHITE) -> tuple[np.nda
 
     ``hashes[offsets[i]:offsets[i + 1]]`` are the words of text ``i``.
     """
+    return hash_words_and_ends(texts, gaps, 0)[:2]
+
+
+def hash_words_and_ends(texts: Iterable[bytes], gaps: np.ndarray = WHITE, last: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`hash_words`, and a number made of the ``last`` bytes of each word."""
     texts = list(texts)
     raw = b"\n".join(texts) + b"\n"
     buf = LOWER[np.frombuffer(raw, dtype=np.uint8)]
@@ -90,7 +95,11 @@ def hash_words(texts: Iterable[bytes], gaps: np.ndarray = WHITE) -> tuple[np.nda
         i = j
     bounds = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
     offsets = np.concatenate(([0], np.searchsorted(starts, bounds))).astype(np.int64)
-    return out, offsets
+    tails = np.zeros(len(starts), dtype=np.int64)
+    for j in range(last):
+        at = ends - 1 - j
+        tails = tails * 256 + np.where(at >= starts, buf[np.maximum(at, 0)], 0)
+    return out, offsets, tails
 
 
 _STEP = [U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F), U(0xEB44ACCAB455D165)]
