@@ -10,8 +10,10 @@ are cut into pre-tokens first, and each is encoded by itself.
 from __future__ import annotations
 
 import base64
+import codecs
 import itertools
 import struct
+from array import array
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,8 +23,9 @@ from .shared import extend
 
 #: The character of byte 0.
 FIRST = 0x100
-#: Pre-tokens held with their ids by a task.
-CACHE = 150_000
+_CHARS = "".join(chr(FIRST + b) for b in range(256))
+#: Pre-tokens of a generation that a task holds with their ids.
+CACHE = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,7 +48,7 @@ def _field(number: int, value: bytes | int) -> bytes:
 
 
 def to_text(piece: bytes) -> str:
-    return "".join(chr(FIRST + b) for b in piece)
+    return codecs.charmap_decode(piece, "strict", _CHARS)[0]
 
 
 def serialise(ranks: dict[bytes, int]) -> bytes:
@@ -81,17 +84,9 @@ class Codec:
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size() - 1)]
         self.pieces = [bytes(ord(c) - FIRST for c in p) for p in pieces]
         self.whole = {p: (i,) for i, p in enumerate(self.pieces)}
-        codec = self
-
-        class Known(dict):
-            def __missing__(self, token: str) -> tuple[int, ...]:
-                ids = codec.pre_token(token.encode("utf-8", "replace"))
-                if len(self) >= CACHE:
-                    self.clear()
-                self[token] = ids
-                return ids
-
-        self.known = Known()
+        #: ids of the pre-tokens met last, as bytes of int32, in two generations
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, model: bytes, pattern: str) -> Codec:
@@ -103,13 +98,37 @@ class Codec:
     def pre_token(self, token: bytes) -> tuple[int, ...]:
         return self.whole.get(token) or tuple(self.sp.encode(to_text(token)))
 
+    def _learn(self, tokens: set[str]) -> None:
+        if len(self.known) + len(tokens) > CACHE:
+            self.older, self.known = self.known, {}
+        new = []
+        for t in tokens:
+            if (ids := self.older.get(t)) is not None:
+                self.known[t] = ids
+            else:
+                new.append(t)
+        raw = [t.encode("utf-8", "replace") for t in new]
+        for t, b, ids in zip(new, raw, self.sp.encode([to_text(b) for b in raw], num_threads=1), strict=True):
+            self.known[t] = array('i', self.whole.get(b) or ids).tobytes()
+
+    def _ids(self, tokens: list[str]) -> bytes:
+        parts = list(map(self.known.get, tokens))
+        try:
+            return b"".join(parts)
+        except TypeError:  # some are not known yet
+            missing = [i for i, p in enumerate(parts) if p is None]
+            self._learn({tokens[i] for i in missing})
+            for i in missing:
+                parts[i] = self.known[tokens[i]]
+            return b"".join(parts)
+
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= 1 << 18:
-            return np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, self.find.findall(text))), dtype=np.int32)
+            return np.frombuffer(self._ids(self.find.findall(text)), dtype=np.int32)
         out, found = [], (m.group() for m in self.find.finditer(text))
         while part := list(itertools.islice(found, 1 << 16)):
-            out.append(np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, part)), dtype=np.int32))
-        return np.concatenate(out)
+            out.append(self._ids(part))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         if ids and not 0 <= min(ids) <= max(ids) < len(self.pieces):
@@ -165,7 +184,7 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str | None = None, ids:
 
 
 def _decode_all(codec: Codec, col) -> list[bytes]:
-    flat, ends = col.flatten().to_pylist(), (np.asarray(col.offsets) - col.offsets[0].as_py()).tolist()
+    flat, ends = np.asarray(col.flatten()).tolist(), (np.asarray(col.offsets) - col.offsets[0].as_py()).tolist()
     return [codec.decode(flat[a:b]) for a, b in itertools.pairwise(ends)]
 
 
