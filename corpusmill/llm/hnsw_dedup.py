@@ -23,7 +23,7 @@ from .components import components
 from .shared import materialize
 
 #: Vectors of a shard, about; links of a node (twice as many on the ground); beams.
-SHARD, LINKS, BUILD_BEAM, BEAM = 3000, 10, 40, 32
+SHARD, LINKS, BUILD_BEAM, BEAM = 3000, 16, 64, 64
 #: Queries of an audit, and the recall that it asks for.
 AUDIT, RECALL = 64, 0.97
 
