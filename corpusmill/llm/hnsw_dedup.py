@@ -23,7 +23,9 @@ from .components import components
 from .shared import materialize
 
 #: Vectors of a shard, about; links of a node (twice as many on the ground); beams.
-SHARD, LINKS, BUILD_BEAM, BEAM = 3000, 16, 64, 64
+SHARD, LINKS, BUILD_BEAM, BEAM = 6000, 16, 64, 48
+#: Similarity to the leader of a tight group.
+TIGHT = 0.9
 #: Queries of an audit, and the recall that it asks for.
 AUDIT, RECALL = 64, 0.97
 
@@ -32,7 +34,7 @@ class Graph:
     """A small-world graph over unit vectors, by inner product."""
 
     def __init__(self, v: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 9):
-        self.v, self.links = v, links
+        self.v, self.links, self._led = v, links, None
         n = len(v)
         self.ground = np.full((n, 2 * links), -1, dtype=np.int32)
         self.filled = np.zeros(n, dtype=np.int32)
@@ -41,6 +43,8 @@ class Graph:
         heights = np.floor(-np.log(np.random.Generator(np.random.PCG64(seed)).random(n) + 1e-12) / np.log(links)).astype(int) if n else []
         self.seen = np.zeros(n, dtype=np.int64)
         self.turn = 0
+        # a tight group may fall apart into cliques that only far nodes join: its nodes also share a leader
+        self.leader = np.arange(n, dtype=np.int32)
         for i in range(n):
             self._insert(i, int(heights[i]), beam)
 
@@ -109,6 +113,8 @@ class Graph:
         at = self.enter(q, min(height, len(self.upper)))
         for layer in range(min(height, len(self.upper)), -1, -1):
             at = self.search(q, at, beam, layer)
+            if layer == 0 and self.v[(lead := self.leader[at[0][1]])] @ q >= TIGHT:
+                self.leader[i] = lead
             most = 2 * self.links if layer == 0 else self.links
             mine = self._spread(np.array([x for _, x in at]), np.array([s for s, _ in at]), self.links)
             self._set(i, layer, mine)
@@ -132,22 +138,39 @@ class Graph:
             self.filled[node] = len(near)
             self.ground[node, : len(near)] = near
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> list[int]:
-        """Nodes of at least that similarity: those in the beam, and what hangs on them within reach."""
+    def within(self, q: np.ndarray, least: float, beam: int, node: int | None = None) -> list[int]:
+        """Nodes of at least that similarity: those in the beam, and what hangs on them within reach.
+
+        The search begins at ``node`` where the query is one of the graph's own.
+        """
         if not len(self.v):
             return []
-        found = [x for s, x in self.search(q, self.enter(q, 0), beam, 0) if s >= least]
-        turn, seen = self.turn, self.seen
+        enter = self.enter(q, 0) if node is None else [(1.0, node)]
+        best = self.search(q, enter, beam, 0)
+        found = [x for s, x in best if s >= least]
+        turn, seen, led = self.turn, self.seen, set()
         todo = list(found)
         while todo:
-            near = self.near(todo.pop(), 0)
+            x = todo.pop()
+            near = self.near(x, 0)
+            if (lead := int(self.leader[x])) not in led:
+                led.add(lead)
+                near = np.concatenate([near, self.led(lead)])
             near = near[seen[near] != turn]
-            seen[near] = turn
-            more = near[self.v[near] @ q >= least].tolist()
-            found += more
-            todo += more
+            if len(near):
+                seen[near] = turn
+                more = np.unique(near[self.v[near] @ q >= least]).tolist()
+                found += more
+                todo += more
         return found
 
+    def led(self, lead: int) -> np.ndarray:
+        if self._led is None:
+            order = np.argsort(self.leader, kind="stable").astype(np.int32)
+            self._led = (order, np.searchsorted(self.leader[order], np.arange(len(order) + 1)))
+        order, at = self._led
+        return order[at[lead] : at[lead + 1]]
+
 
 def search_shards(va: np.ndarray, vb: np.ndarray, ga: Graph, gb: Graph, least: float, same: bool, beam: int = BEAM) -> tuple[np.ndarray, int, float]:
     """Linked pairs between two shards as a boolean matrix; the beam and the recall of the audit that passed."""
@@ -161,7 +184,7 @@ def search_shards(va: np.ndarray, vb: np.ndarray, ga: Graph, gb: Graph, least: f
             hits[:] = va @ vb.T >= least - 1e-9
         else:
             for i in range(len(va)):
-                hits[i, gb.within(va[i], least - 1e-9, beam)] = True
+                hits[i, gb.within(va[i], least - 1e-9, beam, i if same else None)] = True
             if same:
                 hits |= hits.T
             else:
@@ -203,7 +226,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("cls")
     v = np.array(pdf.embedding.tolist(), dtype=np.float64)
     g = Graph(v / np.sqrt((v * v).sum(1))[:, None])
-    graph = pickle.dumps((g.ground, g.filled, g.upper, g.top, g.links), protocol=5)
+    graph = pickle.dumps((g.ground, g.filled, g.upper, g.top, g.links, g.leader), protocol=5)
     first = pdf.iloc[0]
     return pd.DataFrame({"label": [first.label], "dim": [first.dim], "shard": [first.shard], "cls": [pdf.cls.to_numpy(np.int64).tobytes()], "times": [pdf.times.to_numpy(np.int64).tobytes()], "v": [_packed(v)], "graph": [graph]})
 
@@ -221,7 +244,7 @@ def _unpack(v: bytes, graph: bytes, dim: int) -> tuple[np.ndarray, Graph]:
     v = v / np.sqrt((v * v).sum(1))[:, None]
     g = Graph(v[:0])
     g.v, g.seen = v, np.zeros(len(v), dtype=np.int64)
-    g.ground, g.filled, g.upper, g.top, g.links = pickle.loads(graph)
+    g.ground, g.filled, g.upper, g.top, g.links, g.leader = pickle.loads(graph)
     return v, g
 
 
