@@ -93,17 +93,27 @@ class Graph:
         return at
 
     def _spread(self, nodes: np.ndarray, sims: np.ndarray, most: int) -> list[int]:
-        """Of nodes in order of closeness, those that are closer to the centre than to any taken before."""
+        """Of nodes in order of closeness, those that are closer to the centre than to any taken before.
+
+        Nodes of the centre's own tight group get at most half of the places, so
+        that a large group keeps links to what lies around it.
+        """
+        tight = int((sims >= TIGHT).sum())
+        half = min(tight, max(most // 2, most - (len(nodes) - tight)))
+        taken = np.unique(np.linspace(0, tight - 1, half).astype(int)).tolist() if tight else []
         among = self.v[nodes] @ self.v[nodes].T
-        taken: list[int] = []
-        for i in range(len(nodes)):
-            if not taken or among[i, taken].max() < sims[i]:
-                taken.append(i)
-                if len(taken) == most:
-                    break
-        if len(taken) < most // 2:  # a tight group: keep some of the closest all the same
-            taken += [i for i in range(len(nodes)) if i not in taken][: most // 2 - len(taken)]
-        return [int(nodes[i]) for i in taken]
+        apart: list[int] = []
+        for i in range(tight, len(nodes)):
+            if len(taken) + len(apart) == most:
+                break
+            if not apart or among[i, apart].max() < sims[i]:
+                apart.append(i)
+        for i in range(tight, len(nodes)):  # some of the closest all the same
+            if len(apart) >= min(most // 2, len(nodes) - tight, most - len(taken)):
+                break
+            if i not in apart:
+                apart.append(i)
+        return [int(nodes[i]) for i in [*taken, *apart]]
 
     def _insert(self, i: int, height: int, beam: int) -> None:
         q = self.v[i]
@@ -116,7 +126,13 @@ class Graph:
             if layer == 0 and self.v[(lead := self.leader[at[0][1]])] @ q >= TIGHT:
                 self.leader[i] = lead
             most = 2 * self.links if layer == 0 else self.links
-            mine = self._spread(np.array([x for _, x in at]), np.array([s for s, _ in at]), self.links)
+            near, sims = np.array([x for _, x in at]), np.array([s for s, _ in at])
+            if sims[-1] >= TIGHT:  # all of the beam lies in one group: go by what surrounds the closest
+                around = np.setdiff1d(np.concatenate([self.near(int(x), layer) for x in near[:8]]), near)
+                more = self.v[around] @ q
+                order = np.argsort(-more, kind="stable")
+                near, sims = np.concatenate([near, around[order]]), np.concatenate([sims, more[order]])
+            mine = self._spread(near, sims, self.links)
             self._set(i, layer, mine)
             for x in mine:
                 theirs = self.near(x, layer)
@@ -148,7 +164,9 @@ class Graph:
         enter = self.enter(q, 0) if node is None else [(1.0, node)]
         best = self.search(q, enter, beam, 0)
         found = [x for s, x in best if s >= least]
+        self.turn += 1  # what the beam had no room for is met anew
         turn, seen, led = self.turn, self.seen, set()
+        seen[found] = turn
         todo = list(found)
         while todo:
             x = todo.pop()
