@@ -174,3 +174,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
     """The rows of ``docs``, all columns, that no benchmark window occurs in."""
     out, _, spans = benchmark_spans(docs, benchmark, window)
     return out.where(F.size(spans) == 0).select(*docs.columns)
+
+
+#: The same by joining all windows, for small tables.
+REPORT_SQL = """
+WITH f AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(text, u, l), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark, f),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, u, l), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents, f),
+ip AS (SELECT DISTINCT item, k, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM iw WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM ip),
+dp AS (SELECT doc_id, i, k, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)),
+h AS (SELECT dp.doc_id, dp.i, dp.k, ip.item FROM dp JOIN ip ON dp.k = ip.k AND dp.s = ip.s),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import BLOOM_BITS, bloom, materialize, small_batches
+from .shared import BLOOM_BITS, bloom, fresh, materialize, small_batches
 
 U = np.uint64
 #: Ratio of the bounds of neighbouring size levels.
@@ -125,7 +125,7 @@ class _Recent:
 
 
 def classes_of(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
-    """``(doc_id, n, cls, needs)`` per row; ``cls`` is null for a text without words."""
+    """``(doc_id, th, n, cls, needs)`` per row: ``th`` is a hash of the text, ``cls`` null for a text without words."""
     needs_type = pa.list_(pa.struct([("level", pa.int32()), ("least", pa.int32())]))
 
     def run(it):
@@ -136,10 +136,10 @@ def classes_of(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
                 n[i] = len(s)
                 if len(s):
                     cls[i], needs[i] = class_of(s), shared_least(s, plan)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cls, pa.int64()), pa.array(needs, needs_type)], ["doc_id", "n", "cls", "needs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n), pa.array(cls, pa.int64()), pa.array(needs, needs_type)], ["doc_id", "th", "n", "cls", "needs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, needs array<struct<level:int,least:int>>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, n long, cls long, needs array<struct<level:int,least:int>>")
 
 
 def signature_rows(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
@@ -269,19 +269,8 @@ def count_blocks(pdf, plan: Plan):
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, part: int = PART, block: int = BLOCK) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``.
-
-    Documents link when ``den * |A & B| >= num * |A | B|`` over the sets of
-    distinct ``n``-word shingles; a text of fewer words is one shingle.
-    ``component_id`` is the smallest ``doc_id`` reachable by links.
-
-    Null and empty texts have no shingles and link with nothing. Repeated rows
-    (equal ``doc_id`` too) are separate rows of one class. A null ``doc_id``
-    takes part and never is a smallest id; without any other it stays null.
-    Further columns are ignored. An empty table gives an empty result.
-    Classes are told apart by 64-bit hashes of their sets.
-    """
+def ngram_groups(docs: DataFrame, n: int, num: int, den: int, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, th, n, root)`` per row; rows of one group of linked texts have one ``root``, null without words."""
     plan = Plan(num, den, part, block)
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -310,11 +299,44 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     more = _exhaustive(multi, found, sizes, parts, plan)
     final = components(links.unionByName(more)).withColumnRenamed("node", "cls")
 
-    lows = sizes.join(final, "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
-    least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    lows = lows.join(least, "root").select("cls", "component_id")
-    out = rows.join(lows, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(final, "cls", "left").select("doc_id", "th", "n", F.coalesce("root", "cls").alias("root"))
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, **sizes: int) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``.
+
+    Documents link when ``den * |A & B| >= num * |A | B|`` over the sets of
+    distinct ``n``-word shingles; a text of fewer words is one shingle.
+    ``component_id`` is the smallest ``doc_id`` reachable by links.
+
+    Null and empty texts have no shingles and link with nothing. Repeated rows
+    (equal ``doc_id`` too) are separate rows of one class. A null ``doc_id``
+    takes part and never is a smallest id; without any other it stays null.
+    Further columns are ignored. An empty table gives an empty result.
+    Classes are told apart by 64-bit hashes of their sets.
+    """
+    rows = materialize(ngram_groups(docs, n, num, den, **sizes), "groups")
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "root", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each group of linked texts.
+
+    The smallest ``doc_id`` stays (a null one only where there is no other).
+    Texts without words all stay; of rows that repeat, one does.
+    """
+    rows = materialize(ngram_groups(docs, n, num, den), "groups").where("root is not null")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
+    d, th = fresh("d", docs.columns), fresh("th", docs.columns)
+    key = F.expr("coalesce(cast(doc_id as long), -9223372036854775808L)")
+    gone = rows.join(best, "root").where(rank != F.col("best")).select(key.alias(d), F.col("th").alias(th)).distinct()
+    left = docs.withColumn(d, key).withColumn(th, F.xxhash64("text")).join(gone.hint("shuffle_hash"), [d, th], "left_anti")
+    nth = fresh("nth", left.columns)
+    left = left.withColumn(nth, F.row_number().over(Window.partitionBy(d, th).orderBy(F.lit(1))))
+    return left.where((F.col(nth) == 1) | ~F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))).select(*docs.columns)
 
 
 def _exhaustive(multi: DataFrame, found: DataFrame, sizes: DataFrame, parts: DataFrame, plan: Plan) -> DataFrame:
@@ -336,3 +358,16 @@ def _exhaustive(multi: DataFrame, found: DataFrame, sizes: DataFrame, parts: Dat
     jobs = first.unionByName(second).select("cluster", "bi", "bj", "side", "cls", "comp", "n")
     jobs = jobs.join(parts.where("own").select("cls", "part"), "cls")
     return materialize(jobs.groupBy("cluster", "bi", "bj").applyInPandas(lambda pdf: count_blocks(pdf, plan), "a long, b long"), "more")
+
+
+#: The same by comparing all pairs, for small tables.
+REPORT_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = d.doc_id), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+"""
