@@ -31,9 +31,9 @@ U = np.uint64
 HOT, OWN, TAILS = 1 << 18, 1 << 14, 1 << 12
 #: Classes (0 is the end), rows of the weight table, kinds of features, neighbours told apart.
 CLASSES, ROWS, KINDS, BESIDE = 32, 1 << 16, 4, 64
-#: Tokens of a gradient update and of a block of summed tables.
-BATCH, BLOCK = 4096, 256
-RATE, SHRINK = 0.35, 1e-6
+#: Tokens of a gradient update; rows of a block of summed tables.
+BATCH, BLOCK = 8192, 256
+RATE, MOST = 0.35, 15
 END = np.array([0x5851F42D4C957F2D], dtype=U)
 #: Ids of the places before a text.
 START = OWN + TAILS
@@ -74,33 +74,59 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-@dataclass
 class Vocabulary:
-    """The most frequent words: sorted hashes with counts (HOT), and those with an id of their own (OWN)."""
-
-    hot: np.ndarray
-    hot_c: np.ndarray
-    own: np.ndarray
-    own_id: np.ndarray
+    """The most frequent words by rank: hashes and counts; the first OWN have ids of their own.
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Counts, and -1 for a word outside the table."""
-        at = np.minimum(np.searchsorted(self.hot, h), max(len(self.hot) - 1, 0))
-        return np.where(self.hot[at] == h, self.hot_c[at], -1) if len(self.hot) else np.full(len(h), -1)
+    A word is found by a table of slots over some bits of its hash; the few that
+    share a slot with a more frequent one are searched in a sorted list.
+    """
 
-    def ids(self, h: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        if not len(self.own):
-            return OWN + tails
-        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
-        return np.where(self.own[at] == h, self.own_id[at], OWN + tails)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.h, self.c = np.append(hashes, U(0)), np.append(counts, -1)
+        n = len(hashes)
+        self.shift = U(64 - max(10, int(n).bit_length() + 3))
+        self.slot = np.full(1 << int(U(64) - self.shift), n, dtype=np.int32)
+        at = (hashes >> self.shift).astype(np.int64)
+        self.slot[at[::-1]] = np.arange(n - 1, -1, -1, dtype=np.int32)
+        rest = np.flatnonzero(self.slot[at] != np.arange(n))
+        order = np.argsort(hashes[rest])
+        self.rest, self.rest_rank = hashes[rest][order], rest[order].astype(np.int32)
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """Ranks of words, the number of all for a word that isn't there."""
+        n = len(self.h) - 1
+        out = self.slot[(h >> self.shift).astype(np.int64)]
+        miss = self.h[out] != h
+        out[miss] = n
+        if len(self.rest):
+            at = np.flatnonzero(miss)
+            k = np.minimum(np.searchsorted(self.rest, h[at]), len(self.rest) - 1)
+            hit = self.rest[k] == h[at]
+            out[at[hit]] = self.rest_rank[k[hit]]
+        return out
+
+    def counts(self, ranks: np.ndarray) -> np.ndarray:
+        """Counts, and -1 for a word that isn't there."""
+        return self.c[ranks]
+
+    def ids(self, ranks: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        return np.where(ranks < min(OWN, len(self.h) - 1), ranks, OWN + tails)
 
 
 def _vocabulary(vocab: DataFrame) -> Vocabulary:
-    top = vocab.orderBy(F.desc("c"), "h").limit(HOT).select("h", "c").toPandas()
-    h, c = top["h"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64)
-    order, own = np.argsort(h), h[:OWN]
-    mine = np.argsort(own)
-    return Vocabulary(h[order], c[order], own[mine], mine.astype(np.int64))
+    """All words above the least count that leaves HOT of them at most."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    bins = sorted(((r.level, r.n) for r in vocab.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for k, n in bins:
+        total += n
+        if total > HOT:
+            break
+        least = k
+    if least is None:
+        return Vocabulary(np.zeros(0, U), np.zeros(0, np.int64))
+    top = vocab.where(level >= least).select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True])
+    return Vocabulary(top["h"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64))
 
 
 def _sum_tables(df: DataFrame, fn, rows: int, width: int) -> np.ndarray:
@@ -144,7 +170,7 @@ def neighbours(vocabulary: Vocabulary, groups) -> np.ndarray | None:
     total = None
     for texts in groups:
         h, tails, at = tokens(texts)
-        ids = vocabulary.ids(h, tails)
+        ids = vocabulary.ids(vocabulary.ranks(h), tails)
         near = _beside(ids)
         inner = np.ones(len(ids), dtype=bool)
         inner[at[1:] - 1] = False  # a text's end has nothing after it
@@ -185,7 +211,8 @@ class Features:
 
     def __init__(self, texts: list[bytes], vocabulary: Vocabulary, classes: np.ndarray):
         self.h, tails, self.at = tokens(texts)
-        ids = vocabulary.ids(self.h, tails)
+        self.ranks = vocabulary.ranks(self.h)
+        ids = vocabulary.ids(self.ranks, tails)
         self.cls = classes[ids]
         self.cls[self.at[1:] - 1] = 0
         n = len(ids)
@@ -198,18 +225,41 @@ class Features:
             b[ok] = ids[place[ok] - k]
             back.append(b)
         keys = [back[0], back[1] * (START + 1) + back[0], back[1], back[2]]
-        self.rows = np.stack([(words.mix(key.astype(U) + U((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> U(48)).astype(np.int32) for i, key in enumerate(keys)], axis=1)
+        self.rows = np.stack([(words.mix(key.astype(U) + U((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> U(48)).astype(np.uint16) for i, key in enumerate(keys)], axis=1)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + bias
+def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = weights[rows[:, 0]]
+    z += bias
     for k in range(1, KINDS):
         z += weights[rows[:, k]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = logits(weights, bias, rows)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def _segment_sums(g: np.ndarray, rows: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of ``g[rows]`` over segments: short ones side by side, their first rows, then their second; long ones alone."""
+    short = 24
+    order = np.argsort(-count, kind="stable")
+    b, n = begin[order], count[order]
+    out = g[rows[b]]
+    long = int(np.searchsorted(-n, -short, side="left"))
+    for i in range(long):
+        out[i] = g[rows[b[i] : b[i] + n[i]]].sum(0)
+    for k in range(1, short):
+        some = int(np.searchsorted(-n, -k, side="left"))
+        if some <= long:
+            break
+        out[long:some] += g[rows[b[long:some] + k]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def train(vocabulary: Vocabulary, classes: np.ndarray, bias: np.ndarray, groups) -> np.ndarray | None:
     """One partition's updates: weights times use, and the use, per row of the table."""
     w = np.zeros((ROWS, CLASSES), dtype=np.float32)
@@ -219,17 +269,21 @@ def train(vocabulary: Vocabulary, classes: np.ndarray, bias: np.ndarray, groups)
         f = Features(texts, vocabulary, classes)
         for lo in range(0, len(f.cls), BATCH):
             rows, own = f.rows[lo : lo + BATCH], f.cls[lo : lo + BATCH]
-            g = np.exp(log_softmax(w, bias, rows))
+            g = logits(w, bias, rows)
+            np.exp(g, out=g)
+            g /= g.sum(1, keepdims=True)
             g[np.arange(len(own)), own] -= 1
             flat = rows.ravel()
             order = np.argsort(flat, kind="stable")
-            begin = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-            step = np.add.reduceat(g[order // KINDS], begin, axis=0)
-            at = flat[order[begin]]
-            n = np.diff(np.append(begin, len(flat)))
-            energy[at] += (step * step).mean(1)
-            w[at] -= RATE * step / np.sqrt(energy[at])[:, None] + SHRINK * w[at]
-            used[at] += n
+            sorted_ = flat[order]
+            begin = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+            count = np.diff(np.append(begin, len(flat)))
+            step = _segment_sums(g, order // KINDS, begin, count)
+            at = sorted_[begin]
+            energy[at] = e = energy[at] + np.einsum("ij,ij->i", step, step) / CLASSES
+            step *= (RATE / np.sqrt(e))[:, None]
+            w[at] = np.clip(w[at] - step, -MOST, MOST)
+            used[at] += count
     return np.hstack([w * used[:, None], used[:, None]]) if used.any() else None
 
 
@@ -260,7 +314,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     classes = cluster(table)
 
     # sizes of the classes, from all counts
-    names = spark.createDataFrame([(int(h), int(classes[i])) for h, i in zip(vocabulary.own.view(np.int64).tolist(), vocabulary.own_id.tolist(), strict=True)] or [(0, 1)], "h long, own int").where(F.lit(bool(len(vocabulary.own))))
+    names = spark.createDataFrame([(int(h), int(classes[i])) for h, i in zip(vocabulary.h[:-1][:OWN].view(np.int64).tolist(), range(OWN))], "h long, own int")
     by_tail = spark.createDataFrame([(t, int(classes[OWN + t])) for t in range(TAILS)], "tail int, other int")
     sized = vocab.join(F.broadcast(names), "h", "left").join(F.broadcast(by_tail), "tail").withColumn("cls", F.when(F.col("h") == int(END.view(np.int64)[0]), 0).otherwise(F.coalesce("own", "other")))
     size = np.zeros((CLASSES, 2))
@@ -281,13 +335,15 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 def score_texts(texts: list[bytes], m: Model) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known among the frequent, their log10 counts, log10 of class shares and sizes; rare hashes."""
     f = Features(texts, m.vocabulary, m.classes)
-    c = m.vocabulary.counts(f.h)
+    c = m.vocabulary.counts(f.ranks)
     rare = c < 0
     known = np.where(rare, 0, np.log10(np.maximum(c, 0) + 0.5))
     p = np.empty(len(f.h))
     for lo in range(0, len(f.h), 4 * BATCH):
         own = f.cls[lo : lo + 4 * BATCH]
-        p[lo : lo + 4 * BATCH] = log_softmax(m.weights, m.bias, f.rows[lo : lo + 4 * BATCH])[np.arange(len(own)), own]
+        z = logits(m.weights, m.bias, f.rows[lo : lo + 4 * BATCH])
+        mine = z[np.arange(len(own)), own]
+        p[lo : lo + 4 * BATCH] = mine - np.log(np.exp(z, out=z).sum(1))
     p = p / np.log(10) - m.log_size[f.cls]
     at = f.at
     add = lambda x: np.add.reduceat(x, at[:-1]) if len(x) else np.zeros(0)

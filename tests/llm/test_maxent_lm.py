@@ -50,7 +50,7 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(np.exp(log_softmax(model.weights, model.bias, f.rows)).sum(1), 1, atol=1e-5)
     share = Counter()
     end = int(END.view(np.int64)[0])
-    own = dict(zip(model.vocabulary.own.view(np.int64).tolist(), model.vocabulary.own_id.tolist()))
+    own = {int(h): i for i, h in enumerate(model.vocabulary.h[:-1][: maxent_lm.OWN].view(np.int64))}
     for r in vocab.collect():
         k = 0 if r.h == end else int(model.classes[own.get(r.h, maxent_lm.OWN + r.tail)])
         share[k] += (r.c + 0.5) / 10 ** model.log_size[k]
