@@ -25,7 +25,7 @@ from .shared import extend
 FIRST = 0x100
 _CHARS = "".join(chr(FIRST + b) for b in range(256))
 #: Pre-tokens of a generation that a task holds with their ids.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -184,8 +184,8 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str | None = None, ids:
 
 
 def _decode_all(codec: Codec, col) -> list[bytes]:
-    flat, ends = np.asarray(col.flatten()).tolist(), (np.asarray(col.offsets) - col.offsets[0].as_py()).tolist()
-    return [codec.decode(flat[a:b]) for a, b in itertools.pairwise(ends)]
+    flat, ends = np.asarray(col.flatten()), (np.asarray(col.offsets) - col.offsets[0].as_py()).tolist()
+    return [codec.decode(flat[a:b].tolist()) for a, b in itertools.pairwise(ends)]
 
 
 def sha256_of_ids(ids: Column) -> Column:

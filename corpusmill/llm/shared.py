@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch of texts, about.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
