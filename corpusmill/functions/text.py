@@ -85,7 +85,8 @@ def uuid5(name: Column, namespace: str = DNS_NAMESPACE) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def point_id(chunk_id: Column, prefix: str = "legal_graphrag.") -> Column:
+def point_id(chunk_id: Column, prefix: str = "") -> Column:
+    """Id of a chunk's point; ``prefix`` sets apart the ids of a deployment."""
     return uuid5(F.concat(F.lit(prefix), chunk_id))
 
 

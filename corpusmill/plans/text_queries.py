@@ -1 +1,310 @@
+"""Text queries: lines of ``documents`` as paragraphs, sources as cases, pages and conversations as sections."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import references, text
+from ..operators import chunking, provisions, quality, structure
+from ..session import table
+from .registry import query
+
+# Fixed values of these queries: patterns, rewrites.
+TAGS = {"License": r"\blicen[sc]ed?\b", "Email address": r"[a-z0-9._]+@[a-z0-9.]+", "Web address": r"https?://[a-z0-9./-]+", "Digits": r"\d{3,}", "Shouting": "!!"}
+REWRITES = [("Licensed under", "License:"), ("[0-9]+", "#"), ("%%%|###|&&&", ""), ("[ \t]+", " "), ("!!", "!")]
+WORDS = r"len(list_filter(regexp_split_to_array({t}, '[ \t\n]+'), lambda x: x <> ''))"
+LINES = "lines AS (SELECT doc_id, source, lang, i - 1 AS i, string_split(text, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+
+
+def docs(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def lines(spark, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+
+
+def _tag_sql(col: str) -> str:
+    out = [f"CASE WHEN regexp_matches({col}, '(?i){p}') THEN 'LEGAL_CONCEPT:{n.lower().replace(' ', '_')}' END" for n, p in TAGS.items()]
+    return "list_sort(list_filter([" + ", ".join(out) + "], lambda x: x IS NOT NULL))"
+
+
+@query(f"SELECT doc_id, array_to_string({_tag_sql('text')}, ',') AS concepts FROM documents WHERE lang = 'en'")
+def concept_tagging(spark, sf_dir):
+    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(text.tagged(F.col("text"), TAGS), ",").alias("concepts"))
+
+
+@query(f"SELECT concept, count(DISTINCT source) AS case_count, array_to_string(list_sort(list(DISTINCT source)), ',') AS cases FROM (SELECT source, unnest({_tag_sql('text')}) AS concept FROM documents WHERE lang = 'en') GROUP BY concept")
+def concept_frequency(spark, sf_dir):
+    tagged = docs(spark, sf_dir).where("lang = 'en'").select("source", F.explode(text.tagged(F.col("text"), TAGS)).alias("concept"))
+    return quality.frequencies(tagged, "concept", "source").select("concept", "case_count", F.array_join("case_ids", ",").alias("cases"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter([CASE WHEN source IN ('src0', 'src1') THEN 'LEGAL_CONCEPT:' || source END], lambda x: x IS NOT NULL), {_tag_sql('text')}))), ',') AS concepts FROM documents WHERE lang = 'en'")
+def concept_union(spark, sf_dir):
+    declared = F.array_compact(F.array(F.when(F.col("source").isin("src0", "src1"), text.concept_id(F.col("source")))))
+    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(F.array_sort(F.array_union(declared, text.tagged(F.col("text"), TAGS))), ",").alias("concepts"))
+
+
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))), ' ') AS links, len(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))) AS n FROM pages")
+def reference_extract(spark, sf_dir):
+    refs = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'))))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(refs, " ").alias("links"), F.size(refs).cast("long").alias("n"))
+
+
+def _rewrite_sql() -> str:
+    out = "text"
+    for p, r in REWRITES:
+        out = f"regexp_replace({out}, '{p}', '{r}', 'g')"
+    return out
+
+
+@query(f"SELECT doc_id, md5({_rewrite_sql()}) AS rewritten FROM documents")
+def ordered_rewrite(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(text.rewritten(F.col("text"), REWRITES).cast("binary")).alias("rewritten"))
+
+
+@query(f"SELECT doc_id, CAST(floor({WORDS.format(t='text')} * 1.33::DOUBLE) AS INT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH t AS (SELECT lang, CAST(floor({WORDS.format(t='text')} * 1.33::DOUBLE) AS INT) AS t FROM documents) SELECT lang, count(*) AS n, min(t) AS min_tokens, max(t) AS max_tokens, round(avg(t), 2) AS mean_tokens, round(median(t), 2) AS median_tokens, CAST(floor(avg(t) FILTER (t > 0)) AS INT) AS avg_nonzero FROM t GROUP BY lang")
+def token_stats(spark, sf_dir):
+    return quality.token_stats(docs(spark, sf_dir).select("lang", text.estimated_tokens(F.col("text")).alias("t")), "t", ["lang"])
+
+
+@query(f"SELECT doc_id, {WORDS.format(t='text')} AS words FROM documents")
+def raw_word_count(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(text, '[ \t]*\n[ \t\n]*', ' ', 'g'))) AS spaced FROM documents WHERE NOT contains(text, chr(10) || chr(10))")
+def text_spacing(spark, sf_dir):
+    return docs(spark, sf_dir).where("not contains(text, '\n\n')").select("doc_id", F.md5(text.spacing(F.col("text")).cast("binary")).alias("spaced"))
+
+
+def _packed(spark, sf_dir, packs) -> DataFrame:
+    p = chunking.paragraphs(docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")), "doc_id", "i", {"t": text.word_count(F.col("line")), "tags": text.tagged(F.col("line"), TAGS)})
+    return p.select("doc_id", packs.alias("packs"))
+
+
+_FOLD = """p AS (SELECT doc_id, i, {words} AS t, {tags} AS tags FROM lines),
+f AS (
+  SELECT doc_id, i, 0 AS pack, t AS tok, 1 AS n, 0 AS carried FROM p WHERE i = 0
+  UNION ALL
+  SELECT p.doc_id, p.i, CASE WHEN {close} THEN pack + 1 ELSE pack END, CASE WHEN {close} THEN p.t + CASE WHEN {carry} THEN l.t ELSE 0 END ELSE tok + p.t END,
+    CASE WHEN {close} THEN 1 + CASE WHEN {carry} THEN 1 ELSE 0 END ELSE n + 1 END, CASE WHEN {close} AND {carry} THEN 1 ELSE 0 END
+  FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1 JOIN p l ON l.doc_id = f.doc_id AND l.i = f.i)"""
+_SIMPLE = "WITH RECURSIVE " + LINES + ", " + _FOLD.format(words=WORDS.format(t="line"), tags="[]::VARCHAR[]", close="tok + p.t > 60", carry="false")
+_OVERLAP = "WITH RECURSIVE " + LINES + ", " + _FOLD.format(words=WORDS.format(t="line"), tags=_tag_sql("line"), close="(tok + p.t > 100 OR n >= 8 OR tok >= 50)", carry="(l.t <= 30 AND len(list_intersect(l.tags, p.tags)) > 0 AND l.t + p.t <= 80)")
+
+
+@query(_SIMPLE + " SELECT doc_id, max(pack) + 1 AS n_packs, count(*) AS n_parts FROM f GROUP BY doc_id")
+def greedy_pack_simple(spark, sf_dir):
+    out = _packed(spark, sf_dir, chunking.simple_packs(cap=60))
+    return out.select("doc_id", F.size("packs").alias("n_packs"), F.size(F.flatten("packs")).cast("long").alias("n_parts"))
+
+
+@query(_OVERLAP + ", big AS (SELECT DISTINCT doc_id FROM p WHERE t > 100) SELECT doc_id, max(pack) + 1 AS n_packs, count(*) + sum(carried)::BIGINT AS n_parts FROM f WHERE doc_id NOT IN (SELECT doc_id FROM big) GROUP BY doc_id")
+def greedy_pack_overlap(spark, sf_dir):
+    p = chunking.paragraphs(docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")), "doc_id", "i", {"t": text.word_count(F.col("line")), "tags": text.tagged(F.col("line"), TAGS)})
+    p = p.where(~F.exists("paras", lambda x: x["t"] > 100))
+    packs = chunking.greedy_packs(cap=100, most=8, target=50, overlap_tokens=30, overlap_sum=80, links=("tags",))
+    return p.select("doc_id", F.size(packs).alias("n_packs"), F.size(F.flatten(packs)).cast("long").alias("n_parts"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT doc_id, i, parts[i] AS s, CAST(floor(len(list_filter(regexp_split_to_array(parts[i], '[ \t\n]+'), lambda x: x <> '')) * 1.33::DOUBLE) AS INT) AS t
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), ' '), '\\.\\s+', '.' || chr(1), 'g'), chr(1)) AS parts FROM documents))),
+f AS (SELECT doc_id, i, s, t AS tok, 0 AS pack FROM s WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.i, s.s, CASE WHEN tok + s.t > 60 THEN s.t ELSE tok + s.t END, CASE WHEN tok + s.t > 60 THEN pack + 1 ELSE pack END FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1)
+SELECT doc_id, pack AS i, doc_id || '-' || chr(CAST(65 + pack % 26 AS INT)) AS sub_part, md5(string_agg(s, ' ' ORDER BY f.i)) AS part_md5 FROM f GROUP BY doc_id, pack""")
+def sentence_split_pack(spark, sf_dir):
+    parts = chunking.sentence_packs(F.regexp_replace("text", "\n", " "), cap=60)
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("i", "part")).select("doc_id", "i", chunking.sub_part(F.col("doc_id"), F.col("i") % 26).alias("sub_part"), F.md5(F.col("part").cast("binary")).alias("part_md5"))
+
+
+@query("WITH RECURSIVE " + LINES + """, f AS (
+  SELECT doc_id, i, line, 1 AS fresh, 1 AS opens FROM lines WHERE i = 0
+  UNION ALL
+  SELECT l.doc_id, l.i, l.line, CASE WHEN f.fresh = 1 AND regexp_matches(f.line, ',$') THEN 0 ELSE 1 END, CASE WHEN f.fresh = 1 AND regexp_matches(f.line, ',$') THEN 0 ELSE 1 END
+  FROM f JOIN lines l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+SELECT doc_id, sum(opens)::BIGINT AS n_lines, md5(string_agg(CASE WHEN opens = 1 AND i > 0 THEN '|' ELSE '' END || line, '' ORDER BY i)) AS mended_md5 FROM f GROUP BY doc_id""")
+def pair_mend(spark, sf_dir):
+    out = docs(spark, sf_dir).withColumn("t", F.split("text", "\n")).select("doc_id", chunking.mended("t", ",$", "(?s)^.*$").alias("m"))
+    return out.select("doc_id", F.size("m").cast("long").alias("n_lines"), F.md5(F.array_join("m", "|").cast("binary")).alias("mended_md5"))
+
+
+@query("WITH RECURSIVE " + LINES + """, s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, line FROM lines WHERE trim(line) <> ''), f AS (
+  SELECT doc_id, r, line AS merged, 1 AS opens FROM s WHERE r = 1
+  UNION ALL
+  SELECT s.doc_id, s.r, CASE WHEN regexp_matches(s.line, '^[,.;)\\]a-z]') THEN f.merged || CASE WHEN suffix(f.merged, '-') THEN '' ELSE ' ' END || s.line ELSE s.line END, CASE WHEN regexp_matches(s.line, '^[,.;)\\]a-z]') THEN 0 ELSE 1 END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.r = f.r + 1)
+SELECT doc_id, sum(opens)::BIGINT AS n_lines FROM f GROUP BY doc_id""")
+def stitch_fragments(spark, sf_dir):
+    out = docs(spark, sf_dir).withColumn("t", F.split("text", "\n")).select("doc_id", chunking.stitched("t", "x rlike '^[,.;)\\\\]a-z]'").alias("m"))
+    return out.where(F.size("m") > 0).select("doc_id", F.size("m").cast("long").alias("n_lines"))
+
+
+@query("WITH " + LINES.replace("source,", "md5(string_split(text, chr(10))[1]) AS source,") + """, s AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY i) AS up, row_number() OVER (PARTITION BY source, doc_id ORDER BY i DESC) AS down FROM lines WHERE trim(line) <> ''),
+c AS (SELECT source, line, sum((up <= 3)::INT + (down <= 3)::INT)::BIGINT AS n FROM s WHERE (up <= 3 OR down <= 3) AND length(line) >= 15 AND NOT regexp_matches(line, '^[0-9]+$') GROUP BY source, line),
+p AS (SELECT source, greatest(3, ceil(count(DISTINCT doc_id) / 2)) AS least FROM lines GROUP BY source)
+SELECT source, md5(line) AS line, n FROM c JOIN p USING (source) WHERE n >= least""")
+def edge_line_noise(spark, sf_dir):
+    same_start = F.md5(F.element_at(F.split("text", "\n"), 1).cast("binary"))
+    each = docs(spark, sf_dir).select("doc_id", same_start.alias("source"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    out = structure.repeated_edge_lines(each, "source", "doc_id", "i", "line")
+    return out.select("source", F.md5(F.col("line").cast("binary")).alias("line"), "n")
+
+
+@query("WITH " + LINES + " SELECT doc_id, count(*) AS n_kept, md5(string_agg(line, chr(10) ORDER BY i)) AS kept FROM (SELECT doc_id, i, trim(regexp_replace(line, '[ \t]+', ' ', 'g')) AS line FROM lines) WHERE line <> '' AND NOT regexp_matches(line, '^\\d{3,5}$') AND NOT (i < 4 AND regexp_matches(line, '(?i)\\| ')) GROUP BY doc_id")
+def line_clean(spark, sf_dir):
+    clean = docs(spark, sf_dir).select("doc_id", F.posexplode(text.cleaned_lines(F.col("text"))).alias("i", "line"))
+    bad = structure.noisy(F.col("line")) | ((F.col("i") < 4) & F.col("line").rlike("(?i)\\| "))
+    kept = clean.where((F.col("line") != "") & ~bad).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))
+    return kept.select("doc_id", F.size("x").cast("long").alias("n_kept"), F.md5(F.array_join(F.transform("x", lambda s: s["line"]), "\n").cast("binary")).alias("kept"))
+
+
+@query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations")
+def section_bucket(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return structure.carried(c, ["conv_id"], ["turn"], F.col("role") == "user", F.col("turn"), "section").select("conv_id", "turn", "role", "section")
+
+
+@query("WITH o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) SELECT conv_id, count(*) AS n_paras, max(r)::INT AS last_number FROM o GROUP BY conv_id")
+def sequential_paragraphs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    numbered = c.select("conv_id", F.col("turn").cast("int").alias("page"), F.concat(n.cast("string"), F.lit(". said")).alias("text"))
+    all_ = numbered.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("lines"))
+    p = all_.select("conv_id", chunking.sequential_paragraphs().alias("p"))
+    return p.select("conv_id", F.size("p").cast("long").alias("n_paras"), F.array_max(F.transform("p", lambda x: x["paragraph_number"])).alias("last_number"))
+
+
+@query("SELECT doc_id, regexp_replace(source, '[^A-Za-z0-9_]+', '_', 'g') || '_DOC_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 3, '0') AS chunk_id FROM documents")
+def sequence_ids(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    out = docs(spark, sf_dir).withColumn("n", n)
+    padded = F.when(F.col("n") < 1000, text.numbered_id(text.slug(F.col("source")), "DOC", F.col("n"))).otherwise(F.concat(text.slug(F.col("source")), F.lit("_DOC_"), F.substring(F.col("n").cast("string"), 1, 3)))
+    return out.select("doc_id", padded.alias("chunk_id"))
+
+
+@query("SELECT doc_id, CAST(nth AS INT) AS nth FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS nth FROM documents) WHERE nth > 1")
+def duplicate_first_seen(spark, sf_dir):
+    return quality.duplicates(docs(spark, sf_dir).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")), ["h"], "doc_id").select("doc_id", "nth")
+
+
+@query("WITH f AS (SELECT source, lang, min(doc_id) AS d FROM documents GROUP BY source, lang) SELECT source, (SELECT lang FROM documents x WHERE x.source = f.source ORDER BY doc_id LIMIT 1) AS lang, string_agg(f.lang, ',' ORDER BY d) AS langs FROM f GROUP BY source")
+def group_merge_first(spark, sf_dir):
+    d = docs(spark, sf_dir).select("source", "doc_id", "lang", F.lit("").alias("text"), F.array("lang").alias("langs"))
+    out = provisions.merge_sections(d, "source", "doc_id", ["lang"], "text", ["langs"])
+    return out.select("source", "lang", F.array_join("langs", ",").alias("langs"))
+
+
+@query("""SELECT kind, count(*) AS n, count(title) AS n_titles, sum(length(body))::BIGINT AS chars FROM (
+SELECT 'document' AS kind, source AS title, text AS body FROM documents UNION ALL SELECT 'item', NULL, text FROM benchmark UNION ALL SELECT 'page', url, html FROM pages UNION ALL SELECT 'turn', role, text FROM conversations) GROUP BY kind""")
+def stream_union(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    parts = [t("documents").select(F.lit("document").alias("kind"), F.col("source").alias("title"), F.col("text").alias("body")), t("benchmark").select(F.lit("item").alias("kind"), F.col("text").alias("body")), t("pages").select(F.lit("page").alias("kind"), F.col("url").alias("title"), F.col("html").alias("body")), t("conversations").select(F.lit("turn").alias("kind"), F.col("role").alias("title"), F.col("text").alias("body"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.groupBy("kind").agg(F.count("*").alias("n"), F.count("title").alias("n_titles"), F.sum(F.length("body")).alias("chars"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, substr(text, 1, 100) AS t FROM conversations)
+SELECT conv_id, count(*) AS n_parts, md5(string_agg(role || ': ' || t, chr(10) || chr(10) ORDER BY turn)) AS context FROM c GROUP BY conv_id""")
+def context_build(spark, sf_dir):
+    from ..operators.postprocess import build_context
+
+    c = table(spark, sf_dir, "conversations").withColumn("line", F.concat("role", F.lit(": "), text.excerpt(F.col("text"), 100)))
+    out = build_context(c, "conv_id", ["turn"], F.col("line"), 10_000)
+    return out.select("conv_id", "n_parts", F.md5(F.col("context").cast("binary")).alias("context"))
+
+
+@query("""SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '\\s+(Description:|\\(|If,|Whoever|When|Where|In every)\\b.*$', ''), 1, 160), '^[ :-]+|[ :-]+$', '', 'g'), ''), 'none') AS title FROM documents WHERE lang = 'en' AND NOT contains(text, ' - ')""")
+def title_from_text(spark, sf_dir):
+    return docs(spark, sf_dir).where("lang = 'en' and not contains(text, ' - ')").select("doc_id", text.title_from_text(F.col("text"), F.lit("none")).alias("title"))
+
+
+_UUID = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('DOC_' || doc_id))"
+
+
+@query(f"SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT doc_id, {_UUID} AS h FROM documents)")
+def uuid5_ids(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.point_id(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string"))).alias("uuid"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, CAST(nullif(regexp_extract(url, '([0-9]+)[^0-9]*$', 1), '') AS INT) AS number, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), 'the', 'v.')) AS title FROM pages""")
+def metadata_regex(spark, sf_dir):
+    title = F.trim(F.replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("the"), F.lit("v.")))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.nullif(F.regexp_extract("url", "([0-9]+)[^0-9]*$", 1), F.lit("")).cast("int").alias("number"), title.alias("title"))
+
+
+@query("SELECT page_id, CASE WHEN contains(h, 'ISSUE FOR CONSIDERATION') THEN 'issue_for_consideration' WHEN h = 'HEADNOTES' OR h LIKE 'HEADNOTES %' THEN 'headnotes' WHEN contains(h, 'LIST OF ACTS') THEN 'acts_cited' WHEN replace(h, ' ', '') IN ('JUDGMENT', 'ORDER') THEN 'judgment' END AS section FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'HEADNOTES' WHEN 1 THEN 'ORDER' WHEN 2 THEN 'LIST OF ACTS' WHEN 3 THEN 'ISSUE FOR CONSIDERATION' ELSE 'OTHER' END AS h FROM pages)")
+def heading_classify(spark, sf_dir):
+    line = F.element_at(F.array(*(F.lit(x) for x in ("Headnotes†", "O R D E R", "List of Acts:", "Issue for Consideration", "other"))), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", structure.heading(F.replace(line, F.lit("O R D E R"), F.lit("Order"))).alias("section"))
+
+
+@query("SELECT page_id, len(t) AS n_topics, array_to_string(list_transform(t, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), '|') AS topics FROM (SELECT page_id, list_filter(string_split(regexp_replace(regexp_extract(html, '<nav>(.*)</nav>', 1), '</li>', '</li>\u0001', 'g'), chr(1)), lambda x: suffix(x, '</li>')) AS t FROM pages)")
+def topic_split(spark, sf_dir):
+    nav = F.regexp_replace(F.regexp_extract("html", "<nav>(.*)</nav>", 1), "</li>", "</li>\u0001")
+    parts = F.filter(F.split(nav, "\u0001"), lambda x: x.endswith("</li>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(parts).cast("long").alias("n_topics"), F.array_join(F.transform(parts, text.squeezed), "|").alias("topics"))
+
+
+@query("WITH " + LINES + ", n AS (SELECT doc_id, i, coalesce(nullif(regexp_extract(line, '\\b([0-9]+)\\b', 1), ''), CAST(i + 1 AS VARCHAR)) AS v FROM lines WHERE lang = 'en') SELECT doc_id, string_agg(v, ',' ORDER BY m) AS numbers FROM (SELECT doc_id, v, min(i) AS m FROM n GROUP BY doc_id, v) GROUP BY doc_id")
+def numeric_labels(spark, sf_dir):
+    items = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("label"), F.lit("").alias("text")))
+    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(provisions.label_numbers(items), ",").alias("numbers"))
+
+
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(before, '([0-9]{1,4})', 1), lambda x: NOT regexp_matches(x, '^(18|19|20)[0-9]{2}$')))), ',') AS numbers FROM (SELECT page_id, 'under Sections ' || page_id || ', ' || (page_id % 7) || ' and 1999 of ' AS before FROM pages)")
+def lookback_numbers(spark, sf_dir):
+    said = F.concat(F.lit("under Sections "), F.col("page_id").cast("string"), F.lit(", "), (F.col("page_id") % 7).cast("string"), F.lit(" and 1999 of the Code"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(references.numbers_before(said, "the Code"), ",").alias("numbers"))
+
+
+@query("SELECT event_id, array_to_string([a] || range(b, b + 3), ',') AS paragraphs FROM (SELECT event_id, CAST(event_id % 5 AS BIGINT) AS a, CAST(event_id % 9 + 10 AS BIGINT) AS b FROM events)")
+def headnote_ranges(spark, sf_dir):
+    b = F.col("event_id") % 9 + 10
+    note = F.concat(F.lit("A – b. [Paras "), (F.col("event_id") % 5).cast("string"), F.lit(", "), b.cast("string"), F.lit("-"), (b + 2).cast("string"), F.lit("]"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(structure.propositions(note)[0]["related_paragraphs"], ",").alias("paragraphs"))
+
+
+@query("WITH " + LINES + " SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(line) >= 15) AS n_long, sum(length(line))::BIGINT AS chars FROM lines WHERE trim(line) <> '' GROUP BY doc_id")
+def blank_filter(spark, sf_dir):
+    kept = lines(spark, sf_dir).where(F.trim("line") != "")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.length("line") >= 15).alias("n_long"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars, sum(len(regexp_extract_all(text, '\\|')))::BIGINT AS n_tables FROM documents GROUP BY lang UNION ALL SELECT 'all', count(*), sum(length(text))::BIGINT, sum(len(regexp_extract_all(text, '\\|')))::BIGINT FROM documents")
+def group_totals(spark, sf_dir):
+    d = docs(spark, sf_dir).select("lang", F.length("text").alias("c"), F.regexp_count("text", F.lit("\\|")).alias("t"))
+    return d.rollup("lang").agg(F.count("*").alias("n"), F.sum("c").alias("chars"), F.sum("t").alias("n_tables")).withColumn("lang", F.coalesce("lang", F.lit("all")))
+
+
+@query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn DESC) AS turns, arg_max(role, turn) AS newest FROM conversations GROUP BY conv_id")
+def newest_first(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"), F.max_by("role", "turn").alias("newest"))
+    return c.select("conv_id", F.array_join(F.reverse("t"), ",").alias("turns"), "newest")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'BNS:' || p_size WHEN p_partkey % 3 = 1 THEN 'IPC:' || p_size ELSE CASE WHEN p_size = 32 THEN 'IEA:32' ELSE '' END END AS sections, CASE p_partkey % 3 WHEN 0 THEN 'BNS' WHEN 1 THEN 'IPC' ELSE '' END AS acts, CAST(p_size AS VARCHAR) AS numbers, p_partkey % 3 = 2 AND p_size = 32 AS defaulted FROM part""")
+def query_parse(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("what does BNS "), n, F.lit(" say"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("see IPC Section "), n)).otherwise(F.concat(F.lit("under Section "), n))
+    out = table(spark, sf_dir, "part").withColumn("q", references.parsed_query(said))
+    return out.select("p_partkey", F.array_join("q.sections", ",").alias("sections"), F.array_join("q.acts", ",").alias("acts"), F.array_join("q.numbers", ",").alias("numbers"), ((F.col("p_partkey") % 3 == 2) & (F.size("q.sections") > 0)).alias("defaulted"))
+
+
+@query()
+def parse_pipeline(spark, sf_dir):
+    each = lines(spark, sf_dir).withColumn("page", (F.col("i") / 40).cast("int") + 1)
+    noise = structure.repeated_edge_lines(each, "doc_id", "page", "i", "line").select("doc_id", "line")
+    clean = each.join(noise, ["doc_id", "line"], "left_anti").where(~structure.noisy(F.col("line"), F.col("page"), F.col("i")) & (F.trim("line") != ""))
+    p = chunking.paragraphs(clean, "doc_id", "i", {"t": text.estimated_tokens(F.col("line")), "tags": text.tagged(F.col("line"), TAGS)})
+    packs = chunking.greedy_packs(links=("tags",))
+    return p.select("doc_id", F.size("paras").alias("n_paragraphs"), F.size(packs).alias("n_chunks"))
