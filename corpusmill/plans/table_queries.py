@@ -60,10 +60,10 @@ def graph_left_chain(spark, sf_dir):
     return lines.groupBy("c_custkey").agg(F.count_distinct("o_orderkey").alias("n_orders"), F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("l_suppkey").alias("n_suppliers"))
 
 
-@query("""WITH w AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9_]+'), lambda x: length(x) > 2))) AS word FROM (VALUES (1, 'a part of 12'), (2, 'Part 99 or 100')) v(query_id, q)),
+@query("""WITH w AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9_]+'), lambda x: length(x) > 2))) AS word FROM (VALUES (1, 'a red widget'), (2, 'Small ring or bolt')) v(query_id, q)),
 h AS (SELECT DISTINCT query_id, p_partkey FROM part JOIN w ON contains(lower(p_name), word)) SELECT query_id, id, 'concept' AS route FROM (SELECT query_id, CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(p_partkey AS VARCHAR)) AS n FROM h) WHERE n <= 20""")
 def graph_anchor_contains(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "a part of 12"), (2, "Part 99 or 100")], "query_id int, q string").withColumn("words", text.query_words(F.col("q")))
+    asked = spark.createDataFrame([(1, "a red widget"), (2, "Small ring or bolt")], "query_id int, q string").withColumn("words", text.query_words(F.col("q")))
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
     return graph.anchors(asked, n, limit=20)
 
@@ -155,7 +155,7 @@ def blocklist_filter(spark, sf_dir):
     return postprocess.drop_procedural(o, "source_id", "o_orderpriority", ("1", "5", "7", "32"), ("urgent", "low")).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT event_id, user_id, event_type FROM (SELECT *, bool_or(event_type = 'purchase') OVER (PARTITION BY user_id) AS some FROM events) WHERE NOT (some AND event_type IN ('view', 'click'))")
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, bool_or(event_type = 'purchase') OVER (PARTITION BY user_id) AS newer FROM events) WHERE NOT (newer AND event_type IN ('view', 'click'))")
 def prefer_current(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     return postprocess.prefer_current(e, "user_id", F.col("event_type"), ("purchase",), ("view", "click"))
