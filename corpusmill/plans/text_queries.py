@@ -30,21 +30,21 @@ def _tag_sql(col: str) -> str:
     return "list_sort(list_filter([" + ", ".join(out) + "], lambda x: x IS NOT NULL))"
 
 
-@query(f"SELECT doc_id, array_to_string({_tag_sql('text')}, ',') AS concepts FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string({_tag_sql('text')}, ',') AS concepts FROM documents")
 def concept_tagging(spark, sf_dir):
-    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(text.tagged(F.col("text"), TAGS), ",").alias("concepts"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.tagged(F.col("text"), TAGS), ",").alias("concepts"))
 
 
-@query(f"SELECT concept, count(DISTINCT source) AS case_count, array_to_string(list_sort(list(DISTINCT source)), ',') AS cases FROM (SELECT source, unnest({_tag_sql('text')}) AS concept FROM documents WHERE lang = 'en') GROUP BY concept")
+@query(f"SELECT concept, count(DISTINCT source) AS case_count, array_to_string(list_sort(list(DISTINCT source)), ',') AS cases FROM (SELECT source, unnest({_tag_sql('text')}) AS concept FROM documents) GROUP BY concept")
 def concept_frequency(spark, sf_dir):
-    tagged = docs(spark, sf_dir).where("lang = 'en'").select("source", F.explode(text.tagged(F.col("text"), TAGS)).alias("concept"))
+    tagged = docs(spark, sf_dir).select("source", F.explode(text.tagged(F.col("text"), TAGS)).alias("concept"))
     return quality.frequencies(tagged, "concept", "source").select("concept", "case_count", F.array_join("case_ids", ",").alias("cases"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter([CASE WHEN source IN ('src0', 'src1') THEN 'LEGAL_CONCEPT:' || source END], lambda x: x IS NOT NULL), {_tag_sql('text')}))), ',') AS concepts FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter([CASE WHEN source IN ('src0', 'src1') THEN 'LEGAL_CONCEPT:' || source END], lambda x: x IS NOT NULL), {_tag_sql('text')}))), ',') AS concepts FROM documents")
 def concept_union(spark, sf_dir):
     declared = F.array_compact(F.array(F.when(F.col("source").isin("src0", "src1"), text.concept_id(F.col("source")))))
-    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(F.array_sort(F.array_union(declared, text.tagged(F.col("text"), TAGS))), ",").alias("concepts"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_union(declared, text.tagged(F.col("text"), TAGS))), ",").alias("concepts"))
 
 
 @query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))), ' ') AS links, len(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))) AS n FROM pages")
@@ -80,9 +80,9 @@ def raw_word_count(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).cast("long").alias("words"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(text, '[ \t]*\n[ \t\n]*', ' ', 'g'))) AS spaced FROM documents WHERE NOT contains(text, chr(10) || chr(10))")
+@query("""SELECT doc_id, md5(array_to_string(list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g')) <> ''), lambda p: trim(regexp_replace(p, '\\s*\\n\\s*', ' ', 'g'))), chr(10) || chr(10))) AS spaced FROM documents""")
 def text_spacing(spark, sf_dir):
-    return docs(spark, sf_dir).where("not contains(text, '\n\n')").select("doc_id", F.md5(text.spacing(F.col("text")).cast("binary")).alias("spaced"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(text.spacing(F.col("text")).cast("binary")).alias("spaced"))
 
 
 def _packed(spark, sf_dir, packs) -> DataFrame:
@@ -92,13 +92,15 @@ def _packed(spark, sf_dir, packs) -> DataFrame:
 
 _FOLD = """p AS (SELECT doc_id, i, {words} AS t, {tags} AS tags FROM lines),
 f AS (
-  SELECT doc_id, i, 0 AS pack, t AS tok, 1 AS n, 0 AS carried FROM p WHERE i = 0
+  SELECT doc_id, i, 0 AS pack, CASE WHEN {big} THEN 0 ELSE t END AS tok, CASE WHEN {big} THEN 0 ELSE 1 END AS n, 0 AS carried FROM p WHERE i = 0
   UNION ALL
-  SELECT p.doc_id, p.i, CASE WHEN {close} THEN pack + 1 ELSE pack END, CASE WHEN {close} THEN p.t + CASE WHEN {carry} THEN l.t ELSE 0 END ELSE tok + p.t END,
-    CASE WHEN {close} THEN 1 + CASE WHEN {carry} THEN 1 ELSE 0 END ELSE n + 1 END, CASE WHEN {close} AND {carry} THEN 1 ELSE 0 END
+  SELECT p.doc_id, p.i, CASE WHEN p.{big} OR n = 0 OR {close} THEN pack + 1 ELSE pack END,
+    CASE WHEN p.{big} THEN 0 WHEN n = 0 THEN p.t WHEN {close} THEN p.t + CASE WHEN {carry} THEN l.t ELSE 0 END ELSE tok + p.t END,
+    CASE WHEN p.{big} THEN 0 WHEN n = 0 THEN 1 WHEN {close} THEN 1 + CASE WHEN {carry} THEN 1 ELSE 0 END ELSE n + 1 END,
+    CASE WHEN NOT p.{big} AND n > 0 AND {close} AND {carry} THEN 1 ELSE 0 END
   FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1 JOIN p l ON l.doc_id = f.doc_id AND l.i = f.i)"""
-_SIMPLE = "WITH RECURSIVE " + LINES + ", " + _FOLD.format(words=WORDS.format(t="line"), tags="[]::VARCHAR[]", close="tok + p.t > 60", carry="false")
-_OVERLAP = "WITH RECURSIVE " + LINES + ", " + _FOLD.format(words=WORDS.format(t="line"), tags=_tag_sql("line"), close="(tok + p.t > 100 OR n >= 8 OR tok >= 50)", carry="(l.t <= 30 AND len(list_intersect(l.tags, p.tags)) > 0 AND l.t + p.t <= 80)")
+_SIMPLE = "WITH RECURSIVE " + LINES + ", " + _FOLD.format(words=WORDS.format(t="line"), tags="[]::VARCHAR[]", close="tok + p.t > 60", carry="false", big="t > 1000000000")
+_OVERLAP = "WITH RECURSIVE " + LINES + ", " + _FOLD.format(words=WORDS.format(t="line"), tags=_tag_sql("line"), close="(tok + p.t > 100 OR n >= 8 OR tok >= 50)", carry="(l.t <= 30 AND len(list_intersect(l.tags, p.tags)) > 0 AND l.t + p.t <= 80)", big="t > 100")
 
 
 @query(_SIMPLE + " SELECT doc_id, max(pack) + 1 AS n_packs, count(*) AS n_parts FROM f GROUP BY doc_id")
@@ -107,10 +109,9 @@ def greedy_pack_simple(spark, sf_dir):
     return out.select("doc_id", F.size("packs").alias("n_packs"), F.size(F.flatten("packs")).cast("long").alias("n_parts"))
 
 
-@query(_OVERLAP + ", big AS (SELECT DISTINCT doc_id FROM p WHERE t > 100) SELECT doc_id, max(pack) + 1 AS n_packs, count(*) + sum(carried)::BIGINT AS n_parts FROM f WHERE doc_id NOT IN (SELECT doc_id FROM big) GROUP BY doc_id")
+@query(_OVERLAP + " SELECT doc_id, max(pack) + 1 AS n_packs, count(*) + sum(carried)::BIGINT AS n_parts FROM f GROUP BY doc_id")
 def greedy_pack_overlap(spark, sf_dir):
     p = chunking.paragraphs(docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")), "doc_id", "i", {"t": text.word_count(F.col("line")), "tags": text.tagged(F.col("line"), TAGS)})
-    p = p.where(~F.exists("paras", lambda x: x["t"] > 100))
     packs = chunking.greedy_packs(cap=100, most=8, target=50, overlap_tokens=30, overlap_sum=80, links=("tags",))
     return p.select("doc_id", F.size(packs).alias("n_packs"), F.size(F.flatten(packs)).cast("long").alias("n_parts"))
 
@@ -223,9 +224,11 @@ def context_build(spark, sf_dir):
     return out.select("conv_id", "n_parts", F.md5(F.col("context").cast("binary")).alias("context"))
 
 
-@query("""SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '\\s+(Description:|\\(|If,|Whoever|When|Where|In every)\\b.*$', ''), 1, 160), '^[ :-]+|[ :-]+$', '', 'g'), ''), 'none') AS title FROM documents WHERE lang = 'en' AND NOT contains(text, ' - ')""")
+@query("""WITH l AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS line FROM documents),
+m AS (SELECT doc_id, CASE WHEN contains(line, ' - ') THEN trim(regexp_replace(line, '^.*? - ', '')) ELSE line END AS line FROM l)
+SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(line, '\\s+(Description:|\\(|If,|Whoever|When|Where|In every)\\b.*$', ''), 1, 160), '^[ :-]+|[ :-]+$', '', 'g'), ''), 'none') AS title FROM m""")
 def title_from_text(spark, sf_dir):
-    return docs(spark, sf_dir).where("lang = 'en' and not contains(text, ' - ')").select("doc_id", text.title_from_text(F.col("text"), F.lit("none")).alias("title"))
+    return docs(spark, sf_dir).select("doc_id", text.title_from_text(F.col("text"), F.lit("none")).alias("title"))
 
 
 _UUID = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('DOC_' || doc_id))"
@@ -255,10 +258,10 @@ def topic_split(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(parts).cast("long").alias("n_topics"), F.array_join(F.transform(parts, text.squeezed), "|").alias("topics"))
 
 
-@query("WITH " + LINES + ", n AS (SELECT doc_id, i, coalesce(nullif(regexp_extract(line, '\\b([0-9]+)\\b', 1), ''), CAST(i + 1 AS VARCHAR)) AS v FROM lines WHERE lang = 'en') SELECT doc_id, string_agg(v, ',' ORDER BY m) AS numbers FROM (SELECT doc_id, v, min(i) AS m FROM n GROUP BY doc_id, v) GROUP BY doc_id")
+@query("WITH " + LINES + ", n AS (SELECT doc_id, i, coalesce(nullif(regexp_extract(line, '\\b([0-9]+)\\b', 1), ''), CAST(i + 1 AS VARCHAR)) AS v FROM lines) SELECT doc_id, string_agg(v, ',' ORDER BY m) AS numbers FROM (SELECT doc_id, v, min(i) AS m FROM n GROUP BY doc_id, v) GROUP BY doc_id")
 def numeric_labels(spark, sf_dir):
     items = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("label"), F.lit("").alias("text")))
-    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(provisions.label_numbers(items), ",").alias("numbers"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(provisions.label_numbers(items), ",").alias("numbers"))
 
 
 @query("SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(before, '([0-9]{1,4})', 1), lambda x: NOT regexp_matches(x, '^(18|19|20)[0-9]{2}$')))), ',') AS numbers FROM (SELECT page_id, 'under Sections ' || page_id || ', ' || (page_id % 7) || ' and 1999 of ' AS before FROM pages)")
