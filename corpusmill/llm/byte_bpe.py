@@ -25,7 +25,7 @@ from .shared import extend
 FIRST = 0x100
 _CHARS = "".join(chr(FIRST + b) for b in range(256))
 #: Pre-tokens of a generation that a task holds with their ids.
-CACHE = 100_000
+CACHE = 180_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
