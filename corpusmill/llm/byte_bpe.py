@@ -95,6 +95,10 @@ class Codec:
             cls._made[key] = cls(model, pattern)
         return cls._made[key]
 
+    def forget(self) -> None:
+        """Let go of the pre-tokens that a task has met."""
+        self.known, self.older = {}, {}
+
     def pre_token(self, token: bytes) -> tuple[int, ...]:
         return self.whole.get(token) or tuple(self.sp.encode(to_text(token)))
 
@@ -162,7 +166,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, tex
         flat = np.concatenate([*ids, np.zeros(0, np.int32)])
         return [pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))]
 
-    return extend(docs, run, [(into, "array<int>")], text)
+    return extend(docs, run, [(into, "array<int>")], text, done=lambda: Codec.of(model.value, pattern).forget())
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:

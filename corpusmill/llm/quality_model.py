@@ -103,7 +103,7 @@ def document_statistics(docs: DataFrame, text: str = "text", into: str = "stats"
     """The statistics of each whole text, as ``array<double>``; zeros for null and empty texts."""
 
     def run(texts):
-        rows = [s for _, group in words.batches(texts) for s in statistics(group)]
+        rows = [s for _, group in words.batches(texts, 1 << 20) for s in statistics(group)]
         return [pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))]
 
     return extend(docs, run, [(into, "array<double>")], text, keep)
@@ -189,7 +189,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text
 
     def run(texts):
         m = shared.value
-        return [pa.array(np.concatenate([np.zeros(0)] + [m.score(statistics(group)) if m else np.full(len(group), 0.5) for _, group in words.batches(texts)]), pa.float64())]
+        return [pa.array(np.concatenate([np.zeros(0)] + [m.score(statistics(group)) if m else np.full(len(group), 0.5) for _, group in words.batches(texts, 1 << 20)]), pa.float64())]
 
     return extend(docs, run, [(into, "double")], text, keep)
 
