@@ -125,3 +125,9 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in lower:
         name += "_"
     return name
+
+
+def release() -> None:
+    """Delete all tables of this process, once no result that reads them is needed any more."""
+    while _made:
+        drop(*_made.pop())
