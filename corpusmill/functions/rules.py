@@ -137,3 +137,56 @@ SCAN_REPAIRS = (
 PAGE_NOISE = (r"^\[\d{4}\]\s*\d+\s*S\.C\.R\.?.*$", r"^Digital Supreme Court Reports$", r"^Supreme Court Reports$", r"^\d{3,5}\x08?$", r"^\*\s*Author$", r"^\* Author$")
 
 JUDGMENT_ENDS = ("Result of the case:", "Result of the appeal:", "†Headnotes prepared by:")
+
+
+def judgment_rewrites() -> list[tuple[str, str]]:
+    """Ordered rewrites that spell provisions of judgments in one way.
+
+    Fixed values: which forms are rewritten, the sections of each act, and their order.
+    """
+    ipc_tail = r"\s*(?:of\s*(?:the\s*)?IPC)?\b"
+    sec = r"\b(?:Section|s\.)\s*"
+    out = []
+    for roman in ("I", "II"):
+        out.append((rf"\bunder\s+Part\s+{roman}\s+of\s+s(?:ec(?:tion)?)?\.?\s*304{ipc_tail}", f"under IPC Section 304, Part {roman}"))
+    for roman in ("I", "II"):
+        out.append((rf"\bPart\s+{roman}\s+of\s+(?:Section|s\.)\s*304{ipc_tail}", f"IPC Section 304, Part {roman}"))
+    for arabic, roman in (("1", "I"), ("2", "II")):
+        out.append((rf"{sec}304\s*(?:\(\s*Part\s*{arabic}\s*\)|Part\s*{roman}|Part\s*{arabic}|Part-{roman})\b", f"IPC Section 304, Part {roman}"))
+    out += [(sec + r"304\s*(?:\(\s*A\s*\)|-A)\b", "IPC Section 304A"), (sec + r"304A\b", "IPC Section 304A"), (sec + r"304-?B\b", "IPC Section 304B")]
+    for number, forms in (("1", "1"), ("4", "(?:4|IV)")):
+        out.append((rf"\bException\s+{number}\s+(?:to|of)\s+(?:Section|s\.)\s*300{ipc_tail}", f"IPC Section 300 Exception {number}"))
+        out.append((rf"{sec}300\s+Exception\s+{forms}\b", f"IPC Section 300 Exception {number}"))
+    groups = (
+        ("IPC", "IPC", ("302", "300", "299", "301", "304", "34", "201", "84", "120-?B", "498-?A")),
+        ("CrPC", "CrPC", ("313", "161", "162", "164", "173", "207", "209", "230", "232", "366")),
+        ("Evidence Act", r"Evidence\s+Act", ("105", "106", "165", "25", "27", "114", "145", "157")),
+    )
+    for act, pattern, sections in groups:
+        tail = rf"\b(?:\s*of\s*(?:the\s*)?{pattern})?\b"
+        for number in sections:
+            plain = number.replace("-?", "")
+            out.append((rf"\b(?:u/s\.?|u/section)\s*{number}{tail}", f"under {act} Section {plain}"))
+            out.append((rf"\b(?:s\.|ss\.)\s*{number}{tail}", f"{act} Section {plain}"))
+        if act == "CrPC":
+            out.append((rf"\b(?:u/s\.?|u/section)\s*173\s*\(2\){tail}", "under CrPC Section 173(2)"))
+    out = [(f"(?i){p}", r) for p, r in out]
+    return [*out, (r"\bFIR\b", "First Information Report (FIR)")]
+
+
+# Queries with the sections that answer them.
+GOLD_QUERIES = (
+    ("Q1", "What are the exceptions to murder under Section 300?", ("IPC:300", "BNS:101")),
+    ("Q2", "Punishment for murder under Section 302 or BNS 103", ("IPC:302", "BNS:103")),
+    ("Q3", "Culpable homicide not amounting to murder under Section 304 or BNS 105", ("IPC:304", "BNS:105")),
+    ("Q4", "Procedure for statement examination under CrPC 313 or BNSS 351", ("CRPC:313", "BNSS:351")),
+    ("Q5", "Admissibility of confession to police under Section 25 IEA or BSA 23", ("IEA:25", "BSA:23")),
+    ("Q6", "Definition of criminal conspiracy under IPC 120A or BNS 61", ("IPC:120A", "BNS:61")),
+    ("Q7", "Punishment for rape and definition under IPC 376 or BNS 64", ("IPC:376", "BNS:64")),
+    ("Q8", "Causing death by negligence under IPC 304A or BNS 106", ("IPC:304A", "BNS:106")),
+    ("Q9", "What happens if someone kills a person under grave and sudden provocation during a sudden fight?", ("IPC:300", "BNS:101", "IPC:304", "BNS:105")),
+    ("Q10", "What is the legal procedure for examining the accused person during a criminal trial?", ("CRPC:313", "BNSS:351")),
+    ("Q11", "Is a confession made by an accused person to a police officer admissible as evidence in court?", ("IEA:25", "BSA:23")),
+    ("Q12", "What is the legal definition when two or more persons agree to commit an illegal act together?", ("IPC:120A", "BNS:61")),
+    ("Q13", "What is the punishment for causing the death of a person by a rash or negligent driving act?", ("IPC:304A", "BNS:106")),
+)
