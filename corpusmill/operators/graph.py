@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words of queries that are broadcast at most.
+WORDS = 100_000
+
 
 def merge_edges(*edges: DataFrame) -> DataFrame:
     """Union of edge tables ``(src, dst, type)`` without parallel edges."""
@@ -62,7 +65,9 @@ def reach(start: DataFrame, edges: DataFrame, depth: int = 3, *, query: str = "q
 def anchors(queries: DataFrame, nodes: DataFrame, *, query: str = "query_id", words: str = "words", text: str = "name", limit: int | None = None) -> DataFrame:
     """``(query, id, route)``: nodes whose text contains a word of the query."""
     each = queries.select(query, F.explode(words).alias("word"))
-    hits = nodes.join(F.broadcast(each), F.contains(F.lower(F.col(text)), F.col("word"))).select(query, "id", F.lit("concept").alias("route")).distinct()
+    if each.limit(WORDS + 1).count() <= WORDS:  # else the planner decides
+        each = F.broadcast(each)
+    hits = nodes.join(each, F.contains(F.lower(F.col(text)), F.col("word"))).select(query, "id", F.lit("concept").alias("route")).distinct()
     if limit is None:
         return hits
     from pyspark.sql import Window
