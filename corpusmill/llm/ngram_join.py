@@ -76,8 +76,8 @@ def _full(s: np.ndarray, m: int, differ: int) -> tuple[np.ndarray, np.ndarray, i
     """Cuts, the fragments to look the set up under, and how many of them it shares with any linked set."""
     at = cut(s, m)
     full = np.flatnonzero(at[1:] > at[:-1])
-    if len(full) <= differ:  # so few fragments hold something that the equal ones may be empty
-        full = np.arange(m)
+    if len(full) <= differ:  # so few fragments hold something that the equal ones may be empty, and the partner not list those
+        return at, np.arange(m), 1
     return at, full, len(full) - differ
 
 

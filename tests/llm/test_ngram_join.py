@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from corpusmill.llm.ngram_join import ngram_jaccard_join
+from corpusmill.llm.ngram_join import Plan, ngram_jaccard_join, shared_least, signatures
 
 SCHEMA = "doc_id long, text string, cls string, n long"
 
@@ -66,3 +67,26 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     got = ngram_jaccard_join(spark.createDataFrame([], SCHEMA))
     assert got.columns == ["doc_id", "n_shingles", "component_id"] and got.count() == 0
+
+
+@pytest.mark.parametrize("num", [80, 85, 95])
+def test_linked_sets_share_the_signatures_that_they_must(num):
+    plan = Plan(num, 100)
+    rng = np.random.default_rng(num)
+    for n in [*range(1, 40), 75, 120, 121, 400]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            if rng.random() < 0.3:  # crowded into few fragments
+                a = np.unique(a >> np.uint64(rng.integers(1, 12)))
+            cut = rng.integers(0, len(a) + 1 - int(np.ceil(num * len(a) / 100)))
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[cut:]], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) * (100 - num) // 100)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < num * len(np.union1d(a, b)) or np.array_equal(a, b):
+                continue
+            sa, sb = (signatures(x, plan) for x in (a, b))
+            shared = np.intersect1d(sa, sb)
+            assert len(shared)
+            level = {int(x) & 127 for x in shared}
+            for x in (a, b):
+                least = {r["level"]: r["least"] for r in shared_least(x, plan)}
+                assert all(sum(int(y) & 127 == k for y in shared) >= least[k] for k in level if k == max(set(least) & {r["level"] for r in shared_least(b if x is a else a, plan)}))
