@@ -46,11 +46,14 @@ def graph_sections(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, depth:
     return sections.select("query_id", section_key(F.col("node")).alias("key")).distinct().groupBy("query_id").agg(F.array_sort(F.collect_set("key")).alias("graph_sections"))
 
 
-def research(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, edges: DataFrame | None = None, nodes: DataFrame | None = None, *, k_statutes: int = 3, k_judgments: int = 3, fused: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Hybrid search: statutes reranked by what the query and the graph say, judgments by the sections they refer to."""
+def research(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, edges: DataFrame | None = None, nodes: DataFrame | None = None, *, k_statutes: int = 3, k_judgments: int = 3, fused: bool = False, bulk: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Hybrid search: statutes reranked by what the query and the graph say, judgments by the sections they refer to.
+
+    ``bulk`` scores large corpora by matrix products first; see :func:`vector.top_k`.
+    """
     parsed = parse(queries)
     told = expansion(parsed, edges, nodes)
-    hits = vector.top_k(queries, statutes, retrieval.fetch_size(k_statutes), key="chunk_id", keep=["section_id", "act", "title", "text"])
+    hits = vector.top_k(queries, statutes, retrieval.fetch_size(k_statutes), key="chunk_id", keep=["section_id", "act", "title", "text"], bulk=bulk)
     keys = parsed.select("query_id", "query_text", F.transform("intent.sections", section_key).alias("named"), section_key(F.col("intent.primary")).alias("primary"))
     hits = hits.join(keys, "query_id").join(told.select("query_id", "corresponds", "all_sections"), "query_id", "left").withColumn("section_key", section_key(F.col("section_id")))
     # a section that corresponds to a named one, or is named and has a counterpart
@@ -65,7 +68,7 @@ def research(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | Non
     laws = ranked.where(F.col(rank) <= k_statutes).withColumn("rank", F.col(rank)).drop("named", "corresponds", "all_sections", "graph_sections")
     if judgments is None or k_judgments < 1:
         return laws, None
-    cases = vector.top_k(queries, judgments, k_judgments, key="chunk_id", keep=["case_id", "legal_references", "text"]).join(keys.select("query_id", "named"), "query_id")
+    cases = vector.top_k(queries, judgments, k_judgments, key="chunk_id", keep=["case_id", "legal_references", "text"], bulk=bulk).join(keys.select("query_id", "named"), "query_id")
     refs = F.transform(F.coalesce("legal_references", F.expr("cast(array() as array<string>)")), section_key)
     cases = cases.withColumn("boost_applied", retrieval.matched_sections_boost(F.col("named"), refs))
     cases = cases.withColumn("rrf_score", F.round(retrieval.reciprocal_rank_score(F.col("vector_rank")) + F.col("boost_applied"), 6)).withColumn("vector_distance", vector.distance(F.col("score")))
@@ -74,12 +77,12 @@ def research(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | Non
     return laws, cases.drop("named").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "vector_rank")))
 
 
-def plain(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, *, k_statutes: int = 3, k_judgments: int = 3) -> tuple[DataFrame, DataFrame | None]:
+def plain(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, *, k_statutes: int = 3, k_judgments: int = 3, bulk: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Vector order alone, in the same shape."""
-    laws = retrieval.neutral(vector.top_k(queries, statutes, k_statutes, key="chunk_id", keep=["section_id", "act", "title", "text"])).withColumn("rank", F.col("vector_rank"))
+    laws = retrieval.neutral(vector.top_k(queries, statutes, k_statutes, key="chunk_id", keep=["section_id", "act", "title", "text"], bulk=bulk)).withColumn("rank", F.col("vector_rank"))
     if judgments is None or k_judgments < 1:
         return laws, None
-    cases = retrieval.neutral(vector.top_k(queries, judgments, k_judgments, key="chunk_id", keep=["case_id", "legal_references", "text"])).withColumn("rank", F.col("vector_rank"))
+    cases = retrieval.neutral(vector.top_k(queries, judgments, k_judgments, key="chunk_id", keep=["case_id", "legal_references", "text"], bulk=bulk)).withColumn("rank", F.col("vector_rank"))
     return laws, cases
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Queries that one pass over the corpus carries along; more take several passes.
 QUERY_BLOCK = 4096
+#: Scores that a matrix product makes at once.
+CELLS = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,13 +47,17 @@ def rank_by_score(hits: DataFrame, query: str, score: str, key: str, into: str =
     return hits.withColumn(into, F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), key)))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query: str = "query_id", query_vec: str = "query_vec", key: str = "vec_id", vec: str = "embedding", keep: Iterable[str] = (), queries_keep: Iterable[str] = (), block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query: str = "query_id", query_vec: str = "query_vec", key: str = "vec_id", vec: str = "embedding", keep: Iterable[str] = (), queries_keep: Iterable[str] = (), block: int = QUERY_BLOCK, bulk: bool = False) -> DataFrame:
     """The ``max(k, 1)`` nearest corpus rows of every query, by cosine, ranked.
 
     The queries are the small side: they are counted, and dealt to as many
     passes as it takes for a pass to carry ``block`` of them. Each task keeps the
     best of its own rows per query (a limit pushed below the shuffle), so what is
     moved grows with queries and tasks and not with the corpus.
+
+    ``bulk`` is for large corpora: matrix products over Arrow batches first let
+    go of all but each task's best, and only those are scored by expressions.
+    The result is the same.
     """
     q = with_norm(queries.select(query, *queries_keep, query_vec), query_vec, "_qn").where("_qn > 0")
     c = with_norm(corpus.select(key, *keep, vec), vec, "_cn").where("_cn > 0")
@@ -59,7 +65,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query: str = "query_
     parts = []
     for p in range(passes):
         part = q if passes == 1 else q.where(F.pmod(F.xxhash64(query), F.lit(passes)) == p)
-        pairs = c.crossJoin(F.broadcast(part)).withColumn("score", dot(F.col(query_vec), F.col(vec)) / (F.col("_qn") * F.col("_cn")))
+        joined = _bulk_candidates(c, part, max(k, 1), query, query_vec, vec) if bulk else c.crossJoin(F.broadcast(part))
+        pairs = joined.withColumn("score", dot(F.col(query_vec), F.col(vec)) / (F.col("_qn") * F.col("_cn")))
         parts.append(rank_by_score(pairs.select(query, *queries_keep, key, *keep, "score"), query, "score", key).where(F.col("vector_rank") <= max(k, 1)))
     out = parts[0]
     for part in parts[1:]:
@@ -67,6 +74,49 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query: str = "query_
     return out
 
 
+def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str, query_vec: str, vec: str) -> DataFrame:
+    """Pairs of which one task's best ``k`` per query are surely some, with the columns of both sides."""
+    import numpy as np
+    import pyarrow as pa
+
+    asked = queries.collect()  # one block of queries at most
+    held = corpus.sparkSession.sparkContext.broadcast((np.array([r[query_vec] for r in asked], dtype=np.float64), np.array([r["_qn"] for r in asked]), [r[query] for r in asked]))
+    key_type = queries.schema[query].dataType.simpleString()
+
+    def run(it):
+        q, qn, ids = held.value
+        kept: list[pa.RecordBatch] = []
+        least = np.full(len(ids), -np.inf)  # the k-th best score so far, per query
+        best = np.full((len(ids), k), -np.inf)
+        step = max(1, CELLS // max(1, len(ids)))
+        for batch in (b.slice(lo, step) for b in it for lo in range(0, b.num_rows, step) if len(ids)):
+            v = np.asarray(batch.column(vec).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            score = (q @ v.T) / (qn[:, None] * np.asarray(batch.column("_cn"))[None, :])
+            best = -np.partition(-np.hstack([best, score]), k - 1, axis=1)[:, :k]
+            least = best.min(axis=1)
+            i, j = np.nonzero(score >= least[:, None] - 1e-9)
+            rows = batch.take(pa.array(j))
+            kept.append(pa.RecordBatch.from_arrays([*rows.columns, pa.array([ids[x] for x in i]).cast(kept_type(key_type)), pa.array(score[i, j])], [*rows.schema.names, query, "_s"]))
+            if sum(b.num_rows for b in kept) > 4 * k * len(ids) + 100_000:
+                kept = [narrowed(kept, least, ids, query)]
+        if kept:
+            yield narrowed(kept, least, ids, query).drop_columns(["_s"])
+
+    def kept_type(kind: str) -> pa.DataType:
+        return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.string())
+
+    def narrowed(kept, least, ids, name) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        floor = dict(zip(ids, least.tolist(), strict=True))
+        bound = np.array([floor[x] for x in rows.column(name).to_pylist()])
+        rows = rows.filter(pa.array(np.asarray(rows.column("_s")) >= bound - 1e-9)).combine_chunks()
+        return rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in rows.schema], schema=rows.schema)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema.fields] + [f"`{query}` {key_type}"])
+    some = corpus.where(~F.exists(vec, lambda x: x.isNull()) & (F.size(vec) == (len(asked[0][query_vec]) if asked else 0)))
+    return some.mapInArrow(run, schema).join(F.broadcast(queries), query)
+
+
 def hashed_bag_of_words(text: Column, dim: int = 64) -> Column:
     """Offline stand-in for a text encoder: counts of word hashes, not normalised."""
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")

@@ -159,6 +159,25 @@ def test_vector_top_k(spark):
     assert r == [0.6, 0.8]
 
 
+def test_bulk_top_k_is_the_same(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(500, 8)).astype(np.float32)
+    v[100:140] = v[7]  # ties
+    rows = [(i, v[i].tolist(), f"t{i}") for i in range(500)] + [(900, [0.0] * 8, "z"), (901, None, "n"), (902, [1.0, None] + [0.0] * 6, "x"), (903, [1.0], "short")]
+    corpus = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label string").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", v[i].tolist()) for i in (7, 3, 499)] + [("zero", [0.0] * 8)], "query_id string, query_vec array<float>")
+    pick = lambda df: sorted((r.query_id, r.vec_id, r.vector_rank, r.label, round(r.score, 9)) for r in df.collect())
+    full = corpus.where("vec_id < 900")
+    for cells in (60, 4_000_000):
+        X.CELLS = cells
+        assert pick(X.top_k(queries, full, 3, bulk=True, keep=["label"])) == pick(X.top_k(queries, full, 3, keep=["label"]))
+    want = pick(X.top_k(queries, full, 20, keep=["label"]))
+    assert want == pick(X.top_k(queries, corpus, 20, keep=["label"], bulk=True)) and len(want) == 60
+    assert X.top_k(queries, corpus.limit(0), 3, bulk=True).count() == 0 and X.top_k(queries.limit(0), corpus, 3, bulk=True).count() == 0
+
+
 def test_sources_and_sinks(spark, tmp_path):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
     s = spark.createDataFrame([(2, "B"), (3, "C")], "id int, x string")

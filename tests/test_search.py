@@ -31,6 +31,8 @@ def test_without_graph(corpus):
     laws, none = S.research(q, st, None)
     assert none is None and laws.where("query_id = 2 and rank = 1").first().section_id == "CrPC:313"
     base, _ = S.plain(q, st, jd)
+    again, _ = S.plain(q, st, jd, bulk=True)
+    assert sorted(map(str, base.select("query_id", "section_id", "rank", "rrf_score").collect())) == sorted(map(str, again.select("query_id", "section_id", "rank", "rrf_score").collect()))
     assert base.groupBy("query_id").count().where("count = 3").count() == 3
 
 
