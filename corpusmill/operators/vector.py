@@ -65,7 +65,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query: str = "query_
     parts = []
     for p in range(passes):
         part = q if passes == 1 else q.where(F.pmod(F.xxhash64(query), F.lit(passes)) == p)
-        joined = _bulk_candidates(c, part, max(k, 1), query, query_vec, vec) if bulk else c.crossJoin(F.broadcast(part))
+        joined = _bulk_candidates(c, part, max(k, 1), query, query_vec, key, vec) if bulk else c.crossJoin(F.broadcast(part))
         pairs = joined.withColumn("score", dot(F.col(query_vec), F.col(vec)) / (F.col("_qn") * F.col("_cn")))
         parts.append(rank_by_score(pairs.select(query, *queries_keep, key, *keep, "score"), query, "score", key).where(F.col("vector_rank") <= max(k, 1)))
     out = parts[0]
@@ -74,10 +74,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query: str = "query_
     return out
 
 
-def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str, query_vec: str, vec: str) -> DataFrame:
+def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str, query_vec: str, key: str, vec: str) -> DataFrame:
     """Pairs of which one task's best ``k`` per query are surely some, with the columns of both sides."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     asked = queries.collect()  # one block of queries at most
     held = corpus.sparkSession.sparkContext.broadcast((np.array([r[query_vec] for r in asked], dtype=np.float64), np.array([r["_qn"] for r in asked]), [r[query] for r in asked]))
@@ -89,7 +90,8 @@ def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str,
         least = np.full(len(ids), -np.inf)  # the k-th best score so far, per query
         best = np.full((len(ids), k), -np.inf)
         step = max(1, CELLS // max(1, len(ids)))
-        for batch in (b.slice(lo, step) for b in it for lo in range(0, b.num_rows, step) if len(ids)):
+        few = (fewer_copies(b) for b in it if len(ids) and b.num_rows)
+        for batch in (b.slice(lo, step) for b in few for lo in range(0, b.num_rows, step)):
             v = np.asarray(batch.column(vec).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             score = (q @ v.T) / (qn[:, None] * np.asarray(batch.column("_cn"))[None, :])
             best = -np.partition(-np.hstack([best, score]), k - 1, axis=1)[:, :k]
@@ -102,6 +104,17 @@ def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str,
         if kept:
             yield narrowed(kept, least, ids, query).drop_columns(["_s"])
 
+    def fewer_copies(batch) -> pa.RecordBatch:
+        """Equal vectors score alike, so only the ``k`` smallest keys of each can be among the best."""
+        v = np.ascontiguousarray(np.asarray(batch.column(vec).flatten()).reshape(batch.num_rows, -1))
+        _, same = np.unique(v.view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+        if same.max() + 1 == batch.num_rows:
+            return batch
+        order = pc.sort_indices(pa.table({"v": same, "k": batch.column(key)}), [("v", "ascending"), ("k", "ascending")], null_placement="at_start").to_numpy()
+        run_of = same[order]
+        nth = np.arange(len(order)) - np.searchsorted(run_of, run_of, side="left")
+        return batch.take(pa.array(np.sort(order[nth < k])))
+
     def kept_type(kind: str) -> pa.DataType:
         return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.string())
 
