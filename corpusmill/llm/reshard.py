@@ -1,12 +1,15 @@
 """Resharding by minimum-cost flow: the fewest bytes move from old shards to new capacities.
 
-Documents are gathered in blocks that lie in one old shard; equal texts share a
-block. A flow network from old shard sizes to new capacities, where only bytes
-that change shard cost, says how many bytes each pair of shards exchanges, and
-whole blocks are chosen to carry them. Shards end near equal in bytes.
-
-Only tables of a bounded number of rows reach the driver: one row per block,
-and those are at most ``BUCKETS`` per old shard and a few per large group.
+Documents are gathered in blocks; equal texts share a block. A block lies in one
+old shard, or holds groups of equal texts that are spread over several and have
+most of their bytes in the same one, their home. A flow network from old shard
+sizes to new capacities, where only bytes that change shard cost, says how many
+bytes each pair of shards exchanges, and whole blocks are chosen to carry them.
+Shards end near equal in bytes.
+
+Only tables of a bounded number of rows reach the driver: one row per block and
+old shard, and blocks are at most ``2 * BUCKETS`` per old shard and a few per
+large group.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ BUCKETS = 512
 #: A group of equal texts of more than this part of a new shard is a block of its own;
 #: of more than HALF of one, it is dealt out over several.
 LARGE, HALF = 256, 2
+#: Cost of a byte that changes shard.
+UNIT = 1000
 #: Rows of a block that one task numbers.
 RUN = 50_000
 
@@ -73,22 +78,36 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return flow
 
 
-def place_blocks(blocks: list[tuple[int, int, int]], capacity: list[int]) -> dict[int, int]:
+def place_blocks(blocks: list[tuple[int, int, int]], capacity: list[int], spread: dict[int, dict[int, int]] | None = None) -> dict[int, int]:
     """New shard of every block ``(block, old shard, bytes)``.
 
     The flow fixes how many bytes go from each old shard to each new one; the
     blocks of an old shard are dealt out, the largest first, to the new shard
     that lacks the most of its share. New shard ``i`` is old shard ``i``.
+
+    ``spread`` has the bytes by old shard of blocks that lie in several. They
+    are supplies of their own, by home, and cost what is not yet in a new shard.
     """
+    spread = spread or {}
     olds = max((o for _, o, _ in blocks), default=-1) + 1
-    supply = [0] * olds
-    for _, o, size in blocks:
-        supply[o] += size
-    flow = min_cost_flow(supply, capacity, [[int(i != j) for j in range(len(capacity))] for i in range(olds)])
+    m = len(capacity)
+    source = {block: olds + o if block in spread else o for block, o, _ in blocks}
+    supply, there = [0] * (2 * olds), [[0] * m for _ in range(2 * olds)]
+    for block, o, size in blocks:
+        supply[source[block]] += size
+        for old, part in spread.get(block, {o: size}).items():
+            if old < m:
+                there[source[block]][old] += part
+    cost = [[UNIT - UNIT * there[i][j] // max(supply[i], 1) for j in range(m)] for i in range(2 * olds)]
+    flow = min_cost_flow(supply, capacity, cost)
     out = {}
     for block, o, size in sorted(blocks, key=lambda b: (-b[2], b[0])):
-        to = max(range(len(capacity)), key=lambda j: (flow[o][j], j == o, -j))
-        flow[o][to] -= size
+        row, own = flow[source[block]], spread.get(block)
+        if own is None:
+            to = max(range(m), key=lambda j: (row[j], j == o, -j))
+        else:  # where most of it lies, of those that lack as much
+            to = max(range(m), key=lambda j: (own.get(j, 0) if row[j] >= size else -1, row[j], -j))
+        row[to] -= size
         out[block] = to
     return out
 
@@ -100,9 +119,9 @@ def _digest(docs: DataFrame, old: Column | None, old_shards: int, text: str) ->
 
 
 def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old: Column | None = None, text: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, old, shard, slot`` of every row.
+    """``doc_id, size, text_crc32, h1, h2, old, shard, slot`` of every row; ``h1, h2`` are hashes of its text.
 
-    ``old`` is a row's present shard (0, 1, ...); without it, rows count as
+    ``old`` is a row's present shard (0, 1, ..., not null); without it, rows count as
     dealt to ``old_shards`` by a hash of their text. Size is the UTF-8 bytes of
     the text (none for null) plus one, and the law is bytes: shards are equal up
     to a block, about 1/500 of an old shard, or the largest document.
@@ -116,21 +135,35 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old: Column |
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     part = max(1, total // shards)
 
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.min("old").alias("home"))
+    if old is None:
+        groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.min("old").alias("home"))
+    else:  # the home of a group has most of its bytes
+        parts = rows.groupBy("h1", "h2", "old").agg(F.sum("size").alias("part"))
+        groups = parts.groupBy("h1", "h2").agg(F.sum("part").alias("bytes"), (-F.max(F.struct("part", (-F.col("old")).alias("o")))["o"]).alias("home"), (F.count("*") > 1).alias("mixed"))
     # at most LARGE * shards groups are that large
     large = groups.where(F.col("bytes") * LARGE > part).withColumn("ways", F.when(F.col("bytes") * HALF > part, F.ceil(F.col("bytes") * LARGE / part)).otherwise(1).cast("long"))
     large = materialize(large.select("h1", "h2", F.col("home").alias("large_home"), "ways"), "large")
-    homes = groups.select("h1", "h2", "home")
-    placed = rows.join(homes, ["h1", "h2"]) if old is not None else rows.withColumn("home", F.col("old"))
+    if old is None:
+        placed = rows.withColumn("home", F.col("old")).withColumn("mixed", F.lit(False))
+    else:
+        placed = rows.join(groups.select("h1", "h2", "home", "mixed"), ["h1", "h2"])
     placed = placed.join(F.broadcast(large), ["h1", "h2"], "left")
-    alone = F.concat_ws(":", F.lit("g"), "h1", "h2", F.pmod(F.xxhash64("doc_id", "size", F.lit(3)), F.greatest("ways", F.lit(1))))
-    key = F.when(F.col("ways").isNull(), F.concat_ws(":", F.lit("b"), "home", F.pmod("h1", F.lit(BUCKETS)))).otherwise(alone)
-    placed = placed.select("doc_id", "size", "text_crc32", "h1", "h2", F.col("home").alias("old"), key.alias("key"))
+    if old is not None:  # what is dealt out need not leave its shard
+        dealt = F.coalesce(F.col("ways") > 1, F.lit(False))
+        placed = placed.withColumn("home", F.when(dealt, F.col("old")).otherwise(F.col("home"))).withColumn("mixed", F.col("mixed") & ~dealt)
+    alone = F.concat_ws(":", F.lit("g"), "h1", "h2", F.pmod(F.xxhash64("doc_id", "size", F.lit(3)), F.greatest("ways", F.lit(1))), *(["home"] if old is not None else []))
+    key = F.when(F.col("ways").isNull(), F.concat_ws(":", F.when(F.col("mixed"), "m").otherwise("b"), "home", F.pmod("h1", F.lit(BUCKETS)))).otherwise(alone)
+    placed = placed.select("doc_id", "size", "text_crc32", "h1", "h2", "old", "home", "mixed", key.alias("key"))
     placed = materialize(placed, "placed")
 
-    blocks = placed.groupBy("key", "old").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("key").toPandas()
+    parts = placed.groupBy("key", "home", "mixed", "old").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("key", "old").toPandas()
+    blocks = parts.groupby("key", as_index=False, sort=False).agg(home=("home", "first"), mixed=("mixed", "first"), bytes=("bytes", "sum"), n=("n", "sum"))
+    number = {k: i for i, k in enumerate(blocks["key"])}
+    spread: dict[int, dict[int, int]] = {}
+    for r in parts[parts["mixed"]].itertuples():
+        spread.setdefault(number[r.key], {})[int(r.old)] = int(r.bytes)
     capacity = [total // shards + (i < total % shards) for i in range(shards)]
-    to = place_blocks(list(zip(range(len(blocks)), blocks["old"].tolist(), blocks["bytes"].tolist(), strict=True)), capacity)
+    to = place_blocks(list(zip(range(len(blocks)), blocks["home"].tolist(), blocks["bytes"].tolist(), strict=True)), capacity, spread)
     blocks["shard"] = [to[i] for i in range(len(blocks))]
     blocks["runs"] = -(-blocks["n"] // RUN)
     spark = docs.sparkSession
@@ -143,14 +176,29 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old: Column |
     begin = counts.withColumn("begin", F.sum("n").over(Window.partitionBy("shard").orderBy("key", "run").rowsBetween(Window.unboundedPreceding, -1)))
     begin = begin.select("key", "run", F.coalesce("begin", F.lit(0)).alias("begin"))
     nth = F.row_number().over(Window.partitionBy("key", "run").orderBy("h1", "h2", "doc_id", "size"))
-    return placed.withColumn("nth", nth).join(begin, ["key", "run"]).select("doc_id", "size", "text_crc32", "old", "shard", (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"))
+    return placed.withColumn("nth", nth).join(begin, ["key", "run"]).select("doc_id", "size", "text_crc32", "h1", "h2", "old", "shard", (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents that change shard, one folder per new shard, to the new folder ``path``."""
-    moved = placed.where("old <> shard").select("doc_id", "text_crc32", "shard", "slot").withColumnRenamed("text_crc32", "crc")
-    both = docs.join(moved, (docs["doc_id"].eqNullSafe(moved["doc_id"])) & (F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")) == moved["crc"]))
-    both.select(docs["*"], moved["shard"].alias("_shard"), moved["slot"].alias("_slot")).write.partitionBy("_shard").parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
+    """Write every shard that gains or loses rows, as a whole, one folder each, to the new folder ``path``.
+
+    ``placed`` is what ``reshard`` made of ``docs``. Returns the shards that are
+    affected; one of them without a folder has no rows any more.
+    """
+    changed = placed.where("old <> shard")
+    affected = sorted(r[0] for r in changed.select("shard").union(changed.select("old")).distinct().collect())
+    # rows of equal ids and texts are numbered on both sides and meet one to one
+    nth = lambda by: F.row_number().over(Window.partitionBy("_id", "_h1", "_h2").orderBy(by))
+    new = placed.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("old").alias("_old"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    new = new.withColumn("_nth", nth(F.struct("_shard", "_slot"))).where(F.col("_shard").isin(affected))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    whole = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+    own = docs.select("*", F.col("doc_id").alias("_id"), F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(7), t).alias("_h2")).withColumn("_nth", nth(whole))
+    keys = ["_id", "_h1", "_h2", "_nth"]
+    same = [own[k].eqNullSafe(new[k]) for k in keys]
+    both = own.join(new, same[0] & same[1] & same[2] & same[3])
+    both.select(*(own[c] for c in docs.columns), "_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    return affected
 
 
 def reshard_report(docs: DataFrame, shards: int = 8) -> DataFrame:
