@@ -260,10 +260,21 @@ def keyed_lookup_exists(spark, sf_dir):
 @query("""WITH v AS (SELECT doc_id, text, doc_id % 10 = 0 AND length(text) + 6 <= 12000 AS fresh FROM documents)
 SELECT doc_id, CASE WHEN fresh THEN 'new' ELSE 'old' END AS version, count(*) AS n_chunks FROM (SELECT doc_id, fresh, unnest(string_split(CASE WHEN fresh THEN text || chr(10) || 'added' ELSE text END, chr(10))) AS l FROM v) WHERE trim(l) <> '' GROUP BY ALL""")
 def document_upsert(spark, sf_dir):
+    return _upserted(spark, sf_dir, (F.length("text") > 12_000, "long"))
+
+
+@query("""WITH v AS (SELECT doc_id, text, doc_id % 10 = 0 AS fresh FROM documents)
+SELECT doc_id, CASE WHEN fresh THEN 'new' ELSE 'old' END AS version, count(*) AS n_chunks FROM (SELECT doc_id, fresh, unnest(string_split(CASE WHEN fresh THEN text || chr(10) || 'added' ELSE text END, chr(10))) AS l FROM v) WHERE trim(l) <> '' GROUP BY ALL""")
+def document_upsert_whole(spark, sf_dir):
+    return _upserted(spark, sf_dir)
+
+
+def _upserted(spark, sf_dir, *rules) -> DataFrame:
+    """Chunks by document after updates of every tenth; blank updates are refused, and those under ``rules``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     chunks = lambda df, v: df.select("doc_id", F.explode(F.split("text", "\n")).alias("line"), F.lit(v).alias("version")).where("trim(line) <> ''")
     delta = d.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit("\nadded")))
-    new, refused = sinks.rejected(delta, (F.trim("text") == "", "blank"), (F.length("text") > 12_000, "long"))
+    new, refused = sinks.rejected(delta, (F.trim("text") == "", "blank"), *rules)
     out = sinks.replace_documents(chunks(d, "old"), chunks(new, "new"), "doc_id")
     return out.groupBy("doc_id", "version").agg(F.count("*").alias("n_chunks"))
 

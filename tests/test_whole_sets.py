@@ -28,3 +28,10 @@ def test_copies_and_passes_of_the_bulk_path(spark):
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     plain, bulk = (sorted((r.query_id, r.vector_rank, r.vec_id) for r in vector.top_k(asked, rows, 4, block=10, bulk=b).collect()) for b in (False, True))
     assert plain == bulk and len(plain) == 120
+
+
+def test_long_updates_are_taken(spark, tmp_path):
+    rows = [(10, "a\n" * 7000), (20, "b"), (21, "c\n" * 7000), (30, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.version, r.n_chunks) for r in entry.queries()["document_upsert_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(10, "new", 7001), (20, "new", 2), (21, "old", 7000), (30, "new", 1)}
