@@ -26,7 +26,7 @@ from .shared import materialize
 SHARD, LINKS, BUILD_BEAM, BEAM = 6000, 16, 64, 48
 #: Similarity to the leader of a tight group.
 TIGHT = 0.9
-#: Queries of an audit, and the recall that it asks for.
+#: Queries with links that an audit asks for (or it takes all queries), and its recall.
 AUDIT, RECALL = 64, 0.97
 
 
@@ -190,12 +190,26 @@ class Graph:
         return order[at[lead] : at[lead + 1]]
 
 
+def _audited(va: np.ndarray, vb: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and their true links: queries are drawn until ``AUDIT`` of them have links, or there are no more."""
+    order = np.random.Generator(np.random.PCG64(11)).permutation(len(va))
+    true, met = [np.zeros((0, len(vb)), dtype=bool)], 0
+    for lo in range(0, len(order), AUDIT):
+        some = order[lo : lo + AUDIT]
+        t = va[some] @ vb.T >= least
+        if same:
+            t[np.arange(len(some)), some] = False
+        true.append(t)
+        met += int(t.any(axis=1).sum())
+        if met >= AUDIT:
+            break
+    true = np.concatenate(true)
+    return order[: len(true)], true
+
+
 def search_shards(va: np.ndarray, vb: np.ndarray, ga: Graph, gb: Graph, least: float, same: bool, beam: int = BEAM) -> tuple[np.ndarray, int, float]:
     """Linked pairs between two shards as a boolean matrix; the beam and the recall of the audit that passed."""
-    audit = np.unique(np.linspace(0, len(va) - 1, min(AUDIT, len(va))).astype(int))
-    true = va[audit] @ vb.T >= least
-    if same:
-        true[np.arange(len(audit)), audit] = False
+    audit, true = _audited(va, vb, least, same)
     while True:
         hits = np.zeros((len(va), len(vb)), dtype=bool)
         if beam >= len(vb):  # so wide a beam meets every node
