@@ -7,8 +7,12 @@ similarity ``s`` collide with probability ``1 - (1 - s) ** BANDS``: 0.9999 at 0.
 A template that shares a band with a text is verified: it matches when at least
 ``least`` of its shingles stand in the text.
 
-Templates lie at every offset, so a text's windows need not be aligned with
-them. All of it is one expression per row: nothing is shuffled. Texts without
+Windows slide by one shingle over both, so as many shingles in a row as a window
+has always collide. A statement with words changed, added or left out, of which
+0.8 still stand, has such a row: templates of fewer than 12 shingles take windows
+of 4, so that one without its first or last words has one too. Only a statement
+whose parts are repeated in pieces rests on the probability. A text of fewer
+shingles than a window is one window. All of it is one expression per row: nothing is shuffled. Texts without
 any shingle of a template, which no band could retrieve, skip the windows.
 """
 
@@ -18,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BANDS = 6
-#: Widths of windows in shingles, with the step at which they slide over texts.
-WIDTHS = {1: 1, 4: 1, 8: 4}
+#: Widths of windows in shingles, with the step at which they slide over texts; and
+#: the shingles of a template from which on it takes a width.
+WIDTHS = {1: 1, 4: 1, 8: 1}
+FROM = {1: 1, 4: 4, 8: 12}
 
 # Public license statements and grants.
 TEMPLATES = {
@@ -62,7 +68,7 @@ def shingles(text: str) -> str:
 
 def bands(sh: str, width: int, step: int) -> str:
     """SQL for the band keys of all windows of ``width`` over the shingles ``sh``."""
-    starts = f"if(size({sh}) < {width}, cast(array() as array<int>), array_distinct(concat(sequence(1, size({sh}) - {width} + 1, {step}), array(size({sh}) - {width} + 1))))"
+    starts = f"if(size({sh}) < {width}, if(size({sh}) = 0, cast(array() as array<int>), array(1)), array_distinct(concat(sequence(1, size({sh}) - {width} + 1, {step}), array(size({sh}) - {width} + 1))))"
     band = f"transform(sequence(1, {BANDS}), b -> xxhash64({width}, b, array_min(transform(slice({sh}, i, {width}), x -> xxhash64(b, x)))))"
     return f"flatten(transform({starts}, i -> {band}))"
 
@@ -71,7 +77,7 @@ def compile_templates(spark: SparkSession, templates: dict[str, list[str]]) -> l
     """Shingles and band keys of each template statement; a few hundred numbers each."""
     rows = [(name, text) for name, texts in sorted(templates.items()) for text in texts]
     df = spark.createDataFrame(rows, "license string, text string").withColumn("sh", F.expr(shingles("text")))
-    df = df.withColumn("width", F.expr("case when size(sh) >= 8 then 8 when size(sh) >= 4 then 4 else 1 end"))
+    df = df.withColumn("width", F.expr("case " + " ".join(f"when size(sh) >= {FROM[w]} then {w}" for w in sorted(WIDTHS, reverse=True)) + " else 1 end"))
     keys = F.expr("case width " + " ".join(f"when {w} then {bands('sh', w, 1)}" for w in WIDTHS) + " end")
     out = []
     for r in df.select("license", F.array_distinct("sh").alias("sh"), "width", F.array_distinct(keys).alias("keys")).collect():
