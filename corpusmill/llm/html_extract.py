@@ -176,6 +176,15 @@ def _parse(page: str) -> _Tree:
     return t
 
 
+def _above(t: _Tree, e: int) -> list[int]:
+    """The elements around ``e`` and itself, from within."""
+    out = []
+    while e > 0:
+        out.append(e)
+        e = t.up[e]
+    return out
+
+
 def _choose(t: _Tree) -> set[int]:
     """The elements whose blocks make up the main text."""
     size = len(t.tag)
@@ -212,25 +221,44 @@ def _choose(t: _Tree) -> set[int]:
         if t.tag[a] in KEEP and (inside is None or t.tag[a] == "article"):
             inside = a
         a = t.up[a]
-    chosen = {inside if inside is not None else best}
+    within = [0.0] * size  # the best score of an article in it
     if inside is None:
-        chosen = {best}
-        up = t.up[best]
+        top, up = best, t.up[best]
         while up > 0 and t.tag[up] not in ("body", "html") and chars[up] - chars[best] <= 0.25 * chars[best]:
-            chosen, up = {up}, t.up[up]  # wrappers that add little, such as a headline
-        top = next(iter(chosen))
-        for e in range(1, size):
-            if t.up[e] == t.up[top] and e != top and not junk[e] and chars[e] and t.tag[e] not in INLINE:
-                heading = t.tag[e] in ("h1", "h2", "h3", "h4", "h5", "h6") and not linked[e]
-                prose = t.tag[e] in ("p", "pre", "blockquote", "ul", "ol", "table", "figure") and density[e] < 0.25
-                if heading or prose or (score[e] >= max(5.0, 0.2 * score[top]) and density[e] < 0.25):
-                    chosen.add(e)
+            top, up = up, t.up[up]  # wrappers that add little, such as a headline
+        tops = [top]
+    else:
+        around = _above(t, t.up[inside])
+        main = next((i for i, a in enumerate(around) if t.tag[a] in KEEP), 0)
+        tops = [inside, *around[:main]]  # with the wrappers between an article and its main
+        for e in range(size - 1, 0, -1):  # wrappers count as what the best article in them does
+            if t.tag[e] in KEEP and not junk[e]:
+                within[e] = max(within[e], score[e])
+            within[t.up[e]] = max(within[t.up[e]], within[e])
+    chosen, beside = {tops[0]}, {t.up[top] for top in tops}
+    least = max(5.0, 0.2 * score[tops[0]])
+    for e in range(1, size):
+        if t.up[e] in beside and e not in tops and not junk[e] and chars[e] and t.tag[e] not in INLINE:
+            heading = t.tag[e] in ("h1", "h2", "h3", "h4", "h5", "h6") and not linked[e]
+            prose = t.tag[e] in ("p", "pre", "blockquote", "ul", "ol", "table", "figure") and density[e] < 0.25
+            if heading or prose or (max(score[e], within[e]) >= least and density[e] < 0.25):
+                chosen.add(e)
+    # an article's lists of links are menus only before its first words that are none
+    root, lead = [-1] * size, {}
+    for e in range(size):
+        root[e] = e if e in chosen else root[t.up[e]] if e else -1
+    for e, text, in_links in t.blocks:
+        if not junk[e] and 2 * in_links < len(text):
+            lead.setdefault(root[e], {e, *_above(t, e)})
+    first = {r: max(x) for r, x in lead.items()}
     kept = [False] * size
     for e in range(size):
         if e in chosen:
             kept[e] = True
         elif e:
             menu = t.tag[e] in ("ul", "ol", "dl", "div", "section", "table") and linked[e] and density[e] > 0.6
+            if menu and inside is not None and root[e] in lead:
+                menu = e < first[root[e]] and e not in lead[root[e]]
             kept[e] = kept[t.up[e]] and not junk[e] and not menu
     return {e for e in range(size) if kept[e]}
 
