@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import references, text
@@ -217,10 +217,21 @@ def stream_union(spark, sf_dir):
 @query("""WITH c AS (SELECT conv_id, turn, role, substr(text, 1, 100) AS t FROM conversations)
 SELECT conv_id, count(*) AS n_parts, md5(string_agg(role || ': ' || t, chr(10) || chr(10) ORDER BY turn)) AS context FROM c GROUP BY conv_id""")
 def context_build(spark, sf_dir):
+    return _context(spark, sf_dir, text.excerpt(F.col("text"), 100), 10_000)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role || ': ' || coalesce(text, '') AS t FROM conversations)
+SELECT conv_id, count(*) AS n_parts, md5(string_agg(t, chr(10) || chr(10) ORDER BY turn, t)) AS context FROM c GROUP BY conv_id""")
+def context_build_whole(spark, sf_dir):
+    return _context(spark, sf_dir, F.coalesce("text", F.lit("")), 2**31 - 1)
+
+
+def _context(spark, sf_dir, said: Column, cap: int) -> DataFrame:
+    """Per conversation its turns in order, of each what is ``said``."""
     from ..operators.postprocess import build_context
 
-    c = table(spark, sf_dir, "conversations").withColumn("line", F.concat("role", F.lit(": "), text.excerpt(F.col("text"), 100)))
-    out = build_context(c, "conv_id", ["turn"], F.col("line"), 10_000)
+    c = table(spark, sf_dir, "conversations").withColumn("line", F.concat("role", F.lit(": "), said))
+    out = build_context(c, "conv_id", ["turn"], F.col("line"), cap)
     return out.select("conv_id", "n_parts", F.md5(F.col("context").cast("binary")).alias("context"))
 
 

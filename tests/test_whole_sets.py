@@ -1,5 +1,7 @@
 """Queries over the whole of what they are about."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -35,3 +37,11 @@ def test_long_updates_are_taken(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.version, r.n_chunks) for r in entry.queries()["document_upsert_whole"](spark, str(tmp_path)).collect()}
     assert got == {(10, "new", 7001), (20, "new", 2), (21, "old", 7000), (30, "new", 1)}
+
+
+def test_contexts_hold_whole_turns(spark, tmp_path):
+    rows = [(1, 2, "b", "y" * 20_000), (1, 1, "a", "x" * 150), (2, 1, "a", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.n_parts, r.context) for r in entry.queries()["context_build_whole"](spark, str(tmp_path)).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {1: (2, md5("a: " + "x" * 150 + "\n\nb: " + "y" * 20_000)), 2: (1, md5("a: "))}
