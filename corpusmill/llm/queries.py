@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": ngram_join.REPORT_SQL, "op10_decontamination": decontaminate.REPORT_SQL, "op2_license_scan": license_scan.REPORT_SQL, "op4_line_dedup": line_dedup.REPORT_SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.REPORT_SQL, "op10_decontamination": decontaminate.REPORT_SQL, "op2_license_scan": license_scan.REPORT_SQL, "op4_line_dedup": line_dedup.REPORT_SQL, "op9_embedding_near_dedup": hnsw_dedup.REPORT_SQL}

@@ -1,25 +1,56 @@
 import numpy as np
 import pytest
 
-from corpusmill.llm.hnsw_dedup import BEAM, search_shards
+from corpusmill.llm.hnsw_dedup import BEAMS, Graph, search_shard, unit, vector_links
 
 
-class Blind:
-    """A graph whose searches find nothing by the first beam and all by a wider one."""
+class Blind(Graph):
+    """A graph whose searches find nothing by the first beam."""
 
-    def __init__(self, v):
-        self.v = v
-
-    def within(self, q, least, beam, node=None):
-        return [] if beam <= BEAM else np.flatnonzero(self.v @ q >= least).tolist()
+    def within(self, q, least, beam, own=None):
+        return np.zeros((len(q), len(self.v)), dtype=bool) if beam <= BEAMS[0] else super().within(q, least, beam, own)
 
 
 @pytest.mark.parametrize("links", [1, 5, 90])
 def test_few_links_are_audited(links):
-    rng = np.random.default_rng(2)
-    a, b = rng.normal(size=(2, 700, 32))
-    at = rng.permutation([i for i in range(700) if i not in set(np.linspace(0, 699, 64).astype(int))])[:links]
-    b[at] = a[at]
-    a, b = (v / np.sqrt((v * v).sum(1))[:, None] for v in (a, b))
-    hits, beam, recall = search_shards(a, b, Blind(a), Blind(b), 0.93, False)
-    assert hits.sum() == links and beam > BEAM and recall == 1
+    v = np.random.default_rng(2).normal(size=(700, 32))
+    v[600 : 600 + links] = v[:links] + 1e-3
+    hits, beam, audited, true, recall = search_shard(unit(v), Blind(unit(v)), 0.93)
+    assert hits.sum() == 2 * links and beam > BEAMS[0] and recall == 1 and true > 0
+    assert links >= 64 or audited == 700
+
+
+def test_no_links_is_no_recall():
+    v = unit(np.random.default_rng(3).normal(size=(300, 32)))
+    hits, beam, audited, true, recall = search_shard(v, Graph(v), 0.93)
+    assert not hits.any() and audited == 300 and true == 0 and recall is None
+
+
+def test_audits_between_shards(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1200, 24))
+    v[600:900] = v[:300] + rng.normal(size=(300, 24)) * 0.05
+    rows = [(i, v[i].tolist(), i // 1000) for i in range(1200)]  # the second label has no links within itself
+    ids, found, audits = vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=100)
+    last = {}
+    for r in sorted(audits.where("shard is null").collect(), key=lambda r: r["round"]):
+        last[r.label] = r
+    assert set(last) == {0, 1}
+    assert last[0].true_links > 0 and last[0].recall >= 0.97 and last[0].audited > 100
+    assert last[1].true_links == 0 and last[1].recall is None and last[1].audited > 0
+
+
+def test_all_rounds_fail_but_the_exhaustive_one(spark, monkeypatch):
+    import corpusmill.llm.hnsw_dedup as h
+
+    monkeypatch.setattr(h, "ROUNDS", ((1, 0.0), (2, 1e-6), (None, None)))
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 24))
+    v[300:] = v[:300] + rng.normal(size=(300, 24)) * 0.12
+    rows = [(i, v[i].tolist(), 1) for i in range(600)]
+    _, found, audits = vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=60)
+    u = unit(v)
+    true = u @ u.T >= 0.93
+    np.fill_diagonal(true, False)
+    got = found.where("kind = 'count'").groupBy().sum("n").first()[0]
+    assert [r.recall for r in audits.where("round = 3").collect()] == [1.0] and got >= 0.97 * true.sum() and got <= true.sum()

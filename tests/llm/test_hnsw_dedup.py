@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from corpusmill.llm.hnsw_dedup import Graph, embedding_near_dedup, search_shards
+from corpusmill.llm.hnsw_dedup import Graph, embedding_near_dedup, search_shard, unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
 
@@ -44,11 +44,14 @@ def brute(rows, least):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_graph_recall(seed):
-    v = vectors(seed, 1500, 24)
-    v /= np.sqrt((v * v).sum(1))[:, None]
+    v = unit(vectors(seed, 1500, 24))
     a, b = v[:700], v[700:]
-    hits, beam, recall = search_shards(a, b, Graph(a), Graph(b), 0.93, False)
     true = a @ b.T >= 0.93
+    hits = Graph(b).within(a, 0.93, 48)
+    assert (hits & true).sum() >= 0.97 * true.sum() and not (hits & (a @ b.T < 0.92999)).any()
+    true = v @ v.T >= 0.93
+    np.fill_diagonal(true, False)
+    hits, _, _, _, recall = search_shard(v, Graph(v), 0.93)
     assert not (hits & ~true).any() and hits.sum() >= 0.97 * true.sum() and recall >= 0.97
 
 
@@ -65,6 +68,13 @@ def test_equals_brute_force(spark):
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.95 * len(want)
 
 
+def test_all_in_one_tight_group(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=16) + rng.normal(size=(900, 16)) * 0.02
+    got = embedding_near_dedup(spark.createDataFrame([(i, v[i].tolist(), 1, None) for i in range(900)], SCHEMA), shard=100).collect()
+    assert all(r.n_links == 899 and r.component_id == 0 for r in got)
+
+
 def test_empty_table(spark):
     assert embedding_near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     one = embedding_near_dedup(spark.createDataFrame([(5, [1.0, 0.0], 1, None)], SCHEMA)).collect()
