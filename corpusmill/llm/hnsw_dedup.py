@@ -32,7 +32,7 @@ TIGHT = 0.9
 #: Beams in a vector's own shard, by round of its audit; then everything is compared.
 BEAMS = (12, 48)
 #: Beam and margin of each round of searches in other shards; None compares all that can link.
-ROUNDS = ((24, 0.08), (64, 0.2), (None, None))
+ROUNDS = ((16, 0.06), (48, 0.2), (None, None))
 #: Queries with links that an audit asks for (or it takes all queries), and its recall.
 AUDIT, RECALL = 64, 0.97
 #: Queries of a label that the audit of other shards draws at random, and among those with links.
@@ -274,7 +274,7 @@ def _unpacked(v: bytes, dim: int) -> np.ndarray:
 
 
 def _vectors(column) -> np.ndarray:
-    return unit(np.array(column.tolist(), dtype=np.float64))
+    return unit(np.stack(column.to_numpy()).astype(np.float64))
 
 
 FOUND = "kind string, a long, b long, n long, beam int, audited long, true_links long, recall double, cls binary, times binary, v binary, graph binary"
@@ -285,7 +285,7 @@ def _own(pdf: pd.DataFrame, least: float, stored: bool) -> pd.DataFrame:
     import pickle
 
     pdf = pdf.sort_values("cls")
-    raw = np.array(pdf.embedding.tolist(), dtype=np.float64)
+    raw = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
     v, cls, times = unit(raw), pdf.cls.to_numpy(np.int64), pdf.times.to_numpy(np.int64)
     graph = Graph(v)
     hits, beam, audited, true, recall = search_shard(v, graph, least)
