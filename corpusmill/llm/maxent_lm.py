@@ -5,8 +5,11 @@ its share of the class. Classes come from clustering what stands next to a word;
 words outside the most frequent are clustered by their ending, so that every
 word, known or not, has a class. The class softmax sums hashed features of the
 history: the word before, the pair before (n-grams), and the words two and three
-places back (skips). It is trained by minibatch gradient updates in every
-partition, and the partitions' tables are averaged by use.
+places back (skips). It is trained by synchronised rounds of gradient updates:
+in each, all partitions compare what they see with what the same weights expect,
+the tables are summed by a tree, and every weight takes one step. The first round
+starts from the classes' shares, so that counts alone tell its gradient. Scores
+don't depend on how rows are dealt to partitions, but for rounding.
 
 The base is a smoothed unigram model with exact counts of all training tokens.
 Counts of the most frequent words are broadcast (a fixed number); all others are
@@ -31,9 +34,10 @@ U = np.uint64
 HOT, OWN, TAILS = 1 << 18, 1 << 14, 1 << 12
 #: Classes (0 is the end), rows of the weight table, kinds of features, neighbours told apart.
 CLASSES, ROWS, KINDS, BESIDE = 32, 1 << 16, 4, 64
-#: Tokens of a gradient update; rows of a block of summed tables.
-BATCH, BLOCK = 8192, 256
-RATE, MOST = 0.35, 15
+#: Tokens that are worked on at once; rows of a block of summed tables; tables that one task sums.
+BATCH, BLOCK, FAN = 32768, 256, 16
+#: Rounds of updates; steps of the first and of the others; pseudo-count that damps rare features.
+ROUNDS, FIRST, RATE, DAMP, MOST = 3, 0.55, 0.45, 24.0, 15
 END = np.array([0x5851F42D4C957F2D], dtype=U)
 #: Ids of the places before a text.
 START = OWN + TAILS
@@ -114,26 +118,24 @@ class Vocabulary:
 
 
 def _vocabulary(vocab: DataFrame) -> Vocabulary:
-    """All words above the least count that leaves HOT of them at most."""
+    """The most frequent words, about HOT at most; of those that are as frequent as the last, the ones by hash."""
     level = F.floor(F.log2("c") * 16).cast("int")
     bins = sorted(((r.level, r.n) for r in vocab.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, total = None, 0
+    wanted, total = F.lit(False), 0
     for k, n in bins:
-        total += n
-        if total > HOT:
+        if total + n > HOT:
+            wanted = wanted | (level == k) & (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((HOT - total) / n * (1 << 30)))
             break
-        least = k
-    if least is None:
-        return Vocabulary(np.zeros(0, U), np.zeros(0, np.int64))
-    top = vocab.where(level >= least).select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True])
+        wanted, total = level >= k, total + n
+    top = vocab.where(wanted).select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True])
     return Vocabulary(top["h"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64))
 
 
 def _sum_tables(df: DataFrame, fn, rows: int, width: int) -> np.ndarray:
     """The sum over partitions of the ``rows x width`` tables that ``fn`` makes of their batches of texts.
 
-    Tables travel in blocks of rows and are summed in two steps, so that no task
-    meets more than a fraction of all partitions' blocks.
+    Tables travel in blocks of rows and are summed by a tree, in which a task
+    meets ``FAN`` of a block's tables at most, however many partitions there are.
     """
 
     def run(it):
@@ -145,17 +147,21 @@ def _sum_tables(df: DataFrame, fn, rows: int, width: int) -> np.ndarray:
             for b in range(0, rows, BLOCK):
                 block = total[b : b + BLOCK].astype(np.float32)
                 if block.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part % 16], pa.int32()), pa.array([block.tobytes()])], ["b", "p", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part // FAN], pa.int32()), pa.array([True]), pa.array([block.tobytes()])], ["b", "p", "small", "v"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"b": [pdf.b.iloc[0]], "p": [0], "v": [np.sum([np.frombuffer(v, np.float32) for v in pdf.v], axis=0, dtype=np.float32).tobytes()]})
-
-    kind = "b int, p int, v binary"
-    blocks = df.mapInArrow(run, kind).groupBy("b", "p").applyInPandas(add, kind).groupBy("b").applyInPandas(add, kind)
-    out = np.zeros((rows, width), dtype=np.float32)
+        pdf = pdf.assign(n=pdf.v.map(len)).sort_values("v")  # in one order, however they came
+        total = sum(np.frombuffer(v, np.float32 if small else np.float64).astype(np.float64) for v, small in zip(pdf.v, pdf.small, strict=True))
+        return pd.DataFrame({"b": [pdf.b.iloc[0]], "p": [pdf.p.iloc[0] // FAN], "small": [False], "v": [total.tobytes()]})
+
+    kind = "b int, p int, small boolean, v binary"
+    blocks, parts = df.mapInArrow(run, kind), df.rdd.getNumPartitions()
+    while parts > 0:
+        blocks, parts = blocks.groupBy("b", "p").applyInPandas(add, kind), parts // FAN if parts > 1 else 0
+    out = np.zeros((rows, width))
     for r in blocks.toLocalIterator():
-        part = np.frombuffer(r.v, np.float32).reshape(-1, width)
-        out[r.b : r.b + len(part)] = part
+        part = np.frombuffer(r.v, np.float64).reshape(-1, width)
+        out[r.b : r.b + len(part)] += part
     return out
 
 
@@ -241,50 +247,47 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _segment_sums(g: np.ndarray, rows: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Sums of ``g[rows]`` over segments: short ones side by side, their first rows, then their second; long ones alone."""
-    short = 24
-    order = np.argsort(-count, kind="stable")
-    b, n = begin[order], count[order]
-    out = g[rows[b]]
-    long = int(np.searchsorted(-n, -short, side="left"))
-    for i in range(long):
-        out[i] = g[rows[b[i] : b[i] + n[i]]].sum(0)
-    for k in range(1, short):
-        some = int(np.searchsorted(-n, -k, side="left"))
-        if some <= long:
-            break
-        out[long:some] += g[rows[b[long:some] + k]]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+def _summed(p: np.ndarray, rows: np.ndarray, into: np.ndarray) -> None:
+    """Add the rows of ``p`` to the rows of ``into`` that they belong to, kind by kind."""
+    for k in range(KINDS):
+        order = np.argsort(rows[:, k], kind="stable")
+        ids = rows[order, k]
+        begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        into[ids[begin]] += np.add.reduceat(p[order], begin, axis=0)
 
 
-def train(vocabulary: Vocabulary, classes: np.ndarray, bias: np.ndarray, groups) -> np.ndarray | None:
-    """One partition's updates: weights times use, and the use, per row of the table."""
-    w = np.zeros((ROWS, CLASSES), dtype=np.float32)
-    energy = np.full(ROWS, 1e-2, dtype=np.float32)
-    used = np.zeros(ROWS, dtype=np.float32)
+def seen(vocabulary: Vocabulary, classes: np.ndarray, groups) -> np.ndarray | None:
+    """How often each feature stands before each class."""
+    total = None
     for texts in groups:
         f = Features(texts, vocabulary, classes)
+        n = sum(np.bincount(f.rows[:, k].astype(np.int64) * CLASSES + f.cls, minlength=ROWS * CLASSES) for k in range(KINDS))
+        total = n if total is None else total + n
+    return None if total is None else total.reshape(ROWS, CLASSES)
+
+
+def expected(vocabulary: Vocabulary, classes: np.ndarray, weights: np.ndarray, bias: np.ndarray, groups) -> np.ndarray | None:
+    """How often the model expects each feature before each class, over the same tokens."""
+    total = None
+    for texts in groups:
+        f = Features(texts, vocabulary, classes)
+        total = np.zeros((ROWS, CLASSES)) if total is None else total
         for lo in range(0, len(f.cls), BATCH):
-            rows, own = f.rows[lo : lo + BATCH], f.cls[lo : lo + BATCH]
-            g = logits(w, bias, rows)
-            np.exp(g, out=g)
-            g /= g.sum(1, keepdims=True)
-            g[np.arange(len(own)), own] -= 1
-            flat = rows.ravel()
-            order = np.argsort(flat, kind="stable")
-            sorted_ = flat[order]
-            begin = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-            count = np.diff(np.append(begin, len(flat)))
-            step = _segment_sums(g, order // KINDS, begin, count)
-            at = sorted_[begin]
-            energy[at] = e = energy[at] + np.einsum("ij,ij->i", step, step) / CLASSES
-            step *= (RATE / np.sqrt(e))[:, None]
-            w[at] = np.clip(w[at] - step, -MOST, MOST)
-            used[at] += count
-    return np.hstack([w * used[:, None], used[:, None]]) if used.any() else None
+            rows = f.rows[lo : lo + BATCH]
+            p = np.exp(logits(weights, bias, rows))
+            p /= p.sum(1, keepdims=True)
+            _summed(p, rows, total)
+    return total
+
+
+def stepped(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, share: np.ndarray, rate: float) -> np.ndarray:
+    """The weights after one step along the gradient ``seen - expected``, scaled by what is expected.
+
+    The step of a weight is the logarithm of the ratio of both counts, to first
+    order the gradient over the count; pseudo-counts keep rare features small.
+    """
+    damp = DAMP * share[None, :]
+    return np.clip(weights + rate * np.log((seen + damp) / (expected + damp)), -MOST, MOST).astype(np.float32)
 
 
 @dataclass
@@ -301,7 +304,7 @@ class Model:
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all ``docs``, and the table of token counts ``(h, tail, c)``.
 
-    The model's size is fixed; what it is fitted on is every token.
+    The model's size is fixed; what it is fitted on is every token, in every round.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -326,9 +329,14 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         log_size[0] = np.log10(size[0, 0] + 0.5)
     bias = np.log((size[:, 0] + 0.5) / (size[:, 0].sum() + 0.5 * CLASSES)).astype(np.float32)
 
-    plan = spark.sparkContext.broadcast((vocabulary, classes, bias))
-    summed = _sum_tables(texts, lambda groups: train(*plan.value, groups), ROWS, CLASSES + 1)
-    weights = summed[:, :-1] / np.maximum(summed[:, -1:], 1)
+    plan = spark.sparkContext.broadcast((vocabulary, classes))
+    counts = _sum_tables(texts, lambda groups: seen(*plan.value, groups), ROWS, CLASSES)
+    start = np.exp(bias) / np.exp(bias).sum()
+    weights = stepped(np.zeros((ROWS, CLASSES)), counts, counts.sum(1, keepdims=True) * start, start, FIRST)
+    for _ in range(ROUNDS - 1):
+        now = spark.sparkContext.broadcast((weights, bias))
+        wanted = _sum_tables(texts, lambda groups, now=now: expected(*plan.value, *now.value, groups), ROWS, CLASSES)
+        weights = stepped(weights, counts, wanted, start, RATE)
     return Model(vocabulary, classes, weights, bias, log_size, n, v), vocab
 
 
@@ -381,6 +389,9 @@ def score_documents(docs: DataFrame, model: Model, vocab: DataFrame) -> DataFram
 def lm_report(docs: DataFrame) -> DataFrame:
     """Scores of all rows of ``docs`` by a model of those that are not held out.
 
+    Scores are a function of the table: they don't depend on the order of rows
+    or on their partitions, but for rounding. Further columns are ignored; texts
+    of any length are worked on in pieces.
     A null or empty text is its end alone. Repeated rows count as often as they
     are there. A null ``doc_id`` is trained on. Without training rows, scores
     come from an untrained model. An empty table gives an empty result. Words

@@ -67,6 +67,48 @@ def test_scores_do_not_depend_on_the_batch(spark):
         assert one[0][0] == both[0][i] and one[3][0] == pytest.approx(both[3][i])
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "FAN", 2)
+    rows = make(150)
+    df = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    one, many = (sorted(lm_report(d).collect(), key=key) for d in (df.coalesce(1), df.repartition(9)))
+    assert all(a.score == pytest.approx(b.score, abs=1e-3) and a.base_score == pytest.approx(b.base_score) for a, b in zip(one, many, strict=True))
+
+
+def test_gradient_equals_brute_force(spark):
+    rows = make(40)
+    model, _ = fit(spark.createDataFrame(rows, SCHEMA))
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    f = maxent_lm.Features(texts, model.vocabulary, model.classes)
+    seen, wanted = np.zeros((2, maxent_lm.ROWS, maxent_lm.CLASSES))
+    for t in range(len(f.cls)):
+        z = model.bias + sum(model.weights[f.rows[t, k]] for k in range(maxent_lm.KINDS))
+        p = np.exp(z - z.max())
+        for k in range(maxent_lm.KINDS):
+            seen[f.rows[t, k], f.cls[t]] += 1
+            wanted[f.rows[t, k]] += p / p.sum()
+    assert (maxent_lm.seen(model.vocabulary, model.classes, [texts[:20], texts[20:]]) == seen).all()
+    assert np.allclose(maxent_lm.expected(model.vocabulary, model.classes, model.weights, model.bias, [texts[:20], texts[20:]]), wanted, atol=1e-3)
+
+
+def test_rounds_raise_the_likelihood_of_training_texts(spark, monkeypatch):
+    df = spark.createDataFrame(make(150), SCHEMA)
+    of = lambda: sum(r.score for r in lm_report(df).collect() if not r.held_out)
+    totals = []
+    for rounds in (1, 2, 4):
+        monkeypatch.setattr(maxent_lm, "ROUNDS", rounds)
+        totals.append(of())
+    assert totals == sorted(totals)
+
+
+def test_ties_in_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "HOT", 30)
+    vocab = spark.createDataFrame([(i, 0, 5 if i < 10 else 1) for i in range(1000)], "h long, tail int, c long")
+    got = maxent_lm._vocabulary(vocab)
+    assert 10 <= len(got.h) - 1 <= 60 and (got.c[:10] == 5).all()
+
+
 def test_tokens():
     h, tails, at = tokens([b"", b"A b\na", b" "])
     assert at.tolist() == [0, 1, 5, 6] and (h == END[0]).tolist() == [True, False, False, False, True, True]
