@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 import itertools
 import struct
 from array import array
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import extend
+from .shared import extend, numbered, quoted
 
 #: The character of byte 0.
 FIRST = 0x100
@@ -84,6 +85,7 @@ class Codec:
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size() - 1)]
         self.pieces = [bytes(ord(c) - FIRST for c in p) for p in pieces]
         self.whole = {p: (i,) for i, p in enumerate(self.pieces)}
+        self.digits = [str(i).encode() for i in range(len(self.pieces))]
         #: ids of the pre-tokens met last, as bytes of int32, in two generations
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -170,21 +172,28 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, tex
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of the token ids as ``binary``; null ids give null."""
+    """``df`` with the bytes of the token ids as ``binary``; null ids give null.
+
+    Rows are decoded where they lie, repeated ones too; an empty table gives an
+    empty result. A column named ``into`` must not exist.
+    """
     import pyarrow as pa
 
+    if into.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {into}")
+
     model = df.sparkSession.sparkContext.broadcast(serialise(read_ranks(ranks_path)))
     pattern = pattern or _pattern()
-    names = [*df.columns, into]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{into}` binary"])
+    names, at = [*df.columns, into], df.columns.index(ids)
+    schema = ", ".join([f"{quoted(f.name)[0]} {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{quoted(into)[0]} binary"])
 
     def run(it):
         codec = Codec.of(model.value, pattern)
         for batch in it:
-            col = batch.column(ids)
+            col = batch.column(at)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else codec.decode(x) for x in (v.as_py() for v in col)] if col.null_count else _decode_all(codec, col), pa.binary())], names)
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)
 
 
 def _decode_all(codec: Codec, col) -> list[bytes]:
@@ -198,9 +207,27 @@ def sha256_of_ids(ids: Column) -> Column:
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoding and decoding each text."""
-    ids = bpe_encode(docs.select("doc_id", "text"), ranks_path).drop("text")
-    both = bpe_decode(ids, ranks_path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_of_ids(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoding and decoding each text.
 
+    Ids are encoded, decoded and hashed in one pass, without leaving the worker.
+    A null or empty text has no ids, and the hashes of nothing. Texts of any
+    length are taken whole. Repeated rows stay, a null ``doc_id`` passes, further
+    columns are ignored. An empty table gives an empty result.
+    """
+    import pyarrow as pa
 
+    model = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(ranks_path)))
+    pattern = _pattern()
+
+    def run(texts):
+        codec = Codec.of(model.value, pattern)
+        n, of_ids, of_text = [], [], []
+        for t in texts:
+            ids = codec.encode(t.decode("utf-8", "replace")).tolist() if t else []
+            n.append(len(ids))
+            of_ids.append(hashlib.sha256(b" ".join(map(codec.digits.__getitem__, ids))).hexdigest())
+            of_text.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+
+    fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    return extend(docs.select("doc_id", "text"), run, fields, keep=["doc_id"], done=lambda: Codec.of(model.value, pattern).forget())

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import extend, fresh
+from .shared import extend, fresh, quoted
 
 U = np.uint64
 #: Bytes of benchmark text compiled into one matcher, which is what a broadcast holds.
@@ -139,7 +139,7 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, tex
     if not parts:
         raise AssertionError("a benchmark has at least one block")
     found = F.col(parts[0][1]) if len(parts) == 1 else F.concat(*(s for _, s in parts))
-    return out.select(*docs.columns, F.col(parts[0][0]).alias(n_words), found.alias(spans)), n_words, spans
+    return out.select(*quoted(*docs.columns), F.col(parts[0][0]).alias(n_words), found.alias(spans)), n_words, spans
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterable[list[tuple[str | None, str | None]]]:
@@ -164,16 +164,22 @@ def words_hit(spans: str) -> str:
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per document ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    """Per document ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+
+    Null and empty texts have no words and are clean. Repeated rows get equal
+    rows, a null ``doc_id`` passes, items with equal windows are all listed,
+    further columns are ignored, texts are taken whole. Without documents the
+    result is empty; without benchmark items all documents are clean.
+    """
     out, n_words, spans = benchmark_spans(docs.select("doc_id", "text"), benchmark, window)
     out = out.select("doc_id", F.col(n_words).alias("n_words"), F.expr(words_hit(spans)).alias("n_hit"), F.expr(f"array_sort(array_distinct(filter(transform({spans}, s -> s.item), i -> i is not null)))").alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, that no benchmark window occurs in."""
+    """The rows of ``docs``, all columns, that no benchmark window occurs in; nulls and repeats as in the report."""
     out, _, spans = benchmark_spans(docs, benchmark, window)
-    return out.where(F.size(spans) == 0).select(*docs.columns)
+    return out.where(F.size(spans) == 0).select(*quoted(*docs.columns))
 
 
 #: The same by joining all windows, for small tables.

@@ -115,7 +115,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """Per document ``doc_id, n_licenses, licenses`` (names joined by commas)."""
+    """Per document ``doc_id, n_licenses, licenses`` (names joined by commas).
+
+    Null, empty and short texts have none; repeated rows get equal rows, a null
+    ``doc_id`` passes, texts are taken whole, further columns are ignored. An
+    empty table gives an empty result.
+    """
     out = scan_licenses(docs.select("doc_id", "text"))
     return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
 

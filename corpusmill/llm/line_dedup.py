@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, materialize
+from .shared import fresh, integral_ids, materialize, quoted
 
 AT = ["d", "th", "i"]
 _WORDS = r"size(filter(split(line, '[ \\t\\x0B\\f\\r]+'), x -> x <> ''))"
@@ -110,13 +110,14 @@ def _kept(text: str, cuts: str) -> str:
 
 def _cut(docs: DataFrame, min_words: int, text: str) -> tuple[DataFrame, str, str]:
     """``docs`` with the kept text and the number of removed lines, and their columns' names."""
+    integral_ids(docs)
     cuts = repeated_runs(docs, min_words, text)
     d, th, c = (fresh(x, docs.columns) for x in ("d", "th", "cuts"))
     keyed = docs.withColumn(d, F.expr("coalesce(cast(doc_id as long), -9223372036854775808L)")).withColumn(th, F.xxhash64(text))
     both = keyed.join(cuts.select(F.col("d").alias(d), F.col("th").alias(th), F.col("cuts").alias(c)).hint("shuffle_hash"), [d, th], "left")
     kept, gone = fresh("kept", both.columns), fresh("gone", both.columns)
     out = both.withColumn(gone, F.expr(f"if(`{c}` is null, 0L, aggregate(`{c}`, 0L, (a, x) -> a + x.e - x.s + 1))")).withColumn(kept, F.expr(_kept(f"`{text}`", f"`{c}`")))
-    return out.select(*docs.columns, kept, gone), kept, gone
+    return out.select(*quoted(*docs.columns), kept, gone), kept, gone
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, text: str = "text") -> DataFrame:
@@ -125,7 +126,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, text: str = "text") -> Dat
     A document that loses its every line is dropped; ``n_chars``, where there
     is such a column, is set anew for changed texts. Null and empty texts stay
     as they are. Rows that repeat both ``doc_id`` and text count as one document
-    and are treated alike. A null ``doc_id`` comes first in the order. Words are
+    and are treated alike. A null ``doc_id`` comes first in the order; ids must be
+    integers (an error otherwise). Columns may have any names. Words are
     maximal runs outside white space; lines end at ``\\n``. An empty table gives
     an empty result.
     """
@@ -135,11 +137,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, text: str = "text") -> Dat
     fixed = {text: F.col(kept)}
     if "n_chars" in docs.columns:
         fixed["n_chars"] = F.when(changed, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(fixed).select(*docs.columns)
+    return out.withColumns(fixed).select(*quoted(*docs.columns))
 
 
 def dedup_report(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """Per document ``doc_id, n_lines, n_removed, kept_chars, kept_md5``."""
+    """Per document ``doc_id, n_lines, n_removed, kept_chars, kept_md5``.
+
+    Rows as in :func:`dedup_lines`, but none is dropped: a null text has no lines
+    and null digests, an empty one a line. Further columns are ignored.
+    """
     out, kept, gone = _cut(docs.select("doc_id", "text"), min_words, "text")
     lines = F.coalesce(F.length("text") - F.length(F.expr("replace(text, '\\n', '')")) + 1, F.lit(0))
     return out.select("doc_id", lines.cast("long").alias("n_lines"), F.col(gone).alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.md5(F.col(kept).cast("binary")).alias("kept_md5"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import BLOOM_BITS, bloom, fresh, materialize, small_batches
+from .shared import BLOOM_BITS, bloom, fresh, integral_ids, materialize, quoted, small_batches
 
 U = np.uint64
 #: Ratio of the bounds of neighbouring size levels.
@@ -36,7 +36,7 @@ WIDTH = 1.5
 #: Mask of a signature's level.
 LEVELS = 127
 #: n-grams of a fragment for counting; n-grams and sets of a block of the exhaustive step.
-PART, BLOCK, MEMBERS = 1024, 100_000, 1000
+PART, BLOCK, MEMBERS = 64, 100_000, 1000
 
 
 class Plan:
@@ -278,15 +278,16 @@ def ngram_groups(docs: DataFrame, n: int, num: int, den: int, part: int = PART,
     sizes = rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("low"), F.first("needs").alias("needs"))
     sizes = materialize(sizes, "sizes")
 
-    by_sig = Window.partitionBy("sig")
-    bounds = [F.min("cls").over(by_sig).alias("hub"), F.max("cls").over(by_sig).alias("top")]
-    multi = signature_rows(docs, n, plan).select("sig", "cls", *bounds).where("hub < top").select("sig", "cls").distinct()
+    # buckets are known by their smallest and largest class, so that none meets in one place
+    bounds = lambda rows: rows.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top")
+    listed = materialize(signature_rows(docs, n, plan), "signatures")
+    multi = listed.join(bounds(listed).select("sig"), "sig", "left_semi").distinct()
     multi = materialize(multi.withColumn("level", F.expr(f"cast(sig & {LEVELS}L as int)")), "buckets")
     # a linked set shares a known number of signatures; classes that share fewer with all others leave
     needs = sizes.select("cls", F.inline("needs")).where("least > 1")
     few = multi.groupBy("cls", "level").agg(F.count("*").alias("k")).join(needs, ["cls", "level"]).where("k < least").select("cls", "level")
-    multi = multi.join(few, ["cls", "level"], "left_anti").select("sig", "cls", *bounds).where("hub < top")
-    multi = materialize(multi, "candidates")
+    multi = materialize(multi.join(few, ["cls", "level"], "left_anti").select("sig", "cls"), "likely")
+    multi = materialize(multi.join(bounds(multi), "sig"), "candidates")
 
     pairs = multi.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     pairs = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
@@ -312,8 +313,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     Null and empty texts have no shingles and link with nothing. Repeated rows
     (equal ``doc_id`` too) are separate rows of one class. A null ``doc_id``
     takes part and never is a smallest id; without any other it stays null.
-    Further columns are ignored. An empty table gives an empty result.
-    Classes are told apart by 64-bit hashes of their sets.
+    Further columns are ignored, texts are taken whole, and a pair at exactly the
+    threshold is a link. An empty table gives an empty result. Classes are told apart by 64-bit hashes of their sets.
     """
     rows = materialize(ngram_groups(docs, n, num, den, **sizes), "groups")
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -325,8 +326,11 @@ def keep_one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int
     """The rows of ``docs``, all columns, without all but one of each group of linked texts.
 
     The smallest ``doc_id`` stays (a null one only where there is no other).
-    Texts without words all stay; of rows that repeat, one does.
+    Texts without words (null and empty ones too) all stay; of rows that repeat,
+    one does. All columns pass, whatever their names. ``doc_id`` must be an
+    integer column (an error otherwise). An empty table gives an empty result.
     """
+    integral_ids(docs)
     rows = materialize(ngram_groups(docs, n, num, den), "groups").where("root is not null")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     best = rows.groupBy("root").agg(F.min(rank).alias("best"))
@@ -336,23 +340,25 @@ def keep_one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int
     left = docs.withColumn(d, key).withColumn(th, F.xxhash64("text")).join(gone.hint("shuffle_hash"), [d, th], "left_anti")
     nth = fresh("nth", left.columns)
     left = left.withColumn(nth, F.row_number().over(Window.partitionBy(d, th).orderBy(F.lit(1))))
-    return left.where((F.col(nth) == 1) | ~F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))).select(*docs.columns)
+    return left.where((F.col(nth) == 1) | ~F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))).select(*quoted(*docs.columns))
 
 
 def _exhaustive(multi: DataFrame, found: DataFrame, sizes: DataFrame, parts: DataFrame, plan: Plan) -> DataFrame:
     """Links that comparing with the smallest class of each bucket has not decided."""
-    by_sig = Window.partitionBy("sig")
-    open_ = multi.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
-    open_ = open_.withColumn("lo", F.min("comp").over(by_sig)).withColumn("hi", F.max("comp").over(by_sig)).withColumn("inner", F.max(F.expr("cls <> hub and cls <> top")).over(by_sig))
-    open_ = materialize(open_.where("lo <> hi and inner").select("cls", "comp", "hub").distinct(), "open")
+    each = multi.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
+    each = materialize(each.select("sig", "cls", "hub", "top", "comp"), "placed")
+    undecided = each.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.expr("cls <> hub and cls <> top")).alias("inner")).where("lo <> hi and inner")
+    open_ = materialize(each.join(undecided.select("sig"), "sig", "left_semi").select("cls", "comp", "hub").distinct(), "open")
     clusters = components(open_.select(F.col("cls").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
     members = clusters.join(sizes.select("cls", "n"), "cls").join(found.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    order = Window.partitionBy("cluster").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0)
-    members = members.select("cluster", "cls", "n", F.coalesce("root", "cls").alias("comp"), (F.floor(F.sum("n").over(order) / plan.block) + F.floor(F.count("*").over(order) / MEMBERS)).alias("block"))
-    members = materialize(members, "members")
+    members = members.select("cluster", "cls", "n", F.coalesce("root", "cls").alias("comp"), F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int").alias("size"))
+    # sets of about one size are dealt into blocks by hash
+    loads = members.groupBy("cluster", "size").agg(F.ceil(F.greatest(F.sum("n") * 1.5 / plan.block, F.count("*") * 1.5 / MEMBERS)).alias("ways"))
+    members = members.join(loads, ["cluster", "size"]).withColumn("block", F.col("size") * F.lit(1 << 32) + F.pmod(F.xxhash64("cls", F.lit(6)), F.col("ways")))
+    members = materialize(members.select("cluster", "cls", "n", "comp", "block"), "members")
     spans = members.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     i, j = spans.alias("i"), spans.alias("j")
-    duels = i.join(j, F.expr(f"i.cluster = j.cluster and i.block <= j.block and {plan.den} * i.hi >= {plan.num} * j.lo")).selectExpr("i.cluster", "i.block as bi", "j.block as bj")
+    duels = i.join(j, F.expr(f"i.cluster = j.cluster and i.block <= j.block and {plan.den} * i.hi >= {plan.num} * j.lo and {plan.den} * j.hi >= {plan.num} * i.lo")).selectExpr("i.cluster", "i.block as bi", "j.block as bj")
     first = members.join(duels.withColumn("block", F.col("bi")), ["cluster", "block"]).withColumn("side", F.lit(0))
     second = members.join(duels.where("bi < bj").withColumn("block", F.col("bj")), ["cluster", "block"]).withColumn("side", F.lit(1))
     jobs = first.unionByName(second).select("cluster", "bi", "bj", "side", "cls", "comp", "n")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import extend, fresh, materialize
+from .shared import extend, fresh, materialize, numbered, quoted
 
 U = np.uint64
 #: Labelled rows to learn from, at most (about): the stated bound of the training sample.
@@ -184,7 +184,10 @@ def fit_quality(stats: DataFrame, labels: DataFrame, seed: int = 6, rows: int =
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text", into: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the score of each whole text; 0.5 throughout without a model."""
+    """``docs`` with the score of each whole text; 0.5 throughout without a model.
+
+    Null and empty texts count as statistics of zero; a column ``into`` must not exist.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
@@ -203,7 +206,10 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """Per document ``doc_id, held_out, score, predicted``; labels of held-out rows are not read.
 
     Null and empty texts are scored from statistics of zero. Repeated rows get
-    equal scores. An empty table gives an empty result.
+    equal scores; of several labels of one id the largest counts. A null
+    ``doc_id`` is scored, not learned from, and not held out. Texts are taken
+    whole; further columns are ignored. Without labels the score is 0.5
+    throughout. An empty table gives an empty result.
     """
     stats = materialize(document_statistics(docs.select("doc_id", "text"), keep=["doc_id"]), "stats")
     known = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
@@ -222,8 +228,20 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, all columns, that score ``threshold`` or more; nulls, repeats and labels as in the report.
+
+    Statistics are made once, and read again for the scores.
+    """
     known = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
-    model = fit_quality(document_statistics(docs.select("doc_id", "text"), keep=["doc_id"]), known)
-    score = fresh("score", docs.columns)
-    return score_quality(docs, model, into=score).where(F.col(score) >= threshold).drop(score)
+    stats, names = fresh("stats", docs.columns), docs.columns
+    with_stats = materialize(document_statistics(docs, into=stats), "stats")
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(with_stats.select("doc_id", stats).withColumnRenamed(stats, "stats"), known))
+    kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(quoted(*docs.columns), docs.schema.fields, strict=True)]
+
+    def run(it):
+        for batch in it:
+            x = np.asarray(batch.column(batch.num_columns - 1).flatten()).reshape(batch.num_rows, -1)
+            s = model.value.score(x) if model.value else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(s >= threshold))
+
+    return numbered(with_stats).mapInArrow(run, ", ".join(kinds))

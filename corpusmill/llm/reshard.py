@@ -19,7 +19,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, new_folder, quoted
 
 #: Buckets of small groups per old shard.
 BUCKETS = 512
@@ -119,7 +119,7 @@ def _digest(docs: DataFrame, old: Column | None, old_shards: int, text: str) ->
 
 
 def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old: Column | None = None, text: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, h1, h2, old, shard, slot`` of every row; ``h1, h2`` are hashes of its text.
+    """``doc_id, size, text_crc32, h1, h2, old, shard, slot, dealt`` of every row; ``h1, h2`` are hashes of its text.
 
     ``old`` is a row's present shard (0, 1, ..., not null); without it, rows count as
     dealt to ``old_shards`` by a hash of their text. Size is the UTF-8 bytes of
@@ -127,7 +127,8 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old: Column |
     to a block, about 1/500 of an old shard, or the largest document.
 
     Equal texts go to one shard (null counts as an empty text), unless together
-    they are larger than half a shard: such a group is dealt out by ``doc_id``.
+    they are larger than half a shard: such a group is dealt out by ``doc_id``,
+    and ``dealt`` says so.
     Repeated rows are rows of their own. Slots count from 0 within a shard
     without gaps. An empty table gives an empty result.
     """
@@ -153,7 +154,7 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old: Column |
         placed = placed.withColumn("home", F.when(dealt, F.col("old")).otherwise(F.col("home"))).withColumn("mixed", F.col("mixed") & ~dealt)
     alone = F.concat_ws(":", F.lit("g"), "h1", "h2", F.pmod(F.xxhash64("doc_id", "size", F.lit(3)), F.greatest("ways", F.lit(1))), *(["home"] if old is not None else []))
     key = F.when(F.col("ways").isNull(), F.concat_ws(":", F.when(F.col("mixed"), "m").otherwise("b"), "home", F.pmod("h1", F.lit(BUCKETS)))).otherwise(alone)
-    placed = placed.select("doc_id", "size", "text_crc32", "h1", "h2", "old", "home", "mixed", key.alias("key"))
+    placed = placed.select("doc_id", "size", "text_crc32", "h1", "h2", "old", "home", "mixed", key.alias("key"), F.coalesce(F.col("ways") > 1, F.lit(False)).alias("dealt"))
     placed = materialize(placed, "placed")
 
     parts = placed.groupBy("key", "home", "mixed", "old").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("key", "old").toPandas()
@@ -171,25 +172,28 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old: Column |
 
     # rows are numbered in runs of a bounded number; the runs of a shard follow one another
     placed = placed.join(F.broadcast(where), "key").withColumn("run", F.pmod(F.xxhash64("doc_id", "h1", F.lit(5)), F.col("runs")))
-    placed = placed.select("doc_id", "size", "text_crc32", "old", "shard", "key", "run", "h1", "h2")
+    placed = placed.select("doc_id", "size", "text_crc32", "old", "shard", "key", "run", "h1", "h2", "dealt")
     counts = placed.groupBy("shard", "key", "run").agg(F.count("*").alias("n"))
     begin = counts.withColumn("begin", F.sum("n").over(Window.partitionBy("shard").orderBy("key", "run").rowsBetween(Window.unboundedPreceding, -1)))
     begin = begin.select("key", "run", F.coalesce("begin", F.lit(0)).alias("begin"))
     nth = F.row_number().over(Window.partitionBy("key", "run").orderBy("h1", "h2", "doc_id", "size"))
-    return placed.withColumn("nth", nth).join(begin, ["key", "run"]).select("doc_id", "size", "text_crc32", "h1", "h2", "old", "shard", (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"))
+    return placed.withColumn("nth", nth).join(begin, ["key", "run"]).select("doc_id", "size", "text_crc32", "h1", "h2", "old", "shard", (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"), "dealt")
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Write every shard that gains or loses rows, as a whole, one folder each, to the new folder ``path``.
 
     ``placed`` is what ``reshard`` made of ``docs``. Returns the shards that are
-    affected; one of them without a folder has no rows any more.
+    affected; one of them without a folder has no rows any more. Rows that repeat
+    are written as often as they are there, nulls and columns of any names as
+    they are; ``_old``, ``_shard``, ``_slot`` and ``_dealt`` are added and must
+    not be among them.
     """
     changed = placed.where("old <> shard")
     affected = sorted(r[0] for r in changed.select("shard").union(changed.select("old")).distinct().collect())
     # rows of equal ids and texts are numbered on both sides and meet one to one
     nth = lambda by: F.row_number().over(Window.partitionBy("_id", "_h1", "_h2").orderBy(by))
-    new = placed.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("old").alias("_old"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    new = placed.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("old").alias("_old"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("dealt").alias("_dealt"))
     new = new.withColumn("_nth", nth(F.struct("_shard", "_slot"))).where(F.col("_shard").isin(affected))
     t = F.coalesce(F.col("text"), F.lit(""))
     whole = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
@@ -197,11 +201,31 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     keys = ["_id", "_h1", "_h2", "_nth"]
     same = [own[k].eqNullSafe(new[k]) for k in keys]
     both = own.join(new, same[0] & same[1] & same[2] & same[3])
-    both.select(*(own[c] for c in docs.columns), "_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    both.select(*(own[c] for c in quoted(*docs.columns)), "_old", "_shard", "_slot", "_dealt").write.partitionBy("_shard").parquet(path)
     return affected
 
 
 def reshard_report(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """Placement with the law it follows; ``grown_shard`` belongs to another law and is null."""
-    out = reshard(docs.select("doc_id", "text"), shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, group_dealt`` of every row, from the rewritten files.
+
+    Affected shards are written as files; their rows, sizes and checksums are
+    read from there, those of unaffected shards from the documents. The law is
+    bytes; ``grown_shard`` belongs to another law and is null. ``group_dealt``
+    marks copies of a text that together are larger than half a shard and are
+    dealt over several. Null texts have size 1. An empty table gives an empty
+    result; further columns are ignored.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    placed = materialize(reshard(docs, shards), "shards")
+    path = new_folder(spark, "rewritten")
+    affected = write_shards(docs, placed, path)
+    t = F.coalesce(F.col("text"), F.lit(""))
+    names = ["doc_id", "size", "text_crc32", "shard", "slot", "old", "dealt"]
+    out = placed.where(~F.col("shard").isin(affected)).select(*names)
+    if affected:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        files = spark.read.schema(f"doc_id {kind}, text string, _old int, _slot long, _dealt boolean, _shard int").parquet(path)
+        files = files.select("doc_id", (F.octet_length(t) + F.lit(1)).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.col("_old").alias("old"), F.col("_dealt").alias("dealt"))
+        out = files.unionByName(out)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"), F.col("dealt").alias("group_dealt"))

@@ -45,13 +45,35 @@ def _clean() -> None:
             drop(spark, path)
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one; :func:`release` deletes it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def quoted(*names: str) -> list[str]:
+    """Column names as SQL and ``select`` take them literally, dots and all."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under plain names, as Arrow functions take no odd ones."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+
+
+def integral_ids(docs: DataFrame) -> None:
+    """Raise where ``doc_id`` is no integer column, as rows are keyed and ordered by it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id must be an integer column, not {kind}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +111,8 @@ def extend(docs: DataFrame, fn, fields: list[tuple[str, str]], text: str = "text
     ``fn`` takes the UTF-8 texts of a batch (None for null) and returns one Arrow
     array per field; ``done`` is called at a task's end. Rows are neither moved
     nor reordered. Python workers outlive tasks, so what they hold is given back.
+    Columns may have any names, but those of ``fields`` must be new. The bound on
+    Arrow batches stays set in the session, as plans run later.
     """
     import pyarrow as pa
 
@@ -109,8 +133,8 @@ def extend(docs: DataFrame, fn, fields: list[tuple[str, str]], text: str = "text
                 done()
             pa.default_memory_pool().release_unused()
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{c}` {kind}" for c, kind in fields])
-    return docs.select(F.col(text).alias("_text_"), *keep).mapInArrow(run, schema)
+    schema = ", ".join([f"{c} {kinds[k]}" for c, k in zip(quoted(*keep), keep, strict=True)] + [f"{quoted(c)[0]} {kind}" for c, kind in fields])
+    return numbered(docs.select(F.col(*quoted(text)).alias(fresh("_text_", docs.columns)), *quoted(*keep))).mapInArrow(run, schema)
 
 
 def small_batches(spark: SparkSession) -> None:
