@@ -191,17 +191,23 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """
     changed = placed.where("old <> shard")
     affected = sorted(r[0] for r in changed.select("shard").union(changed.select("old")).distinct().collect())
-    # rows of equal ids and texts are numbered on both sides and meet one to one
-    nth = lambda by: F.row_number().over(Window.partitionBy("_id", "_h1", "_h2").orderBy(by))
+    keys = ["_id", "_h1", "_h2"]
     new = placed.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("old").alias("_old"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("dealt").alias("_dealt"))
-    new = new.withColumn("_nth", nth(F.struct("_shard", "_slot"))).where(F.col("_shard").isin(affected))
-    t = F.coalesce(F.col("text"), F.lit(""))
-    whole = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
-    own = docs.select("*", F.col("doc_id").alias("_id"), F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(7), t).alias("_h2")).withColumn("_nth", nth(whole))
-    keys = ["_id", "_h1", "_h2", "_nth"]
-    same = [own[k].eqNullSafe(new[k]) for k in keys]
-    both = own.join(new, same[0] & same[1] & same[2] & same[3])
-    both.select(*(own[c] for c in quoted(*docs.columns)), "_old", "_shard", "_slot", "_dealt").write.partitionBy("_shard").parquet(path)
+    place = ["_old", "_shard", "_slot", "_dealt"]
+    first = new.groupBy(keys).agg(F.count("*").alias("_times"), *(F.min(c).alias(c) for c in place))
+    t = F.coalesce(F.col(*quoted("text")), F.lit(""))
+    own = docs.select("*", F.col("doc_id").alias("_id"), F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(7), t).alias("_h2"))
+    both = own.join(first, own["_id"].eqNullSafe(first["_id"]) & (own["_h1"] == first["_h1"]) & (own["_h2"] == first["_h2"])).drop(first["_id"], first["_h1"], first["_h2"])
+    columns = quoted(*docs.columns)
+    single = both.where("_times = 1").select(*columns, *place)
+    # rows of equal ids and texts are numbered on both sides and meet one to one
+    nth = lambda by: F.row_number().over(Window.partitionBy(keys).orderBy(by))
+    whole = F.xxhash64(*(c for c, (_, kind) in zip(columns, docs.dtypes, strict=True) if "map<" not in kind and kind != "variant"))
+    copies = both.where("_times > 1").drop(*place).withColumn("_nth", nth(whole))
+    places = new.withColumn("_nth", nth(F.struct("_shard", "_slot")))
+    same = [copies[k].eqNullSafe(places[k]) for k in [*keys, "_nth"]]
+    copies = copies.join(places, same[0] & same[1] & same[2] & same[3]).select(*(copies[c] for c in columns), *place)
+    single.unionByName(copies).where(F.col("_shard").isin(affected)).write.partitionBy("_shard").parquet(path)
     return affected
 
 
