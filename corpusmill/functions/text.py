@@ -74,8 +74,8 @@ def safe_id(name: Column) -> Column:
 
 
 def numbered_id(prefix: Column, kind: str, n: Column) -> Column:
-    """``prefix_KIND_007``"""
-    return F.concat(prefix, F.lit(f"_{kind}_"), F.lpad(n.cast("string"), 3, "0"))
+    """``prefix_KIND_007``; numbers from 1000 on stand as they are."""
+    return F.concat(prefix, F.lit(f"_{kind}_"), F.format_string("%03d", n.cast("long")))
 
 
 def uuid5(name: Column, namespace: str = DNS_NAMESPACE) -> Column:
@@ -152,3 +152,18 @@ def excerpt(text: Column, n: int) -> Column:
 def tagged(text: Column, patterns: dict[str, str]) -> Column:
     """Sorted concept ids of the patterns that occur, without regard to case."""
     return F.array_sort(F.array_compact(F.array(*(F.when(text.rlike(f"(?i){p}"), concept_id(F.lit(name))) for name, p in patterns.items()))))
+
+
+def map_strings(kind, column, f):
+    """``f`` applied to every string inside a nested value."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.StringType):
+        return f(column)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: map_strings(kind.elementType, x, f))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda k, v: map_strings(kind.valueType, v, f))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*(map_strings(x.dataType, column[x.name], f).alias(x.name) for x in kind.fields)))
+    return column

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import concept_name
+
 #: Words of queries that are broadcast at most.
 WORDS = 100_000
 
@@ -88,3 +92,148 @@ def triples(edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> Dat
     b = nodes.select(F.col("id").alias("dst"), F.coalesce("name", "id").alias("target"))
     out = edges.join(a, "src").join(b, "dst").select("source", "type", "target").orderBy("source", "type", "target")
     return out if limit is None else out.limit(limit)
+
+
+class Graph(NamedTuple):
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def _edges_to(rows: DataFrame, src: str, items: str, kind: str) -> DataFrame:
+    each = rows.select(F.col(src).alias("src"), F.explode(items).alias("dst")).where("dst <> ''")
+    return each.select("src", "dst", F.lit(kind).alias("type"))
+
+
+def _ends(edges: DataFrame, label: str, side: str = "dst", name: Column | None = None) -> DataFrame:
+    return edges.select(F.col(side).alias("id"), F.lit(label).alias("label"), (F.lit(None).cast("string") if name is None else name).alias("name")).distinct()
+
+
+def _nodes(rows: DataFrame, key: str, label: str, name: str | None = None) -> DataFrame:
+    return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.lit(label).alias("label"), (F.col(name) if name else F.lit(None)).cast("string").alias("name"))
+
+
+def judgment_graph(chunks: DataFrame) -> Graph:
+    """Cases, chunks, sections, concepts and cited cases of judgment chunks, every node and edge once.
+
+    ``chunks(chunk_id, case_id, text, legal_references, legal_concepts, cited_cases)``.
+    """
+    has = chunks.select(F.col("case_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("HAS_CHUNK").alias("type"))
+    refers, discusses = _edges_to(chunks, "chunk_id", "legal_references", "REFERS_TO"), _edges_to(chunks, "chunk_id", "legal_concepts", "DISCUSSES")
+    cites, mentions = _edges_to(chunks, "case_id", "cited_cases", "CITES_CASE"), _edges_to(chunks, "chunk_id", "cited_cases", "DISCUSSES_CASE")
+    nodes = merge_nodes(_nodes(chunks, "case_id", "Case"), _nodes(chunks, "chunk_id", "Chunk", "text"), _ends(refers, "StatuteSection"), _ends(discusses, "LegalConcept", name=concept_name(F.col("dst"))), _ends(mentions, "CitedCase", name=F.col("dst")))
+    return Graph(nodes, merge_edges(has, refers, discusses, cites, mentions))
+
+
+def statute_graph(chunks: DataFrame) -> Graph:
+    """Acts, sections, chunks, references, concepts and correspondences of statute chunks, every node and edge once.
+
+    ``chunks(chunk_id, act_id, section_id, title, text, legal_references,
+    legal_concepts, predecessor_references, successor_references)``.
+    """
+    pair = lambda a, b, kind: chunks.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("type"))
+    refers, discusses = _edges_to(chunks, "section_id", "legal_references", "REFERS_TO"), _edges_to(chunks, "chunk_id", "legal_concepts", "DISCUSSES")
+    after, before = _edges_to(chunks, "section_id", "successor_references", "CORRESPONDS_TO"), _edges_to(chunks, "section_id", "predecessor_references", "CORRESPONDS_TO")
+    before = before.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    nodes = merge_nodes(
+        _nodes(chunks, "act_id", "Act"), _nodes(chunks, "section_id", "StatuteSection", "title"), _nodes(chunks, "chunk_id", "Chunk", "text"),
+        _ends(refers, "StatuteSection"), _ends(after, "StatuteSection"), _ends(before, "StatuteSection", "src"), _ends(discusses, "LegalConcept", name=concept_name(F.col("dst"))),
+    )
+    return Graph(nodes, merge_edges(pair("act_id", "section_id", "HAS_SECTION"), pair("section_id", "chunk_id", "HAS_CHUNK"), refers, discusses, after, before))
+
+
+def with_endpoints(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """The nodes, and for every end of an edge that is none yet a node of that label."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("id").distinct(), "id", "left_anti")
+    return nodes.select("id", "label", "name").unionByName(ends.select("id", F.lit(label).alias("label"), F.lit(None).cast("string").alias("name")))
+
+
+def violations(nodes: DataFrame, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """``(label, id, n)`` of ids that a label has more than once, or that are null; none where the graph is sound."""
+    some = nodes if labels is None else nodes.where(F.col("label").isin(*labels))
+    return some.groupBy("label", "id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
+
+
+def anchor_routes(queries: DataFrame, nodes: DataFrame, *, fulltext: int = 20, cases: int = 5, query: str = "query_id") -> DataFrame:
+    """``(query, id, route)``: the nodes at which the graph is entered, by four routes.
+
+    ``queries(query_id, text, words, sections)``. Explicit: sections that the
+    query names. Concept: concepts whose id or name contains a word of it.
+    Fulltext: chunks whose text contains all of it, the first ``fulltext``. Case:
+    cases, and cited cases by name too, that contain it, the first ``cases`` of each kind.
+    """
+    explicit = queries.select(query, F.explode("sections").alias("id")).join(nodes.where("label = 'StatuteSection'").select("id"), "id").select(query, "id", F.lit("explicit").alias("route"))
+    concepts = nodes.where("label = 'LegalConcept'").select("id", F.concat_ws("\n", "name", "id").alias("name"))
+    concept = anchors(queries, concepts, query=query)
+    whole = queries.select(query, F.array(F.lower(F.trim("text"))).alias("words")).where("words[0] <> ''")
+
+    def containing(some: DataFrame, route: str, limit: int) -> DataFrame:
+        return anchors(whole, some, query=query, limit=limit).select(query, "id", F.lit(route).alias("route"))
+
+    chunk = containing(nodes.where("label = 'Chunk'"), "fulltext", fulltext)
+    case = containing(nodes.where("label = 'Case'").select("id", F.col("id").alias("name")), "case", cases)
+    cited = containing(nodes.where("label = 'CitedCase'").select("id", F.concat_ws("\n", "id", "name").alias("name")), "case", cases)
+    return explicit.unionByName(concept).unionByName(chunk).unionByName(case).unionByName(cited).distinct()
+
+
+def traverse(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, *, query: str = "query_id", node: str = "node") -> DataFrame:
+    """Per query three sorted sets of ids around its nodes: ``statutes``, ``judgments`` (chunks) and ``cited_cases``.
+
+    From a section: sections within ``depth`` steps of correspondence, reference
+    or discussion, and chunks within ``depth`` references. From a concept: the
+    chunks that discuss it; from a case: its chunks; a chunk stands for itself.
+    Sections are also those that such chunks (but a section's own) refer to, and
+    cited cases those of the cases of all chunks, and of the case itself. Each
+    set has its own frontier, so nothing is multiplied.
+    """
+    label = nodes.select(F.col("id").alias("node"), "label")
+    at = start.select(query, F.col(node).alias("node")).distinct().join(label, "node")
+    of = lambda *kinds: at.where(F.col("label").isin(*kinds)).select(query, "node")
+    kind = lambda *types: edges.where(F.col("type").isin(*types)).select("src", "dst", "type")
+    ids = lambda *labels: nodes.where(F.col("label").isin(*labels)).select(F.col("id").alias("node"))
+    hop = lambda rows, e: rows.select(query, F.col("node").alias("src")).join(e, "src").select(query, F.col("dst").alias("node")).distinct()
+    both = lambda *types: both_ways(kind(*types))
+    back = lambda *types: kind(*types).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+    sections = of("StatuteSection")
+    near = reach(sections, kind("CORRESPONDS_TO", "REFERS_TO", "DISCUSSES"), depth, query=query).select(query, "node").join(ids("StatuteSection"), "node")
+    read = reach(sections, kind("REFERS_TO"), depth, query=query).select(query, "node").join(ids("Chunk"), "node")
+    own = of("Chunk").unionByName(hop(of("LegalConcept"), back("DISCUSSES")).join(ids("Chunk"), "node").select(query, "node")).unionByName(hop(of("Case", "CitedCase"), kind("HAS_CHUNK")).join(ids("Chunk"), "node").select(query, "node")).distinct()
+    told = hop(own, kind("REFERS_TO")).join(ids("StatuteSection"), "node")
+    chunks = read.select(query, "node").unionByName(own)
+    cases = hop(chunks, back("HAS_CHUNK")).join(ids("Case"), "node").select(query, "node").unionByName(of("Case", "CitedCase")).distinct()
+    cited = hop(cases, both("CITES_CASE")).join(ids("CitedCase"), "node")
+    rows = near.select(query, "node", F.lit("s").alias("k")).unionByName(told.select(query, "node", F.lit("s").alias("k"))).unionByName(chunks.select(query, "node", F.lit("j").alias("k"))).unionByName(cited.select(query, "node", F.lit("c").alias("k")))
+    rows = start.select(query, F.lit(None).cast("string").alias("node"), F.lit("").alias("k")).unionByName(rows)
+    pick = lambda k: F.array_sort(F.collect_set(F.when(F.col("k") == k, F.col("node"))))
+    return rows.groupBy(query).agg(pick("s").alias("statutes"), pick("j").alias("judgments"), pick("c").alias("cited_cases"))
+
+
+def chain_counts(start: DataFrame, key: str, *links: tuple[DataFrame, str, dict[str, str]]) -> DataFrame:
+    """Distinct targets along a chain of optional edges, per start row.
+
+    Every link is ``(table, column, targets)``: the table is joined on the column
+    that the step before has as well, ``targets`` are result names and columns
+    to count. Each target has a frontier of its own without repeats, so several
+    targets don't multiply.
+    """
+    out, front = start.select(key).distinct(), start.select(key).distinct()
+    for rows, on, targets in links:
+        front = front.join(rows, on, "left") if on in front.columns else front
+        for name, column in targets.items():
+            n = front.where(F.col(column).isNotNull()).select(key, column).distinct().groupBy(key).agg(F.count("*").alias(name))
+            out = out.join(n, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        front = front.distinct()
+    return out
+
+
+def linked_context(parents: DataFrame, key: str, children: DataFrame, on: str, item: str, limit: int) -> DataFrame:
+    """Per parent how many children it has, and the first ``limit`` of them joined by commas; 0 and empty for none.
+
+    Only the first are gathered, so a parent of any size fits in a task.
+    """
+    each = children.select(F.col(on).alias(key), item).where(F.col(item).isNotNull())
+    counts = each.groupBy(key).agg(F.count("*").alias("n"))
+    first = each.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(item))).where(F.col("_n") <= limit)
+    shown = first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(item)).cast("array<string>"), ",").alias("items"))
+    out = parents.join(counts, key, "left").join(shown, key, "left")
+    return out.withColumns({"n": F.coalesce("n", F.lit(0)), "items": F.coalesce("items", F.lit(""))})

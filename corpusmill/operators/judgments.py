@@ -9,6 +9,7 @@ from ..functions.references import judgment_references
 from ..functions.rules import ACT_PATTERNS, CASE_CONCEPTS, CHUNK_CONCEPTS, OFFENCES, judgment_rewrites
 from ..functions.text import estimated_tokens, judge_names, numbered_id, rewritten, slug, spacing, squeezed, tagged, title_case_versus
 from . import chunking, structure
+from .collection import totals, united
 
 
 def clean_lines(pages: DataFrame) -> DataFrame:
@@ -133,10 +134,33 @@ def section_chunks(found: DataFrame) -> DataFrame:
     topics = heads.select("doc_id", F.lit("LEGAL_TOPIC").alias("kind"), F.posexplode(F.filter(structure.topics(F.col("text")), new)).alias("n", "text")).select("doc_id", "kind", "n", F.col("text").alias("topic_heading"), "text", none.alias("related_paragraphs"))
     all_ = issue.unionByName(notes).unionByName(topics)
     seq = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("n"))
-    padded = F.concat(slug(F.col("doc_id")), F.lit("_"), F.col("kind"), F.lit("_"), F.lpad(seq.cast("string"), 3, "0"))
+    padded = F.concat(slug(F.col("doc_id")), F.lit("_"), F.col("kind"), F.lit("_"), F.format_string("%03d", seq))
     return all_.select(padded.alias("chunk_id"), F.col("doc_id").alias("case_id"), F.lit("judgment").alias("document_type"), F.lower("kind").alias("chunk_type"), "topic_heading", "text", "related_paragraphs", judgment_references(F.col("text")).alias("legal_references"), tagged(F.col("text"), CHUNK_CONCEPTS).alias("legal_concepts"), estimated_tokens(F.col("text")).alias("token_count"))
 
 
+def all_chunks(found: DataFrame, paras: DataFrame, citations: DataFrame | None = None) -> DataFrame:
+    """Issue, headnote, topic and judgment chunks of all cases in one table."""
+    return united(section_chunks(found), judgment_chunks(paras, citations))
+
+
+def case_text(found: DataFrame, judgments: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, text)``: the sections of each case in the order of ``at``, then its judgment, joined by line feeds.
+
+    A section's text is its ``text``, or its items' headings and texts.
+    """
+    items = F.flatten(F.transform(F.coalesce("items", F.expr("cast(array() as array<struct<heading:string,text:string>>)")), lambda x: F.array(F.concat(F.coalesce(x["heading"], F.lit("")), F.lit("\n"), F.coalesce(x["text"], F.lit(""))))))
+    rows = found.select("doc_id", F.lit(0).alias("last"), "at", F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(F.col("text")).alias("text"))
+    if judgments is not None:
+        rows = rows.unionByName(judgments.select("doc_id", F.lit(1).alias("last"), F.lit(0).cast(found.schema["at"].dataType).alias("at"), F.coalesce("text", F.lit("")).alias("text")))
+    parts = F.array_sort(F.collect_list(F.struct("last", "at", "text")))
+    return rows.where("text is not null").groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+
+
+def qa_totals(found: DataFrame, by: str = "section") -> DataFrame:
+    """Per section how many there are, their characters, and the tables that they mark."""
+    return totals(found, by, {"chars": F.length("text"), "n_tables": F.regexp_count("text", F.lit(r"\[TABLE\]"))})
+
+
 def case_analysis(cases: DataFrame, text: str = "text") -> DataFrame:
     """Per case the acts it names, its provisions, concepts and offences."""
     acts = F.array_compact(F.array(*(F.when(F.col(text).rlike(f"(?i){p}"), a) for a, p in ACT_PATTERNS.items())))

@@ -65,6 +65,34 @@ def build_context(cards: DataFrame, group: str, order: list[str], line: Column,
     return cards.groupBy(group).agg(text.alias("context"), F.count("*").alias("n_parts"))
 
 
+def with_fallback(*providers: Callable, tries: int = 2, delay: float = 1.5) -> Callable:
+    """A function for ``mapInPandas`` out of providers, each a function of one batch: the first is tried
+    ``tries`` times, ``delay`` seconds apart, then the next; the last one's error is raised."""
+
+    def run(batches):
+        import time
+
+        for pdf in batches:
+            error = None
+            for provider in providers:
+                for attempt in range(tries):
+                    try:
+                        out = provider(pdf)
+                        break
+                    except Exception as e:  # whatever a remote provider raises
+                        error = e
+                        if attempt + 1 < tries:
+                            time.sleep(delay)
+                else:
+                    continue
+                break
+            else:
+                raise error
+            yield out
+
+    return run
+
+
 def answer(questions: DataFrame, respond: Callable | None = None) -> DataFrame:
     """Answers through a pluggable ``mapInPandas`` function; without one, the offline answer cites all it was given."""
     if respond is not None:

@@ -86,10 +86,10 @@ def plain(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None,
     return laws, cases
 
 
-def compare(queries: DataFrame, statutes: DataFrame, edges: DataFrame | None, nodes: DataFrame | None = None, *, k: int = 3) -> DataFrame:
+def compare(queries: DataFrame, statutes: DataFrame, edges: DataFrame | None, nodes: DataFrame | None = None, *, k: int = 3, bulk: bool = False) -> DataFrame:
     """Sections that the hybrid search adds to the plain one."""
-    hybrid, _ = research(queries, statutes, None, edges, nodes, k_statutes=k)
-    base, _ = plain(queries, statutes, None, k_statutes=k)
+    hybrid, _ = research(queries, statutes, None, edges, nodes, k_statutes=k, bulk=bulk)
+    base, _ = plain(queries, statutes, None, k_statutes=k, bulk=bulk)
     return retrieval.additions(hybrid, base, ["query_id", "section_id"]).select("query_id", "section_id", "rank")
 
 
@@ -110,9 +110,9 @@ def related_cards(related_csv: DataFrame, statutes: DataFrame, ids: str = "relat
     return each.join(first, "section_id").select("query_id", "pos", "section_id", "s.act", "s.title", excerpt(F.col("s.text"), chars).alias("excerpt"))
 
 
-def ask(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, edges: DataFrame | None = None, nodes: DataFrame | None = None, respond=None) -> DataFrame:
+def ask(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, edges: DataFrame | None = None, nodes: DataFrame | None = None, respond=None, *, bulk: bool = False) -> DataFrame:
     """Grounded answers: only retrieved sections may be cited, and none means out of scope."""
-    laws, _ = research(queries, statutes, judgments, edges, nodes)
+    laws, _ = research(queries, statutes, judgments, edges, nodes, bulk=bulk)
     context = postprocess.build_context(laws, "query_id", ["rank"], F.concat(F.lit("["), "section_id", F.lit("] "), excerpt(F.col("text"), 600)), 700)
     ids = laws.groupBy("query_id").agg(F.array_sort(F.collect_set("section_id")).alias("valid_ids"))
     given = queries.select("query_id", "query_text").join(context, "query_id", "left").join(ids, "query_id", "left").withColumn("valid_ids", F.coalesce("valid_ids", F.expr("cast(array() as array<string>)")))
@@ -127,6 +127,43 @@ def triage(reports: DataFrame, statutes: DataFrame, edges: DataFrame | None = No
     return postprocess.prefer_current(postprocess.drop_procedural(cards), "query_id", F.col("act"))
 
 
+def judged(reports: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """Triage results of each report: proposed offences that were retrieved, no procedure, current law first.
+
+    ``candidates(query_id, source_id, title, act, related_id)`` are proposed,
+    ``known(source_id, title, act)`` retrieved. A related id that was not
+    retrieved becomes null; a report that keeps no candidate is out of scope.
+    """
+    kept = postprocess.enrich(candidates, known, "source_id", ["title", "act"])
+    kept = postprocess.nullify_dangling(kept, known.select(F.col("source_id").alias("_k_id")), "related_id", "_k_id")
+    kept = postprocess.prefer_current(postprocess.drop_procedural(kept), "query_id", F.col("act"))
+    some = kept.groupBy("query_id").agg(F.array_sort(F.collect_list("source_id")).alias("offences"))
+    out = reports.select("query_id").join(some, "query_id", "left").withColumn("offences", F.coalesce("offences", F.expr("cast(array() as array<string>)")))
+    return out.withColumn("out_of_scope", F.size("offences") == 0)
+
+
+def trace(queries: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFrame:
+    """What the graph contributes to each query: what it names, its anchors by route, and what is around them."""
+    parsed = parse(queries)
+    asked = parsed.select("query_id", F.col("query_text").alias("text"), query_words(F.col("query_text")).alias("words"), F.col("intent.sections").alias("sections"))
+    entered = graph.anchor_routes(asked, nodes)
+    around = graph.traverse(entered.select("query_id", F.col("id").alias("node")), nodes, edges, depth)
+    routes = entered.groupBy("query_id").agg(F.array_sort(F.collect_set(F.concat_ws("=", "route", "id"))).alias("anchors"))
+    return asked.select("query_id", "sections").join(routes, "query_id", "left").join(around, "query_id", "left")
+
+
+def health(**tables: DataFrame) -> dict[str, bool]:
+    """Whether each table can be read."""
+    out = {}
+    for name, df in tables.items():
+        try:
+            df.take(1)
+            out[name] = True
+        except Exception:  # whatever keeps a source from being read
+            out[name] = False
+    return out
+
+
 def stats(**tables: DataFrame) -> dict[str, int]:
     return {name: df.count() for name, df in tables.items()}
 

@@ -23,7 +23,9 @@ def consolidated(raw: DataFrame) -> DataFrame:
     arrays = ["subsections", *ITEMS, "legal_concepts"]
     filled = raw.withColumns({a: F.coalesce(a, F.expr(f"cast(array() as {raw.schema[a].dataType.simpleString()})")) for a in arrays})
     out = provisions.merge_sections(filled, "section_id", "at", ["act_id", "section_number", "title", "predecessor_act", "successor_act"], "text", arrays)
-    return out.withColumn("subsections", stitched(F.col("subsections"))).withColumn("explanations", joined(F.col("explanations")))
+    out = out.withColumn("subsections", stitched(F.col("subsections"))).withColumn("explanations", joined(F.col("explanations")))
+    kept = stitched_exceptions(F.col("exceptions"), F.col("text"))
+    return out.withColumn("_x", kept).withColumns({"exceptions": F.col("_x.items"), "text": F.col("_x.main")}).drop("_x")
 
 
 def stitched(subs: Column) -> Column:
@@ -58,6 +60,31 @@ def joined(items: Column) -> Column:
     return F.aggregate(items, begin, step)
 
 
+def stitched_exceptions(items: Column, main: Column) -> Column:
+    """``struct<items, main>``: exceptions with unnumbered fragments joined to the one before; leading ones go to the main text."""
+    begin = F.struct(F.expr("cast(array() as array<struct<label:string,text:string>>)").alias("items"), F.coalesce(main, F.lit("")).alias("main"))
+
+    def step(a: Column, x: Column) -> Column:
+        label, t = F.trim(F.coalesce(x["label"], F.lit(""))), F.trim(F.coalesce(x["text"], F.lit("")))
+        numbered = label.rlike(r"\b\d+\b") | t.rlike(r"^\s*\d+[.\-]")
+        last = F.try_element_at(a["items"], F.lit(-1))
+        more = F.struct(last["label"].alias("label"), F.trim(F.concat(last["text"], F.lit(" "), t)).alias("text"))
+        head = F.slice(a["items"], F.lit(1), F.greatest(F.size(a["items"]) - 1, F.lit(0)))
+        none = F.size(a["items"]) == 0
+        listed = F.when((t == "") | (~numbered & none), a["items"]).when(~numbered, F.concat(head, F.array(more))).otherwise(F.concat(a["items"], F.array(F.struct(label.alias("label"), t.alias("text")))))
+        text = F.when((t != "") & ~numbered & none, F.trim(F.concat(a["main"], F.lit(" "), t))).otherwise(a["main"])
+        return F.struct(listed.alias("items"), text.alias("main"))
+
+    return F.aggregate(F.coalesce(items, F.expr("cast(array() as array<struct<label:string,text:string>>)")), begin, step)
+
+
+def section_counts(sections: DataFrame) -> DataFrame:
+    """Per act its sections, how many have each kind of part, and all units."""
+    have = {f"with_{c}": F.count_if(F.size(c) > 0) for c in ("subsections", *ITEMS)}
+    units = F.sum(sum((F.greatest(F.size(c), F.lit(0)) for c in ("subsections", *ITEMS)), F.lit(1)))
+    return sections.groupBy("act_id").agg(F.count("*").alias("sections"), *(c.alias(name) for name, c in have.items()), units.alias("units"))
+
+
 def chunks(sections: DataFrame) -> DataFrame:
     """One chunk per section: assembled and cleaned text, references but to itself, concepts declared and found."""
     numbered = F.transform("subsections", lambda s: F.when(s["text"].startswith(F.concat(F.lit("("), s["subsection_number"], F.lit(")"))), s["text"]).otherwise(F.concat(F.lit("("), s["subsection_number"], F.lit(") "), s["text"])))
@@ -113,7 +140,7 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def correspondence_edges(maps: DataFrame) -> DataFrame:
-    """Edges of files ``(mapping, mappings)``."""
+    """Edges of files ``(mapping, mappings)``; :func:`graph.with_endpoints` makes their ends."""
     return maps.select(F.explode("mappings").alias("m")).select(F.col("m.source_section").alias("src"), F.col("m.target_section").alias("dst"), F.lit("CORRESPONDS_TO").alias("type"))
 
 

@@ -74,6 +74,8 @@ def section_buckets(lines: DataFrame, group: str, order: list[str], line: str =
     return df.withColumn("section", section).withColumn("_opens", opens).where(~F.col("_opens") & ~F.col("_end") & F.col("section").isNotNull()).drop("_h", "_end", "_j", "_s", "_opens")
 
 
+#: Fixed value: the beginning of a line that opens a topic.
+TOPIC_HEADING = r"^[A-Z][A-Za-z\s–—\-]+(?:–|-|:)"
 _PARAS = r"\[\s*Paras?\s+([\d,\s\-]+)\s*\]"
 
 
@@ -101,9 +103,17 @@ def propositions(text: Column) -> Column:
 
 
 def topics(text: Column) -> Column:
-    """Entries of a headnote that end in a paragraph mark, white space squeezed."""
+    """Entries of a headnote that end in a paragraph mark, white space squeezed.
+
+    Without any mark, an entry begins at each line that opens with a heading.
+    """
+    squeeze = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     marked = F.split(F.regexp_replace(text, r"(\[Paras?\s+[^\]]+\])", "$1\u0001"), "\u0001")
-    return F.filter(F.transform(marked, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x.rlike(r"\[Paras?\s+[^\]]+\]$"))
+    found = F.filter(F.transform(marked, squeeze), lambda x: x.rlike(r"\[Paras?\s+[^\]]+\]$"))
+    lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    headed = F.transform(lines, lambda x, i: F.when((i > 0) & x.rlike(TOPIC_HEADING), F.concat(F.lit("\u0001"), x)).otherwise(x))
+    entries = F.filter(F.transform(F.split(F.array_join(headed, " "), "\u0001"), squeeze), lambda x: x != "")
+    return F.when(F.size(found) > 0, found).otherwise(entries)
 
 
 def list_items(text: Column) -> Column:

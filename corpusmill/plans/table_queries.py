@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import references, text
-from ..operators import graph, postprocess, provisions, quality
-from ..session import table
+from ..operators import collection, containment, graph, postprocess, provisions, quality
+from ..session import shared_path, table
 from ..sources import readers, sinks
 from .registry import query
 
@@ -54,10 +51,9 @@ def graph_reach3(spark, sf_dir):
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
 def graph_left_chain(spark, sf_dir):
     c, o, li = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    # one frontier per target instead of the product of all
-    chain = c.select("c_custkey").join(o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "left")
-    lines = chain.join(li.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey"), "o_orderkey", "left")
-    return lines.groupBy("c_custkey").agg(F.count_distinct("o_orderkey").alias("n_orders"), F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+    orders = o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    lines = li.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
+    return graph.chain_counts(c, "c_custkey", (orders, "c_custkey", {"n_orders": "o_orderkey"}), (lines, "o_orderkey", {"n_parts": "l_partkey", "n_suppliers": "l_suppkey"}))
 
 
 @query("""WITH w AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9_]+'), lambda x: length(x) > 2))) AS word FROM (VALUES (1, 'a red widget'), (2, 'Small ring or bolt')) v(query_id, q)),
@@ -96,8 +92,7 @@ def provision_frequency(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id")
 def type_counts_pivot(spark, sf_dir):
-    of = lambda t: F.count_if(F.col("event_type") == t)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), of("view").alias("views"), of("purchase").alias("purchases"), of("error").alias("errors"))
+    return collection.counts_by_kind(table(spark, sf_dir, "events"), ["user_id"], "event_type", {"views": "view", "purchases": "purchase", "errors": "error"})
 
 
 _FINDINGS = """f AS (SELECT doc_id, source, 'issue' AS severity, 'short' AS message FROM documents WHERE length(text) < 200
@@ -165,9 +160,7 @@ def prefer_current(spark, sf_dir):
 def contains_join(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("title"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    size = b.agg(F.coalesce(F.sum(F.octet_length("title")), F.lit(0))).first()[0]
-    side = F.broadcast(b) if size <= 32 << 20 else b  # titles are a small table; a large one is not broadcast
-    hits = d.join(side.where(F.length("title") > 5), F.contains("t", "title")).groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = containment.contained(d, b, key="doc_id", text="t", title_key="item_id", title="title").groupBy("item_id").agg(F.count("*").alias("n"))
     return b.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
@@ -187,8 +180,8 @@ def metadata_left_join(spark, sf_dir):
 
 @query("SELECT o_custkey, count(*)::INT AS n_orders, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders, coalesce(max(nullif(o_orderstatus, 'X')), '') AS status, CAST(sum(o_totalprice) > 0 AS BOOLEAN) AS has_total FROM orders GROUP BY o_custkey")
 def payload_flatten(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("int").alias("n_orders"), F.array_sort(F.collect_list("o_orderkey")).alias("keys"), F.max(F.nullif("o_orderstatus", F.lit("X"))).alias("s"), F.sum("o_totalprice").alias("t"))
-    return o.select("o_custkey", "n_orders", F.array_join("keys", ",").alias("orders"), F.coalesce("s", F.lit("")).alias("status"), (F.col("t") > 0).alias("has_total"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.array_sort(F.collect_list("o_orderkey")).alias("orders"), F.max(F.nullif("o_orderstatus", F.lit("X"))).alias("status"), (F.sum("o_totalprice") > 0).alias("has_total"))
+    return collection.payload(o, "o_custkey", texts=("status",), numbers=("n_orders",), flags=("has_total",), lists=("orders",))
 
 
 def _delta(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -230,8 +223,8 @@ def array_set_ops(spark, sf_dir):
 
 @query("SELECT o_orderkey, CAST(nth AS INT) AS nth FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, CAST(substr(o_orderpriority, 1, 1) AS INT), o_orderkey) AS nth FROM orders) WHERE nth <= 25")
 def multikey_topk(spark, sf_dir):
-    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), F.substring("o_orderpriority", 1, 1).cast("int"), "o_orderkey").limit(25)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), F.substring("o_orderpriority", 1, 1).cast("int"), "o_orderkey")).alias("nth"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return collection.by_count_and_number(o, 25, "o_totalprice", "o_orderpriority", "o_orderkey").select("o_orderkey", "nth")
 
 
 @query("""SELECT page_id, 'section' AS unit_type, '0' AS unit_number, md5(url) AS text_md5 FROM pages UNION ALL
@@ -244,8 +237,7 @@ def atomic_units(spark, sf_dir):
 
 @query("SELECT conv_id, count(*) AS n, count(DISTINCT role) AS n_roles, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
 def json_roundtrip(spark, sf_dir):
-    folder = spark.conf.get("spark.sql.warehouse.dir") if not spark.sparkContext.master.startswith("local[") else tempfile.mkdtemp(prefix="json-")
-    path = f"{folder}/json-{uuid.uuid4().hex}"
+    path = shared_path(spark, "json")
     sinks.write_json(table(spark, sf_dir, "conversations").withColumn("part", F.col("conv_id") % 4), path, "part")
     back = readers.json_lines(spark, path, "conv_id long, turn long, role string, text string, part int")
     return back.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("role").alias("n_roles"), F.sum(F.length("text")).alias("chars"))
@@ -253,28 +245,17 @@ def json_roundtrip(spark, sf_dir):
 
 @query("SELECT c_mktsegment, count(*) AS n, count(*) > 0 AS found FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = 3 GROUP BY c_mktsegment")
 def keyed_lookup_exists(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_nationkey") == 3))
-    return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), (F.count("*") > 0).alias("found"))
-
-
-@query("""WITH v AS (SELECT doc_id, text, doc_id % 10 = 0 AND length(text) + 6 <= 12000 AS fresh FROM documents)
-SELECT doc_id, CASE WHEN fresh THEN 'new' ELSE 'old' END AS version, count(*) AS n_chunks FROM (SELECT doc_id, fresh, unnest(string_split(CASE WHEN fresh THEN text || chr(10) || 'added' ELSE text END, chr(10))) AS l FROM v) WHERE trim(l) <> '' GROUP BY ALL""")
-def document_upsert(spark, sf_dir):
-    return _upserted(spark, sf_dir, (F.length("text") > 12_000, "long"))
+    return collection.exists_by(table(spark, sf_dir, "customer"), "c_mktsegment", {"c_mktsegment": {"$in": ["BUILDING", "MACHINERY"]}, "c_nationkey": {"$eq": 3}, "c_phone": None})
 
 
 @query("""WITH v AS (SELECT doc_id, text, doc_id % 10 = 0 AS fresh FROM documents)
 SELECT doc_id, CASE WHEN fresh THEN 'new' ELSE 'old' END AS version, count(*) AS n_chunks FROM (SELECT doc_id, fresh, unnest(string_split(CASE WHEN fresh THEN text || chr(10) || 'added' ELSE text END, chr(10))) AS l FROM v) WHERE trim(l) <> '' GROUP BY ALL""")
-def document_upsert_whole(spark, sf_dir):
-    return _upserted(spark, sf_dir)
-
-
-def _upserted(spark, sf_dir, *rules) -> DataFrame:
-    """Chunks by document after updates of every tenth; blank updates are refused, and those under ``rules``."""
+def document_upsert(spark, sf_dir):
+    # blank updates are refused; documents of any length are taken
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     chunks = lambda df, v: df.select("doc_id", F.explode(F.split("text", "\n")).alias("line"), F.lit(v).alias("version")).where("trim(line) <> ''")
     delta = d.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit("\nadded")))
-    new, refused = sinks.rejected(delta, (F.trim("text") == "", "blank"), *rules)
+    new, refused = sinks.rejected(delta, (F.trim("text") == "", "blank"))
     out = sinks.replace_documents(chunks(d, "old"), chunks(new, "new"), "doc_id")
     return out.groupBy("doc_id", "version").agg(F.count("*").alias("n_chunks"))
 
@@ -282,25 +263,10 @@ def _upserted(spark, sf_dir, *rules) -> DataFrame:
 @query("SELECT o_orderkey, upper(replace(o_orderstatus, 'O', 'open')) AS status, upper(replace(o_orderpriority, 'O', 'open')) AS priority, 'COURT:ONE' AS court FROM orders")
 def nested_map(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority")).alias("inner")).alias("m"))
-    o = o.withColumn("m", map_strings(o.schema["m"].dataType, F.col("m"), lambda c: F.upper(F.replace(c, F.lit("O"), F.lit("open")))))
+    o = o.withColumn("m", text.map_strings(o.schema["m"].dataType, F.col("m"), lambda c: F.upper(F.replace(c, F.lit("O"), F.lit("open")))))
     return o.withColumn("m", F.col("m").withField("court", F.lit("COURT:ONE"))).select("o_orderkey", "m.status", "m.inner.priority", "m.court")
 
 
-def map_strings(kind, column, f):
-    """``f`` applied to every string inside a nested value."""
-    from pyspark.sql import types as T
-
-    if isinstance(kind, T.StringType):
-        return f(column)
-    if isinstance(kind, T.ArrayType):
-        return F.transform(column, lambda x: map_strings(kind.elementType, x, f))
-    if isinstance(kind, T.MapType):
-        return F.transform_values(column, lambda k, v: map_strings(kind.valueType, v, f))
-    if isinstance(kind, T.StructType):
-        return F.when(column.isNotNull(), F.struct(*(map_strings(x.dataType, column[x.name], f).alias(x.name) for x in kind.fields)))
-    return column
-
-
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(['P:' || (p_partkey % 7), 'P:' || (p_partkey % 5), 'P:' || p_partkey], lambda r: r <> 'P:' || (p_partkey % 7)))), ',') AS refs FROM part")
 def self_reference_exclusion(spark, sf_dir):
     k = F.col("p_partkey")
@@ -318,15 +284,13 @@ def any_property_contains(spark, sf_dir):
 @query("SELECT d.doc_id, array_to_string(list_filter([CASE WHEN d.text <> '' THEN 'text' END, CASE WHEN l.quality IS NOT NULL THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL), ',') AS fields FROM documents d LEFT JOIN labels l USING (doc_id)")
 def nonempty_fields(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    fields = F.array_compact(F.array(F.when(F.col("text") != "", "text"), F.when(F.col("quality").isNotNull(), "quality"), F.when(F.col("toxic") == 1, "toxic")))
-    return d.select("doc_id", F.array_join(fields, ",").alias("fields"))
+    return d.select("doc_id", F.array_join(collection.present(text=F.col("text"), quality=F.col("quality"), toxic=F.col("toxic") == 1), ",").alias("fields"))
 
 
 @query("SELECT o_orderkey, count(l_orderkey) FILTER (l_returnflag = 'R') = 0 AS passes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def point_assertion(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
-    return o.join(li, "o_orderkey", "left").groupBy("o_orderkey").agg((F.count_if(F.col("l_returnflag") == "R") == 0).alias("passes"))
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    return collection.without_items(o, li, "o_orderkey", F.col("l_returnflag") == "R")
 
 
 @query("SELECT p_partkey, 'Section ' || p_size || ' - ' || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || 'Explanation 1: ' || p_brand || chr(10) || chr(10) || 'Explanation 2: x' AS assembled FROM part")
@@ -343,11 +307,12 @@ def directed_lookup(spark, sf_dir):
     return graph.triples(e, n).select(F.col("source").alias("n_name"), F.col("target").alias("r_name"))
 
 
-@query("SELECT r_name, count(s_suppkey) AS n_suppliers, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS suppliers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name")
+@query("WITH s AS (SELECT n_regionkey, s_suppkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) AS nth FROM nation JOIN supplier ON s_nationkey = n_nationkey) SELECT r_name, count(s_suppkey) AS n_suppliers, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) FILTER (nth <= 20), '') AS suppliers FROM region LEFT JOIN s ON n_regionkey = r_regionkey GROUP BY r_name")
 def context_with_links(spark, sf_dir):
-    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
-    both = r.join(n, F.col("n_regionkey") == F.col("r_regionkey")).join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return both.groupBy("r_name").agg(F.count("s_suppkey").alias("n_suppliers"), F.array_join(F.array_sort(F.collect_list("s_suppkey")), ",").alias("suppliers"))
+    r, n, sup = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    homes = n.join(sup, F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", "s_suppkey")
+    out = graph.linked_context(r.withColumn("n_regionkey", F.col("r_regionkey")), "n_regionkey", homes, "n_regionkey", "s_suppkey", 20)
+    return out.select("r_name", F.col("n").alias("n_suppliers"), F.col("items").alias("suppliers"))
 
 
 @query("SELECT CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'other' END AS name, count(*) AS n, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS variants FROM orders GROUP BY 1")

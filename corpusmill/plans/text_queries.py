@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import references, text
-from ..operators import chunking, provisions, quality, structure
+from ..operators import chunking, collection, judgments, provisions, quality, structure
 from ..session import table
 from .registry import query
 
-# Fixed values of these queries: patterns, rewrites.
+# Fixed values of these queries: patterns.
 TAGS = {"License": r"\blicen[sc]ed?\b", "Email address": r"[a-z0-9._]+@[a-z0-9.]+", "Web address": r"https?://[a-z0-9./-]+", "Digits": r"\d{3,}", "Shouting": "!!"}
-REWRITES = [("Licensed under", "License:"), ("[0-9]+", "#"), ("%%%|###|&&&", ""), ("[ \t]+", " "), ("!!", "!")]
 WORDS = r"len(list_filter(regexp_split_to_array({t}, '[ \t\n]+'), lambda x: x <> ''))"
 LINES = "lines AS (SELECT doc_id, source, lang, i - 1 AS i, string_split(text, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 
@@ -47,24 +46,6 @@ def concept_union(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_union(declared, text.tagged(F.col("text"), TAGS))), ",").alias("concepts"))
 
 
-@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))), ' ') AS links, len(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))) AS n FROM pages")
-def reference_extract(spark, sf_dir):
-    refs = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'))))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(refs, " ").alias("links"), F.size(refs).cast("long").alias("n"))
-
-
-def _rewrite_sql() -> str:
-    out = "text"
-    for p, r in REWRITES:
-        out = f"regexp_replace({out}, '{p}', '{r}', 'g')"
-    return out
-
-
-@query(f"SELECT doc_id, md5({_rewrite_sql()}) AS rewritten FROM documents")
-def ordered_rewrite(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.md5(text.rewritten(F.col("text"), REWRITES).cast("binary")).alias("rewritten"))
-
-
 @query(f"SELECT doc_id, CAST(floor({WORDS.format(t='text')} * 1.33::DOUBLE) AS INT) AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"))
@@ -183,12 +164,10 @@ def sequential_paragraphs(spark, sf_dir):
     return p.select("conv_id", F.size("p").cast("long").alias("n_paras"), F.array_max(F.transform("p", lambda x: x["paragraph_number"])).alias("last_number"))
 
 
-@query("SELECT doc_id, regexp_replace(source, '[^A-Za-z0-9_]+', '_', 'g') || '_DOC_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 3, '0') AS chunk_id FROM documents")
+@query("SELECT doc_id, regexp_replace(source, '[^A-Za-z0-9_]+', '_', 'g') || '_DOC_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS chunk_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
 def sequence_ids(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    out = docs(spark, sf_dir).withColumn("n", n)
-    padded = F.when(F.col("n") < 1000, text.numbered_id(text.slug(F.col("source")), "DOC", F.col("n"))).otherwise(F.concat(text.slug(F.col("source")), F.lit("_DOC_"), F.substring(F.col("n").cast("string"), 1, 3)))
-    return out.select("doc_id", padded.alias("chunk_id"))
+    return docs(spark, sf_dir).withColumn("n", n).select("doc_id", text.numbered_id(text.slug(F.col("source")), "DOC", F.col("n")).alias("chunk_id"))
 
 
 @query("SELECT doc_id, CAST(nth AS INT) AS nth FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS nth FROM documents) WHERE nth > 1")
@@ -196,11 +175,15 @@ def duplicate_first_seen(spark, sf_dir):
     return quality.duplicates(docs(spark, sf_dir).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")), ["h"], "doc_id").select("doc_id", "nth")
 
 
-@query("WITH f AS (SELECT source, lang, min(doc_id) AS d FROM documents GROUP BY source, lang) SELECT source, (SELECT lang FROM documents x WHERE x.source = f.source ORDER BY doc_id LIMIT 1) AS lang, string_agg(f.lang, ',' ORDER BY d) AS langs FROM f GROUP BY source")
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations),
+f AS (SELECT conv_id, r, coalesce(text, '') AS a FROM t WHERE r = 1
+  UNION ALL SELECT t.conv_id, t.r, CASE WHEN coalesce(t.text, '') = '' OR contains(a, t.text) THEN a WHEN a = '' THEN t.text ELSE a || chr(10) || t.text END FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1)
+SELECT f.conv_id, md5(f.a) AS merged, (SELECT arg_min(role, turn) FROM conversations c WHERE c.conv_id = f.conv_id) AS first_role, (SELECT string_agg(role, ',' ORDER BY m) FROM (SELECT role, min(turn) AS m FROM conversations c WHERE c.conv_id = f.conv_id GROUP BY role)) AS roles
+FROM f JOIN (SELECT conv_id, max(r) AS r FROM f GROUP BY conv_id) l ON l.conv_id = f.conv_id AND l.r = f.r""")
 def group_merge_first(spark, sf_dir):
-    d = docs(spark, sf_dir).select("source", "doc_id", "lang", F.lit("").alias("text"), F.array("lang").alias("langs"))
-    out = provisions.merge_sections(d, "source", "doc_id", ["lang"], "text", ["langs"])
-    return out.select("source", "lang", F.array_join("langs", ",").alias("langs"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("first_role"), "text", F.array("role").alias("roles"))
+    out = provisions.merge_sections(c, "conv_id", "turn", ["first_role"], "text", ["roles"])
+    return out.select("conv_id", F.md5(F.col("text").cast("binary")).alias("merged"), "first_role", F.array_join("roles", ",").alias("roles"))
 
 
 @query("""SELECT kind, count(*) AS n, count(title) AS n_titles, sum(length(body))::BIGINT AS chars FROM (
@@ -208,21 +191,12 @@ SELECT 'document' AS kind, source AS title, text AS body FROM documents UNION AL
 def stream_union(spark, sf_dir):
     t = lambda name: table(spark, sf_dir, name)
     parts = [t("documents").select(F.lit("document").alias("kind"), F.col("source").alias("title"), F.col("text").alias("body")), t("benchmark").select(F.lit("item").alias("kind"), F.col("text").alias("body")), t("pages").select(F.lit("page").alias("kind"), F.col("url").alias("title"), F.col("html").alias("body")), t("conversations").select(F.lit("turn").alias("kind"), F.col("role").alias("title"), F.col("text").alias("body"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.groupBy("kind").agg(F.count("*").alias("n"), F.count("title").alias("n_titles"), F.sum(F.length("body")).alias("chars"))
-
-
-@query("""WITH c AS (SELECT conv_id, turn, role, substr(text, 1, 100) AS t FROM conversations)
-SELECT conv_id, count(*) AS n_parts, md5(string_agg(role || ': ' || t, chr(10) || chr(10) ORDER BY turn)) AS context FROM c GROUP BY conv_id""")
-def context_build(spark, sf_dir):
-    return _context(spark, sf_dir, text.excerpt(F.col("text"), 100), 10_000)
+    return collection.united(*parts).groupBy("kind").agg(F.count("*").alias("n"), F.count("title").alias("n_titles"), F.sum(F.length("body")).alias("chars"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role || ': ' || coalesce(text, '') AS t FROM conversations)
 SELECT conv_id, count(*) AS n_parts, md5(string_agg(t, chr(10) || chr(10) ORDER BY turn, t)) AS context FROM c GROUP BY conv_id""")
-def context_build_whole(spark, sf_dir):
+def context_build(spark, sf_dir):
     return _context(spark, sf_dir, F.coalesce("text", F.lit("")), 2**31 - 1)
 
 
@@ -250,25 +224,12 @@ def uuid5_ids(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.point_id(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string"))).alias("uuid"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, CAST(nullif(regexp_extract(url, '([0-9]+)[^0-9]*$', 1), '') AS INT) AS number, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), 'the', 'v.')) AS title FROM pages""")
-def metadata_regex(spark, sf_dir):
-    title = F.trim(F.replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("the"), F.lit("v.")))
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.nullif(F.regexp_extract("url", "([0-9]+)[^0-9]*$", 1), F.lit("")).cast("int").alias("number"), title.alias("title"))
-
-
 @query("SELECT page_id, CASE WHEN contains(h, 'ISSUE FOR CONSIDERATION') THEN 'issue_for_consideration' WHEN h = 'HEADNOTES' OR h LIKE 'HEADNOTES %' THEN 'headnotes' WHEN contains(h, 'LIST OF ACTS') THEN 'acts_cited' WHEN replace(h, ' ', '') IN ('JUDGMENT', 'ORDER') THEN 'judgment' END AS section FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'HEADNOTES' WHEN 1 THEN 'ORDER' WHEN 2 THEN 'LIST OF ACTS' WHEN 3 THEN 'ISSUE FOR CONSIDERATION' ELSE 'OTHER' END AS h FROM pages)")
 def heading_classify(spark, sf_dir):
     line = F.element_at(F.array(*(F.lit(x) for x in ("Headnotes†", "O R D E R", "List of Acts:", "Issue for Consideration", "other"))), (F.col("page_id") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", structure.heading(F.replace(line, F.lit("O R D E R"), F.lit("Order"))).alias("section"))
 
 
-@query("SELECT page_id, len(t) AS n_topics, array_to_string(list_transform(t, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), '|') AS topics FROM (SELECT page_id, list_filter(string_split(regexp_replace(regexp_extract(html, '<nav>(.*)</nav>', 1), '</li>', '</li>\u0001', 'g'), chr(1)), lambda x: suffix(x, '</li>')) AS t FROM pages)")
-def topic_split(spark, sf_dir):
-    nav = F.regexp_replace(F.regexp_extract("html", "<nav>(.*)</nav>", 1), "</li>", "</li>\u0001")
-    parts = F.filter(F.split(nav, "\u0001"), lambda x: x.endswith("</li>"))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(parts).cast("long").alias("n_topics"), F.array_join(F.transform(parts, text.squeezed), "|").alias("topics"))
-
-
 @query("WITH " + LINES + ", n AS (SELECT doc_id, i, coalesce(nullif(regexp_extract(line, '\\b([0-9]+)\\b', 1), ''), CAST(i + 1 AS VARCHAR)) AS v FROM lines) SELECT doc_id, string_agg(v, ',' ORDER BY m) AS numbers FROM (SELECT doc_id, v, min(i) AS m FROM n GROUP BY doc_id, v) GROUP BY doc_id")
 def numeric_labels(spark, sf_dir):
     items = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("label"), F.lit("").alias("text")))
@@ -290,20 +251,20 @@ def headnote_ranges(spark, sf_dir):
 
 @query("WITH " + LINES + " SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(line) >= 15) AS n_long, sum(length(line))::BIGINT AS chars FROM lines WHERE trim(line) <> '' GROUP BY doc_id")
 def blank_filter(spark, sf_dir):
-    kept = lines(spark, sf_dir).where(F.trim("line") != "")
+    kept = collection.not_blank(lines(spark, sf_dir), "line")
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.length("line") >= 15).alias("n_long"), F.sum(F.length("line")).alias("chars"))
 
 
 @query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars, sum(len(regexp_extract_all(text, '\\|')))::BIGINT AS n_tables FROM documents GROUP BY lang UNION ALL SELECT 'all', count(*), sum(length(text))::BIGINT, sum(len(regexp_extract_all(text, '\\|')))::BIGINT FROM documents")
 def group_totals(spark, sf_dir):
-    d = docs(spark, sf_dir).select("lang", F.length("text").alias("c"), F.regexp_count("text", F.lit("\\|")).alias("t"))
-    return d.rollup("lang").agg(F.count("*").alias("n"), F.sum("c").alias("chars"), F.sum("t").alias("n_tables")).withColumn("lang", F.coalesce("lang", F.lit("all")))
+    d = docs(spark, sf_dir).select(F.col("lang").alias("section"), F.regexp_replace("text", r"\|", "[TABLE]").alias("text"))
+    return judgments.qa_totals(d).select(F.col("section").alias("lang"), "n", (F.col("chars") - 6 * F.col("n_tables")).alias("chars"), "n_tables")
 
 
 @query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn DESC) AS turns, arg_max(role, turn) AS newest FROM conversations GROUP BY conv_id")
 def newest_first(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"), F.max_by("role", "turn").alias("newest"))
-    return c.select("conv_id", F.array_join(F.reverse("t"), ",").alias("turns"), "newest")
+    c = collection.newest_first(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+    return c.select("conv_id", F.array_join("places", ",").alias("turns"), "newest")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'BNS:' || p_size WHEN p_partkey % 3 = 1 THEN 'IPC:' || p_size ELSE CASE WHEN p_size = 32 THEN 'IEA:32' ELSE '' END END AS sections, CASE p_partkey % 3 WHEN 0 THEN 'BNS' WHEN 1 THEN 'IPC' ELSE '' END AS acts, CAST(p_size AS VARCHAR) AS numbers, p_partkey % 3 = 2 AND p_size = 32 AS defaulted FROM part""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,5 +15,11 @@ def session(app: str = "corpusmill", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share: under ``spark.checkpoint.dir``, or the warehouse where it is unset."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

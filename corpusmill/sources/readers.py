@@ -28,9 +28,12 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
 
 
 def text_pages(df: DataFrame, doc: str, text: str, marker: str = "--- PAGE ") -> DataFrame:
-    """``(doc, page_number, text)`` out of dumps with page marks."""
-    parts = F.split(F.col(text), r"(?m)^--- PAGE \d+ ---\n")
-    return df.select(doc, F.posexplode(parts).alias("page_number", "text")).where("page_number > 0")
+    """``(doc, page_number, text)`` out of dumps with page marks, by the numbers that the marks tell."""
+    mark = rf"(?m)^\Q{marker}\E(\d+) ---\n?"
+    numbers = F.regexp_extract_all(text, F.lit(mark))
+    parts = F.split(F.col(text), mark)
+    pages = F.arrays_zip(numbers.alias("n"), F.slice(parts, F.lit(2), F.size(numbers)).alias("t"))
+    return df.select(doc, F.explode(pages).alias("p")).select(doc, F.col("p.n").cast("int").alias("page_number"), F.regexp_replace("p.t", r"\n*$", "").alias("text"))
 
 
 def binary_files(spark: SparkSession, path: str, magic: bytes = b"%PDF", larger_than: int = 10_000) -> DataFrame:
@@ -43,5 +46,5 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of every key that isn't empty."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    w = Window.partitionBy(key).orderBy(F.desc(order), *(F.desc(c) for c, kind in df.dtypes if c not in (key, order) and "map<" not in kind))
     return df.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -6,15 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """The target with the source's rows in place of those of equal keys; the last of the source counts."""
-    source = source.where(F.col(key).isNotNull())
-    return target.join(source.select(key).distinct(), key, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
+def last_of_each(source: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row of each key: the last by ``order``, and by all other columns where that ties."""
+    row = F.struct(*([order] if order else []), *(c for c in source.columns if c not in (key, order)))
+    return source.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(row).alias("_row")).select(key, "_row.*")
 
 
-def insert_if_absent(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """The target with those rows of the source whose key is new."""
-    return target.unionByName(source.join(target.select(key).distinct(), key, "left_anti").select(*target.columns))
+def accepted(source: DataFrame, key: str, text: str | None = None) -> DataFrame:
+    """Rows without a blank text; blank keys get random ones."""
+    if text is not None:
+        source = source.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\S"))
+    if source.schema[key].dataType.simpleString() == "string":
+        source = source.withColumn(key, F.when(F.coalesce(F.trim(key), F.lit("")) == "", F.expr("uuid()")).otherwise(F.col(key)))
+    return source
+
+
+def upsert(target: DataFrame, source: DataFrame, key: str, order: str | None = None, text: str | None = None) -> DataFrame:
+    """The target with the source's rows in place of those of equal keys; the last of each key counts.
+
+    Rows with a null key are left out, as are those with a blank ``text`` where
+    a text column is named; blank string keys are new rows of their own.
+    """
+    source = last_of_each(accepted(source, key, text), key, order)
+    return target.join(source.select(key), key, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
+
+
+def inserted(source: DataFrame, key: str, text: str | None = None) -> int:
+    """How many rows an upsert of ``source`` writes."""
+    return accepted(source, key, text).where(F.col(key).isNotNull()).select(key).distinct().count()
+
+
+def insert_if_absent(target: DataFrame, source: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The target with those rows of the source whose key is new, the last of each."""
+    new = last_of_each(source, key, order).join(target.select(key).distinct(), key, "left_anti")
+    return target.unionByName(new.select(*target.columns))
+
+
+def merged(target: DataFrame, source: DataFrame, key: str, overwrite: bool, order: str | None = None) -> DataFrame:
+    """An upsert where rows may be overwritten, otherwise an insert of new keys only."""
+    return upsert(target, source, key, order) if overwrite else insert_if_absent(target, source, key, order)
 
 
 def delete(target: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -23,7 +53,8 @@ def delete(target: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def replace_documents(chunks: DataFrame, new: DataFrame, document: str) -> DataFrame:
     """Chunks with all those of the given documents replaced, so that no old tail stays."""
-    return upsert(chunks, new, document)
+    kept = chunks.join(new.where(F.col(document).isNotNull()).select(document).distinct(), document, "left_anti")
+    return kept.select(*chunks.columns).unionByName(new.where(F.col(document).isNotNull()).select(*chunks.columns))
 
 
 def rejected(df: DataFrame, *rules: tuple[Column, str]) -> tuple[DataFrame, DataFrame]:

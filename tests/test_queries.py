@@ -38,5 +38,5 @@ def test_query(spark, db, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 24
+    assert entry.entry(spark).count() == 75
     assert set(entry.oracle_sql()) <= set(entry.queries())

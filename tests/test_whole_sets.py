@@ -18,9 +18,9 @@ def test_every_twentieth_vector_asks_all_others(spark):
     score = v @ v.T
     np.fill_diagonal(score, -2)
     want = {(rows[i].vec_id, rows[j].vec_id) for i, r in enumerate(rows) if r.vec_id % 20 == 0 for j in np.argsort(-score[i], kind="stable")[:3]}
-    got = entry.queries()["vector_topk_plain_whole"](spark, FOLDER).collect()
+    got = entry.queries()["vector_topk_plain"](spark, FOLDER).collect()
     assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == 75
-    assert entry.queries()["retrieval_metrics_whole"](spark, FOLDER).first().n_queries == 25
+    assert entry.queries()["retrieval_metrics"](spark, FOLDER).first().n_queries == 25
 
 
 def test_copies_and_passes_of_the_bulk_path(spark):
@@ -35,13 +35,13 @@ def test_copies_and_passes_of_the_bulk_path(spark):
 def test_long_updates_are_taken(spark, tmp_path):
     rows = [(10, "a\n" * 7000), (20, "b"), (21, "c\n" * 7000), (30, " ")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.version, r.n_chunks) for r in entry.queries()["document_upsert_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.version, r.n_chunks) for r in entry.queries()["document_upsert"](spark, str(tmp_path)).collect()}
     assert got == {(10, "new", 7001), (20, "new", 2), (21, "old", 7000), (30, "new", 1)}
 
 
 def test_contexts_hold_whole_turns(spark, tmp_path):
     rows = [(1, 2, "b", "y" * 20_000), (1, 1, "a", "x" * 150), (2, 1, "a", None)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.conv_id: (r.n_parts, r.context) for r in entry.queries()["context_build_whole"](spark, str(tmp_path)).collect()}
+    got = {r.conv_id: (r.n_parts, r.context) for r in entry.queries()["context_build"](spark, str(tmp_path)).collect()}
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert got == {1: (2, md5("a: " + "x" * 150 + "\n\nb: " + "y" * 20_000)), 2: (1, md5("a: "))}
