@@ -224,31 +224,12 @@ def uuid5_ids(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.point_id(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string"))).alias("uuid"))
 
 
-@query("SELECT page_id, CASE WHEN contains(h, 'ISSUE FOR CONSIDERATION') THEN 'issue_for_consideration' WHEN h = 'HEADNOTES' OR h LIKE 'HEADNOTES %' THEN 'headnotes' WHEN contains(h, 'LIST OF ACTS') THEN 'acts_cited' WHEN replace(h, ' ', '') IN ('JUDGMENT', 'ORDER') THEN 'judgment' END AS section FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'HEADNOTES' WHEN 1 THEN 'ORDER' WHEN 2 THEN 'LIST OF ACTS' WHEN 3 THEN 'ISSUE FOR CONSIDERATION' ELSE 'OTHER' END AS h FROM pages)")
-def heading_classify(spark, sf_dir):
-    line = F.element_at(F.array(*(F.lit(x) for x in ("Headnotes†", "O R D E R", "List of Acts:", "Issue for Consideration", "other"))), (F.col("page_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", structure.heading(F.replace(line, F.lit("O R D E R"), F.lit("Order"))).alias("section"))
-
-
 @query("WITH " + LINES + ", n AS (SELECT doc_id, i, coalesce(nullif(regexp_extract(line, '\\b([0-9]+)\\b', 1), ''), CAST(i + 1 AS VARCHAR)) AS v FROM lines) SELECT doc_id, string_agg(v, ',' ORDER BY m) AS numbers FROM (SELECT doc_id, v, min(i) AS m FROM n GROUP BY doc_id, v) GROUP BY doc_id")
 def numeric_labels(spark, sf_dir):
     items = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("label"), F.lit("").alias("text")))
     return docs(spark, sf_dir).select("doc_id", F.array_join(provisions.label_numbers(items), ",").alias("numbers"))
 
 
-@query("SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(before, '([0-9]{1,4})', 1), lambda x: NOT regexp_matches(x, '^(18|19|20)[0-9]{2}$')))), ',') AS numbers FROM (SELECT page_id, 'under Sections ' || page_id || ', ' || (page_id % 7) || ' and 1999 of ' AS before FROM pages)")
-def lookback_numbers(spark, sf_dir):
-    said = F.concat(F.lit("under Sections "), F.col("page_id").cast("string"), F.lit(", "), (F.col("page_id") % 7).cast("string"), F.lit(" and 1999 of the Code"))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(references.numbers_before(said, "the Code"), ",").alias("numbers"))
-
-
-@query("SELECT event_id, array_to_string([a] || range(b, b + 3), ',') AS paragraphs FROM (SELECT event_id, CAST(event_id % 5 AS BIGINT) AS a, CAST(event_id % 9 + 10 AS BIGINT) AS b FROM events)")
-def headnote_ranges(spark, sf_dir):
-    b = F.col("event_id") % 9 + 10
-    note = F.concat(F.lit("A – b. [Paras "), (F.col("event_id") % 5).cast("string"), F.lit(", "), b.cast("string"), F.lit("-"), (b + 2).cast("string"), F.lit("]"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(structure.propositions(note)[0]["related_paragraphs"], ",").alias("paragraphs"))
-
-
 @query("WITH " + LINES + " SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(line) >= 15) AS n_long, sum(length(line))::BIGINT AS chars FROM lines WHERE trim(line) <> '' GROUP BY doc_id")
 def blank_filter(spark, sf_dir):
     kept = collection.not_blank(lines(spark, sf_dir), "line")
@@ -267,14 +248,6 @@ def newest_first(spark, sf_dir):
     return c.select("conv_id", F.array_join("places", ",").alias("turns"), "newest")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'BNS:' || p_size WHEN p_partkey % 3 = 1 THEN 'IPC:' || p_size ELSE CASE WHEN p_size = 32 THEN 'IEA:32' ELSE '' END END AS sections, CASE p_partkey % 3 WHEN 0 THEN 'BNS' WHEN 1 THEN 'IPC' ELSE '' END AS acts, CAST(p_size AS VARCHAR) AS numbers, p_partkey % 3 = 2 AND p_size = 32 AS defaulted FROM part""")
-def query_parse(spark, sf_dir):
-    n = F.col("p_size").cast("string")
-    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("what does BNS "), n, F.lit(" say"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("see IPC Section "), n)).otherwise(F.concat(F.lit("under Section "), n))
-    out = table(spark, sf_dir, "part").withColumn("q", references.parsed_query(said))
-    return out.select("p_partkey", F.array_join("q.sections", ",").alias("sections"), F.array_join("q.acts", ",").alias("acts"), F.array_join("q.numbers", ",").alias("numbers"), ((F.col("p_partkey") % 3 == 2) & (F.size("q.sections") > 0)).alias("defaulted"))
-
-
 @query()
 def parse_pipeline(spark, sf_dir):
     each = lines(spark, sf_dir).withColumn("page", (F.col("i") / 40).cast("int") + 1)
