@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import ACT_ALIASES, ACT_CODES, ACT_PATTERNS, DEFAULT_ACTS
+from .rules import ACT_ALIASES, ACT_CODES, ACT_PATTERNS, DEFAULT_ACTS, PROVISION_EXCEPTION, PROVISION_EXCEPTION_OF, PROVISION_LETTER, PROVISION_SUBSECTION, SECTION_EXCEPTION, SECTION_MENTION
 from .text import exception_number, lookup, roman_part, squeezed
 
-_DASH = "[-–—]"
-_EXC = rf"(?i)(\d+)\s*{_DASH}?\s*(?:\(\s*)?exception\s*([ivx0-9]+)"
-_EXC_OF = r"(?i)exception\s*([ivx0-9]+)\s*(?:to|of)?\s*(?:s(?:ection)?\.?\s*)?(\d+)"
-_SUB = rf"^(\d+)\s*{_DASH}?\s*\(\s*([0-9]+)\s*\)$"
-_LETTER = rf"^(\d+)\s*{_DASH}?\s*(?:\(\s*)?([A-Za-z]+)(?:\s*\))?$"
-_SECTION = rf"(?i)\b(?:Sections?|S(?:ec)?\.)\s*(\d+[A-Za-z]*(?:\s*[-–—,]?\s*(?:\([^)]*\)|Part\s+[IVX0-9]+|Exception\s+[IVX0-9]+))?)"
-_SECTION_EXC = r"(?i)\bException\s+([IVX0-9]+)\s+(?:to|of)?\s*(?:Sections?|S(?:ec)?\.)\s*(\d+)\b"
-
 
 def canonical(act: Column, raw: Column, allow_comma: bool = True) -> Column:
     """Struct of the parts of a provision as written: exception before part, number, letters, plain number."""
@@ -25,11 +17,11 @@ def canonical(act: Column, raw: Column, allow_comma: bool = True) -> Column:
     pick = lambda p, i: F.regexp_extract(v, p, i)
     plain = F.when(v.rlike(r"^\d+"), pick(r"^(\d+)", 1)).otherwise(v)
     cases = [
-        (v.rlike(_EXC), "exception", pick(_EXC, 1), exception_number(pick(_EXC, 2))),
-        (v.rlike(_EXC_OF), "exception", pick(_EXC_OF, 2), exception_number(pick(_EXC_OF, 1))),
+        (v.rlike(PROVISION_EXCEPTION), "exception", pick(PROVISION_EXCEPTION, 1), exception_number(pick(PROVISION_EXCEPTION, 2))),
+        (v.rlike(PROVISION_EXCEPTION_OF), "exception", pick(PROVISION_EXCEPTION_OF, 2), exception_number(pick(PROVISION_EXCEPTION_OF, 1))),
         (v.rlike(part), "part", pick(part, 1), roman_part(pick(part, 2))),
-        (v.rlike(_SUB), "subsection", pick(_SUB, 1), pick(_SUB, 2)),
-        (v.rlike(_LETTER), "letter", pick(_LETTER, 1), F.upper(pick(_LETTER, 2))),
+        (v.rlike(PROVISION_SUBSECTION), "subsection", pick(PROVISION_SUBSECTION, 1), pick(PROVISION_SUBSECTION, 2)),
+        (v.rlike(PROVISION_LETTER), "letter", pick(PROVISION_LETTER, 1), F.upper(pick(PROVISION_LETTER, 2))),
     ]
     none = F.lit(None).cast("string")
     chain = lambda f, last: _case([(c, f(kind, sec, x)) for c, kind, sec, x in cases], last)
@@ -80,9 +72,9 @@ def without_self(references: Column, own: Column) -> Column:
 
 
 def _clause_references(clause: Column, act: str) -> Column:
-    sections = F.transform(F.regexp_extract_all(clause, F.lit(_SECTION)), lambda m: canonical_id(F.lit(act), m))
-    numbers = F.regexp_extract_all(clause, F.lit(_SECTION_EXC), F.lit(1))
-    bases = F.regexp_extract_all(clause, F.lit(_SECTION_EXC), F.lit(2))
+    sections = F.transform(F.regexp_extract_all(clause, F.lit(SECTION_MENTION)), lambda m: canonical_id(F.lit(act), m))
+    numbers = F.regexp_extract_all(clause, F.lit(SECTION_EXCEPTION), F.lit(1))
+    bases = F.regexp_extract_all(clause, F.lit(SECTION_EXCEPTION), F.lit(2))
     exceptions = F.zip_with(bases, numbers, lambda s, n: canonical_id(F.lit(act), F.concat(s, F.lit(" Exception "), n)))
     return F.concat(sections, exceptions)
 
@@ -103,7 +95,7 @@ def judgment_references(text: Column, compat: bool = False) -> Column:
         for c in named.values():
             every = c if every is None else every & c
             some = c if some is None else some | c
-        sections = F.transform(F.regexp_extract_all(clause, F.lit(_SECTION)), lambda m: canonical_id(F.lit("IPC"), m))
+        sections = F.transform(F.regexp_extract_all(clause, F.lit(SECTION_MENTION)), lambda m: canonical_id(F.lit("IPC"), m))
         return F.concat(*own, F.when(~(every if compat else some), sections).otherwise(none))
 
     found = F.flatten(F.transform(F.split(t, "[\n.;]"), of))

@@ -28,6 +28,15 @@ DEFAULT_ACTS = {"300": "IPC", "302": "IPC", "304": "IPC", "304A": "IPC", "307":
 # One code for every spelling of an act, for joins.
 ACT_CODES = {"EVIDENCEACT": "IEA", "EVIDENCE ACT": "IEA"}
 
+# Forms of provisions and their mentions.
+DASH = "[-–—]"
+PROVISION_EXCEPTION = rf"(?i)(\d+)\s*{DASH}?\s*(?:\(\s*)?exception\s*([ivx0-9]+)"
+PROVISION_EXCEPTION_OF = r"(?i)exception\s*([ivx0-9]+)\s*(?:to|of)?\s*(?:s(?:ection)?\.?\s*)?(\d+)"
+PROVISION_SUBSECTION = rf"^(\d+)\s*{DASH}?\s*\(\s*([0-9]+)\s*\)$"
+PROVISION_LETTER = rf"^(\d+)\s*{DASH}?\s*(?:\(\s*)?([A-Za-z]+)(?:\s*\))?$"
+SECTION_MENTION = rf"(?i)\b(?:Sections?|S(?:ec)?\.)\s*(\d+[A-Za-z]*(?:\s*[-–—,]?\s*(?:\([^)]*\)|Part\s+[IVX0-9]+|Exception\s+[IVX0-9]+))?)"
+SECTION_EXCEPTION = r"(?i)\bException\s+([IVX0-9]+)\s+(?:to|of)?\s*(?:Sections?|S(?:ec)?\.)\s*(\d+)\b"
+
 ROMAN = {"1": "I", "2": "II", "3": "III", "4": "IV", "5": "V"}
 ARABIC = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
 
@@ -95,9 +104,12 @@ STATUTE_CONCEPTS = {
 }
 
 # Sections of investigation procedure, and words of their titles.
-PROCEDURAL_IDS = tuple(f"CrPC:{n}" for n in (154, 155, 156, 157, 158, 159, 160, 161, 162, 163, 164, 167, 168, 169, 170, 172, 173, 174, 175, 176, 200, 202, 203, 204)) + tuple(
-    f"BNSS:{n}" for n in (173, 174, 175, 176, 177, 178, 179, 180, 181, 182, 190, 191, 192, 193, 194, 195, 220, 221, 351)
-)
+PROCEDURAL_IDS = (
+    "CrPC:154", "CrPC:155", "CrPC:156", "CrPC:157", "CrPC:158", "CrPC:159", "CrPC:160", "CrPC:161", "CrPC:162", "CrPC:163", "CrPC:164", "CrPC:167",
+    "CrPC:168", "CrPC:169", "CrPC:170", "CrPC:172", "CrPC:173", "CrPC:174", "CrPC:175", "CrPC:176", "CrPC:200", "CrPC:202", "CrPC:203", "CrPC:204",
+    "BNSS:173", "BNSS:174", "BNSS:175", "BNSS:176", "BNSS:177", "BNSS:178", "BNSS:179", "BNSS:180", "BNSS:181", "BNSS:182", "BNSS:190", "BNSS:191",
+    "BNSS:192", "BNSS:193", "BNSS:194", "BNSS:195", "BNSS:220", "BNSS:221", "BNSS:351",
+)
 PROCEDURAL_TITLES = (
     "report of police officer",
     "examination of witnesses by police",
@@ -136,42 +148,98 @@ SCAN_REPAIRS = (
 # Page headers and footers, without case.
 PAGE_NOISE = (r"^\[\d{4}\]\s*\d+\s*S\.C\.R\.?.*$", r"^Digital Supreme Court Reports$", r"^Supreme Court Reports$", r"^\d{3,5}\x08?$", r"^\*\s*Author$", r"^\* Author$")
 
+# Headings of a judgment's sections, in order of precedence; the judgment itself comes last.
+SECTION_HEADINGS = (
+    ("ISSUE FOR CONSIDERATION", "issue_for_consideration"),
+    ("HEADNOTES", "headnotes"),
+    ("CASE LAW CITED", "case_law_cited"),
+    ("LIST OF ACTS", "acts_cited"),
+    ("LIST OF KEYWORDS", "keywords"),
+    ("CASE ARISING FROM", "case_arising_from"),
+    ("APPEARANCES FOR PARTIES", "appearances"),
+    ("LIST OF WEBSITES", "websites_cited"),
+    ("LIST OF BOOKS", "books_cited"),
+    ("LIST OF PERIODICALS", "periodicals_cited"),
+)
+TOPIC_HEADING = r"^[A-Z][A-Za-z\s–—\-]+(?:–|-|:)"
+
 JUDGMENT_ENDS = ("Result of the case:", "Result of the appeal:", "†Headnotes prepared by:")
 
 
-def judgment_rewrites() -> list[tuple[str, str]]:
-    """Ordered rewrites that spell provisions of judgments in one way.
-
-    Fixed values: which forms are rewritten, the sections of each act, and their order.
-    """
-    ipc_tail = r"\s*(?:of\s*(?:the\s*)?IPC)?\b"
-    sec = r"\b(?:Section|s\.)\s*"
-    out = []
-    for roman in ("I", "II"):
-        out.append((rf"\bunder\s+Part\s+{roman}\s+of\s+s(?:ec(?:tion)?)?\.?\s*304{ipc_tail}", f"under IPC Section 304, Part {roman}"))
-    for roman in ("I", "II"):
-        out.append((rf"\bPart\s+{roman}\s+of\s+(?:Section|s\.)\s*304{ipc_tail}", f"IPC Section 304, Part {roman}"))
-    for arabic, roman in (("1", "I"), ("2", "II")):
-        out.append((rf"{sec}304\s*(?:\(\s*Part\s*{arabic}\s*\)|Part\s*{roman}|Part\s*{arabic}|Part-{roman})\b", f"IPC Section 304, Part {roman}"))
-    out += [(sec + r"304\s*(?:\(\s*A\s*\)|-A)\b", "IPC Section 304A"), (sec + r"304A\b", "IPC Section 304A"), (sec + r"304-?B\b", "IPC Section 304B")]
-    for number, forms in (("1", "1"), ("4", "(?:4|IV)")):
-        out.append((rf"\bException\s+{number}\s+(?:to|of)\s+(?:Section|s\.)\s*300{ipc_tail}", f"IPC Section 300 Exception {number}"))
-        out.append((rf"{sec}300\s+Exception\s+{forms}\b", f"IPC Section 300 Exception {number}"))
-    groups = (
-        ("IPC", "IPC", ("302", "300", "299", "301", "304", "34", "201", "84", "120-?B", "498-?A")),
-        ("CrPC", "CrPC", ("313", "161", "162", "164", "173", "207", "209", "230", "232", "366")),
-        ("Evidence Act", r"Evidence\s+Act", ("105", "106", "165", "25", "27", "114", "145", "157")),
-    )
-    for act, pattern, sections in groups:
-        tail = rf"\b(?:\s*of\s*(?:the\s*)?{pattern})?\b"
-        for number in sections:
-            plain = number.replace("-?", "")
-            out.append((rf"\b(?:u/s\.?|u/section)\s*{number}{tail}", f"under {act} Section {plain}"))
-            out.append((rf"\b(?:s\.|ss\.)\s*{number}{tail}", f"{act} Section {plain}"))
-        if act == "CrPC":
-            out.append((rf"\b(?:u/s\.?|u/section)\s*173\s*\(2\){tail}", "under CrPC Section 173(2)"))
-    out = [(f"(?i){p}", r) for p, r in out]
-    return [*out, (r"\bFIR\b", "First Information Report (FIR)")]
+# Rewrites that spell provisions of judgments in one way, in order.
+JUDGMENT_REWRITES = (
+    (r"(?i)\bunder\s+Part\s+I\s+of\s+s(?:ec(?:tion)?)?\.?\s*304\s*(?:of\s*(?:the\s*)?IPC)?\b", "under IPC Section 304, Part I"),
+    (r"(?i)\bunder\s+Part\s+II\s+of\s+s(?:ec(?:tion)?)?\.?\s*304\s*(?:of\s*(?:the\s*)?IPC)?\b", "under IPC Section 304, Part II"),
+    (r"(?i)\bPart\s+I\s+of\s+(?:Section|s\.)\s*304\s*(?:of\s*(?:the\s*)?IPC)?\b", "IPC Section 304, Part I"),
+    (r"(?i)\bPart\s+II\s+of\s+(?:Section|s\.)\s*304\s*(?:of\s*(?:the\s*)?IPC)?\b", "IPC Section 304, Part II"),
+    (r"(?i)\b(?:Section|s\.)\s*304\s*(?:\(\s*Part\s*1\s*\)|Part\s*I|Part\s*1|Part-I)\b", "IPC Section 304, Part I"),
+    (r"(?i)\b(?:Section|s\.)\s*304\s*(?:\(\s*Part\s*2\s*\)|Part\s*II|Part\s*2|Part-II)\b", "IPC Section 304, Part II"),
+    (r"(?i)\b(?:Section|s\.)\s*304\s*(?:\(\s*A\s*\)|-A)\b", "IPC Section 304A"),
+    (r"(?i)\b(?:Section|s\.)\s*304A\b", "IPC Section 304A"),
+    (r"(?i)\b(?:Section|s\.)\s*304-?B\b", "IPC Section 304B"),
+    (r"(?i)\bException\s+1\s+(?:to|of)\s+(?:Section|s\.)\s*300\s*(?:of\s*(?:the\s*)?IPC)?\b", "IPC Section 300 Exception 1"),
+    (r"(?i)\b(?:Section|s\.)\s*300\s+Exception\s+1\b", "IPC Section 300 Exception 1"),
+    (r"(?i)\bException\s+4\s+(?:to|of)\s+(?:Section|s\.)\s*300\s*(?:of\s*(?:the\s*)?IPC)?\b", "IPC Section 300 Exception 4"),
+    (r"(?i)\b(?:Section|s\.)\s*300\s+Exception\s+(?:4|IV)\b", "IPC Section 300 Exception 4"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*302\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 302"),
+    (r"(?i)\b(?:s\.|ss\.)\s*302\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 302"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*300\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 300"),
+    (r"(?i)\b(?:s\.|ss\.)\s*300\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 300"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*299\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 299"),
+    (r"(?i)\b(?:s\.|ss\.)\s*299\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 299"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*301\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 301"),
+    (r"(?i)\b(?:s\.|ss\.)\s*301\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 301"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*304\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 304"),
+    (r"(?i)\b(?:s\.|ss\.)\s*304\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 304"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*34\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 34"),
+    (r"(?i)\b(?:s\.|ss\.)\s*34\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 34"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*201\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 201"),
+    (r"(?i)\b(?:s\.|ss\.)\s*201\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 201"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*84\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 84"),
+    (r"(?i)\b(?:s\.|ss\.)\s*84\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 84"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*120-?B\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 120B"),
+    (r"(?i)\b(?:s\.|ss\.)\s*120-?B\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 120B"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*498-?A\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "under IPC Section 498A"),
+    (r"(?i)\b(?:s\.|ss\.)\s*498-?A\b(?:\s*of\s*(?:the\s*)?IPC)?\b", "IPC Section 498A"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*313\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 313"),
+    (r"(?i)\b(?:s\.|ss\.)\s*313\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 313"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*161\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 161"),
+    (r"(?i)\b(?:s\.|ss\.)\s*161\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 161"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*162\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 162"),
+    (r"(?i)\b(?:s\.|ss\.)\s*162\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 162"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*164\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 164"),
+    (r"(?i)\b(?:s\.|ss\.)\s*164\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 164"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*173\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 173"),
+    (r"(?i)\b(?:s\.|ss\.)\s*173\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 173"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*207\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 207"),
+    (r"(?i)\b(?:s\.|ss\.)\s*207\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 207"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*209\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 209"),
+    (r"(?i)\b(?:s\.|ss\.)\s*209\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 209"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*230\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 230"),
+    (r"(?i)\b(?:s\.|ss\.)\s*230\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 230"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*232\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 232"),
+    (r"(?i)\b(?:s\.|ss\.)\s*232\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 232"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*366\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 366"),
+    (r"(?i)\b(?:s\.|ss\.)\s*366\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "CrPC Section 366"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*173\s*\(2\)\b(?:\s*of\s*(?:the\s*)?CrPC)?\b", "under CrPC Section 173(2)"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*105\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "under Evidence Act Section 105"),
+    (r"(?i)\b(?:s\.|ss\.)\s*105\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "Evidence Act Section 105"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*106\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "under Evidence Act Section 106"),
+    (r"(?i)\b(?:s\.|ss\.)\s*106\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "Evidence Act Section 106"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*165\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "under Evidence Act Section 165"),
+    (r"(?i)\b(?:s\.|ss\.)\s*165\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "Evidence Act Section 165"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*25\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "under Evidence Act Section 25"),
+    (r"(?i)\b(?:s\.|ss\.)\s*25\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "Evidence Act Section 25"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*27\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "under Evidence Act Section 27"),
+    (r"(?i)\b(?:s\.|ss\.)\s*27\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "Evidence Act Section 27"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*114\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "under Evidence Act Section 114"),
+    (r"(?i)\b(?:s\.|ss\.)\s*114\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "Evidence Act Section 114"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*145\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "under Evidence Act Section 145"),
+    (r"(?i)\b(?:s\.|ss\.)\s*145\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "Evidence Act Section 145"),
+    (r"(?i)\b(?:u/s\.?|u/section)\s*157\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "under Evidence Act Section 157"),
+    (r"(?i)\b(?:s\.|ss\.)\s*157\b(?:\s*of\s*(?:the\s*)?Evidence\s+Act)?\b", "Evidence Act Section 157"),
+    (r"\bFIR\b", "First Information Report (FIR)"),
+)
 
 
 # Queries with the sections that answer them.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.references import judgment_references
-from ..functions.rules import ACT_PATTERNS, CASE_CONCEPTS, CHUNK_CONCEPTS, OFFENCES, judgment_rewrites
+from ..functions.rules import ACT_PATTERNS, CASE_CONCEPTS, CHUNK_CONCEPTS, JUDGMENT_REWRITES, OFFENCES
 from ..functions.text import estimated_tokens, judge_names, numbered_id, rewritten, slug, spacing, squeezed, tagged, title_case_versus
 from . import chunking, structure
 from .collection import totals, united
@@ -64,7 +64,7 @@ def cited_cases(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    return rewritten(text, judgment_rewrites())
+    return rewritten(text, JUDGMENT_REWRITES)
 
 
 def metadata(cases: DataFrame, text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import JUDGMENT_ENDS, PAGE_NOISE
+from ..functions.rules import JUDGMENT_ENDS, PAGE_NOISE, SECTION_HEADINGS, TOPIC_HEADING
 
 
 def noisy(line: Column, page: Column | None = None, at: Column | None = None) -> Column:
@@ -39,19 +39,11 @@ def heading(line: Column) -> Column:
     h = F.trim(F.regexp_replace(F.upper(line), "[^A-Z0-9]+", " "))
     has = lambda s: F.contains(h, F.lit(s))
     alone = F.replace(h, F.lit(" "), F.lit("")).isin("JUDGMENT", "ORDER")
-    return (
-        F.when(has("ISSUE FOR CONSIDERATION"), "issue_for_consideration")
-        .when((h == "HEADNOTES") | h.startswith("HEADNOTES "), "headnotes")
-        .when(has("CASE LAW CITED"), "case_law_cited")
-        .when(has("LIST OF ACTS"), "acts_cited")
-        .when(has("LIST OF KEYWORDS"), "keywords")
-        .when(has("CASE ARISING FROM"), "case_arising_from")
-        .when(has("APPEARANCES FOR PARTIES"), "appearances")
-        .when(has("LIST OF WEBSITES"), "websites_cited")
-        .when(has("LIST OF BOOKS"), "books_cited")
-        .when(has("LIST OF PERIODICALS"), "periodicals_cited")
-        .when((has("JUDGMENT") | has("ORDER")) & (has("SUPREME COURT") | alone), "judgment")
-    )
+    out = F.when(F.lit(False), "")
+    for words, section in SECTION_HEADINGS:
+        opens = (h == words) | h.startswith(f"{words} ") if section == "headnotes" else has(words)
+        out = out.when(opens, section)
+    return out.when((has("JUDGMENT") | has("ORDER")) & (has("SUPREME COURT") | alone), "judgment")
 
 
 def carried(df: DataFrame, group: list[str], order: list[str], marker: Column, value: Column, into: str) -> DataFrame:
@@ -74,8 +66,6 @@ def section_buckets(lines: DataFrame, group: str, order: list[str], line: str =
     return df.withColumn("section", section).withColumn("_opens", opens).where(~F.col("_opens") & ~F.col("_end") & F.col("section").isNotNull()).drop("_h", "_end", "_j", "_s", "_opens")
 
 
-#: Fixed value: the beginning of a line that opens a topic.
-TOPIC_HEADING = r"^[A-Z][A-Za-z\s–—\-]+(?:–|-|:)"
 _PARAS = r"\[\s*Paras?\s+([\d,\s\-]+)\s*\]"
 
 

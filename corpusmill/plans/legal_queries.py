@@ -77,7 +77,7 @@ def _chain(column: str, found: list[tuple[str, str]]) -> str:
     return column
 
 
-@query(f"SELECT doc_id, md5({_chain('(' + SPELT + ')', judgments.judgment_rewrites())}) AS rewritten FROM documents")
+@query(f"SELECT doc_id, md5({_chain('(' + SPELT + ')', rules.JUDGMENT_REWRITES)}) AS rewritten FROM documents")
 def ordered_rewrite(spark, sf_dir):
     return _docs(spark, sf_dir, SPELT).select("doc_id", F.md5(judgments.normalised(F.col("said")).cast("binary")).alias("rewritten"))
 

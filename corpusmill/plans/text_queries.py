@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import references, text
+from ..functions import text
+from ..functions.rules import PAGE_NOISE
 from ..operators import chunking, collection, judgments, provisions, quality, structure
 from ..session import table
 from .registry import query
@@ -248,7 +249,21 @@ def newest_first(spark, sf_dir):
     return c.select("conv_id", F.array_join("places", ",").alias("turns"), "newest")
 
 
-@query()
+_NOISE = " OR ".join(f"regexp_matches(line, '(?i){p}')" for p in PAGE_NOISE)
+_CLEAN = (
+    LINES
+    + """, s AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id, i // 40 ORDER BY i) AS up, row_number() OVER (PARTITION BY doc_id, i // 40 ORDER BY i DESC) AS down FROM lines WHERE trim(line) <> ''),
+e AS (SELECT doc_id, line, sum((up <= 3)::INT + (down <= 3)::INT) AS n FROM s WHERE (up <= 3 OR down <= 3) AND length(line) >= 15 AND NOT regexp_matches(line, '^[0-9]+$') GROUP BY doc_id, line),
+m AS (SELECT doc_id, greatest(3, ceil(count(DISTINCT i // 40) / 2)) AS least FROM lines GROUP BY doc_id),
+noise AS (SELECT doc_id, line FROM e JOIN m USING (doc_id) WHERE n >= least),
+clean AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, line FROM lines l WHERE trim(line) <> '' AND NOT ("""
+    + _NOISE
+    + """) AND NOT EXISTS (SELECT 1 FROM noise WHERE noise.doc_id = l.doc_id AND noise.line = l.line))"""
+)
+_PARSED = "WITH RECURSIVE " + _CLEAN + ", " + _FOLD.format(words=f"CAST(floor({WORDS.format(t='line')} * 1.33::DOUBLE) AS INT)", tags=_tag_sql("line"), close="(tok + p.t > 1000 OR n >= 8 OR tok >= 500)", carry="(l.t <= 150 AND len(list_intersect(l.tags, p.tags)) > 0 AND l.t + p.t <= 800)", big="t > 1000").replace("FROM lines)", "FROM clean)")
+
+
+@query(_PARSED + " SELECT doc_id, CAST(max(i) + 1 AS INT) AS n_paragraphs, CAST(max(pack) + 1 AS INT) AS n_chunks FROM f GROUP BY doc_id")
 def parse_pipeline(spark, sf_dir):
     each = lines(spark, sf_dir).withColumn("page", (F.col("i") / 40).cast("int") + 1)
     noise = structure.repeated_edge_lines(each, "doc_id", "page", "i", "line").select("doc_id", "line")

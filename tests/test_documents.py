@@ -42,7 +42,7 @@ def test_case_functions(spark):
     assert (m.title, m.judges, m.appeal_number, m.high_court) == ("A v. B", ["X. Rao", "Y"], "Criminal Appeal No. 12 of 2020", "Madras")
     a = J.case_analysis(spark.createDataFrame([("murder under Section 302 IPC",)], "text string")).first()
     assert (a.acts, a.provisions, a.offences) == (["IPC"], ["IPC:302"], ["LEGAL_CONCEPT:murder"])
-    assert len(rules.judgment_rewrites()) == 71 and len(rules.GOLD_QUERIES) == 13
+    assert len(rules.JUDGMENT_REWRITES) == 71 and len(rules.GOLD_QUERIES) == 13
 
 
 def test_statutes(spark, tmp_path):
