@@ -98,7 +98,8 @@ def judgment_references(text: Column, compat: bool = False) -> Column:
         sections = F.transform(F.regexp_extract_all(clause, F.lit(SECTION_MENTION)), lambda m: canonical_id(F.lit("IPC"), m))
         return F.concat(*own, F.when(~(every if compat else some), sections).otherwise(none))
 
-    found = F.flatten(F.transform(F.split(t, "[\n.;]"), of))
+    clauses = F.filter(F.split(t, "[\n.;]"), lambda c: c.rlike("[0-9]"))  # others name no section
+    found = F.flatten(F.transform(clauses, of))
     two = t.rlike(r"(?i)\b304\b.*?\bPart\s*(?:II|2)\b")
     one = t.rlike(r"(?i)\b304\b.*?\bPart\s*(?:I|1)\b") & ~two
     parts = F.when(two, F.array(F.lit("IPC:304(Part II)"), F.lit("IPC:304"))).when(one, F.array(F.lit("IPC:304(Part I)"), F.lit("IPC:304"))).otherwise(none)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,10 +136,18 @@ def cleaned_lines(text: Column) -> Column:
 
 
 def rewritten(text: Column, rules) -> Column:
-    """The rules ``(pattern, replacement)`` applied in order."""
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    """The rules ``(pattern, replacement)`` applied in order.
+
+    A rule about a number is tried only where the text has that number, which is
+    far cheaper to see than that its pattern does not match.
+    """
+    needs = [max(re.findall(r"(?<![\\{\d])\d{2,}(?![?\d}])", pattern), key=len, default="") for pattern, _ in rules]
+    if not any(needs):
+        for pattern, replacement in rules:
+            text = F.regexp_replace(text, pattern, replacement)
+        return text
+    steps = F.array(*(F.struct(F.lit(n).alias("need"), F.lit(p).alias("pattern"), F.lit(r).alias("by")) for n, (p, r) in zip(needs, rules, strict=True)))
+    return F.aggregate(steps, text, lambda t, x: F.when(F.contains(t, x["need"]), F.regexp_replace(t, x["pattern"], x["by"])).otherwise(t))
 
 
 def first_nonblank(*values: Column) -> Column:

@@ -54,16 +54,16 @@ def expand(start: DataFrame, edges: DataFrame, *, query: str = "query_id", node:
 def reach(start: DataFrame, edges: DataFrame, depth: int = 3, *, query: str = "query_id", node: str = "node") -> DataFrame:
     """``(query, node, hop)``: nodes within ``depth`` steps in either direction, at their first step, without the start.
 
-    Every step joins only what was new in the step before.
+    Every step joins the nodes of the step before, each once per query; the first
+    step at which a node is met is told at the end, in one aggregation.
     """
     step = both_ways(edges.select("src", "dst")).distinct()
-    seen = start.select(query, F.col(node).alias("node"), F.lit(0).alias("hop")).distinct()
-    front = seen
+    front = start.select(query, F.col(node).alias("node")).distinct()
+    met = front.withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
         front = front.select(query, F.col("node").alias("src")).join(step, "src").select(query, F.col("dst").alias("node")).distinct()
-        front = front.join(seen.select(query, "node"), [query, "node"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
-    return seen.where("hop > 0")
+        met = met.unionByName(front.withColumn("hop", F.lit(hop)))
+    return met.groupBy(query, "node").agg(F.min("hop").alias("hop")).where("hop > 0")
 
 
 def anchors(queries: DataFrame, nodes: DataFrame, *, query: str = "query_id", words: str = "words", text: str = "name", limit: int | None = None) -> DataFrame:

@@ -36,14 +36,18 @@ def repeated_edge_lines(lines: DataFrame, group: str, page: str, at: str, line:
 
 def heading(line: Column) -> Column:
     """The section that a heading line opens, null for other lines."""
-    h = F.trim(F.regexp_replace(F.upper(line), "[^A-Z0-9]+", " "))
-    has = lambda s: F.contains(h, F.lit(s))
-    alone = F.replace(h, F.lit(" "), F.lit("")).isin("JUDGMENT", "ORDER")
-    out = F.when(F.lit(False), "")
-    for words, section in SECTION_HEADINGS:
-        opens = (h == words) | h.startswith(f"{words} ") if section == "headnotes" else has(words)
-        out = out.when(opens, section)
-    return out.when((has("JUDGMENT") | has("ORDER")) & (has("SUPREME COURT") | alone), "judgment")
+    plain = F.trim(F.regexp_replace(F.upper(line), "[^A-Z0-9]+", " "))
+
+    def of(h: Column) -> Column:
+        has = lambda s: F.contains(h, F.lit(s))
+        alone = F.replace(h, F.lit(" "), F.lit("")).isin("JUDGMENT", "ORDER")
+        out = None
+        for words, section in SECTION_HEADINGS:
+            opens = (h == words) | h.startswith(f"{words} ") if section == "headnotes" else has(words)
+            out = F.when(opens, section) if out is None else out.when(opens, section)
+        return out.when((has("JUDGMENT") | has("ORDER")) & (has("SUPREME COURT") | alone), "judgment")
+
+    return F.transform(F.array(plain), of)[0]  # the line is made plain once
 
 
 def carried(df: DataFrame, group: list[str], order: list[str], marker: Column, value: Column, into: str) -> DataFrame:
