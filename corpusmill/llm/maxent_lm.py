@@ -35,7 +35,9 @@ HOT, OWN, TAILS = 1 << 18, 1 << 14, 1 << 12
 #: Classes (0 is the end), rows of the weight table, kinds of features, neighbours told apart.
 CLASSES, ROWS, KINDS, BESIDE = 32, 1 << 16, 4, 64
 #: Tokens that are worked on at once; rows of a block of summed tables; tables that one task sums.
-BATCH, BLOCK, FAN = 32768, 256, 16
+BATCH, BLOCK, FAN = 131_072, 256, 16
+#: Training tokens of a table, at least on average: smaller partitions are read by one task.
+SHARE = 2_000_000
 #: Rounds of updates; steps of the first and of the others; pseudo-count that damps rare features.
 ROUNDS, FIRST, RATE, DAMP, MOST = 3, 0.55, 0.45, 24.0, 15
 END = np.array([0x5851F42D4C957F2D], dtype=U)
@@ -131,9 +133,11 @@ def _vocabulary(vocab: DataFrame) -> Vocabulary:
     return Vocabulary(top["h"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64))
 
 
-def _sum_tables(df: DataFrame, fn, rows: int, width: int) -> np.ndarray:
+def _sum_tables(df: DataFrame, fn, rows: int, width: int, n: int) -> np.ndarray:
     """The sum over partitions of the ``rows x width`` tables that ``fn`` makes of their batches of texts.
 
+    Of ``n`` tokens, there is one table for ``SHARE`` or more, so that tables stay small beside the texts.
+
     Tables travel in blocks of rows and are summed by a tree, in which a task
     meets ``FAN`` of a block's tables at most, however many partitions there are.
     """
@@ -145,7 +149,7 @@ def _sum_tables(df: DataFrame, fn, rows: int, width: int) -> np.ndarray:
         if total is not None:
             part = TaskContext.get().partitionId()
             for b in range(0, rows, BLOCK):
-                block = total[b : b + BLOCK].astype(np.float32)
+                block = np.ascontiguousarray(total[b : b + BLOCK], dtype=np.float32)
                 if block.any():
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part // FAN], pa.int32()), pa.array([True]), pa.array([block.tobytes()])], ["b", "p", "small", "v"])
 
@@ -155,7 +159,10 @@ def _sum_tables(df: DataFrame, fn, rows: int, width: int) -> np.ndarray:
         return pd.DataFrame({"b": [pdf.b.iloc[0]], "p": [pdf.p.iloc[0] // FAN], "small": [False], "v": [total.tobytes()]})
 
     kind = "b int, p int, small boolean, v binary"
-    blocks, parts = df.mapInArrow(run, kind), df.rdd.getNumPartitions()
+    parts = df.rdd.getNumPartitions()
+    if parts > (most := max(1, n // SHARE)):
+        df, parts = df.coalesce(most), most
+    blocks = df.mapInArrow(run, kind)
     while parts > 0:
         blocks, parts = blocks.groupBy("b", "p").applyInPandas(add, kind), parts // FAN if parts > 1 else 0
     out = np.zeros((rows, width))
@@ -248,12 +255,10 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
 
 
 def _summed(p: np.ndarray, rows: np.ndarray, into: np.ndarray) -> None:
-    """Add the rows of ``p`` to the rows of ``into`` that they belong to, kind by kind."""
-    for k in range(KINDS):
-        order = np.argsort(rows[:, k], kind="stable")
-        ids = rows[order, k]
-        begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        into[ids[begin]] += np.add.reduceat(p[order], begin, axis=0)
+    """Add the rows of ``p`` to the columns of ``into`` that they belong to, class by class."""
+    at = rows.T.ravel().astype(np.int64)
+    for c in range(CLASSES):
+        into[c] += np.bincount(at, np.tile(p[:, c].astype(np.float64), KINDS), minlength=ROWS)
 
 
 def seen(vocabulary: Vocabulary, classes: np.ndarray, groups) -> np.ndarray | None:
@@ -271,13 +276,13 @@ def expected(vocabulary: Vocabulary, classes: np.ndarray, weights: np.ndarray, b
     total = None
     for texts in groups:
         f = Features(texts, vocabulary, classes)
-        total = np.zeros((ROWS, CLASSES)) if total is None else total
+        total = np.zeros((CLASSES, ROWS)) if total is None else total
         for lo in range(0, len(f.cls), BATCH):
             rows = f.rows[lo : lo + BATCH]
             p = np.exp(logits(weights, bias, rows))
             p /= p.sum(1, keepdims=True)
             _summed(p, rows, total)
-    return total
+    return None if total is None else total.T
 
 
 def stepped(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, share: np.ndarray, rate: float) -> np.ndarray:
@@ -313,7 +318,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     vocabulary = _vocabulary(vocab)
     share = spark.sparkContext.broadcast(vocabulary)
-    table = _sum_tables(texts, lambda groups: neighbours(share.value, groups), START + 1, BESIDE)
+    table = _sum_tables(texts, lambda groups: neighbours(share.value, groups), START + 1, BESIDE, n)
     classes = cluster(table)
 
     # sizes of the classes, from all counts
@@ -330,12 +335,12 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     bias = np.log((size[:, 0] + 0.5) / (size[:, 0].sum() + 0.5 * CLASSES)).astype(np.float32)
 
     plan = spark.sparkContext.broadcast((vocabulary, classes))
-    counts = _sum_tables(texts, lambda groups: seen(*plan.value, groups), ROWS, CLASSES)
+    counts = _sum_tables(texts, lambda groups: seen(*plan.value, groups), ROWS, CLASSES, n)
     start = np.exp(bias) / np.exp(bias).sum()
     weights = stepped(np.zeros((ROWS, CLASSES)), counts, counts.sum(1, keepdims=True) * start, start, FIRST)
     for _ in range(ROUNDS - 1):
         now = spark.sparkContext.broadcast((weights, bias))
-        wanted = _sum_tables(texts, lambda groups, now=now: expected(*plan.value, *now.value, groups), ROWS, CLASSES)
+        wanted = _sum_tables(texts, lambda groups, now=now: expected(*plan.value, *now.value, groups), ROWS, CLASSES, n)
         weights = stepped(weights, counts, wanted, start, RATE)
     return Model(vocabulary, classes, weights, bias, log_size, n, v), vocab
 
@@ -347,11 +352,11 @@ def score_texts(texts: list[bytes], m: Model) -> tuple[np.ndarray, ...]:
     rare = c < 0
     known = np.where(rare, 0, np.log10(np.maximum(c, 0) + 0.5))
     p = np.empty(len(f.h))
-    for lo in range(0, len(f.h), 4 * BATCH):
-        own = f.cls[lo : lo + 4 * BATCH]
-        z = logits(m.weights, m.bias, f.rows[lo : lo + 4 * BATCH])
+    for lo in range(0, len(f.h), BATCH):
+        own = f.cls[lo : lo + BATCH]
+        z = logits(m.weights, m.bias, f.rows[lo : lo + BATCH])
         mine = z[np.arange(len(own)), own]
-        p[lo : lo + 4 * BATCH] = mine - np.log(np.exp(z, out=z).sum(1))
+        p[lo : lo + BATCH] = mine - np.log(np.exp(z, out=z).sum(1))
     p = p / np.log(10) - m.log_size[f.cls]
     at = f.at
     add = lambda x: np.add.reduceat(x, at[:-1]) if len(x) else np.zeros(0)

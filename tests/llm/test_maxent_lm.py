@@ -69,6 +69,7 @@ def test_scores_do_not_depend_on_the_batch(spark):
 
 def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "FAN", 2)
+    monkeypatch.setattr(maxent_lm, "SHARE", 500)
     rows = make(150)
     df = spark.createDataFrame(rows, SCHEMA)
     key = lambda r: (str(r.doc_id), r.n_tokens)
