@@ -35,7 +35,7 @@ HOT, OWN, TAILS = 1 << 18, 1 << 14, 1 << 12
 #: Classes (0 is the end), rows of the weight table, kinds of features, neighbours told apart.
 CLASSES, ROWS, KINDS, BESIDE = 32, 1 << 16, 4, 64
 #: Tokens that are worked on at once; rows of a block of summed tables; tables that one task sums.
-BATCH, BLOCK, FAN = 131_072, 256, 16
+BATCH, BLOCK, FAN = 32_768, 256, 16
 #: Training tokens of a table, at least on average: smaller partitions are read by one task.
 SHARE = 2_000_000
 #: Rounds of updates; steps of the first and of the others; pseudo-count that damps rare features.
@@ -133,8 +133,22 @@ def _vocabulary(vocab: DataFrame) -> Vocabulary:
     return Vocabulary(top["h"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64))
 
 
+def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The ids of all tokens, and the place of each text's first one, batch by batch as packed numbers; read once, used by every round."""
+    share = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(it):
+        for batch in it:
+            for _, group in words.batches(batch.column(0).cast(pa.binary()).to_pylist(), 16 << 20):
+                h, tails, at = tokens(group)
+                ids = share.value.ids(share.value.ranks(h), tails).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([at.astype(np.int64).tobytes()])], ["ids", "at"])
+
+    return materialize(texts.select("text").mapInArrow(run, "ids binary, at binary"), "ids")
+
+
 def _sum_tables(df: DataFrame, fn, rows: int, width: int, n: int) -> np.ndarray:
-    """The sum over partitions of the ``rows x width`` tables that ``fn`` makes of their batches of texts.
+    """The sum over partitions of the ``rows x width`` tables that ``fn`` makes of their batches of ids and places.
 
     Of ``n`` tokens, there is one table for ``SHARE`` or more, so that tables stay small beside the texts.
 
@@ -145,7 +159,8 @@ def _sum_tables(df: DataFrame, fn, rows: int, width: int, n: int) -> np.ndarray:
     def run(it):
         from pyspark import TaskContext
 
-        total = fn(g for batch in it for _, g in words.batches(batch.column(0).cast(pa.binary()).to_pylist(), 16 << 20))
+        packed = (pair for batch in it for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        total = fn((np.frombuffer(ids, np.uint16).astype(np.int64), np.frombuffer(at, np.int64)) for ids, at in packed)
         if total is not None:
             part = TaskContext.get().partitionId()
             for b in range(0, rows, BLOCK):
@@ -178,12 +193,10 @@ def _beside(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < half, ids, half + ids % (half - 1))
 
 
-def neighbours(vocabulary: Vocabulary, groups) -> np.ndarray | None:
+def neighbours(groups) -> np.ndarray | None:
     """How often which neighbours stand before and after each id."""
     total = None
-    for texts in groups:
-        h, tails, at = tokens(texts)
-        ids = vocabulary.ids(vocabulary.ranks(h), tails)
+    for ids, at in groups:
         near = _beside(ids)
         inner = np.ones(len(ids), dtype=bool)
         inner[at[1:] - 1] = False  # a text's end has nothing after it
@@ -220,12 +233,10 @@ def cluster(table: np.ndarray, seed: int = 7, rounds: int = 25) -> np.ndarray:
 
 
 class Features:
-    """Ids, classes and rows of the weight table of every token of some texts."""
+    """Classes, and rows of the weight table, of every token of some texts, out of ids and each text's first place."""
 
-    def __init__(self, texts: list[bytes], vocabulary: Vocabulary, classes: np.ndarray):
-        self.h, tails, self.at = tokens(texts)
-        self.ranks = vocabulary.ranks(self.h)
-        ids = vocabulary.ids(self.ranks, tails)
+    def __init__(self, ids: np.ndarray, at: np.ndarray, classes: np.ndarray):
+        self.at = at
         self.cls = classes[ids]
         self.cls[self.at[1:] - 1] = 0
         n = len(ids)
@@ -261,21 +272,21 @@ def _summed(p: np.ndarray, rows: np.ndarray, into: np.ndarray) -> None:
         into[c] += np.bincount(at, np.tile(p[:, c].astype(np.float64), KINDS), minlength=ROWS)
 
 
-def seen(vocabulary: Vocabulary, classes: np.ndarray, groups) -> np.ndarray | None:
+def seen(classes: np.ndarray, groups) -> np.ndarray | None:
     """How often each feature stands before each class."""
     total = None
-    for texts in groups:
-        f = Features(texts, vocabulary, classes)
+    for ids, at in groups:
+        f = Features(ids, at, classes)
         n = sum(np.bincount(f.rows[:, k].astype(np.int64) * CLASSES + f.cls, minlength=ROWS * CLASSES) for k in range(KINDS))
         total = n if total is None else total + n
     return None if total is None else total.reshape(ROWS, CLASSES)
 
 
-def expected(vocabulary: Vocabulary, classes: np.ndarray, weights: np.ndarray, bias: np.ndarray, groups) -> np.ndarray | None:
+def expected(classes: np.ndarray, weights: np.ndarray, bias: np.ndarray, groups) -> np.ndarray | None:
     """How often the model expects each feature before each class, over the same tokens."""
     total = None
-    for texts in groups:
-        f = Features(texts, vocabulary, classes)
+    for ids, at in groups:
+        f = Features(ids, at, classes)
         total = np.zeros((CLASSES, ROWS)) if total is None else total
         for lo in range(0, len(f.cls), BATCH):
             rows = f.rows[lo : lo + BATCH]
@@ -317,8 +328,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     vocab = materialize(token_counts(texts), "counts")
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     vocabulary = _vocabulary(vocab)
-    share = spark.sparkContext.broadcast(vocabulary)
-    table = _sum_tables(texts, lambda groups: neighbours(share.value, groups), START + 1, BESIDE, n)
+    ids = encoded(texts, vocabulary)
+    table = _sum_tables(ids, neighbours, START + 1, BESIDE, n)
     classes = cluster(table)
 
     # sizes of the classes, from all counts
@@ -334,34 +345,35 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         log_size[0] = np.log10(size[0, 0] + 0.5)
     bias = np.log((size[:, 0] + 0.5) / (size[:, 0].sum() + 0.5 * CLASSES)).astype(np.float32)
 
-    plan = spark.sparkContext.broadcast((vocabulary, classes))
-    counts = _sum_tables(texts, lambda groups: seen(*plan.value, groups), ROWS, CLASSES, n)
+    plan = spark.sparkContext.broadcast(classes)
+    counts = _sum_tables(ids, lambda groups: seen(plan.value, groups), ROWS, CLASSES, n)
     start = np.exp(bias) / np.exp(bias).sum()
     weights = stepped(np.zeros((ROWS, CLASSES)), counts, counts.sum(1, keepdims=True) * start, start, FIRST)
     for _ in range(ROUNDS - 1):
         now = spark.sparkContext.broadcast((weights, bias))
-        wanted = _sum_tables(texts, lambda groups, now=now: expected(*plan.value, *now.value, groups), ROWS, CLASSES, n)
+        wanted = _sum_tables(ids, lambda groups, now=now: expected(plan.value, *now.value, groups), ROWS, CLASSES, n)
         weights = stepped(weights, counts, wanted, start, RATE)
     return Model(vocabulary, classes, weights, bias, log_size, n, v), vocab
 
 
 def score_texts(texts: list[bytes], m: Model) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known among the frequent, their log10 counts, log10 of class shares and sizes; rare hashes."""
-    f = Features(texts, m.vocabulary, m.classes)
-    c = m.vocabulary.counts(f.ranks)
+    h, tails, at = tokens(texts)
+    ranks = m.vocabulary.ranks(h)
+    f = Features(m.vocabulary.ids(ranks, tails), at, m.classes)
+    c = m.vocabulary.counts(ranks)
     rare = c < 0
     known = np.where(rare, 0, np.log10(np.maximum(c, 0) + 0.5))
-    p = np.empty(len(f.h))
-    for lo in range(0, len(f.h), BATCH):
+    p = np.empty(len(h))
+    for lo in range(0, len(h), BATCH):
         own = f.cls[lo : lo + BATCH]
         z = logits(m.weights, m.bias, f.rows[lo : lo + BATCH])
         mine = z[np.arange(len(own)), own]
         p[lo : lo + BATCH] = mine - np.log(np.exp(z, out=z).sum(1))
     p = p / np.log(10) - m.log_size[f.cls]
-    at = f.at
     add = lambda x: np.add.reduceat(x, at[:-1]) if len(x) else np.zeros(0)
     where = np.concatenate(([0], np.cumsum(rare)))[at]
-    return np.diff(at), add((~rare).astype(np.int64)), add(known), add(p), where, f.h[rare].view(np.int64)
+    return np.diff(at), add((~rare).astype(np.int64)), add(known), add(p), where, h[rare].view(np.int64)
 
 
 def score_documents(docs: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:

@@ -32,6 +32,11 @@ def brute(rows):
     return sorted(((i, out(i), len(w := split(t)), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for i, t, *_ in rows), key=str)
 
 
+def ids_of(texts, model):
+    h, tails, at = tokens(texts)
+    return model.vocabulary.ids(model.vocabulary.ranks(h), tails), at
+
+
 @pytest.mark.parametrize("hot", [1 << 18, 40])
 def test_base_is_exact_and_the_model_better(spark, monkeypatch, hot):
     monkeypatch.setattr(maxent_lm, "HOT", hot)
@@ -46,7 +51,7 @@ def test_base_is_exact_and_the_model_better(spark, monkeypatch, hot):
 def test_probabilities_sum_to_one(spark):
     rows = make(60)
     model, vocab = fit(spark.createDataFrame(rows, SCHEMA))
-    f = maxent_lm.Features([b"ka1ka mo2mo unseen"], model.vocabulary, model.classes)
+    f = maxent_lm.Features(*ids_of([b"ka1ka mo2mo unseen"], model), model.classes)
     assert np.allclose(np.exp(log_softmax(model.weights, model.bias, f.rows)).sum(1), 1, atol=1e-5)
     share = Counter()
     end = int(END.view(np.int64)[0])
@@ -81,7 +86,7 @@ def test_gradient_equals_brute_force(spark):
     rows = make(40)
     model, _ = fit(spark.createDataFrame(rows, SCHEMA))
     texts = [(t or "").encode() for _, t, *_ in rows]
-    f = maxent_lm.Features(texts, model.vocabulary, model.classes)
+    f = maxent_lm.Features(*ids_of(texts, model), model.classes)
     seen, wanted = np.zeros((2, maxent_lm.ROWS, maxent_lm.CLASSES))
     for t in range(len(f.cls)):
         z = model.bias + sum(model.weights[f.rows[t, k]] for k in range(maxent_lm.KINDS))
@@ -89,8 +94,9 @@ def test_gradient_equals_brute_force(spark):
         for k in range(maxent_lm.KINDS):
             seen[f.rows[t, k], f.cls[t]] += 1
             wanted[f.rows[t, k]] += p / p.sum()
-    assert (maxent_lm.seen(model.vocabulary, model.classes, [texts[:20], texts[20:]]) == seen).all()
-    assert np.allclose(maxent_lm.expected(model.vocabulary, model.classes, model.weights, model.bias, [texts[:20], texts[20:]]), wanted, atol=1e-3)
+    parts = [ids_of(texts[:20], model), ids_of(texts[20:], model)]
+    assert (maxent_lm.seen(model.classes, parts) == seen).all()
+    assert np.allclose(maxent_lm.expected(model.classes, model.weights, model.bias, parts), wanted, atol=1e-3)
 
 
 def test_rounds_raise_the_likelihood_of_training_texts(spark, monkeypatch):
