@@ -280,8 +280,8 @@ def ngram_groups(docs: DataFrame, n: int, num: int, den: int, part: int = PART,
 
     # buckets are known by their smallest and largest class, so that none meets in one place
     bounds = lambda rows: rows.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top")
-    listed = materialize(signature_rows(docs, n, plan), "signatures")
-    multi = listed.join(bounds(listed).select("sig"), "sig", "left_semi").distinct()
+    listed = signature_rows(docs, n, plan).repartition("sig")  # moved once, for both uses
+    multi = listed.join(bounds(listed), "sig").select("sig", "cls").distinct()
     multi = materialize(multi.withColumn("level", F.expr(f"cast(sig & {LEVELS}L as int)")), "buckets")
     # a linked set shares a known number of signatures; classes that share fewer with all others leave
     needs = sizes.select("cls", F.inline("needs")).where("least > 1")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import extend, fresh, materialize, numbered, quoted
+from .shared import extend, fresh, materialize
 
 U = np.uint64
 #: Labelled rows to learn from, at most (about): the stated bound of the training sample.
@@ -230,18 +230,10 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more; nulls, repeats and labels as in the report.
 
-    Statistics are made once, and read again for the scores.
+    Only labelled texts are looked at twice: no table of all texts is written.
     """
     known = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
-    stats, names = fresh("stats", docs.columns), docs.columns
-    with_stats = materialize(document_statistics(docs, into=stats), "stats")
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(with_stats.select("doc_id", stats).withColumnRenamed(stats, "stats"), known))
-    kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(quoted(*docs.columns), docs.schema.fields, strict=True)]
-
-    def run(it):
-        for batch in it:
-            x = np.asarray(batch.column(batch.num_columns - 1).flatten()).reshape(batch.num_rows, -1)
-            s = model.value.score(x) if model.value else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(s >= threshold))
-
-    return numbered(with_stats).mapInArrow(run, ", ".join(kinds))
+    labelled = docs.select("doc_id", "text").join(known.where("label is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    model = fit_quality(document_statistics(labelled, keep=["doc_id"]), known)
+    score = fresh("score", docs.columns)
+    return score_quality(docs, model, into=score).where(F.col(score) >= threshold).drop(score)
