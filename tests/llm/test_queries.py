@@ -20,7 +20,7 @@ def test_query(spark, name):
     assert got
     if name in oracle_sql():
         db = duckdb.connect()
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "embeddings"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
         res = db.execute(oracle_sql()[name])
         names = [x[0] for x in res.description]
