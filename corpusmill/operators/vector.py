@@ -79,10 +79,12 @@ def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str,
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_type
 
     asked = queries.collect()  # one block of queries at most
     held = corpus.sparkSession.sparkContext.broadcast((np.array([r[query_vec] for r in asked], dtype=np.float64), np.array([r["_qn"] for r in asked]), [r[query] for r in asked]))
     key_type = queries.schema[query].dataType.simpleString()
+    key_arrow = to_arrow_type(queries.schema[query].dataType)
 
     def run(it):
         q, qn, ids = held.value
@@ -98,7 +100,7 @@ def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str,
             least = best.min(axis=1)
             i, j = np.nonzero(score >= least[:, None] - 1e-9)
             rows = batch.take(pa.array(j))
-            kept.append(pa.RecordBatch.from_arrays([*rows.columns, pa.array([ids[x] for x in i]).cast(kept_type(key_type)), pa.array(score[i, j])], [*rows.schema.names, query, "_s"]))
+            kept.append(pa.RecordBatch.from_arrays([*rows.columns, pa.array([ids[x] for x in i], key_arrow), pa.array(score[i, j])], [*rows.schema.names, query, "_s"]))
             if sum(b.num_rows for b in kept) > 4 * k * len(ids) + 100_000:
                 kept = [narrowed(kept, least, ids, query)]
         if kept:
@@ -115,9 +117,6 @@ def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str,
         nth = np.arange(len(order)) - np.searchsorted(run_of, run_of, side="left")
         return batch.take(pa.array(np.sort(order[nth < k])))
 
-    def kept_type(kind: str) -> pa.DataType:
-        return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.string())
-
     def narrowed(kept, least, ids, name) -> pa.RecordBatch:
         rows = pa.Table.from_batches(kept).combine_chunks()
         floor = dict(zip(ids, least.tolist(), strict=True))

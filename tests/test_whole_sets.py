@@ -45,3 +45,14 @@ def test_contexts_hold_whole_turns(spark, tmp_path):
     got = {r.conv_id: (r.n_parts, r.context) for r in entry.queries()["context_build"](spark, str(tmp_path)).collect()}
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert got == {1: (2, md5("a: " + "x" * 150 + "\n\nb: " + "y" * 20_000)), 2: (1, md5("a: "))}
+
+
+def test_bulk_path_with_query_keys_of_any_type(spark):
+    rows = spark.range(60).selectExpr("id as vec_id", "array(cast(id % 7 as float), cast(1 + id % 5 as float)) as embedding")
+    for kind in ("smallint", "string", "date", "decimal(12,2)"):
+        key = "date_add(date'2020-01-01', cast(id as int))" if kind == "date" else f"cast(id as {kind})"
+        asked = spark.range(4).selectExpr(f"{key} as query_id", "array(cast(id as double), 2.0D) as query_vec")
+        plain, bulk = (vector.top_k(asked, rows, 3, bulk=b) for b in (False, True))
+        assert bulk.schema["query_id"].dataType == plain.schema["query_id"].dataType
+        pick = lambda df: sorted((str(r.query_id), r.vector_rank, r.vec_id) for r in df.collect())
+        assert pick(plain) == pick(bulk) and len(pick(bulk)) == 12
