@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, hnsw_dedup, html_extract, license_scan, line_dedup, maxent_lm, ngram_join, quality_model, reshard
+from . import byte_bpe, decontaminate, heap_bpe, hnsw_dedup, html_extract, license_scan, line_dedup, maxent_lm, ngram_join, quality_model, reshard
 from .shared import table
 
 
@@ -52,6 +52,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op12_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return heap_bpe.heap_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
