@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, heap_bpe, hnsw_dedup, html_extract, license_scan, line_dedup, maxent_lm, ngram_join, quality_model, reshard
+from . import align, byte_bpe, decontaminate, heap_bpe, hnsw_dedup, html_extract, license_scan, line_dedup, maxent_lm, ngram_join, quality_model, reshard
 from .shared import table
 
 
@@ -52,6 +52,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    return align.alignment_report(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"))
+
+
 def op12_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -38,9 +38,10 @@ def test_contract_columns(spark):
         "op8": "doc_id size text_crc32 law shard slot grown_shard",
         "op9": "vec_id n_links component_id kept",
         "op10": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op11": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
         "op12": "doc_id n_tokens ids_sha256 decoded_sha256",
     }
-    kinds = {"doc_id": "bigint", "page_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "n_tokens": "bigint", "n_chars": "bigint", "held_out": "boolean", "score": "double", "predicted": "int", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int", "vec_id": "bigint", "n_links": "bigint", "kept": "boolean", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "contaminated": "boolean"}
+    kinds = {"doc_id": "bigint", "page_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "n_tokens": "bigint", "n_chars": "bigint", "held_out": "boolean", "score": "double", "predicted": "int", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int", "vec_id": "bigint", "n_links": "bigint", "kept": "boolean", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "contaminated": "boolean"} | dict.fromkeys(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), "bigint")
     for name, f in queries().items():
         if (op := name.split("_")[0]) in want:
             types = dict(f(spark, FOLDER).dtypes)
