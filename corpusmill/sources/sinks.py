@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import uuid5
+
 
 def last_of_each(source: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row of each key: the last by ``order``, and by all other columns where that ties."""
@@ -13,11 +15,11 @@ def last_of_each(source: DataFrame, key: str, order: str | None = None) -> DataF
 
 
 def accepted(source: DataFrame, key: str, text: str | None = None) -> DataFrame:
-    """Rows without a blank text; blank keys get random ones."""
+    """Rows without a blank text; blank keys get one that the rest of the row tells, the same at every replay."""
     if text is not None:
         source = source.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\S"))
     if source.schema[key].dataType.simpleString() == "string":
-        source = source.withColumn(key, F.when(F.coalesce(F.trim(key), F.lit("")) == "", F.expr("uuid()")).otherwise(F.col(key)))
+        source = source.withColumn(key, F.when(F.coalesce(F.trim(key), F.lit("")) == "", uuid5(F.to_json(F.struct(*(c for c in source.columns if c != key))))).otherwise(F.col(key)))
     return source
 
 
@@ -25,7 +27,8 @@ def upsert(target: DataFrame, source: DataFrame, key: str, order: str | None = N
     """The target with the source's rows in place of those of equal keys; the last of each key counts.
 
     Rows with a null key are left out, as are those with a blank ``text`` where
-    a text column is named; blank string keys are new rows of their own.
+    a text column is named; a blank string key becomes one of the row's content,
+    so equal rows without a key are one row and a replay changes nothing.
     """
     source = last_of_each(accepted(source, key, text), key, order)
     return target.join(source.select(key), key, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
