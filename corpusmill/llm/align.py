@@ -12,41 +12,58 @@ pair, and the results go back to the blocks by group key.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .heap_bpe import HeapCodec, Vocabulary, read_vocabulary
+from .byte_bpe import Codec, serialise
+from .heap_bpe import PATTERN, byte_characters, read_vocabulary
 from .shared import extend, materialize, quoted, small_batches
 
-#: Bytes of text, about, after which a task closes a block, and stretches of text that it holds with their groups.
-BLOCK_BYTES, CACHE = 32 << 20, 400_000
+#: Bytes of text, about, after which a task closes a block.
+BLOCK_BYTES = 8 << 20
+#: Stretches of text of a generation that a worker holds with their groups, and groups that it numbers before it begins anew.
+CACHE, GROUPS = 150_000, 2_000_000
+#: Characters of text, about, that are looked at together.
+STEP = 1 << 20
 SPACE = "▁"
 
 
 class Tokenizers(NamedTuple):
-    """What the workers need of both files; their sizes are those of the files."""
+    """Sentencepiece models of both vocabularies; their sizes are those of the files."""
 
-    a: Vocabulary
+    a: bytes
     b: bytes
 
 
 class Aligner:
-    """Encodes stretches of text by both tokenizers and interns their groups; one for each block."""
+    """Encodes stretches of text by both tokenizers and numbers their groups; one for each worker at a time."""
 
     _codecs: dict[int, tuple] = {}
+    _made: dict[int, Aligner] = {}
 
     def __init__(self, key: int, tokenizers):
         if key not in self._codecs:
             self._codecs[key] = _codecs(tokenizers.value)
         self.a, self.b, self.cut, self.lengths_a, self.lengths_b, self.bytes_b, self.space_id, self.parted = self._codecs[key]
+        #: groups of the stretches met last, as bytes of int32, in two generations
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.number: dict[bytes, int] = {}
+        self.pairs: dict[int, int] = {}
         self.keys: list[bytes] = []
         self.sizes: list[tuple[int, int]] = []
 
+    @classmethod
+    def of(cls, key: int, tokenizers) -> Aligner:
+        """The worker's own, or a new one where that has numbered too many groups."""
+        if key not in cls._made or len(cls._made[key].keys) > GROUPS:
+            cls._made[key] = cls(key, tokenizers)
+        return cls._made[key]
+
     def stretches(self, text: str) -> list[str]:
         """The text without the spaces at which it is cut: those after what is no white space.
 
@@ -55,45 +72,69 @@ class Aligner:
         """
         return self.cut.split(text) if self.parted else [text]
 
+    def _intern(self, key: bytes, size: tuple[int, int]) -> int:
+        if (g := self.number.get(key)) is None:
+            g = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            self.sizes.append(size)
+        return g
+
+    def _pair(self, pair: int) -> int:
+        """The number of a group of one token of each."""
+        if (g := self.pairs.get(pair)) is None:
+            g = self.pairs[pair] = self._intern(b"%d|%d" % divmod(pair, len(self.bytes_b)), (1, 1))
+        return g
+
     def learn(self, new: list[str]) -> None:
-        """Intern the groups of stretches that aren't known yet; -1 stands for bytes that differ."""
-        ids_a, ids_b, taken = [], [], []
-        for s, ids in zip(new, self.b.encode(new, num_threads=1), strict=True):
-            ids = ids or [self.space_id]
-            if b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + s.encode():
-                taken.append(s)
-                ids_b += ids
-                ids_a.append(self.a.encode(" " + s))
-            else:
-                self.known[s] = np.int32(-1).tobytes()
-        if not taken:
+        """Number the groups of stretches that aren't known yet; -1 stands for bytes that differ."""
+        ids = [i or [self.space_id] for i in self.b.encode(new, num_threads=1)]
+        joined = self.bytes_b.__getitem__
+        if b"".join(map(joined, chain.from_iterable(ids))) != (" " + " ".join(new)).encode():
+            same = [b"".join(map(joined, i)) == b" " + s.encode() for s, i in zip(new, ids, strict=True)]
+            self.known |= {s: np.int32(-1).tobytes() for s, ok in zip(new, same, strict=True) if not ok}
+            new, ids = ([x for x, ok in zip(some, same, strict=True) if ok] for some in (new, ids))
+        if not new:
             return
-        flat_a, flat_b = np.concatenate(ids_a), np.array(ids_b, np.int32)
+        whole = [" " + s for s in new]
+        flat_a = np.frombuffer(self.a.ids(list(chain.from_iterable(map(self.a.find.findall, whole)))), np.int32)
+        flat_b = np.array(list(chain.from_iterable(ids)), np.int64)
         ends_a, ends_b = np.cumsum(self.lengths_a[flat_a]), np.cumsum(self.lengths_b[flat_b])
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
         to_a, to_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
-        text_a, text_b = list(map(self.a.digits.__getitem__, flat_a.tolist())), [b"%d" % i for i in ids_b]
-        numbers, x, y = [], 0, 0
-        for m, n in zip(to_a.tolist(), to_b.tolist(), strict=True):
-            key = b",".join(text_a[x:m]) + b"|" + b",".join(text_b[y:n])
-            if (g := self.number.get(key)) is None:
-                g = self.number[key] = len(self.keys)
-                self.keys.append(key)
-                self.sizes.append((m - x, n - y))
-            numbers.append(g)
-            x, y = m, n
-        raw = np.array(numbers, np.int32).tobytes()
-        stops = (4 * (np.searchsorted(both, ends_a[np.cumsum([len(i) for i in ids_a]) - 1]) + 1)).tolist()
-        for s, start, stop in zip(taken, [0, *stops], stops, strict=False):
+        from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
+        single = (to_a - from_a == 1) & (to_b - from_b == 1)
+        numbers = np.empty(len(both), np.int32)
+        pairs, inverse = np.unique(flat_a[from_a[single]].astype(np.int64) * len(self.bytes_b) + flat_b[from_b[single]], return_inverse=True)
+        numbers[single] = np.array([self._pair(p) for p in pairs.tolist()], np.int32)[inverse] if len(pairs) else 0
+        list_a, list_b = flat_a.tolist(), flat_b.tolist()
+        many = np.flatnonzero(~single)
+        for at, i, m, j, n in zip(many.tolist(), from_a[many].tolist(), to_a[many].tolist(), from_b[many].tolist(), to_b[many].tolist(), strict=True):
+            numbers[at] = self._intern(("%s|%s" % (",".join(map(str, list_a[i:m])), ",".join(map(str, list_b[j:n])))).encode(), (m - i, n - j))
+        raw = numbers.tobytes()
+        stops = (4 * (np.searchsorted(both, np.cumsum([len(s.encode()) for s in whole])) + 1)).tolist()
+        for s, start, stop in zip(new, [0, *stops], stops, strict=False):
             self.known[s] = raw[start:stop]
 
     def groups(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of each text's groups in order; none for empty texts and those whose bytes differ."""
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size >= STEP:
+                out += self._groups(some)
+                some, size = [], 0
+        return out + self._groups(some)
+
+    def _groups(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
-            self.known = {}
+            self.older, self.known = self.known, {}
         parts = [self.stretches(t) if t else [] for t in texts]
-        if new := list({s for p in parts for s in p if s not in self.known}):
-            self.learn(new)
+        if new := set(chain.from_iterable(parts)).difference(self.known):
+            held = new.intersection(self.older)
+            self.known |= {s: self.older[s] for s in held}
+            if new := list(new - held):
+                self.learn(new)
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32) for p in parts]
         return [g if not len(g) or g.min() >= 0 else g[:0] for g in out]
 
@@ -102,28 +143,32 @@ def _codecs(tokenizers: Tokenizers) -> tuple:
     import regex
     import sentencepiece
 
-    a = HeapCodec(tokenizers.a, special=False)
+    a = Codec(tokenizers.a, PATTERN)
     b = sentencepiece.SentencePieceProcessor(model_proto=tokenizers.b)
     pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
     raw = [bytes([int(p[3:-1], 16)]) if b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
     parted = not any(SPACE in p.lstrip(SPACE) for p in pieces)
     lengths = lambda entries: np.array([len(e) for e in entries], np.int64)
-    return a, b, regex.compile(r"(?<=\S) "), lengths(a.raw), lengths(raw), raw, b.piece_to_id(SPACE), parted
+    return a, b, regex.compile(r"(?<=\S) "), lengths(a.pieces), lengths(raw), raw, b.piece_to_id(SPACE), parted
 
 
 def _shared(docs: DataFrame, a_path: str, b_path: str):
-    """Both files as a broadcast (their sizes are fixed, some MB), and a key of them for the workers."""
+    """Both models as a broadcast (their sizes are fixed, some MB), and a key of them for the workers."""
     with open(b_path, "rb") as f:
         model = f.read()
-    vocabulary = read_vocabulary(a_path)
-    return docs.sparkSession.sparkContext.broadcast(Tokenizers(vocabulary, model)), hash((tuple(vocabulary.merges), model))
+    vocabulary, by_char = read_vocabulary(a_path), {c: b for b, c in enumerate(byte_characters())}
+    ranks = {bytes(by_char[c] for c in e): i for i, e in enumerate(vocabulary.entries) if e is not None and e not in vocabulary.added}
+    if len(vocabulary.merges) + 256 != len(ranks) or any(i >= j for (_, _, i), (_, _, j) in zip(vocabulary.merges, vocabulary.merges[1:], strict=False)):
+        raise ValueError("the ids of A must follow its merges")
+    models = Tokenizers(serialise(ranks), model)
+    return docs.sparkSession.sparkContext.broadcast(models), hash(models)
 
 
 class Block:
     """The groups of some texts, and in how many places and texts each stands."""
 
     def __init__(self, name: str, key: int, tokenizers):
-        self.name, self.aligner, self.bytes = name, Aligner(key, tokenizers), 0
+        self.name, self.aligner, self.bytes = name, Aligner.of(key, tokenizers), 0
         self.freq, self.docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def texts(self, raw: list[bytes | None]) -> dict:
@@ -224,7 +269,7 @@ def expanded(table: DataFrame, a_path: str, b_path: str, rule: str = "ends", wei
     distinct = table.where("number is not null").groupBy("key").agg(F.sum(weigh).alias("weight"))
 
     def run(it):
-        aligner = Aligner(code, tokenizers)
+        aligner = Aligner.of(code, tokenizers)
         for batch in it:
             out = []
             for key, weight in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
@@ -267,7 +312,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, text: str = "text",
     tokenizers, code = _shared(docs, a_path, b_path)
 
     def run(texts):
-        aligner = Aligner(code, tokenizers)
+        aligner = Aligner.of(code, tokenizers)
         found = aligner.groups([t.decode("utf-8", "replace") if t else "" for t in texts])
         return [pa.array([b";".join(map(aligner.keys.__getitem__, g.tolist())) for g in found], pa.binary()).cast(pa.string())]
 
@@ -284,6 +329,7 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, rule: str = "end
     further columns are ignored. An empty table gives an empty result.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     table = interned(docs.select("doc_id", "text"), a_path, b_path, keep=["doc_id"])
     links = expanded(table, a_path, b_path, rule, weigh)
@@ -295,15 +341,20 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, rule: str = "end
     sums = ["n_links", "n_best", "count_sum"]
 
     def gathered(left, right):
-        at = right["number"].to_numpy()
-        lists = left["numbers"].combine_chunks()
-        flat, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-        out = {"doc_id": left["_0"], "n_a": left["n_a"], "n_b": left["n_b"], "n_groups": pa.array(np.diff(ends).astype(np.int64))}
-        for c in sums:
-            of = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
-            of[at] = right[c].to_numpy()
-            out[c] = pa.array(_sums(of[flat], ends))
-        return pa.table(out | {"groups_sha256": left["groups_sha256"]})
+        at, size = right["number"].to_numpy(), (pc.max(right["number"]).as_py() or 0) + 1
+        of = np.zeros((size, len(sums)), np.int64)
+        of[at] = np.stack([right[c].to_numpy() for c in sums], axis=1)
+        out = {c: [] for c in ("n_groups", *sums)}
+        for lists in left["numbers"].chunks:
+            for low in range(0, len(lists), 1000):  # a bounded number of texts at a time
+                some = lists.slice(low, 1000)
+                ends = np.concatenate([[0], np.cumsum(some.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                flat = some.flatten().to_numpy()
+                out["n_groups"].append(np.diff(ends))
+                for i, c in enumerate(sums):
+                    out[c].append(_sums(of[:, i][flat], ends))
+        n = {c: pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])) for c, parts in out.items()}
+        return pa.table({"doc_id": left["_0"], "n_a": left["n_a"], "n_b": left["n_b"], **n, "groups_sha256": left["groups_sha256"]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"

@@ -117,7 +117,8 @@ class Codec:
         for t, b, ids in zip(new, raw, self.sp.encode([to_text(b) for b in raw], num_threads=1), strict=True):
             self.known[t] = array('i', self.whole.get(b) or ids).tobytes()
 
-    def _ids(self, tokens: list[str]) -> bytes:
+    def ids(self, tokens: list[str]) -> bytes:
+        """Ids of pre-tokens, one after the other, as bytes of int32."""
         parts = list(map(self.known.get, tokens))
         try:
             return b"".join(parts)
@@ -130,10 +131,10 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= 1 << 18:
-            return np.frombuffer(self._ids(self.find.findall(text)), dtype=np.int32)
+            return np.frombuffer(self.ids(self.find.findall(text)), dtype=np.int32)
         out, found = [], (m.group() for m in self.find.finditer(text))
         while part := list(itertools.islice(found, 1 << 16)):
-            out.append(self._ids(part))
+            out.append(self.ids(part))
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:

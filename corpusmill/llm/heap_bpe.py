@@ -127,7 +127,8 @@ class HeapCodec:
             self.known[token] = ids
         return ids
 
-    def _plain(self, text: str) -> list[bytes]:
+    def plain(self, text: str) -> list[bytes]:
+        """Ids of each pre-token of a text without added tokens, as bytes of int32."""
         if len(text) <= 1 << 18:
             known = self.known.get
             return [known(t) or self._of(t) for t in self.find.findall(text)]
@@ -139,10 +140,10 @@ class HeapCodec:
     def encode(self, text: str) -> np.ndarray:
         """Ids as int32; added tokens that stand in the text are their own ids where ``special`` is set."""
         if self.cut is None or not any(s in text for s in self.added):
-            return np.frombuffer(b"".join(self._plain(text)), dtype=np.int32)
+            return np.frombuffer(b"".join(self.plain(text)), dtype=np.int32)
         parts: list[bytes] = []
         for part in self.cut.split(text):
-            parts += [array("i", [self.added[part]]).tobytes()] if part in self.added else self._plain(part)
+            parts += [array("i", [self.added[part]]).tobytes()] if part in self.added else self.plain(part)
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:

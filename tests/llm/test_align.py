@@ -108,21 +108,25 @@ def test_documents_of_the_table(spark):
     assert sorted(map(tuple, align.alignment_report(df, A, B).collect()), key=str) == brute(rows)[0]
 
 
-def test_cache_and_stretches(monkeypatch):
-    from corpusmill.llm.heap_bpe import read_vocabulary
-
-    class Value:
-        value = align.Tokenizers(read_vocabulary(A), open(B, "rb").read())
-
+def test_cache_and_stretches(spark, monkeypatch):
+    models, _ = align._shared(spark.range(1), A, B)
     monkeypatch.setattr(align, "CACHE", 3)
-    one = align.Aligner(1, Value)
-    whole = align.Aligner(1, Value)
+    one = align.Aligner(1, models)
+    whole = align.Aligner(1, models)
     whole.parted = False
     for t in TEXTS:
         text = lambda x, t=t: [b";".join(x.keys[i] for i in g) for g in x.groups([t])]
         assert text(one) == text(whole)
 
 
+def test_groups_begin_anew(spark, rows, monkeypatch):
+    monkeypatch.setattr(align, "GROUPS", 5)
+    monkeypatch.setattr(align, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(align, "STEP", 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, align.alignment_report(df, A, B).collect()), key=str) == brute(rows)[0]
+
+
 def test_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "some text", "v", "w"), (2, None, "v", "w")], "doc_id long, text string, `a.b` string, `x``y` string")
     out = align.align_tokens(df, A, B)
