@@ -6,6 +6,7 @@ what is merged or packed depends on what was before.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,30 @@ def simple_packs(paras: str = "paras", tokens: str = "t", cap: int = 600) -> Col
     return F.expr(f"if(size({paras}) > 0, aggregate(sequence(0, size({paras}) - 1), {begin}, (a, i) -> {step}, a -> if(size(a.cur) > 0, concat(a.done, array(a.cur)), a.done)), cast(array() as array<array<int>>))")
 
 
+def packs_of_lines(tokens: Column, lines: Column, cap: int, joint: str = "\n") -> Column:
+    """Texts of lines packed in order up to ``cap`` tokens, as ``array<string>``; one that is longer stands alone.
+
+    The same packs as :func:`simple_packs`, in time linear in the lines: Arrow
+    batches of whole documents go through a running sum each. Null arrays have no packs.
+    """
+    @F.arrow_udf("array<string>")
+    def packed(tokens: pa.Array, lines: pa.Array) -> pa.Array:
+        out = []
+        for sizes, texts in zip(tokens.to_pylist(), lines.to_pylist(), strict=True):
+            packs: list[list[str]] = []
+            held = 0
+            for size, text in zip(sizes or (), texts or (), strict=True):
+                if not packs or held + size > cap:
+                    packs.append([])
+                    held = 0
+                packs[-1].append(text)
+                held += size
+            out.append([joint.join(p) for p in packs])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return packed(tokens, lines)
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=\.)\s+")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import references, text
 from ..operators import collection, containment, graph, postprocess, provisions, quality
 from ..session import shared_path, table
-from ..sources import readers, sinks
+from ..sources import readers, sinks, tables
 from .registry import query
 
 EDGES = """edges AS (SELECT DISTINCT 'S' || s_suppkey AS src, 'N' || s_nationkey AS dst, 'IN_NATION' AS type FROM supplier
@@ -208,6 +208,25 @@ def delete_ids(spark, sf_dir):
     return sinks.delete(*_delta(spark, sf_dir), "o_orderkey")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 2 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 0 END AS version FROM orders
+  UNION ALL SELECT -o_orderkey, o_totalprice, 3 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 11 = 0)
+SELECT k, price, version FROM o WHERE k < 0 OR k % 13 <> 0"""
+)
+def durable_merge(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    path = shared_path(spark, "durable_merge")
+    of = lambda df, v: df.withColumn("price", F.col("price") + v).withColumn("version", F.lit(v))
+    tables.upsert_table(path, of(o, 0), "k", buckets=8)
+    some = o.where("k % 7 = 0")
+    for _ in range(2):  # the second changes nothing
+        tables.upsert_table(path, of(some, 1).unionByName(of(some, 2)), "k", order="version")
+    new = o.where("k > 0 and k % 11 = 0").withColumns({"k": -F.col("k"), "version": F.lit(3)})
+    tables.insert_into_table(path, new.unionByName(of(o.where("k % 5 = 0"), 9)), "k")
+    tables.delete_from_table(path, o.where("k >= 0 and k % 13 = 0").select("k"), "k")
+    return tables.read_table(spark, path)
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 def json_props(spark, sf_dir):
     said = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
