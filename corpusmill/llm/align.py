@@ -12,6 +12,7 @@ pair, and the results go back to the blocks by group key.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from itertools import chain
 from typing import NamedTuple
 
@@ -24,11 +25,11 @@ from .heap_bpe import PATTERN, byte_characters, read_vocabulary
 from .shared import extend, materialize, quoted, small_batches
 
 #: Bytes of text, about, after which a task closes a block.
-BLOCK_BYTES = 8 << 20
-#: Stretches of text of a generation that a worker holds with their groups, and groups that it numbers before it begins anew.
-CACHE, GROUPS = 150_000, 2_000_000
-#: Characters of text, about, that are looked at together.
-STEP = 1 << 20
+BLOCK_BYTES = 4 << 20
+#: Stretches of text, and pre-tokens, of a generation that a task holds, and groups that it numbers before it begins anew.
+CACHE, GROUPS = 40_000, 2_000_000
+#: Bytes of text, about, that are looked at together.
+STEP = 1 << 19
 SPACE = "▁"
 
 
@@ -40,7 +41,7 @@ class Tokenizers(NamedTuple):
 
 
 class Aligner:
-    """Encodes stretches of text by both tokenizers and numbers their groups; one for each worker at a time."""
+    """Encodes stretches of text by both tokenizers and numbers their groups; one for each task."""
 
     _codecs: dict[int, tuple] = {}
     _made: dict[int, Aligner] = {}
@@ -55,15 +56,22 @@ class Aligner:
         self.number: dict[bytes, int] = {}
         self.pairs: dict[int, int] = {}
         self.keys: list[bytes] = []
-        self.sizes: list[tuple[int, int]] = []
+        #: numbers of A's and B's tokens of each group, one after the other
+        self.sizes = array("q")
 
     @classmethod
     def of(cls, key: int, tokenizers) -> Aligner:
-        """The worker's own, or a new one where that has numbered too many groups."""
+        """The task's own, or a new one where that has numbered too many groups."""
         if key not in cls._made or len(cls._made[key].keys) > GROUPS:
             cls._made[key] = cls(key, tokenizers)
         return cls._made[key]
 
+    @classmethod
+    def forget(cls, key: int) -> None:
+        """Let go of what a task has met, as workers outlive tasks; the models stay."""
+        if key in cls._made:
+            cls._made.pop(key).a.forget()
+
     def stretches(self, text: str) -> list[str]:
         """The text without the spaces at which it is cut: those after what is no white space.
 
@@ -76,7 +84,7 @@ class Aligner:
         if (g := self.number.get(key)) is None:
             g = self.number[key] = len(self.keys)
             self.keys.append(key)
-            self.sizes.append(size)
+            self.sizes.extend(size)
         return g
 
     def _pair(self, pair: int) -> int:
@@ -117,18 +125,10 @@ class Aligner:
 
     def groups(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of each text's groups in order; none for empty texts and those whose bytes differ."""
-        out, some, size = [], [], 0
-        for t in texts:
-            some.append(t)
-            size += len(t)
-            if size >= STEP:
-                out += self._groups(some)
-                some, size = [], 0
-        return out + self._groups(some)
-
-    def _groups(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
+        if len(self.a.known) > CACHE:
+            self.a.older, self.a.known = self.a.known, {}
         parts = [self.stretches(t) if t else [] for t in texts]
         if new := set(chain.from_iterable(parts)).difference(self.known):
             held = new.intersection(self.older)
@@ -181,7 +181,7 @@ class Block:
         grown = lambda old, numbers: np.pad(old, (0, n - len(old))) + np.bincount(numbers, minlength=n)
         self.freq, self.docs = grown(self.freq, flat), grown(self.docs, np.concatenate([*map(np.unique, found), none]))
         self.bytes += sum(len(t) for t in raw if t)
-        sizes = np.array([*self.aligner.sizes, (0, 0)], np.int64)
+        sizes = np.array(self.aligner.sizes, np.int64).reshape(-1, 2)
         digests = [hashlib.sha256(b";".join(map(keys.__getitem__, g.tolist()))).hexdigest() if len(g) else "" for g in found]
         numbers = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
         return {"block": pa.array([self.name] * len(raw), pa.string()), "n_a": pa.array(_sums(sizes[flat, 0], ends)), "n_b": pa.array(_sums(sizes[flat, 1], ends)), "groups_sha256": pa.array(digests, pa.string()), "numbers": numbers}
@@ -231,13 +231,16 @@ def interned(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep
         for batch in it:
             types |= {c: batch.column(i + 1).type for i, c in enumerate(own)}
             block = block or Block(f"{TaskContext.get().partitionId()}-{made}", code, tokenizers)
-            yield rows(block.texts(batch.column(0).cast(pa.binary()).to_pylist()) | {c: batch.column(i + 1) for i, c in enumerate(own)})
+            step = max(1, batch.num_rows * STEP // max(1, batch.column(0).nbytes))  # rows of about that many bytes
+            for some in (batch.slice(low, step) for low in range(0, batch.num_rows, step)):
+                yield rows(block.texts(some.column(0).cast(pa.binary()).to_pylist()) | {c: some.column(i + 1) for i, c in enumerate(own)})
             if block.bytes >= BLOCK_BYTES:
                 yield rows(block.dictionary())
                 block, made = None, made + 1
         if block:
             yield rows(block.dictionary())
         block = None
+        Aligner.forget(code)
         pa.default_memory_pool().release_unused()
 
     schema = ", ".join([f"{c} {kinds[k]}" for c, k in zip(own, keep, strict=True)] + [f"{c} {k}" for c, k in fields.items()])
@@ -316,7 +319,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, text: str = "text",
         found = aligner.groups([t.decode("utf-8", "replace") if t else "" for t in texts])
         return [pa.array([b";".join(map(aligner.keys.__getitem__, g.tolist())) for g in found], pa.binary()).cast(pa.string())]
 
-    return extend(docs, run, [(into, "string")], text)
+    return extend(docs, run, [(into, "string")], text, done=lambda: Aligner.forget(code))
 
 
 def alignment_report(docs: DataFrame, a_path: str, b_path: str, rule: str = "ends", weigh: str = "freq") -> DataFrame:
