@@ -5,51 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of titles that one pass over the texts carries along.
-PASS_BYTES = 8 << 20
+from . import postings
 
+#: Characters of the n-grams by which candidates are found; every title has at least as many.
+GRAM = 6
 
-def contained(texts: DataFrame, titles: DataFrame, *, key: str, text: str, title_key: str, title: str, longer_than: int = 5, pass_bytes: int = PASS_BYTES) -> DataFrame:
+
+def contained(texts: DataFrame, titles: DataFrame, *, key: str, text: str, title_key: str, title: str, longer_than: int = 5) -> DataFrame:
     """``(key, title_key)`` for every title of more than ``longer_than`` characters that stands in a text.
 
-    Titles go to the tasks in passes of a bounded size, as an automaton that
-    reads each text once; so work grows with texts and hits, not with their
-    product. Titles of one spelling are one pattern. Null texts and titles have no hits.
+    A title's rarest n-gram finds the texts that may have it. Titles of one
+    spelling are one phrase. Null texts and titles have no hits.
     """
     named = titles.where(F.length(title) > longer_than).select(F.col(title_key).alias("_id"), F.col(title).alias("_t"))
-    size = named.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
-    passes = max(1, -(-size // pass_bytes))
-    out = None
-    for p in range(passes):
-        some = named.select("_t").distinct()
-        some = some if passes == 1 else some.where(F.pmod(F.xxhash64("_t"), F.lit(passes)) == p)
-        words = sorted(r[0] for r in some.collect())  # of a pass, so bounded
-        found = _hits(texts, key, text, words)
-        out = found if out is None else out.unionByName(found)
-    return out.join(named, "_t").select(key, F.col("_id").alias(title_key))
-
-
-def _hits(texts: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    import pyarrow as pa
-
-    held = texts.sparkSession.sparkContext.broadcast(words)
-    kind = texts.schema[key].dataType.simpleString()
-
-    def run(it):
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for w in held.value:
-            found.add_word(w, w)
-        if held.value:
-            found.make_automaton()
-        for batch in it:
-            at, hits = [], []
-            for i, t in enumerate(batch.column(1).to_pylist() if held.value else []):
-                if t:
-                    mine = sorted({w for _, w in found.iter(t)})
-                    at += [i] * len(mine)
-                    hits += mine
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], [key, "_t"])
-
-    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, _t string")
+    found = postings.containing(named, texts, phrase="_t", key=key, text=text, n=max(3, min(GRAM, longer_than + 1)))
+    return found.select(key, F.col("_id").alias(title_key))

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import concept_name
-
-#: Words of queries that are broadcast at most.
-WORDS = 100_000
+from . import postings
 
 
 def merge_edges(*edges: DataFrame) -> DataFrame:
@@ -66,16 +64,17 @@ def reach(start: DataFrame, edges: DataFrame, depth: int = 3, *, query: str = "q
     return met.groupBy(query, "node").agg(F.min("hop").alias("hop")).where("hop > 0")
 
 
-def anchors(queries: DataFrame, nodes: DataFrame, *, query: str = "query_id", words: str = "words", text: str = "name", limit: int | None = None) -> DataFrame:
-    """``(query, id, route)``: nodes whose text contains a word of the query."""
+def anchors(queries: DataFrame, nodes: DataFrame, *, query: str = "query_id", words: str = "words", text: str = "name", limit: int | None = None, saved: postings.Postings | None = None) -> DataFrame:
+    """``(query, id, route)``: nodes whose text contains a word of the query, without regard to case.
+
+    Words find their nodes by postings of n-grams; ``saved`` are those of the
+    nodes' texts in lower case by id, where there is a text index.
+    """
     each = queries.select(query, F.explode(words).alias("word"))
-    if each.limit(WORDS + 1).count() <= WORDS:  # else the planner decides
-        each = F.broadcast(each)
-    hits = nodes.join(each, F.contains(F.lower(F.col(text)), F.col("word"))).select(query, "id", F.lit("concept").alias("route")).distinct()
+    lower = nodes.select("id", F.lower(F.col(text)).alias("_text"))
+    hits = postings.containing(each, lower, phrase="word", key="id", text="_text", saved=saved).select(query, "id", F.lit("concept").alias("route")).distinct()
     if limit is None:
         return hits
-    from pyspark.sql import Window
-
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy("id"))).where(F.col("_n") <= limit).drop("_n")
 
 
@@ -153,23 +152,24 @@ def violations(nodes: DataFrame, labels: tuple[str, ...] | None = None) -> DataF
     return some.groupBy("label", "id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
 
 
-def anchor_routes(queries: DataFrame, nodes: DataFrame, *, fulltext: int = 20, cases: int = 5, query: str = "query_id") -> DataFrame:
+def anchor_routes(queries: DataFrame, nodes: DataFrame, *, fulltext: int = 20, cases: int = 5, query: str = "query_id", chunks: postings.Postings | None = None) -> DataFrame:
     """``(query, id, route)``: the nodes at which the graph is entered, by four routes.
 
     ``queries(query_id, text, words, sections)``. Explicit: sections that the
     query names. Concept: concepts whose id or name contains a word of it.
     Fulltext: chunks whose text contains all of it, the first ``fulltext``. Case:
     cases, and cited cases by name too, that contain it, the first ``cases`` of each kind.
+    ``chunks`` are saved postings of the chunks' names in lower case by id.
     """
     explicit = queries.select(query, F.explode("sections").alias("id")).join(nodes.where("label = 'StatuteSection'").select("id"), "id").select(query, "id", F.lit("explicit").alias("route"))
     concepts = nodes.where("label = 'LegalConcept'").select("id", F.concat_ws("\n", "name", "id").alias("name"))
     concept = anchors(queries, concepts, query=query)
     whole = queries.select(query, F.array(F.lower(F.trim("text"))).alias("words")).where("words[0] <> ''")
 
-    def containing(some: DataFrame, route: str, limit: int) -> DataFrame:
-        return anchors(whole, some, query=query, limit=limit).select(query, "id", F.lit(route).alias("route"))
+    def containing(some: DataFrame, route: str, limit: int, saved: postings.Postings | None = None) -> DataFrame:
+        return anchors(whole, some, query=query, limit=limit, saved=saved).select(query, "id", F.lit(route).alias("route"))
 
-    chunk = containing(nodes.where("label = 'Chunk'"), "fulltext", fulltext)
+    chunk = containing(nodes.where("label = 'Chunk'"), "fulltext", fulltext, chunks)
     case = containing(nodes.where("label = 'Case'").select("id", F.col("id").alias("name")), "case", cases)
     cited = containing(nodes.where("label = 'CitedCase'").select("id", F.concat_ws("\n", "id", "name").alias("name")), "case", cases)
     return explicit.unionByName(concept).unionByName(chunk).unionByName(case).unionByName(cited).distinct()

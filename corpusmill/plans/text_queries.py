@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.rules import PAGE_NOISE
-from ..operators import chunking, collection, judgments, provisions, quality, structure
-from ..session import table
+from ..operators import chunking, collection, judgments, postings, provisions, quality, structure
+from ..session import shared_path, table
 from .registry import query
 
 # Fixed values of these queries: patterns.
@@ -271,3 +271,14 @@ def parse_pipeline(spark, sf_dir):
     p = chunking.paragraphs(clean, "doc_id", "i", {"t": text.estimated_tokens(F.col("line")), "tags": text.tagged(F.col("line"), TAGS)})
     packs = chunking.greedy_packs(links=("tags",))
     return p.select("doc_id", F.size("paras").alias("n_paragraphs"), F.size(packs).alias("n_chunks"))
+
+
+@query("""WITH q AS (SELECT doc_id AS query_id, lower(substr(text, CAST(1 + doc_id % 50 AS INT), CAST(2 + doc_id % 17 AS INT))) AS phrase FROM documents WHERE doc_id % 20 = 0)
+SELECT query_id, phrase, doc_id FROM q JOIN documents d ON phrase <> '' AND contains(lower(d.text), phrase)""")
+def text_search(spark, sf_dir):
+    """Phrases of every twentieth document in all of them, by a saved text index."""
+    lower = docs(spark, sf_dir).select("doc_id", F.lower("text").alias("t"))
+    asked = docs(spark, sf_dir).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.expr("lower(substring(text, cast(1 + doc_id % 50 as int), cast(2 + doc_id % 17 as int)))").alias("phrase"))
+    path = shared_path(spark, "postings")
+    postings.save(lower, path, key="doc_id", text="t")
+    return postings.containing(asked, lower, phrase="phrase", key="doc_id", text="t", saved=postings.opened(spark, path))

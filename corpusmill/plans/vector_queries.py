@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import collection, evaluate, graph, postprocess, retrieval, search, vector
+from ..operators import collection, evaluate, graph, index, postprocess, retrieval, search, vector
 from ..session import shared_path, table
 from .registry import query
 
@@ -58,6 +58,18 @@ def vector_topk_plain(spark, sf_dir):
     return retrieval.neutral(hits(spark, sf_dir, 3)).select("query_id", "vec_id", "vector_rank", "vector_distance", "rrf_score")
 
 
+@query(HITS + " SELECT query_id, vec_id, label, CAST(vector_rank AS INT) AS vector_rank, round(score, 6) AS score, true AS audited FROM hits WHERE vector_rank <= 10")
+def indexed_topk(spark, sf_dir):
+    """Exact search of an index of inverted lists; ``audited`` tells whether its approximate search reached a recall of 0.95."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    lists = index.build(e, shared_path(spark, "index"))
+    probes, recall = index.calibrated(asked, lists, 11)
+    found = index.search(asked, lists, 11, probes=probes, exact=True, keep=("label",)).where("vec_id <> query_id")
+    best = vector.rank_by_score(found.drop("vector_rank"), "query_id", "score", "vec_id").where("vector_rank <= 10")
+    return best.select("query_id", "vec_id", "label", "vector_rank", F.round("score", 6).alias("score"), F.lit(recall >= 0.95).alias("audited"))
+
+
 @query(RANKED.format(fetch=10) + " SELECT query_id, vec_id, label FROM hybrid WHERE final_rank <= 3 AND (query_id, vec_id) NOT IN (SELECT (query_id, vec_id) FROM hits WHERE vector_rank <= 3)")
 def compare_additions(spark, sf_dir):
     plain = hits(spark, sf_dir, 3)
@@ -197,6 +209,16 @@ def research_laws(spark, sf_dir):
     return cards.join(laws.select("query_id", "rank", "rrf_score"), ["query_id", "rank"]).select("query_id", "rank", "section_id", "rrf_score", "section", "title")
 
 
+@query("WITH " + LEGAL + """, f AS (SELECT *, section_id IN (SELECT unnest([named, 'BNS:' || ((label + 1) % 10), 'BNS:' || ((label + 2) % 10), 'IPC:' || ((label + 1) % 10), 'IPC:' || ((label + 9) % 10), 'BNS:' || ((label + 3) % 10), 'BNS:' || label])) AS held FROM hybrid JOIN (SELECT query_id, label FROM q) USING (query_id)),
+g AS (SELECT *, round(rrf_score + CASE WHEN held THEN 0.5 ELSE 0.0 END, 6) AS final_score FROM f)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, g.rank) AS INT) AS rank, section_id, vec_id AS chunk, final_score, CASE WHEN bool_or(held) OVER (PARTITION BY query_id) THEN 'hybrid' ELSE 'vector' END AS source FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, g.rank) <= 3""")
+def research_fused(spark, sf_dir):
+    """Mode C: the hybrid search, its candidates ordered by what the graph around the query's anchors supports too."""
+    t = legal(spark, sf_dir)
+    laws, _ = search.research(t["queries"], t["statutes"], None, t["edges"], t["nodes"], fused=True, bulk=True)
+    return laws.select("query_id", "rank", "section_id", F.col("chunk_id").cast("long").alias("chunk"), "final_score", "source")
+
+
 @query("WITH " + LEGAL + """, cases AS (SELECT query_id, vec_id, a.label, q.label AS asked, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q.v, a.v) DESC, CAST(vec_id AS VARCHAR)) AS vector_rank FROM q JOIN a ON is_case),
 b AS (SELECT *, round(1.0 / (60 + vector_rank) + CASE WHEN label = asked THEN 0.5::DOUBLE ELSE 0.0 END, 6) AS rrf_score FROM cases WHERE vector_rank <= 3)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, vector_rank) AS INT) AS rank, CAST(vec_id AS VARCHAR) AS source_id, 'case ' || label AS case_id, 'Said of ' || label AS excerpt FROM b""")

@@ -70,9 +70,9 @@ def test_traversal_from_sections(spark):
 def test_titles_in_texts(spark):
     texts = spark.createDataFrame([(1, "a longer title and another title"), (2, None), (3, "ANOTHER")], "k int, t string")
     titles = spark.createDataFrame([("p", "longer title"), ("q", "another title"), ("q2", "another title"), ("r", "short"), ("s", None), ("u", "r title")], "id string, title string")
-    for size in (1 << 20, 8):
-        got = containment.contained(texts, titles, key="k", text="t", title_key="id", title="title", pass_bytes=size)
-        assert sorted((r.k, r.id) for r in got.collect()) == [(1, "p"), (1, "q"), (1, "q2"), (1, "u")]
+    for longer, more in ((5, []), (2, [(1, "v")])):
+        got = containment.contained(texts, titles.unionByName(spark.createDataFrame([("v", "and")], titles.schema)), key="k", text="t", title_key="id", title="title", longer_than=longer)
+        assert sorted((r.k, r.id) for r in got.collect()) == [(1, "p"), (1, "q"), (1, "q2"), (1, "u"), *more]
     assert containment.contained(texts, titles.limit(0), key="k", text="t", title_key="id", title="title").count() == 0
 
 
