@@ -1,7 +1,8 @@
 """Order-dependent packing of paragraphs, as folds over one array per document.
 
 The arrays hold one document each. The folds are exact where windows are not:
-what is merged or packed depends on what was before.
+what is merged or packed depends on what was before. Packing goes through Arrow
+batches of documents, in one pass over each; nothing is rebuilt at a step.
 """
 
 from __future__ import annotations
@@ -27,30 +28,53 @@ def greedy_packs(paras: str = "paras", tokens: str = "t", cap: int = 1000, most:
     ``most`` paragraphs, or once it has ``target`` tokens. Its last paragraph
     begins the next pack too if it is short and shares an entry of one of the
     arrays ``links`` with what follows. Paragraphs above ``cap`` stand alone.
+    Each paragraph is looked at once, whatever the length of the document.
     """
-    size = f"{paras}[i].{tokens}"
-    last = f"{paras}[element_at(a.cur, -1)]"
-    shares = " or ".join(f"arrays_overlap({last}.{x}, {paras}[i].{x})" for x in links) or "false"
-    carry = f"({last}.{tokens} <= {overlap_tokens} and ({shares}) and {last}.{tokens} + {size} <= {overlap_sum})"
-    done = "if(size(a.cur) > 0, concat(a.done, array(a.cur)), a.done)"
-    state = lambda d, c, t: f"named_struct('done', {d}, 'cur', {c}, 'tok', cast({t} as int))"
-    step = (
-        f"case when {size} > {cap} then {state(f'concat({done}, array(array(i)))', _NONE, '0')}"
-        f" when size(a.cur) > 0 and (a.tok + {size} > {cap} or size(a.cur) >= {most} or a.tok >= {target}) then"
-        f" {state('concat(a.done, array(a.cur))', f'if({carry}, array(element_at(a.cur, -1), i), array(i))', f'if({carry}, {last}.{tokens} + {size}, {size})')}"
-        f" else {state('a.done', 'concat(a.cur, array(i))', f'a.tok + {size}')} end"
-    )
-    begin = state("cast(array() as array<array<int>>)", _NONE, "0")
-    return F.expr(f"if(size({paras}) > 0, aggregate(sequence(0, size({paras}) - 1), {begin}, (a, i) -> {step}, a -> {done}), cast(array() as array<array<int>>))")
+
+    @F.arrow_udf("array<array<int>>")
+    def packed(sizes: pa.Array, *shared: pa.Array) -> pa.Array:
+        out = []
+        for row, said in enumerate(sizes.to_pylist()):
+            entries = [[{*(x or ())} for x in column[row].as_py() or ()] for column in shared]
+            packs: list[list[int]] = []
+            held, tok, t = [], 0, [x or 0 for x in said or ()]
+            for i, size in enumerate(t):
+                if size > cap:
+                    packs += [held, [i]] if held else [[i]]
+                    held, tok = [], 0
+                elif held and (tok + size > cap or len(held) >= most or tok >= target):
+                    packs.append(held)
+                    last = held[-1]
+                    carry = t[last] <= overlap_tokens and t[last] + size <= overlap_sum and any(e[last] & e[i] for e in entries)
+                    held, tok = ([last, i], t[last] + size) if carry else ([i], size)
+                else:
+                    held.append(i)
+                    tok += size
+            out.append(packs + [held] if held else packs)
+        return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+    return packed(F.col(paras)[tokens], *(F.col(paras)[x] for x in links))
 
 
 def simple_packs(paras: str = "paras", tokens: str = "t", cap: int = 600) -> Column:
     """Places of paragraphs packed up to ``cap`` words; one that is longer stands alone."""
-    size = f"{paras}[i].{tokens}"
-    state = lambda d, c, t: f"named_struct('done', {d}, 'cur', {c}, 'tok', cast({t} as int))"
-    step = f"if(size(a.cur) > 0 and a.tok + {size} > {cap}, {state('concat(a.done, array(a.cur))', 'array(i)', size)}, {state('a.done', 'concat(a.cur, array(i))', f'a.tok + {size}')})"
-    begin = state("cast(array() as array<array<int>>)", _NONE, "0")
-    return F.expr(f"if(size({paras}) > 0, aggregate(sequence(0, size({paras}) - 1), {begin}, (a, i) -> {step}, a -> if(size(a.cur) > 0, concat(a.done, array(a.cur)), a.done)), cast(array() as array<array<int>>))")
+
+    @F.arrow_udf("array<array<int>>")
+    def packed(sizes: pa.Array) -> pa.Array:
+        out = []
+        for said in sizes.to_pylist():
+            packs: list[list[int]] = []
+            held = 0
+            for i, size in enumerate(said or ()):
+                if not packs or held + (size or 0) > cap:
+                    packs.append([])
+                    held = 0
+                packs[-1].append(i)
+                held += size or 0
+            out.append(packs)
+        return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+    return packed(F.col(paras)[tokens])
 
 
 def packs_of_lines(tokens: Column, lines: Column, cap: int, joint: str = "\n") -> Column:
@@ -85,19 +109,8 @@ def sentence_packs(text: Column, cap: int = 800, factor: float = 1.33) -> Column
     """Parts of an oversized paragraph: whole sentences up to ``cap`` tokens."""
     from ..functions.text import estimated_tokens
 
-    parts = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), estimated_tokens(s, factor).alias("t")))
-    begin = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("tok"), F.lit(False).alias("any"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = a["any"] & (a["tok"] + x["t"] > cap)
-        return F.struct(
-            F.when(full, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]).alias("done"),
-            F.when(full | ~a["any"], x["s"]).otherwise(F.concat(a["cur"], F.lit(" "), x["s"])).alias("cur"),
-            F.when(full, x["t"]).otherwise(a["tok"] + x["t"]).cast("int").alias("tok"),
-            F.lit(True).alias("any"),
-        )
-
-    return F.aggregate(parts, begin, step, lambda a: F.when(a["any"], F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+    parts = sentences(text)
+    return packs_of_lines(F.transform(parts, lambda x: estimated_tokens(x, factor)), parts, cap, " ")
 
 
 def sub_part(number: Column, i: Column) -> Column:
@@ -137,19 +150,34 @@ def sequential_paragraphs(lines: str = "lines") -> Column:
     """Numbered paragraphs out of lines ``struct<page, text>``.
 
     A line opens paragraph ``n`` if it begins with the number that comes next
-    (up to 3 at the start); other lines go on with the current one.
+    (up to 3 at the start); other lines go on with the current one. What a line
+    begins with is told by expressions, so that one pass joins the lines.
     """
-    num = r"cast(regexp_extract(trim(x.text), '^(\\d{1,4})\\s*[.\\t]?\\s*(.*)$', 1) as int)"
-    rest = r"trim(regexp_extract(trim(x.text), '^(\\d{1,4})\\s*[.\\t]?\\s*(.*)$', 2))"
-    opens = f"(trim(x.text) rlike '^\\\\d{{1,4}}' and ({num} = a.next or (a.next = 1 and {num} <= 3)))"
-    para = lambda n, a, b, t: f"named_struct('paragraph_number', {n}, 'page_start', {a}, 'page_end', {b}, 'text', {t})"
-    kind = "array<struct<paragraph_number:int,page_start:int,page_end:int,text:string>>"
-    last = "element_at(a.done, -1)"
-    grown = para(f"{last}.paragraph_number", f"{last}.page_start", "x.page", f"trim(concat({last}.text, ' ', trim(x.text)))")
-    state = lambda d, n: f"named_struct('done', {d}, 'next', {n})"
-    more = f"if(size(a.done) = 0, array({para('1', 'x.page', 'x.page', 'trim(x.text)')}), concat(slice(a.done, 1, size(a.done) - 1), array({grown})))"
-    step = f"if({opens}, {state(f'concat(a.done, array({para(num, PAGE, PAGE, rest)}))', f'{num} + 1')}, {state(more, 'a.next')})"
-    return F.expr(f"aggregate(filter({lines}, x -> trim(x.text) <> ''), named_struct('done', cast(array() as {kind}), 'next', 1), (a, x) -> {step}, a -> a.done)")
+    number, rest = r"^(\d{1,4})\s*[.\t]?\s*", r"^\d{1,4}\s*[.\t]?\s*(.*)$"
+    told = F.transform(
+        F.filter(lines, lambda x: F.trim(x["text"]) != ""),
+        lambda x: F.struct(x["page"].cast("int").alias("page"), F.trim(x["text"]).alias("text"), F.regexp_extract(F.trim(x["text"]), number, 1).try_cast("int").alias("n"), F.trim(F.regexp_extract(F.trim(x["text"]), rest, 1)).alias("rest")),
+    )
+    kind = pa.list_(pa.struct([("paragraph_number", pa.int32()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("text", pa.string())]))
+
+    @F.arrow_udf("array<struct<paragraph_number:int,page_start:int,page_end:int,text:string>>")
+    def joined(told: pa.Array) -> pa.Array:
+        out = []
+        for found in told.to_pylist():
+            paras, due = [], 1
+            for x in found or ():
+                if x["n"] is not None and (x["n"] == due or due == 1 and x["n"] <= 3):
+                    paras.append((x["n"], x["page"], [x["page"]], [x["rest"]]))
+                    due = x["n"] + 1
+                elif paras:
+                    paras[-1][2][0] = x["page"]
+                    paras[-1][3].append(x["text"])
+                else:
+                    paras.append((1, x["page"], [x["page"]], [x["text"]]))
+            out.append([{"paragraph_number": n, "page_start": first, "page_end": last[0], "text": " ".join(texts).strip(" ")} for n, first, last, texts in paras])
+        return pa.array(out, kind)
+
+    return joined(told)
 
 
 def roll_up(chunks: DataFrame, keys: list[str], order: str, text: str, arrays: tuple[str, ...] = (), page_start: str | None = None, page_end: str | None = None, number: str | None = None) -> DataFrame:

@@ -14,9 +14,9 @@ def findings(df: DataFrame, key: list[str], rules: list[tuple[str, Column, Colum
 
 def first_and_rest(rows: DataFrame, group: str, order: list[str], n: int = 5) -> DataFrame:
     """The first ``n`` rows of each group, and how many more there are."""
-    w = Window.partitionBy(group)
-    out = rows.withColumn("nth", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - n, F.lit(0)))
-    return out.where(F.col("nth") <= n)
+    counts = rows.groupBy(F.col(group).alias("_g")).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("nth") <= n)
+    return first.join(counts, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def duplicates(df: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.rules import PAGE_NOISE
-from ..operators import chunking, collection, judgments, postings, provisions, quality, structure
+from ..operators import chunking, collection, judgments, numbering, postings, provisions, quality, structure
 from ..session import shared_path, table
 from .registry import query
 
@@ -167,8 +167,8 @@ def sequential_paragraphs(spark, sf_dir):
 
 @query("SELECT doc_id, regexp_replace(source, '[^A-Za-z0-9_]+', '_', 'g') || '_DOC_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS chunk_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
 def sequence_ids(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs(spark, sf_dir).withColumn("n", n).select("doc_id", text.numbered_id(text.slug(F.col("source")), "DOC", F.col("n")).alias("chunk_id"))
+    d = docs(spark, sf_dir).select("doc_id", "source")
+    return numbering.numbered(d, ["source"], ["doc_id"], shared_path(spark, "numbered")).select("doc_id", text.numbered_id(text.slug(F.col("source")), "DOC", F.col("n")).alias("chunk_id"))
 
 
 @query("SELECT doc_id, CAST(nth AS INT) AS nth FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS nth FROM documents) WHERE nth > 1")
