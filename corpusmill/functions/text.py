@@ -142,12 +142,22 @@ def rewritten(text: Column, rules) -> Column:
     far cheaper to see than that its pattern does not match.
     """
     needs = [max(re.findall(r"(?<![\\{\d])\d{2,}(?![?\d}])", pattern), key=len, default="") for pattern, _ in rules]
-    if not any(needs):
-        for pattern, replacement in rules:
-            text = F.regexp_replace(text, pattern, replacement)
+    if not rules:
         return text
-    steps = F.array(*(F.struct(F.lit(n).alias("need"), F.lit(p).alias("pattern"), F.lit(r).alias("by")) for n, (p, r) in zip(needs, rules, strict=True)))
-    return F.aggregate(steps, text, lambda t, x: F.when(F.contains(t, x["need"]), F.regexp_replace(t, x["pattern"], x["by"])).otherwise(t))
+
+    def step(t: Column, i: Column) -> Column:
+        """Rule ``i``; patterns are literals, so each is compiled once, and rules are found in blocks."""
+        at, out = list(enumerate(zip(needs, rules, strict=True))), None
+        for low in range(0, len(at), 9):
+            block = None
+            for k, (need, (pattern, replacement)) in at[low : low + 9]:
+                applies = (i == k) & F.contains(t, F.lit(need)) if need else i == k
+                done = F.regexp_replace(t, pattern, replacement)
+                block = F.when(applies, done) if block is None else block.when(applies, done)
+            out = F.when(i < low + 9, block.otherwise(t)) if out is None else out.when(i < low + 9, block.otherwise(t))
+        return out
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(rules) - 1)), text, step)
 
 
 def first_nonblank(*values: Column) -> Column:

@@ -9,6 +9,8 @@ from . import postings
 
 #: Characters of the n-grams by which candidates are found; every title has at least as many.
 GRAM = 6
+#: Of so many n-grams one is looked at; titles that have none of these are found by all of theirs.
+ONE_IN = 16
 
 
 def contained(texts: DataFrame, titles: DataFrame, *, key: str, text: str, title_key: str, title: str, longer_than: int = 5) -> DataFrame:
@@ -18,5 +20,5 @@ def contained(texts: DataFrame, titles: DataFrame, *, key: str, text: str, title
     spelling are one phrase. Null texts and titles have no hits.
     """
     named = titles.where(F.length(title) > longer_than).select(F.col(title_key).alias("_id"), F.col(title).alias("_t"))
-    found = postings.containing(named, texts, phrase="_t", key=key, text=text, n=max(3, min(GRAM, longer_than + 1)))
+    found = postings.containing(named, texts, phrase="_t", key=key, text=text, n=max(3, min(GRAM, longer_than + 1)), one_in=ONE_IN)
     return found.select(key, F.col("_id").alias(title_key))

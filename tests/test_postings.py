@@ -30,6 +30,12 @@ def test_against_brute_force(tables, n):
     assert hits(postings.containing(asked, rows, phrase="phrase", key="id", text="t", n=n)) == brute(phrases, texts)
 
 
+@pytest.mark.parametrize("one_in", [2, 7, 1000])
+def test_few_of_the_grams(tables, one_in):
+    asked, rows, phrases, texts = tables
+    assert hits(postings.containing(asked, rows, phrase="phrase", key="id", text="t", n=2, one_in=one_in)) == brute(phrases, texts)
+
+
 def test_saved_postings(spark, tables, tmp_path):
     asked, rows, phrases, texts = tables
     postings.save(rows, str(tmp_path / "p"), key="id", text="t", n=3)
