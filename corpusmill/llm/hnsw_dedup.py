@@ -204,6 +204,8 @@ def _spread(v: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
 
 
 def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one. They are scaled by their largest component first, as squares of very large or small ones leave the doubles."""
+    v = v / np.abs(v).max(axis=1, initial=0, keepdims=True)
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
@@ -459,7 +461,9 @@ def vector_links(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) ->
         got = found.unionByName(met).where("kind = 'count'").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("got"))
         judged = true.join(got, "cls", "left").groupBy(KEY).agg(F.count("*").alias("audited"), F.sum("true").alias("true_links"), F.sum(F.least("true", F.coalesce("got", F.lit(0)))).alias("got"))
         judged = judged.withColumn("recall", F.when(F.col("true_links") > 0, F.col("got") / F.col("true_links")))
-        judged = materialize(judged.join(left.select(KEY).distinct(), KEY, "left_semi").withColumn("failed", F.coalesce(F.col("recall") < RECALL, F.lit(False)) & F.lit(beam is not None)), "audits")
+        # without a true link there is no recall to tell: that passes only where every class was asked
+        missed = F.coalesce(F.col("recall") < RECALL, F.col("audited") < F.col("size"))
+        judged = materialize(judged.join(left.select(KEY).distinct(), KEY, "left_semi").join(large.select(*KEY, "size"), KEY).withColumn("failed", missed & F.lit(beam is not None)), "audits")
         audits = audits.unionByName(judged.select(*KEY, F.lit(None).cast("long").alias("shard"), F.lit(beam).cast("int").alias("beam"), "audited", "true_links", "recall", F.lit(i + 1).alias("round")))
         failed = judged.where("failed").select(KEY)
         if not failed.take(1):
@@ -497,7 +501,7 @@ def embedding_near_dedup(vectors: DataFrame, least: float = 0.93, shard: int = S
 #: The same by comparing all pairs of a label, for small tables.
 REPORT_SQL = """
 WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-g AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+g AS (SELECT vec_id, label, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
   WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),

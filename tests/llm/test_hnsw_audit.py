@@ -54,3 +54,39 @@ def test_all_rounds_fail_but_the_exhaustive_one(spark, monkeypatch):
     np.fill_diagonal(true, False)
     got = found.where("kind = 'count'").groupBy().sum("n").first()[0]
     assert [r.recall for r in audits.where("round = 3").collect()] == [1.0] and got >= 0.97 * true.sum() and got <= true.sum()
+
+
+def test_an_audit_without_links_does_not_pass(spark, monkeypatch):
+    """One link, between shards, which the drawn queries don't see: the search goes on to the exhaustive round."""
+    import corpusmill.llm.hnsw_dedup as h
+
+    monkeypatch.setattr(h, "DRAWN", 4)
+    monkeypatch.setattr(h, "ROUNDS", ((1, 0.0), (2, 1e-6), (None, None)))
+    apart = 0
+    for seed in range(6, 12):
+        rng = np.random.default_rng(seed)
+        v = rng.normal(size=(400, 24))
+        v[399] = v[0] + rng.normal(size=24) * 0.33
+        u = unit(v)
+        if u[0] @ u[399] < 0.93:
+            continue
+        rows = [(i, v[i].tolist(), 1) for i in range(400)]
+        _, found, audits = vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=40)
+        told = audits.collect()
+        if any(r.true_links for r in told if r.shard is not None):
+            continue  # in one shard
+        apart += 1
+        seen = [r.recall for r in told if r.shard is None and r["round"] < 3]
+        assert found.where("kind = 'count'").groupBy().sum("n").first()[0] == 2 and all(x is None or x < 0.97 for x in seen)
+        break
+    assert apart
+
+
+def test_components_of_any_size(spark):
+    from corpusmill.llm.hnsw_dedup import embedding_near_dedup
+
+    a, b = [1.0, 2.0, -3.0, 0.5], [1.0, 2.01, -3.0, 0.5]
+    scales = (1e200, 1e-200, 5e-320, 1.7e307, 1.0)
+    rows = [(2 * i + j, [x * s for x in v], i) for i, s in enumerate(scales) for j, v in enumerate((a, b))]
+    got = embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(k, 1, k - k % 2) for k in range(10)]
