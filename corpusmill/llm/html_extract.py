@@ -49,6 +49,11 @@ LIKELY = frozenset(
     "banner aside menu nav navigation footer topbar toolbar reply respond notice notices notification alert popup modal overlay subscription signup login signin social related recommended recommendations widget skip search hidden copyright header teaser".split()
 )
 FILL = frozenset("a an the box bar list item items block area wrapper wrap container inner outer content section panel region group row col column left right top bottom main site page global primary secondary js id btn button buttons link links icon icons posts articles stories post article entry message msg slot unit div form zone fixed sticky more you may like us this on by for and to of follow feed text small large no".split())
+#: Words of names under which readers talk, alone or with any others: clear ones, and those that articles use too.
+TALK = frozenset("comment comments commentlist commenter disqus replies reply".split())
+MAYBE_TALK = frozenset("discussion discussions response responses feedback conversation thread reviews".split())
+#: Words of names of what tells who wrote an item, and when.
+BYLINE = frozenset("author byline user username commenter avatar date time timestamp ago posted meta reply vote votes likes".split())
 KEEP = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("p li td pre blockquote dd dt figcaption".split())
@@ -85,6 +90,8 @@ class _Tree:
         self.tag, self.up, self.owner = ["#root"], [-1], [0]
         self.junk, self.named = [False], [0]
         self.controls = [False]
+        #: Whether readers may talk there (2: clearly), and whether it tells who wrote and when.
+        self.talk, self.byline = [0], [False]
         #: Per block its element and its pieces: element, text, whether it lies in a link.
         self.blocks: list[tuple[int, list[tuple[int, str, bool]]]] = []
         self.stack = [0]
@@ -109,6 +116,9 @@ class _Tree:
     def open(self, tag: str, attrs: str) -> None:
         e, up = len(self.tag), self.stack[-1]
         hard, named = _judged(tag, attrs, self.keeps > 0, self.tag[up])
+        talk, byline = _told(attrs) if attrs and tag not in HEADINGS and _TELLS.search(attrs) else (0, False)
+        self.talk.append(talk)
+        self.byline.append(byline or tag == "time")
         self.tag.append(tag)
         self.up.append(up)
         self.owner.append(self.owner[up] if tag in INLINE or tag in MATH else e)
@@ -156,6 +166,33 @@ def _votes(name: str) -> int:
     return 2 if any(w in CLEAR for w in words) else 1 if any(w in LIKELY for w in words) else 0
 
 
+def _told(attrs: str) -> tuple[int, bool]:
+    """How much the names of an element say that readers talk in it, and whether they are those of a byline."""
+    words = {x.lower() for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id") for x in _WORD.findall(entities.unescape(m[2] or ""))}
+    return 2 if words & TALK else 1 if words & MAYBE_TALK else 0, bool(words & BYLINE)
+
+
+def _talked(t: _Tree, junk: list[bool], holds: list[bool], controls: list[bool], chars: list[int], last: list[int], around: list[int], code: list[bool]) -> list[bool]:
+    """Elements in which readers talk: named so, and made so.
+
+    Clear names want one sign more: an end of the article, a form, or items with
+    bylines. Names that articles use too want several such items, or one and a
+    form. What has most of the text is no comment.
+    """
+    size = len(t.tag)
+    by, items = list(t.byline), [0] * size
+    for e in range(size - 1, 0, -1):
+        by[t.up[e]] |= by[e]
+        items[t.up[e]] += by[e] and t.tag[e] not in INLINE and chars[e] > 0
+    out = [False] * size
+    for e in range(1, size):
+        if not t.talk[e] or junk[e] or holds[e] or code[e] or t.tag[e] in KEEP or t.tag[e] in INLINE or 2 * chars[e] > chars[around[e]]:
+            continue
+        end = last[e] >= 0 and last[e] == last[around[e]]
+        out[e] = end or controls[e] or items[e] > 0 if t.talk[e] == 2 else items[e] > 1 or items[e] > 0 and controls[e]
+    return out
+
+
 def _judged(tag: str, attrs: str, in_article: bool, parent: str) -> tuple[bool, int]:
     """Whether an element is removed by what it is, and how much its names speak against it."""
     if tag in DROP and not (tag == "footer" and parent == "blockquote") or (tag == "header" and not in_article):
@@ -312,7 +349,7 @@ def _removed(t: _Tree) -> list[bool]:
     junk = [False] * size
     for e in range(1, size):
         junk[e] = junk[t.up[e]] or t.junk[e] and not (holds[e] and t.tag[e] in ("form", "div", "section"))
-    if not any(t.named):
+    if not any(t.named) and not any(t.talk):
         return junk
     blocks, chars, linked = _counted(t, junk)
     none = len(blocks)
@@ -333,7 +370,10 @@ def _removed(t: _Tree) -> list[bool]:
         up = t.up[e]
         around[e] = up if t.tag[up] in KEEP else around[up]
         code[e] = code[up] or t.tag[e] in ("pre", "code")
-        if junk[up] or junk[e]:
+    talked = _talked(t, junk, holds, controls, chars, last, around, code) if any(t.talk) else junk
+    for e in range(1, size):
+        up = t.up[e]
+        if junk[up] or junk[e] or talked[e]:
             junk[e] = True
             continue
         votes, tag, whole = t.named[e], t.tag[e], chars[around[e]]
