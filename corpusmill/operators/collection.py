@@ -8,6 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import rejected
+from . import numbering
+
 
 def matching(where: Mapping[str, Any]) -> Column:
     """All conditions of a filter: a value, ``{"$eq": value}`` or ``{"$in": [values]}``; null values say nothing."""
@@ -101,6 +104,18 @@ def by_count_and_number(df: DataFrame, limit: int, count: str, label: str, key:
     return first_rows(df, limit, F.desc(count), number.asc_nulls_last(), F.col(key))
 
 
+def ranked(df: DataFrame, count: str, label: str, key: str, path: str, into: str = "nth") -> DataFrame:
+    """All rows with their place in the order of :func:`by_count_and_number`, found without gathering them in one task."""
+    number = F.regexp_extract(label, r"^(\d+)", 1).try_cast("long")
+    return numbering.numbered(df, [], [F.desc(count), number.asc_nulls_last(), F.col(key).asc()], path, into)
+
+
+def acceptable(requests: DataFrame, text: str, least: int = 1, most: int = 12_000) -> tuple[DataFrame, DataFrame]:
+    """Requests whose trimmed text has ``least`` to ``most`` characters, and the others with their ``reason``."""
+    n = F.length(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    return rejected(requests, (n == 0, "blank"), (n < least, "too short"), (n > most, "too long"))
+
+
 def newest_first(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Per group the places of its rows, the newest first, and the newest value."""
     out = df.groupBy(group).agg(F.sort_array(F.collect_list(order), asc=False).alias("places"), F.max_by(value, order).alias("newest"))

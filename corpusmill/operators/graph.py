@@ -64,6 +64,31 @@ def reach(start: DataFrame, edges: DataFrame, depth: int = 3, *, query: str = "q
     return met.groupBy(query, "node").agg(F.min("hop").alias("hop")).where("hop > 0")
 
 
+def reach_far(start: DataFrame, edges: DataFrame, depth: int, path: str, *, query: str = "query_id", node: str = "node") -> DataFrame:
+    """Like :func:`reach`, for many steps: each joins only nodes that its query has not met before.
+
+    The nodes of a step are written to ``path``, partitioned by ``hop``, in a
+    folder that executors share; so a step reads what is met and is not computed
+    again, and all steps together write each node once a query. It ends with the
+    first step that meets nothing new.
+    """
+    spark = start.sparkSession
+    path = path.rstrip("/")
+    step = both_ways(edges.select("src", "dst")).distinct()
+    front = start.select(query, F.col(node).alias("node")).distinct()
+    front.write.mode("overwrite").parquet(f"{path}/hop=0")
+    schema = f"`{query}` {start.schema[query].dataType.simpleString()}, node {start.schema[node].dataType.simpleString()}, hop int"
+    for hop in range(1, depth + 1):
+        met = spark.read.schema(schema).parquet(path)
+        last = met.where(F.col("hop") == hop - 1).select(query, F.col("node").alias("src"))
+        new = last.join(step, "src").select(query, F.col("dst").alias("node")).distinct()
+        new = new.join(met.select(query, "node"), [query, "node"], "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/hop={hop}")
+        if spark.read.schema(schema).parquet(path).where(F.col("hop") == hop).isEmpty():
+            break
+    return spark.read.schema(schema).parquet(path).where("hop > 0")
+
+
 def anchors(queries: DataFrame, nodes: DataFrame, *, query: str = "query_id", words: str = "words", text: str = "name", limit: int | None = None, saved: postings.Postings | None = None) -> DataFrame:
     """``(query, id, route)``: nodes whose text contains a word of the query, without regard to case.
 

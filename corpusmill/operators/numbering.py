@@ -8,13 +8,15 @@ tells what comes before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], path: str, into: str = "n") -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str | Column], path: str, into: str = "n") -> DataFrame:
     """``df`` with the place of each row in its group, from 1, by ``order``, which should be complete.
 
+    Without groups all rows are one, and the place is that of a complete sort.
+
     The dealt rows are written to ``path``, in a folder that executors share, as
     the ranges must stay what they were when they were counted. Null groups are
     groups, and null orders come first, as in a window. Rows that tie in group

@@ -56,6 +56,36 @@ def graph_left_chain(spark, sf_dir):
     return graph.chain_counts(c, "c_custkey", (orders, "c_custkey", {"n_orders": "o_orderkey"}), (lines, "o_orderkey", {"n_parts": "l_partkey", "n_suppliers": "l_suppkey"}))
 
 
+_STEPS = "SELECT DISTINCT 'C' || o_custkey AS src, 'O' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'O' || l_orderkey, 'P' || l_partkey FROM lineitem"
+
+
+@query(
+    f"""WITH RECURSIVE e AS ({_STEPS} UNION SELECT dst, src FROM ({_STEPS})), r(query_id, node, hop) AS (SELECT c_custkey, 'C' || c_custkey, 0 FROM customer WHERE c_custkey % 50 = 0
+  UNION SELECT query_id, dst, hop + 1 FROM r JOIN e ON src = node WHERE hop < 6), f AS (SELECT query_id, node, min(hop) AS hop FROM r GROUP BY query_id, node)
+SELECT query_id, CAST(hop AS INT) AS hop, count(*) AS n_nodes, min(node) AS first_node, max(node) AS last_node FROM f WHERE hop > 0 GROUP BY query_id, hop"""
+)
+def graph_reach6(spark, sf_dir):
+    c, o, li = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    edges = o.select(_key("C", "o_custkey").alias("src"), _key("O", "o_orderkey").alias("dst")).unionByName(li.select(_key("O", "l_orderkey").alias("src"), _key("P", "l_partkey").alias("dst")))
+    start = c.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), _key("C", "c_custkey").alias("node"))
+    met = graph.reach_far(start, edges, 6, shared_path(spark, "reach"))
+    return met.groupBy("query_id", "hop").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size DESC, TRY_CAST(nullif(regexp_extract(p_name, '^(\\d+)', 1), '') AS BIGINT) ASC NULLS LAST, p_partkey) AS BIGINT) AS nth FROM part")
+def multikey_sort(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    return collection.ranked(p, "p_size", "p_name", "p_partkey", shared_path(spark, "ranked")).select("p_partkey", "nth")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, length(trim(coalesce(text, ''))) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN n = 0 THEN 'blank' WHEN n < 10 THEN 'too short' WHEN n > 400 THEN 'too long' ELSE 'accepted' END AS state FROM c""")
+def request_rules(spark, sf_dir):
+    taken, refused = collection.acceptable(table(spark, sf_dir, "conversations"), "text", 10, 400)
+    both = taken.withColumn("reason", F.lit("accepted")).unionByName(refused)
+    return both.select("conv_id", "turn", F.col("reason").alias("state"))
+
+
 @query("""WITH w AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9_]+'), lambda x: length(x) > 2))) AS word FROM (VALUES (1, 'a red widget'), (2, 'Small ring or bolt')) v(query_id, q)),
 h AS (SELECT DISTINCT query_id, p_partkey FROM part JOIN w ON contains(lower(p_name), word)) SELECT query_id, id, 'concept' AS route FROM (SELECT query_id, CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(p_partkey AS VARCHAR)) AS n FROM h) WHERE n <= 20""")
 def graph_anchor_contains(spark, sf_dir):

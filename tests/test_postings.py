@@ -75,3 +75,22 @@ def test_anchors_by_a_saved_index(spark, tmp_path):
     want = hits(graph.anchors(asked, nodes))
     assert len(want) == 12 and hits(graph.anchors(asked, nodes, saved=saved)) == want
     assert len(hits(graph.anchors(asked, nodes, saved=saved, limit=5))) == 5
+
+
+def test_far_reach_meets_each_node_once(spark, tmp_path):
+    ring = spark.range(40).selectExpr("concat('n', id) as src", "concat('n', (id + 1) % 40) as dst", "'NEXT' as type")
+    start = spark.createDataFrame([(1, "n0"), (2, "n5"), (3, "nowhere")], "query_id int, node string")
+    want = hits(graph.reach(start, ring, 4).select("query_id", "node", "hop"))
+    assert hits(graph.reach_far(start, ring, 4, str(tmp_path / "a")).select("query_id", "node", "hop")) == want
+    far = graph.reach_far(start, ring, 100, str(tmp_path / "b"))
+    assert far.count() == 78 and far.agg({"hop": "max"}).first()[0] == 20
+    assert not (tmp_path / "b" / "hop=22").exists()
+
+
+def test_acceptable_requests(spark):
+    from corpusmill.operators import collection
+
+    rows = spark.createDataFrame([(1, None), (2, "  "), (3, "short"), (4, "x" * 12_000), (5, "x" * 12_001)], "id int, t string")
+    taken, refused = collection.acceptable(rows, "t", least=10)
+    assert [r.id for r in taken.collect()] == [4]
+    assert {r.id: r.reason for r in refused.collect()} == {1: "blank", 2: "blank", 3: "too short", 5: "too long"}
