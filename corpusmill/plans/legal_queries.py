@@ -365,3 +365,69 @@ def statute_findings(spark, sf_dir):
     sid = F.when(k % 50 == 0, "").when(k % 7 == 0, F.concat(F.lit("ipc "), k)).otherwise(F.concat(F.lit("IPC:"), k))
     raw = table(spark, sf_dir, "documents").select(F.lit("IPC").alias("act_id"), k.alias("at"), sid.alias("section_id"), k.cast("string").alias("section_number"), F.when(k % 40 != 0, "T").alias("title"), "text", F.expr("cast(null as array<struct<section_id:string,subsection_number:string,text:string>>)").alias("subsections"))
     return statutes.findings(raw).groupBy("severity", "message").agg(F.count("*").alias("n"))
+
+
+#: Pages of 40 lines, of which every fourth line is a heading, an end of a judgment or a running head.
+_PAGED = "CASE WHEN i % 4 = 1 THEN element_at({h}, CAST((doc_id + i) % 11 + 1 AS INT)) WHEN i % 40 = 0 AND doc_id % 3 = 0 THEN 'Running head of the report ' || doc_id % 5 ELSE line END"
+_MARKS = (*HEADINGS, "Result of the case: so ordered", "1234", "A v. B")
+_NOISE = " OR ".join(f"regexp_matches(line, '(?i){p}')" for p in rules.PAGE_NOISE)
+
+
+@query(
+    "WITH " + _LINES + ", p AS (SELECT doc_id, CAST(i // 40 + 1 AS INT) AS page, i % 40 AS spot, trim(regexp_replace(" + _PAGED.format(h="[" + ", ".join(f"'{h}'" for h in _MARKS) + "]").replace("element_at(", "list_extract(") + """, '\\s+', ' ', 'g')) AS line FROM lines),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY spot) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY spot DESC) AS down FROM p WHERE line <> ''),
+n AS (SELECT doc_id, line, sum((up <= 3)::INT + (down <= 3)::INT) AS n FROM u WHERE (up <= 3 OR down <= 3) AND length(line) >= 15 AND NOT regexp_matches(line, '^[0-9]+$') GROUP BY doc_id, line),
+m AS (SELECT doc_id, greatest(3, ceil(count(DISTINCT page) / 2)) AS least FROM p GROUP BY doc_id),
+c AS (SELECT doc_id, page, spot, line FROM p WHERE line <> '' AND NOT (""" + _NOISE + """) AND NOT (page > 1 AND spot < 4 AND regexp_matches(line, '(?i)\\bv\\.\\s|\\bversus\\b')) AND NOT EXISTS (SELECT 1 FROM n JOIN m USING (doc_id) WHERE n.doc_id = p.doc_id AND n.line = p.line AND n.n >= m.least)),
+l AS (SELECT *, trim(regexp_replace(upper(line), '[^A-Z0-9]+', ' ', 'g')) AS h FROM c),
+t AS (SELECT doc_id, page, spot, line, CASE """ + " ".join(f"WHEN {x} THEN '{name}'" for x, name in _LADDER) + " END AS h, " + " OR ".join(f"contains(line, '{e}')" for e in rules.JUDGMENT_ENDS) + """ AS e FROM l),
+j AS (SELECT *, last_value(CASE WHEN e THEN 0 WHEN h = 'judgment' THEN 1 END IGNORE NULLS) OVER w AS j FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page, spot)),
+s AS (SELECT *, lag(j) OVER w AS before, last_value(CASE WHEN h IS NOT NULL AND coalesce(j, 0) = 0 OR coalesce(h, '') = 'judgment' OR e THEN CASE WHEN e THEN '' ELSE h END END IGNORE NULLS) OVER w AS s FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY page, spot)),
+b AS (SELECT doc_id, page, spot, line, CASE WHEN j = 1 THEN 'judgment' WHEN s <> '' THEN s END AS section FROM s WHERE NOT e AND NOT (h IS NOT NULL AND (coalesce(j, 0) = 0 OR h = 'judgment' AND coalesce(before, 0) = 0)))
+SELECT doc_id, section, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY page, spot)) AS text_md5 FROM b WHERE section IS NOT NULL GROUP BY doc_id, section"""
+)
+def judgment_sections(spark, sf_dir):
+    """Pages cleaned of noise and running heads, their lines dealt to the sections of a judgment."""
+    heads = "array(" + ", ".join(f"'{h}'" for h in _MARKS) + ")"
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.expr(_PAGED.format(h=heads)))
+    item = F.struct("i", "line")
+    pages = each.groupBy("doc_id", F.expr("cast(i div 40 + 1 as int) as page_number")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("text"))
+    lines = judgments.clean_lines(pages)
+    counts = structure.section_buckets(lines, "doc_id", ["page_number", "at"]).groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"))
+    found = judgments.sections(lines).join(counts, ["doc_id", "section"])
+    return found.select("doc_id", "section", "n_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_RAW = {
+    "section_id": "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'odd id' ELSE upper(lang) || ':' || (doc_id % 300) END",
+    "section_number": "CASE WHEN doc_id % 11 = 0 THEN '' ELSE CAST(doc_id % 300 AS {string}) END",
+    "title": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END",
+    "text": "CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END",
+}
+
+
+@query(
+    "WITH raw AS (SELECT source AS act_id, doc_id AS spot, doc_id % 2 = 0 AS subs, " + ", ".join(f"{sql.format(string='VARCHAR')} AS {name}" for name, sql in _RAW.items()) + """ FROM documents), r AS (SELECT *, trim(text) AS t FROM raw),
+f AS (SELECT act_id, 'issue' AS severity FROM r WHERE section_id = '' UNION ALL SELECT act_id, 'issue' FROM r WHERE section_number = '' UNION ALL SELECT act_id, 'issue' FROM r WHERE title IS NULL
+  UNION ALL SELECT act_id, 'warning' FROM r WHERE section_id <> '' AND NOT regexp_matches(section_id, '^[A-Z]+:\\d+[A-Za-z]*(?:\\([^)]+\\))?$')
+  UNION ALL SELECT act_id, CASE WHEN subs THEN 'info' ELSE 'warning' END FROM r WHERE t = ''
+  UNION ALL SELECT act_id, 'warning' FROM r WHERE t <> '' AND NOT subs AND NOT regexp_matches(t, '[.!?";:)]$')
+  UNION ALL SELECT act_id, 'issue' FROM (SELECT act_id, row_number() OVER (PARTITION BY section_id ORDER BY spot) AS nth FROM r WHERE section_id <> '') WHERE nth > 1)
+SELECT act_id, count(*) FILTER (severity = 'issue') AS issues, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS notes, count(*) FILTER (severity = 'issue') = 0 AS valid FROM f GROUP BY act_id"""
+)
+def statute_checks(spark, sf_dir):
+    """Findings on section fragments and their totals by act."""
+    sub = "array<struct<section_id:string,subsection_number:string,text:string>>"
+    raw = table(spark, sf_dir, "documents").select(F.col("source").alias("act_id"), F.col("doc_id").alias("at"), F.expr(f"if(doc_id % 2 = 0, from_json('[{{}}]', '{sub}'), from_json('[]', '{sub}'))").alias("subsections"), *(F.expr(sql.format(string="string")).alias(name) for name, sql in _RAW.items()))
+    return statutes.summary(statutes.findings(raw))
+
+
+@query("""WITH c AS (SELECT 'S' || (doc_id % 97) AS section_id, min(doc_id) AS first FROM documents GROUP BY 1), r AS (SELECT o_orderkey AS query_id, unnest([0, 2]) AS pos, unnest(['S' || (o_orderkey % 120), 'S' || (o_custkey % 97)]) AS section_id FROM orders)
+SELECT query_id, CAST(pos AS INT) AS pos, section_id, d.lang AS act, md5(substr(d.text, 1, 400)) AS excerpt FROM r JOIN c USING (section_id) JOIN documents d ON d.doc_id = c.first""")
+def related_cards(spark, sf_dir):
+    """Cards of the sections that rows name as related, by the first chunk of each; unknown ones are left out."""
+    from ..operators import search
+
+    chunks = table(spark, sf_dir, "documents").select(F.expr("'S' || (doc_id % 97)").alias("section_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("act"), F.col("source").alias("title"), "text")
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.expr("'S' || (o_orderkey % 120) || ', unknown ,S' || (o_custkey % 97)").alias("related"))
+    return search.related_cards(asked, chunks).select("query_id", "pos", "section_id", "act", F.md5(F.col("excerpt").cast("binary")).alias("excerpt"))
