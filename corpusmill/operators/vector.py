@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,17 @@ def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str,
 
 
 def hashed_bag_of_words(text: Column, dim: int = 64) -> Column:
-    """Offline stand-in for a text encoder: counts of word hashes, not normalised."""
-    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)) == i)).cast("float"))
+    """Offline stand-in for a text encoder: counts of word hashes, not normalised; nothing but zeros for null.
+
+    Words are hashed by expressions and counted in Arrow batches, each once.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+
+    @F.arrow_udf("array<float>")
+    def counted(buckets: pa.Array) -> pa.Array:
+        n, at = len(buckets), buckets.value_lengths().to_numpy(zero_copy_only=False)
+        flat = buckets.flatten().to_numpy(zero_copy_only=False) + dim * np.repeat(np.arange(n), at)
+        counts = np.bincount(flat.astype(np.int64), minlength=n * dim).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(counts))
+
+    return counted(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")))

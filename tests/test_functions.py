@@ -77,3 +77,13 @@ def test_text_functions(spark):
     assert one(spark, T.tagged(F.lit("An FIR on MURDER"), rules.CASE_CONCEPTS)) == ["LEGAL_CONCEPT:first_information_report_fir", "LEGAL_CONCEPT:murder"]
     assert one(spark, T.court_name(F.lit(" SCI "))) == "Supreme Court of India"
     assert len(rules.PROCEDURAL_IDS) == 43
+
+
+def test_word_counts_of_any_text(spark):
+    from corpusmill.operators.vector import hashed_bag_of_words
+
+    df = spark.createDataFrame([(1, "One two, one"), (2, None), (3, ""), (4, "word " * 300_000)], "k int, t string")
+    got = {r.k: r.v for r in df.select("k", hashed_bag_of_words(F.col("t")).alias("v")).collect()}
+    assert all(len(v) == 64 for v in got.values()) and sum(got[1]) == 3 and sum(got[2]) == sum(got[3]) == 0 and max(got[4]) == 300_000
+    each = df.where("k = 1").select(F.expr("array(pmod(xxhash64('one'), 64), pmod(xxhash64('two'), 64))")).first()[0]
+    assert got[1][each[0]] >= 2 and got[1][each[1]] >= 1
