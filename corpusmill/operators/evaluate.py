@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,9 @@ def against(modes: DataFrame, baseline: str, mode: str = "mode") -> DataFrame:
     base = modes.where(F.col(mode) == baseline).select(*(F.col(c).alias(f"b_{c}") for c in ("hit_1", "hit_3", "mrr")))
     out = modes.crossJoin(F.broadcast(base.limit(1)))
     return out.select(*modes.columns, F.round(F.col("hit_1") - F.col("b_hit_1"), 2).alias("d_hit_1"), F.round(F.col("hit_3") - F.col("b_hit_3"), 2).alias("d_hit_3"), F.round(F.col("mrr") - F.col("b_mrr"), 4).alias("d_mrr"))
+
+
+def of_modes(relevant: Column, k: int, **hits: tuple[DataFrame, str]) -> DataFrame:
+    """Metrics of each search mode over its first ``k`` hits: ``mode=(hits, rank column)``, such as plain, reranked and fused."""
+    ranks = [first_relevant(rows.where(F.col(rank) <= k), relevant, rank=rank).withColumn("mode", F.lit(mode)) for mode, (rows, rank) in hits.items()]
+    return metrics(reduce(DataFrame.unionByName, ranks), ["mode"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import lookup
+
 
 def findings(df: DataFrame, key: list[str], rules: list[tuple[str, Column, Column | str]]) -> DataFrame:
     """One row per rule that a row breaks: severity and message. Rules are ``(severity, condition, message)``."""
@@ -36,3 +38,14 @@ def valid_chunk(chunk_id: Column, chunk_type: Column, text: Column) -> Column:
 def frequencies(df: DataFrame, item: str, case: str) -> DataFrame:
     """In how many cases each item occurs, the most frequent first."""
     return df.groupBy(item).agg(F.count_distinct(case).alias("case_count"), F.array_sort(F.collect_set(case)).alias("case_ids")).orderBy(F.desc("case_count"), item)
+
+
+def by_alias(df: DataFrame, raw: str, aliases: dict[str, str], otherwise: str | None = None) -> DataFrame:
+    """``(name, n, variants)``: rows by what a name stands for, and the distinct spellings met, sorted.
+
+    A spelling without an alias stands for ``otherwise``, or for itself. Spellings
+    are counted before names are, so no row holds more than its distinct ones.
+    """
+    name = F.coalesce(lookup(aliases, F.col(raw)), F.lit(otherwise) if otherwise is not None else F.col(raw))
+    each = df.groupBy(F.col(raw).alias("_raw"), name.alias("name")).agg(F.count("*").alias("_n"))
+    return each.groupBy("name").agg(F.sum("_n").alias("n"), F.array_sort(F.collect_set("_raw")).alias("variants"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import first_nonblank
 from .vector import distance
 
 # Constants of the scores.
@@ -55,6 +56,16 @@ def neutral(candidates: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     return out.withColumn("vector_distance", distance(F.col("score"))).withColumn("final_rank", F.col("vector_rank"))
 
 
+def statute_candidates(hits: DataFrame, section: Column, *keep: str) -> DataFrame:
+    """Hits of a search as candidates for provisions: ``query_id, chunk_id, section_id, vector_rank, vector_distance``."""
+    return hits.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), section.alias("section_id"), "vector_rank", distance(F.col("score")).alias("vector_distance"), *keep)
+
+
+def judgment_candidates(hits: DataFrame, case: Column, *keep: str) -> DataFrame:
+    """Hits as candidates for cases, with ``case_id``; one without a case is of an unknown one."""
+    return hits.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), first_nonblank(case, F.lit("Unknown case")).alias("case_id"), "vector_rank", distance(F.col("score")).alias("vector_distance"), *keep)
+
+
 def has_section_id(query: Column) -> Column:
     return query.rlike("[A-Z]{2,5}:\\d+[A-Z]?")
 

@@ -366,8 +366,8 @@ def context_with_links(spark, sf_dir):
 
 @query("SELECT CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'other' END AS name, count(*) AS n, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS variants FROM orders GROUP BY 1")
 def alias_group(spark, sf_dir):
-    name = F.coalesce(text.lookup({"F": "final", "O": "open"}, F.col("o_orderstatus")), F.lit("other"))
-    return table(spark, sf_dir, "orders").groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("variants"))
+    out = quality.by_alias(table(spark, sf_dir, "orders"), "o_orderstatus", {"F": "final", "O": "open"}, "other")
+    return out.select("name", "n", F.array_join("variants", ",").alias("variants"))
 
 
 @query("SELECT p_partkey, 'LEGAL_CONCEPT:' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS concept FROM part")

@@ -105,11 +105,8 @@ def retrieval_metrics(spark, sf_dir):
 def _modes(spark, sf_dir) -> DataFrame:
     same = F.col("label") == F.col("query_label")
     b = hybrid(spark, sf_dir, 5)
-    a = evaluate.first_relevant(b.where("vector_rank <= 5"), same).withColumn("mode", F.lit("a"))
     c = retrieval.fuse(b, F.col("label") % 3 == F.col("query_label") % 3, F.lit("a question"))
-    b = evaluate.first_relevant(b.where("final_rank <= 5"), same, rank="final_rank").withColumn("mode", F.lit("b"))
-    c = evaluate.first_relevant(c.where("fused_rank <= 5"), same, rank="fused_rank").withColumn("mode", F.lit("c"))
-    return evaluate.metrics(a.unionByName(b).unionByName(c), ["mode"])
+    return evaluate.of_modes(same, 5, a=(b, "vector_rank"), b=(b, "final_rank"), c=(c, "fused_rank"))
 
 
 @query(RANKED.format(fetch=15) + f""", fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score + CASE WHEN label % 3 = query_label % 3 THEN 0.5 ELSE 0.0 END, 6) DESC, vector_rank) AS fused_rank FROM hybrid),
@@ -137,11 +134,11 @@ def l2_normalize(spark, sf_dir):
 
 @query(HITS + """ SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, 'L' || label AS section_id, CAST(vector_rank AS INT) AS vector_rank, round(1 - score, 6) AS vector_distance, CASE WHEN label = 0 THEN 'Unknown case' ELSE 'case ' || label END AS case_id FROM hits WHERE vector_rank <= 4""")
 def candidate_projection(spark, sf_dir):
-    from ..functions.text import first_nonblank
-
-    found = hits(spark, sf_dir, 4)
-    case = F.when(F.col("label") != 0, F.concat(F.lit("case "), F.col("label").cast("string"))).otherwise("")
-    return found.select("query_id", F.col("vec_id").cast("string").alias("chunk_id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("section_id"), "vector_rank", vector.distance(F.col("score")).alias("vector_distance"), first_nonblank(case, F.lit("Unknown case")).alias("case_id"))
+    found = hits(spark, sf_dir, 4).withColumn("chunk_id", F.col("vec_id"))
+    label = F.col("label").cast("string")
+    laws = retrieval.statute_candidates(found, F.concat(F.lit("L"), label))
+    cases = retrieval.judgment_candidates(found, F.when(F.col("label") != 0, F.concat(F.lit("case "), label)).otherwise(""))
+    return laws.join(cases.select("query_id", "chunk_id", "case_id"), ["query_id", "chunk_id"])
 
 
 @query(HITS + " SELECT query_id, vec_id, vec_id % 2 = 0 AND vector_rank <= 2 AS cited FROM hits WHERE vector_rank <= 4")
