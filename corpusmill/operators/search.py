@@ -93,10 +93,13 @@ def compare(queries: DataFrame, statutes: DataFrame, edges: DataFrame | None, no
     return retrieval.additions(hybrid, base, ["query_id", "section_id"]).select("query_id", "section_id", "rank")
 
 
-def provision_cards(hits: DataFrame, chars: int = 800) -> DataFrame:
-    """What a reader is shown of a section."""
+def provision_cards(hits: DataFrame, chars: int = 800, related: tuple[str, ...] = ()) -> DataFrame:
+    """What a reader is shown of a section; ``related`` are columns of section ids, such as successors and predecessors."""
     act, number = F.substring_index("section_id", ":", 1), F.substring_index("section_id", ":", -1)
-    return hits.select("query_id", "rank", "section_id", first_nonblank(F.col("act"), act).alias("act"), number.alias("section"), first_nonblank(F.col("title"), title_from_text(F.col("text"), F.col("section_id"))).alias("title"), excerpt(F.col("text"), chars).alias("excerpt"))
+    none = F.expr("cast(array() as array<string>)")
+    ids = F.filter(F.array_distinct(F.flatten(F.array(*(F.coalesce(F.col(c).cast("array<string>"), none) for c in related)))), lambda x: x != "")
+    more = [ids.alias("related_sections")] if related else []
+    return hits.select("query_id", "rank", "section_id", first_nonblank(F.col("act"), act).alias("act"), number.alias("section"), first_nonblank(F.col("title"), title_from_text(F.col("text"), F.col("section_id"))).alias("title"), excerpt(F.col("text"), chars).alias("excerpt"), *more)
 
 
 def judgment_cards(hits: DataFrame, chars: int = 800) -> DataFrame:

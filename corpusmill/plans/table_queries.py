@@ -364,6 +364,26 @@ def context_with_links(spark, sf_dir):
     return out.select("r_name", F.col("n").alias("n_suppliers"), F.col("items").alias("suppliers"))
 
 
+@query("SELECT coalesce(CAST(o_custkey AS VARCHAR), '-') || ': orders=' || count(*) || ', open=' || count(*) FILTER (o_orderstatus = 'O') || ', last=' || coalesce(max(o_orderpriority), '-') AS value FROM orders GROUP BY o_custkey")
+def text_report(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.max("o_orderpriority").alias("last"))
+    path = shared_path(spark, "report")
+    sinks.text_report(o, "o_custkey").write.text(path)
+    return spark.read.text(path)
+
+
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id) AS nth FROM documents)
+SELECT doc_id AS query_id, 'BNS:' || (doc_id % 97) AS section_id, 'BNS' AS act, CAST(doc_id % 97 AS VARCHAR) AS section, source AS title, md5(substr(text, 1, 80)) AS excerpt, CASE WHEN doc_id % 3 = 0 THEN 'IPC:' || doc_id WHEN doc_id % 3 = 1 THEN 'IPC:' || doc_id || ',CRPC:1' ELSE '' END AS related FROM d""")
+def provision_cards(spark, sf_dir):
+    from ..operators import search
+
+    none = F.expr("cast(array() as array<string>)")
+    ipc = F.array(F.concat(F.lit("IPC:"), F.col("doc_id").cast("string")))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.concat(F.lit("BNS:"), F.col("doc_id") % 97).alias("section_id"), F.lit("").alias("act"), F.col("source").alias("title"), "text", F.when(F.col("doc_id") % 3 < 2, ipc).alias("successors"), F.when(F.col("doc_id") % 3 == 1, F.concat(ipc, F.array(F.lit("CRPC:1"), F.lit("")))).otherwise(none).alias("predecessors"))
+    out = search.provision_cards(d, 80, ("successors", "predecessors"))
+    return out.select("query_id", "section_id", "act", "section", "title", F.md5(F.col("excerpt").cast("binary")).alias("excerpt"), F.array_join("related_sections", ",").alias("related"))
+
+
 @query("SELECT CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'other' END AS name, count(*) AS n, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS variants FROM orders GROUP BY 1")
 def alias_group(spark, sf_dir):
     out = quality.by_alias(table(spark, sf_dir, "orders"), "o_orderstatus", {"F": "final", "O": "open"}, "other")

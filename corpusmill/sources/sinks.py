@@ -86,3 +86,9 @@ def page_dump(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
 def report(df: DataFrame) -> DataFrame:
     """One JSON line per row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def text_report(df: DataFrame, key: str) -> DataFrame:
+    """One line of text per row, ``key: name=value, ...``, for ``write.text``; nulls are ``-``."""
+    shown = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in df.columns if c != key]
+    return df.select(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit(": "), F.concat_ws(", ", *shown)).alias("value"))
