@@ -11,9 +11,22 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file_name", F.col("_metadata.file_name"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One document per line; blank lines are none."""
-    return spark.read.schema(schema).json(path)
+def json_lines(spark: SparkSession, path: str, schema: str, malformed: str | None = None) -> DataFrame:
+    """One document per line; blank lines are none.
+
+    Large files are read in parts. A line that is no JSON gives a row of nulls;
+    with ``malformed``, that line stands in a column of this name, null for others.
+    """
+    if malformed is None:
+        return spark.read.schema(schema).json(path)
+    lines = spark.read.schema(f"{schema}, `{malformed}` string").option("columnNameOfCorruptRecord", malformed).json(path)
+    return lines.where(F.coalesce(F.col(malformed), F.lit("x")).rlike(r"\S"))
+
+
+def page_dumps(spark: SparkSession, path: str, marker: str = "--- PAGE ") -> DataFrame:
+    """``(file_name, page_number, text)`` of text files with page marks, a file as a whole in one row until it is cut."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    return text_pages(files, "file_name", "value", marker)
 
 
 def first_existing(spark: SparkSession, *paths: str) -> str:
