@@ -431,3 +431,23 @@ def related_cards(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.expr("'S' || (doc_id % 97)").alias("section_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("act"), F.col("source").alias("title"), "text")
     asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.expr("'S' || (o_orderkey % 120) || ', unknown ,S' || (o_custkey % 97)").alias("related"))
     return search.related_cards(asked, chunks).select("query_id", "pos", "section_id", "act", F.md5(F.col("excerpt").cast("binary")).alias("excerpt"))
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, st AS (SELECT id AS q FROM n WHERE label = 'StatuteSection' AND CAST(substr(id, 3) AS INT) % 200 = 0),
+u AS (SELECT src, dst, type FROM e WHERE type IN ('REFERS_TO', 'DISCUSSES') UNION ALL SELECT dst, src, type FROM e WHERE type IN ('REFERS_TO', 'DISCUSSES')),
+a(q, node, hop) AS (SELECT q, q, 0 FROM st UNION SELECT q, dst, hop + 1 FROM a JOIN u ON src = node WHERE hop < 3),
+b(q, node, hop) AS (SELECT q, q, 0 FROM st UNION SELECT q, dst, hop + 1 FROM b JOIN u ON src = node AND type = 'REFERS_TO' WHERE hop < 3),
+s AS (SELECT DISTINCT q, node FROM a JOIN n ON id = node AND label = 'StatuteSection' WHERE node <> q),
+j AS (SELECT DISTINCT q, node FROM b JOIN n ON id = node AND label = 'Chunk'),
+c AS (SELECT DISTINCT q, src FROM j JOIN e ON dst = node AND type = 'HAS_CHUNK'),
+k AS (SELECT DISTINCT q, dst AS node FROM c JOIN e USING (src) WHERE type = 'CITES_CASE')
+SELECT q AS query_id, """ + ", ".join(f"(SELECT count(*) FROM {t} WHERE {t}.q = st.q) AS n_{name}, (SELECT md5(coalesce(string_agg(node, ',' ORDER BY node), '')) FROM {t} WHERE {t}.q = st.q) AS {name}" for t, name in (("s", "statutes"), ("j", "judgments"), ("k", "cited_cases"))) + " FROM st"
+)
+def section_traversal(spark, sf_dir):
+    """What is around every two-hundredth section: sections, chunks and the cases that theirs cite."""
+    g = graph.judgment_graph(_chunks(spark, sf_dir))
+    start = g.nodes.where("label = 'StatuteSection' and cast(substr(id, 3) as int) % 200 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("node"))
+    out = graph.traverse(start, g.nodes, g.edges)
+    each = [c for name in ("statutes", "judgments", "cited_cases") for c in (F.size(name).cast("long").alias(f"n_{name}"), F.md5(F.array_join(name, ",").cast("binary")).alias(name))]
+    return out.select("query_id", *each)
