@@ -264,3 +264,11 @@ def graph_trace(spark, sf_dir):
     out = search.trace(t["queries"], t["edges"], t["nodes"])
     join = lambda c: F.array_join(c, ",").alias(c)
     return out.select("query_id", join("sections"), join("anchors"), join("statutes"))
+
+
+@query("WITH " + LEGAL.replace("vector_rank <= 10", "vector_rank <= 36") + """, h AS (SELECT query_id, CAST(rank AS INT) AS rank, section_id, bool_or(section_id LIKE 'BNS:%') OVER (PARTITION BY query_id) AS newer FROM hybrid WHERE rank <= 12)
+SELECT query_id, rank, section_id, 'Title ' || split_part(section_id, ':', 2) AS title FROM h WHERE NOT (newer AND section_id LIKE 'IPC:%')""")
+def triage(spark, sf_dir):
+    """Offence candidates of reported facts: retrieved, without procedure, current law before superseded."""
+    t = legal(spark, sf_dir)
+    return search.triage(t["queries"], t["statutes"], t["edges"], t["nodes"]).select("query_id", "rank", "section_id", "title")
