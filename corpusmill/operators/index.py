@@ -22,6 +22,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from . import vector
 
@@ -45,6 +46,8 @@ class Index(NamedTuple):
     centroids: np.ndarray
     sizes: np.ndarray
     radii: np.ndarray
+    #: Columns of the rows; of an empty index that was opened, none but key and vector are known.
+    schema: StructType
 
 
 def valid(df: DataFrame, vec: str) -> DataFrame:
@@ -114,13 +117,15 @@ def build(corpus: DataFrame, path: str, *, key: str = "vec_id", vec: str = "embe
     sizes = spark.read.schema(out.schema).parquet(f"{path}/rows").groupBy("list").agg(F.count("*").alias("n"), F.max("_angle").alias("radius")).collect()  # a row for each list
     found = [(r["list"], held.value[r["list"]].tolist(), r.n, r.radius) for r in sorted(sizes)]
     spark.createDataFrame(found, "list int, centroid array<double>, n long, radius double").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    return opened(spark, path, key=key, vec=vec)
+    return opened(spark, path, key=key, vec=vec)._replace(schema=out.schema)
 
 
 def opened(spark: SparkSession, path: str, *, key: str = "vec_id", vec: str = "embedding") -> Index:
     """The index that was written at ``path``."""
-    rows = sorted(spark.read.parquet(f"{path}/centroids").collect())  # as many as lists
-    return Index(path, key, vec, np.array([r["list"] for r in rows], np.int32), np.array([r.centroid for r in rows], np.float64).reshape(len(rows), -1 if rows else 0), np.array([r.n for r in rows], np.int64), np.array([r.radius for r in rows], np.float64))
+    rows = sorted(spark.read.schema("list int, centroid array<double>, n long, radius double").parquet(f"{path}/centroids").collect())  # as many as lists
+    columns = [(key, LongType()), (vec, ArrayType(DoubleType())), ("list", IntegerType()), ("_angle", DoubleType())]
+    schema = spark.read.parquet(f"{path}/rows").schema if rows else StructType([StructField(*c) for c in columns])
+    return Index(path, key, vec, np.array([r["list"] for r in rows], np.int32), np.array([r.centroid for r in rows], np.float64).reshape(len(rows), -1 if rows else 0), np.array([r.n for r in rows], np.int64), np.array([r.radius for r in rows], np.float64), schema)
 
 
 def _asked(queries: DataFrame, index: Index, vec: str, name: str, probes: int, floor: str | None = None) -> DataFrame:
@@ -162,7 +167,7 @@ def _scanned(asked: DataFrame, queries: DataFrame, index: Index, k: int, name: s
 
     spark = queries.sparkSession
     counts = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # a row for each list at most
-    rows = spark.read.parquet(f"{index.path}/rows").where(F.col("list").isin(*counts) if counts else F.lit(False))
+    rows = spark.read.schema(index.schema).parquet(f"{index.path}/rows").where(F.col("list").isin(*counts) if counts else F.lit(False))
     sizes = dict(zip(index.lists.tolist(), index.sizes.tolist(), strict=True))
     parts = [(x, -(-sizes[x] // ROWS_OF_BLOCK), -(-n // QUERIES_OF_BLOCK)) for x, n in counts.items()]
     blocks = F.broadcast(spark.createDataFrame(parts, "list int, rows_in int, queries_in int"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.references import parsed_query, section_key
 from ..functions.text import excerpt, first_nonblank, query_words, split_list, title_from_text
-from . import graph, postprocess, retrieval, vector
+from . import graph, index, postprocess, retrieval, vector
 
 
 def parse(queries: DataFrame) -> DataFrame:
@@ -46,14 +46,20 @@ def graph_sections(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, depth:
     return sections.select("query_id", section_key(F.col("node")).alias("key")).distinct().groupBy("query_id").agg(F.array_sort(F.collect_set("key")).alias("graph_sections"))
 
 
-def research(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, edges: DataFrame | None = None, nodes: DataFrame | None = None, *, k_statutes: int = 3, k_judgments: int = 3, fused: bool = False, bulk: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def research(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, edges: DataFrame | None = None, nodes: DataFrame | None = None, *, k_statutes: int = 3, k_judgments: int = 3, fused: bool = False, bulk: bool = False, lists: index.Index | None = None, probes: int = 8, exact: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Hybrid search: statutes reranked by what the query and the graph say, judgments by the sections they refer to.
 
     ``bulk`` scores large corpora by matrix products first; see :func:`vector.top_k`.
+    ``lists`` is an index of the statutes by ``chunk_id``, with all their columns,
+    of which each query reads ``probes`` lists, or all that matter with ``exact``.
     """
     parsed = parse(queries)
     told = expansion(parsed, edges, nodes)
-    hits = vector.top_k(queries, statutes, retrieval.fetch_size(k_statutes), key="chunk_id", keep=["section_id", "act", "title", "text"], bulk=bulk)
+    fetch, columns = retrieval.fetch_size(k_statutes), ["section_id", "act", "title", "text"]
+    if lists is not None:
+        hits = index.search(queries, lists, fetch, probes=probes, exact=exact, keep=tuple(columns))
+    else:
+        hits = vector.top_k(queries, statutes, fetch, key="chunk_id", keep=columns, bulk=bulk)
     keys = parsed.select("query_id", "query_text", F.transform("intent.sections", section_key).alias("named"), section_key(F.col("intent.primary")).alias("primary"))
     hits = hits.join(keys, "query_id").join(told.select("query_id", "corresponds", "all_sections"), "query_id", "left").withColumn("section_key", section_key(F.col("section_id")))
     # a section that corresponds to a named one, or is named and has a counterpart

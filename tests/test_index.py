@@ -87,3 +87,15 @@ def test_an_empty_corpus(spark, queries, vectors, tmp_path):
 def test_reopened(spark, queries, built):
     again = index.opened(spark, built.path)
     assert pairs(index.search(queries, again, 3, probes=2)) == pairs(index.search(queries, built, 3, probes=2))
+
+
+def test_hybrid_search_by_index(spark, tmp_path):
+    from corpusmill.operators import search
+    from corpusmill.plans.vector_queries import legal
+
+    t = legal(spark, FOLDER)
+    lists = index.build(t["statutes"], str(tmp_path / "i"), key="chunk_id")
+    shown = lambda laws: sorted((r.query_id, r.rank, r.chunk_id, r.section_id, r.rrf_score) for r in laws.collect())
+    want = shown(search.research(t["queries"], t["statutes"], None, t["edges"], t["nodes"], bulk=True)[0])
+    assert len(want) == 75
+    assert shown(search.research(t["queries"], t["statutes"], None, t["edges"], t["nodes"], lists=lists, probes=2, exact=True)[0]) == want
