@@ -5,7 +5,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from corpusmill.llm import byte_bpe, decontaminate, html_extract, license_scan, line_dedup, ngram_join, quality_model, reshard  # noqa: E402
+from corpusmill.llm import align, byte_bpe, decontaminate, heap_bpe, html_extract, license_scan, line_dedup, ngram_join, quality_model, reshard  # noqa: E402
 
 ODD = ["_text_", "a.b", "Text2", "kept", "gone", "cuts", "th", "d", "nth", "score", "stats", "spans", "n_words", "w0_", "s0_", "x`y", "licenses2", "fold", "label"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in ODD)
@@ -55,7 +55,11 @@ def test_operators(spark, docs):
     assert both.where("cast(decoded as string) <=> coalesce(text, '')").count() == 5
     with pytest.raises(ValueError):
         byte_bpe.bpe_decode(both, PATH)
-    assert license_scan.scan_licenses(docs).count() == 5
+    assert len(license_scan.scan_licenses(docs).collect()) == 5  # long texts are scanned too
+    json, model = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    assert heap_bpe.heap_decode(heap_bpe.heap_encode(docs, json), json).where("decoded <=> coalesce(text, '')").count() == 5
+    assert align.align_tokens(docs, json, model).columns == [*docs.columns, "groups"]
+    assert len(align.alignment_report(docs, json, model).where("n_links = n_groups").collect()) == 5
     assert decontaminate.drop_contaminated(docs, none).columns == docs.columns
     assert ngram_join.ngram_jaccard_join(docs).count() == 5
     assert quality_model.quality_report(docs, labels).count() == 5
