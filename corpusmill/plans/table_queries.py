@@ -68,8 +68,7 @@ def graph_reach6(spark, sf_dir):
     c, o, li = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     edges = o.select(_key("C", "o_custkey").alias("src"), _key("O", "o_orderkey").alias("dst")).unionByName(li.select(_key("O", "l_orderkey").alias("src"), _key("P", "l_partkey").alias("dst")))
     start = c.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), _key("C", "c_custkey").alias("node"))
-    met = graph.reach_far(start, edges, 6, shared_path(spark, "reach"))
-    return met.groupBy("query_id", "hop").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    return graph.reach_sizes(start, edges, 6, shared_path(spark, "reach"))
 
 
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size DESC, TRY_CAST(nullif(regexp_extract(p_name, '^(\\d+)', 1), '') AS BIGINT) ASC NULLS LAST, p_partkey) AS BIGINT) AS nth FROM part")

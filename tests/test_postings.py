@@ -107,3 +107,17 @@ def test_phrases_go_to_the_texts(spark, tables, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "save", lambda *a, **k: pytest.fail("a table of all n-grams"))
     spark.createDataFrame([(i, f"Text number {i} of some") for i in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert text_queries.text_search(spark, str(tmp_path)).where(F.length("phrase") > 0).count() > 3
+
+
+def test_far_reach_of_many_queries(spark, tmp_path):
+    """More queries than a block has bits meet the same nodes as one by one, and their numbers are not those of rows."""
+    from pyspark.sql import functions as F
+
+    edges = spark.range(3000).selectExpr("concat('n', id % 700) as src", "concat('n', pmod(hash(id), 700)) as dst", "'E' as type")
+    start = spark.range(700).selectExpr("id as query_id", "concat('n', id) as node")
+    want = graph.reach(start, edges, 3)
+    assert hits(graph.reach_far(start, edges, 3, str(tmp_path / "a")).select(*want.columns)) == hits(want)
+    rows = spark.read.parquet(str(tmp_path / "a")).count()
+    assert rows * 5 < want.count()
+    sizes = want.groupBy("query_id", "hop").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    assert hits(graph.reach_sizes(start, edges, 3, str(tmp_path / "b")).select(*sizes.columns)) == hits(sizes)
