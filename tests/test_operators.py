@@ -212,3 +212,19 @@ def test_stream_upsert(spark, tmp_path):
 
 def test_fixed_values():
     assert len(rules.CHUNK_CONCEPTS) == 16 and len(rules.STATUTE_CONCEPTS) == 21 and len(rules.CASE_CONCEPTS) == 14
+
+
+def test_traversal_does_not_fan_out_from_a_common_concept(spark, tmp_path):
+    """The last step goes only to what is told: of the chunks that share a concept none is met on the way to sections."""
+    from corpusmill.operators import graph
+
+    nodes = spark.createDataFrame([("S:1", "StatuteSection"), ("S:2", "StatuteSection"), ("L", "LegalConcept"), *((f"K{i}", "Chunk") for i in range(50))], "id string, label string").selectExpr("id", "label", "id as name")
+    edges = spark.createDataFrame([("K0", "S:1", "REFERS_TO"), ("K0", "S:2", "REFERS_TO"), *((f"K{i}", "L", "DISCUSSES") for i in range(50))], "src string, dst string, type string")
+    start = spark.createDataFrame([(1, "S:1")], "query_id int, node string")
+    near = graph.reach(start, edges, 3, into=nodes.where("label = 'StatuteSection'").selectExpr("id as node"))
+    assert [tuple(r) for r in near.select("query_id", "node", "hop").collect()] == [(1, "S:2", 2)]
+    kept = graph.stored(graph.Graph(nodes, edges), str(tmp_path / "g"))
+    for g in (graph.Graph(nodes, edges), kept):
+        r = graph.traverse(start, g.nodes, g.edges).first()
+        assert (r.statutes, r.judgments, r.cited_cases) == (["S:2"], ["K0"], [])
+    assert {f.name for f in (tmp_path / "g" / "edges").iterdir() if f.is_dir()} == {"type=REFERS_TO", "type=DISCUSSES"}
