@@ -128,10 +128,10 @@ def ask(queries: DataFrame, statutes: DataFrame, judgments: DataFrame | None, ed
     return postprocess.validate_answers(postprocess.answer(given, respond))
 
 
-def triage(reports: DataFrame, statutes: DataFrame, edges: DataFrame | None = None, nodes: DataFrame | None = None, *, k: int = 12, chars: int = 800) -> DataFrame:
+def triage(reports: DataFrame, statutes: DataFrame, edges: DataFrame | None = None, nodes: DataFrame | None = None, *, k: int = 12, chars: int = 800, bulk: bool = False) -> DataFrame:
     """Offence candidates of reported facts: retrieved, without procedure, current law before superseded."""
     queries = reports.withColumn("query_text", F.substring("query_text", 1, chars))
-    laws, _ = research(queries, statutes, None, edges, nodes, k_statutes=k)
+    laws, _ = research(queries, statutes, None, edges, nodes, k_statutes=k, bulk=bulk)
     cards = provision_cards(laws).withColumn("source_id", F.col("section_id"))
     return postprocess.prefer_current(postprocess.drop_procedural(cards), "query_id", F.col("act"))
 

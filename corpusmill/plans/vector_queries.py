@@ -271,4 +271,4 @@ SELECT query_id, rank, section_id, 'Title ' || split_part(section_id, ':', 2) AS
 def triage(spark, sf_dir):
     """Offence candidates of reported facts: retrieved, without procedure, current law before superseded."""
     t = legal(spark, sf_dir)
-    return search.triage(t["queries"], t["statutes"], t["edges"], t["nodes"]).select("query_id", "rank", "section_id", "title")
+    return search.triage(t["queries"], t["statutes"], t["edges"], t["nodes"], bulk=True).select("query_id", "rank", "section_id", "title")

@@ -228,3 +228,17 @@ def test_traversal_does_not_fan_out_from_a_common_concept(spark, tmp_path):
         r = graph.traverse(start, g.nodes, g.edges).first()
         assert (r.statutes, r.judgments, r.cited_cases) == (["S:2"], ["K0"], [])
     assert {f.name for f in (tmp_path / "g" / "edges").iterdir() if f.is_dir()} == {"type=REFERS_TO", "type=DISCUSSES"}
+
+
+def test_triage_in_bulk(spark, monkeypatch):
+    """Triage of a large table goes by matrix products, with the rows of the plain search."""
+    from corpusmill.operators import vector
+    from corpusmill.plans import vector_queries
+
+    asked = []
+    plain = vector.top_k
+    monkeypatch.setattr(vector, "top_k", lambda *a, **k: asked.append(k.get("bulk")) or plain(*a, **k))
+    got = sorted(map(tuple, vector_queries.triage(spark, "/root/testdata/sf0.001").collect()))
+    assert asked == [True] and got
+    monkeypatch.setattr(vector, "top_k", lambda *a, **k: plain(*a, **(k | {"bulk": False})))
+    assert got == sorted(map(tuple, vector_queries.triage(spark, "/root/testdata/sf0.001").collect()))
