@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 #: Queries that one pass over the corpus carries along; more take several passes.
 QUERY_BLOCK = 4096
 #: Scores that a matrix product makes at once.
-CELLS = 4_000_000
+CELLS = 1_000_000
+#: Pairs that a task gives at once.
+ROWS_OUT = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,41 +92,59 @@ def _bulk_candidates(corpus: DataFrame, queries: DataFrame, k: int, query: str,
 
     def run(it):
         q, qn, ids = held.value
-        kept: list[pa.RecordBatch] = []
-        least = np.full(len(ids), -np.inf)  # the k-th best score so far, per query
+        rows: list[pa.RecordBatch] = []  # rows that some query wants, each once
+        i, j, s = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)  # pairs of a query and one of these rows
+        held_rows, most = 0, 2 * k * len(ids) + 50_000
         best = np.full((len(ids), k), -np.inf)
+        least = best.min(axis=1)  # the k-th best score so far, per query
         step = max(1, CELLS // max(1, len(ids)))
-        few = (fewer_copies(b) for b in it if len(ids) and b.num_rows)
+        few = (b.take(pa.array(fewer_copies(b))) for b in it if len(ids) and b.num_rows)
         for batch in (b.slice(lo, step) for b in few for lo in range(0, b.num_rows, step)):
             v = np.asarray(batch.column(vec).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             score = (q @ v.T) / (qn[:, None] * np.asarray(batch.column("_cn"))[None, :])
-            best = -np.partition(-np.hstack([best, score]), k - 1, axis=1)[:, :k]
-            least = best.min(axis=1)
-            i, j = np.nonzero(score >= least[:, None] - 1e-9)
-            rows = batch.take(pa.array(j))
-            kept.append(pa.RecordBatch.from_arrays([*rows.columns, pa.array([ids[x] for x in i], key_arrow), pa.array(score[i, j])], [*rows.schema.names, query, "_s"]))
-            if sum(b.num_rows for b in kept) > 4 * k * len(ids) + 100_000:
-                kept = [narrowed(kept, least, ids, query)]
-        if kept:
-            yield narrowed(kept, least, ids, query).drop_columns(["_s"])
-
-    def fewer_copies(batch) -> pa.RecordBatch:
-        """Equal vectors score alike, so only the ``k`` smallest keys of each can be among the best."""
+            a, b = np.nonzero(score >= least[:, None] - 1e-9)
+            if not len(a):
+                continue
+            some = np.unique(a)
+            best[some] = -np.partition(-np.hstack([best[some], score[some]]), k - 1, axis=1)[:, :k]
+            least[some] = best[some].min(axis=1)
+            good = score[a, b] >= least[a] - 1e-9
+            a, b = a[good], b[good]
+            taken, at = np.unique(b, return_inverse=True)
+            rows.append(batch.take(pa.array(taken)))
+            i, j, s = np.append(i, a.astype(np.int32)), np.append(j, (at + held_rows).astype(np.int32)), np.append(s, score[a, b])
+            held_rows += len(taken)
+            if len(i) > most:
+                rows, i, j, s = narrowed(rows, i, j, s, least)
+                held_rows, most = rows[0].num_rows, max(most, 2 * len(i))
+        if len(i):
+            rows, i, j, s = narrowed(rows, i, j, s, least)
+            for lo in range(0, len(i), ROWS_OUT):
+                out = rows[0].take(pa.array(j[lo : lo + ROWS_OUT]))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([ids[x] for x in i[lo : lo + ROWS_OUT]], key_arrow)], [*out.schema.names, query])
+
+    def fewer_copies(batch) -> np.ndarray:
+        """Equal vectors score alike, so only the ``k`` smallest keys of each can be among the best: the places of these."""
         v = np.ascontiguousarray(np.asarray(batch.column(vec).flatten()).reshape(batch.num_rows, -1))
         _, same = np.unique(v.view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
         if same.max() + 1 == batch.num_rows:
-            return batch
+            return np.arange(batch.num_rows)
         order = pc.sort_indices(pa.table({"v": same, "k": batch.column(key)}), [("v", "ascending"), ("k", "ascending")], null_placement="at_start").to_numpy()
         run_of = same[order]
         nth = np.arange(len(order)) - np.searchsorted(run_of, run_of, side="left")
-        return batch.take(pa.array(np.sort(order[nth < k])))
-
-    def narrowed(kept, least, ids, name) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(kept).combine_chunks()
-        floor = dict(zip(ids, least.tolist(), strict=True))
-        bound = np.array([floor[x] for x in rows.column(name).to_pylist()])
-        rows = rows.filter(pa.array(np.asarray(rows.column("_s")) >= bound - 1e-9)).combine_chunks()
-        return rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in rows.schema], schema=rows.schema)
+        return np.sort(order[nth < k])
+
+    def narrowed(rows, i, j, s, least):
+        """Pairs that still reach their query's k-th best, and their rows in one batch."""
+        good = s >= least[i] - 1e-9
+        i, j, s = i[good], j[good], s[good]
+        used, j = np.unique(j, return_inverse=True)
+        own = pa.Table.from_batches(rows).take(pa.array(used)).combine_chunks().to_batches()[0]
+        kept = fewer_copies(own)
+        place = np.full(own.num_rows, -1)
+        place[kept] = np.arange(len(kept))
+        good = place[j] >= 0
+        return [own.take(pa.array(kept))], i[good], place[j[good]].astype(np.int32), s[good]
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema.fields] + [f"`{query}` {key_type}"])
     some = corpus.where(~F.exists(vec, lambda x: x.isNull()) & (F.size(vec) == (len(asked[0][query_vec]) if asked else 0)))

@@ -242,3 +242,20 @@ def test_triage_in_bulk(spark, monkeypatch):
     assert asked == [True] and got
     monkeypatch.setattr(vector, "top_k", lambda *a, **k: plain(*a, **(k | {"bulk": False})))
     assert got == sorted(map(tuple, vector_queries.triage(spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_bulk_gives_pairs_in_small_batches(spark, monkeypatch):
+    """What a task has found goes out in bounded batches, and a row that many queries want is held once."""
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators import vector as X
+
+    monkeypatch.setattr(X, "ROWS_OUT", 50)
+    monkeypatch.setattr(X, "CELLS", 4000)
+    rows = spark.range(0, 600, 1, 2).select(F.col("id").alias("vec_id"), F.array(*(F.cos((F.col("id") % 97) * (i + 1.3)).cast("float") for i in range(6))).alias("embedding"))
+    asked = rows.where("vec_id < 80").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    pick = lambda df: sorted((r.query_id, r.vector_rank, r.vec_id) for r in df.collect())
+    assert pick(X.top_k(asked, rows, 9, bulk=True)) == pick(X.top_k(asked, rows, 9))
+    q, c = (X.with_norm(df, v, n) for df, v, n in ((asked, "query_vec", "_qn"), (rows, "embedding", "_cn")))
+    sizes = X._bulk_candidates(c, q, 9, "query_id", "query_vec", "vec_id", "embedding").select("vec_id").mapInArrow(lambda it: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n int").collect()
+    assert sum(r.n for r in sizes) >= 720
