@@ -121,3 +121,13 @@ def test_far_reach_of_many_queries(spark, tmp_path):
     assert rows * 5 < want.count()
     sizes = want.groupBy("query_id", "hop").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
     assert hits(graph.reach_sizes(start, edges, 3, str(tmp_path / "b")).select(*sizes.columns)) == hits(sizes)
+
+
+def test_a_word_of_all_nodes_is_not_one_task(spark):
+    """Nodes that share a word are not dealt by it: hits are told where the node's text is."""
+    nodes = spark.range(0, 300, 1, 3).selectExpr("cast(id as string) as id", "'a red widget' as name")
+    asked = spark.createDataFrame([(1, ["red"])], "query_id int, words array<string>")
+    each = asked.selectExpr("query_id", "explode(words) as word")
+    plan = postings.containing(each, nodes, phrase="word", key="id", text="name")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning(_phrase#" in x and " id#" in x.split("hashpartitioning(")[1]]
+    assert hits(graph.anchors(asked, nodes, limit=3)) == [(1, "0", "concept"), (1, "1", "concept"), (1, "10", "concept")]
