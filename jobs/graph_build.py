@@ -5,12 +5,13 @@
 Every document and every turn is a chunk; sources and conversations are the cases
 that have them. Chunks refer to the sections that they name and discuss the concepts
 whose patterns they hold; a chunk whose text an earlier one has (by id) points to
-the first of them. Under ``out`` there are ``nodes`` (partitioned by label), ``edges``
+the first of them. Under ``out`` there are ``found`` (chunks with what was found in their
+texts, which are read once for it), ``nodes`` (partitioned by label), ``edges``
 (partitioned by type) and ``report`` (JSON, partitioned by kind): counts, ids that
 a label has twice, edges without an end, nodes without a name, and in how many cases
 each concept is discussed. The report is made of the tables as they were written.
 
-A run replaces all three, so running it again gives the same; one that dies is
+A run replaces all four, so running it again gives the same; one that dies is
 mended by the next.
 """
 
@@ -22,7 +23,7 @@ import logging
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.references import short_references
@@ -46,22 +47,33 @@ def chunks(documents: DataFrame, conversations: DataFrame) -> DataFrame:
     return docs.unionByName(turns).where("chunk_id is not null")
 
 
+def _hash(text: Column) -> Column:
+    """Tells texts apart; null for blank ones."""
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), F.sha2(text, 256))
+
+
 def same_texts(rows: DataFrame) -> DataFrame:
-    """Edges from chunks to the first one of the same text; blank texts are like nothing.
+    """Edges from chunks to the first one of the same text; blank texts are like nothing."""
+    return _same(rows.select("chunk_id", _hash(F.col("text")).alias("h")))
+
 
-    Only hashes of texts are grouped, and only those that repeat are joined.
-    """
-    each = rows.where(F.coalesce("text", F.lit("")).rlike(r"\S")).select("chunk_id", F.sha2("text", 256).alias("h"))
+def _same(rows: DataFrame) -> DataFrame:
+    """Only hashes of texts are grouped, and only those that repeat are joined."""
+    each = rows.where("h is not null").select("chunk_id", "h")
     first = each.groupBy("h").agg(F.min("chunk_id").alias("dst"), F.max("chunk_id").alias("_last")).where("dst < _last").select("h", "dst")
     return each.join(first, "h").where("chunk_id > dst").select(F.col("chunk_id").alias("src"), "dst", F.lit("SAME_TEXT").alias("type"))
 
 
-def build(rows: DataFrame, concepts: dict[str, str], name_chars: int) -> graph.Graph:
+def found_in(rows: DataFrame, concepts: dict[str, str], name_chars: int) -> DataFrame:
+    """Chunks with the beginning of their text, its hash ``h`` and what is found in it."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("chunk_id", "case_id", excerpt(F.col("text"), name_chars).alias("text"), _hash(F.col("text")).alias("h"), short_references(text).alias("legal_references"), tagged(text, concepts).alias("legal_concepts"))
+
+
+def build(found: DataFrame) -> graph.Graph:
     """Nodes and edges, each once; chunks are named by the beginning of their text."""
-    none = F.expr("cast(array() as array<string>)")
-    full = rows.select("chunk_id", "case_id", excerpt(F.col("text"), name_chars).alias("text"), short_references(F.coalesce("text", F.lit(""))).alias("legal_references"), tagged(F.coalesce("text", F.lit("")), concepts).alias("legal_concepts"), none.alias("cited_cases"))
-    own = graph.judgment_graph(full)
-    return graph.Graph(own.nodes, graph.merge_edges(own.edges, same_texts(rows)))
+    own = graph.judgment_graph(found.drop("h").withColumn("cited_cases", F.expr("cast(array() as array<string>)")))
+    return graph.Graph(own.nodes, graph.merge_edges(own.edges, _same(found)))
 
 
 def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,7 +101,9 @@ def run(spark: SparkSession, documents: str, conversations: str, out: str, *, co
     docs, turns = spark.read.parquet(documents), spark.read.parquet(conversations)
     said = {"documents": docs.count(), "turns": turns.count()}
     log.info("read %d documents from %s, %d turns from %s", said["documents"], documents, said["turns"], conversations)
-    made = build(chunks(docs, turns), concepts or {}, name_chars)
+    found = found_in(chunks(docs, turns), concepts or {}, name_chars)
+    found.write.mode("overwrite").parquet(f"{out}/found")
+    made = build(spark.read.schema(found.schema).parquet(f"{out}/found"))
     made.edges.write.mode("overwrite").partitionBy("type").parquet(f"{out}/edges")
     made.nodes.write.mode("overwrite").partitionBy("label").parquet(f"{out}/nodes")
     nodes, edges = graph_tables(spark, out)

@@ -87,3 +87,22 @@ def test_word_counts_of_any_text(spark):
     assert all(len(v) == 64 for v in got.values()) and sum(got[1]) == 3 and sum(got[2]) == sum(got[3]) == 0 and max(got[4]) == 300_000
     each = df.where("k = 1").select(F.expr("array(pmod(xxhash64('one'), 64), pmod(xxhash64('two'), 64))")).first()[0]
     assert got[1][each[0]] >= 2 and got[1][each[1]] >= 1
+
+
+@pytest.mark.parametrize("pattern,want", [(r"\bmurder\b", ["murder"]), (r"a(b|c)d|e+fg?", ["a", "e"]), (r"\d{3,}", []), (r"ab{2}c", ["a"]), (r"[x@]y*z", ["z"]), (r"(?i)Penal Code,?\s*1860", ["penal code"]), (r"(?x)a b", []), (r"\x41b", []), (r"a|", [])])
+def test_literals_of_patterns(pattern, want):
+    assert T.literals(pattern) == want
+
+
+def test_patterns_are_tried_where_their_literals_are(spark):
+    texts = [None, "", "MURDER by injuries", "post mortem", "post-mortem", "penal code,  1860", "Cr.P.C. and FIRs", "\u212aelvin acquitted", "İPC IPC", "evidence  act", "12 @ a@b", "a302"]
+    patterns = {**rules.CHUNK_CONCEPTS, **rules.ACT_PATTERNS, "d": r"\d{3,}", "e": r"[a-z0-9._]+@[a-z0-9.]+"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_compact(F.array(*(F.when(F.col("t").rlike(f"(?i){p}"), F.lit(n)) for n, p in patterns.items())))
+    got = rows.select(T.occurring(F.col("t"), [(p, F.lit(n)) for n, p in patterns.items()]).alias("a"), plain.alias("b"))
+    assert got.where("a <=> b").count() == len(texts)
+    plan = got.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "murder) AND RLIKE" in plan  # the literal is looked for first
+    # a column of the same select that has the name of the text is not taken for it
+    named = rows.select(F.substring("t", 1, 1).alias("t"), T.tagged(F.coalesce("t", F.lit("")), {"Murder": "murder"}).alias("c")).collect()
+    assert [len(x.c) for x in named] == [0, 0, 1] + [0] * 9

@@ -93,6 +93,17 @@ def test_many_copies_make_one_edge_each(spark):
     assert same.count() == 999 and same.select("dst").distinct().count() == 1
 
 
+def test_texts_are_looked_through_once(spark, tmp_path):
+    """Nodes and edges are made of what was found, not of the texts."""
+    write(spark, tmp_path, DOCS, TURNS)
+    run(spark, tmp_path)
+    found = spark.read.parquet(f"{tmp_path}/out/found")
+    assert found.count() == 13  # all rows but the one without an id
+    for df in job.build(found):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "RLIKE" not in plan
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert set(run(spark, tmp_path).values()) == {0}
