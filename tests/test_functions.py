@@ -89,6 +89,28 @@ def test_word_counts_of_any_text(spark):
     assert got[1][each[0]] >= 2 and got[1][each[1]] >= 1
 
 
+WORDS = ("under", "Part", "I", "II", "of", "s.", "ss.", "u/s", "u/section", "Section", "section", "304", "302", "34", "173(2)", "304-B", "120-B", "300", "Exception", "1", "4", "to", "the", "IPC", "CrPC", "Evidence", "Act", "105", "FIR", "willing", "a, b", "x", "\n", "\x01", "ofthe", "(Part 1)", "kill;", "s.302", "-", "k", "é", "3")
+
+
+def test_rewriting_near_numbers_is_rewriting_all(spark):
+    """Rules see only what is near numbers, and give what each in turn gives on the whole text."""
+    import random
+
+    r = random.Random(5)
+    texts = ["", None, "u/s 302 IPC", "kills. 302 of the IPC", "wills. 304 Part I and ss.304"] + ["".join(r.choice(WORDS) + r.choice(("", " ", " ", " ", "  ")) for _ in range(r.randint(1, 60))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = F.col("t")
+    out = rows.select("i", "t", T.rewritten(F.col("t"), rules.JUDGMENT_REWRITES).alias("got")).cache()
+    for at in range(0, len(rules.JUDGMENT_REWRITES), 12):
+        for pattern, replacement in rules.JUDGMENT_REWRITES[at : at + 12]:
+            want = F.regexp_replace(want, pattern, replacement)
+        out = out.select("i", want.alias("t"), "got").cache()
+        want = F.col("t")
+    assert out.where("got <=> t").count() == len(texts)
+    foreign = T._foreign(rules.JUDGMENT_REWRITES[:-1])
+    assert one(spark, F.length(T.shortened(F.col("t"), foreign)), t="a long willing text; " * 500 + "u/s 302 IPC") < 60
+
+
 @pytest.mark.parametrize("pattern,want", [(r"\bmurder\b", ["murder"]), (r"a(b|c)d|e+fg?", ["a", "e"]), (r"\d{3,}", []), (r"ab{2}c", ["a"]), (r"[x@]y*z", ["z"]), (r"(?i)Penal Code,?\s*1860", ["penal code"]), (r"(?x)a b", []), (r"\x41b", []), (r"a|", [])])
 def test_literals_of_patterns(pattern, want):
     assert T.literals(pattern) == want
