@@ -20,7 +20,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -128,74 +128,98 @@ def opened(spark: SparkSession, path: str, *, key: str = "vec_id", vec: str = "e
     return Index(path, key, vec, np.array([r["list"] for r in rows], np.int32), np.array([r.centroid for r in rows], np.float64).reshape(len(rows), -1 if rows else 0), np.array([r.n for r in rows], np.int64), np.array([r.radius for r in rows], np.float64), schema)
 
 
+def _packed(index: Index) -> np.ndarray:
+    """For every list the number of its block: lists in order, up to ``ROWS_OF_BLOCK`` rows together."""
+    out, block, held = [], -1, 0
+    for n in index.sizes.tolist():
+        if block < 0 or held + n > ROWS_OF_BLOCK:
+            block, held = block + 1, 0
+        out.append(block)
+        held += n
+    return np.array(out, np.int32)
+
+
 def _asked(queries: DataFrame, index: Index, vec: str, name: str, probes: int, floor: str | None = None) -> DataFrame:
-    """``(query, list)`` of the nearest lists, or of further ones that can reach the column ``floor``."""
+    """``(query, list)`` of the nearest lists; with a column ``floor`` of all blocks of lists of which one can reach it."""
     import pyarrow as pa
 
     spark = queries.sparkSession
-    held = spark.sparkContext.broadcast((index.lists, index.centroids, index.radii))
+    held = spark.sparkContext.broadcast((index.lists, index.centroids, index.radii, _packed(index)))
     some = queries.select(name, vec, *([floor] if floor else []))
     kind = some.schema[name].dataType.simpleString()
 
     def run(it):
-        ids, c, radii = held.value
+        ids, c, radii, blocks = held.value
         for batch in it:
             if not batch.num_rows or not len(ids):
                 continue
             score = _unit(_matrix(batch.column(1))) @ c.T
-            near = np.argsort(-score, axis=1, kind="stable")
-            asked = np.zeros(score.shape, bool)
-            np.put_along_axis(asked, near[:, :probes], True, axis=1)
             if floor:
-                reach = np.cos(np.maximum(0, np.arccos(np.clip(score, -1, 1)) - radii[None, :] - SLACK))
+                reach = np.cos(np.minimum(np.pi, np.maximum(0, np.arccos(np.clip(score, -1, 1)) - radii[None, :] - SLACK)))
                 least = np.array([-np.inf if x is None else x for x in batch.column(2).to_pylist()])
-                asked = ~asked & (reach >= least[:, None] - SLACK)
-            i, j = np.nonzero(asked)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(ids[j])], [name, "list"])
+                i, j = np.nonzero(reach >= least[:, None] - SLACK)
+                i, j = np.unique(np.stack([i, blocks[j]]), axis=1)
+                to = j.astype(np.int32)
+            else:
+                near = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+                i, to = np.repeat(np.arange(len(near)), near.shape[1]), ids[near.ravel()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(to)], [name, "list"])
 
     return some.mapInArrow(run, f"`{name}` {kind}, list int")
 
 
-def _scanned(asked: DataFrame, queries: DataFrame, index: Index, k: int, name: str, vec: str, keep: list[str]) -> DataFrame:
-    """Pairs of each query and rows of its lists among which the best ``k`` of every list are.
+def _scanned(asked: DataFrame, queries: DataFrame, index: Index, k: int, name: str, vec: str, keep: list[str], floor: str | None = None, scores: bool = False) -> DataFrame:
+    """Pairs of each query and rows of its lists among which the best ``k`` of every list are, with ``_about``, their score but for rounding.
 
     A list and its queries are dealt to blocks of a bounded size, however large
-    or sought after the list is.
+    or sought after the list is. With a column ``floor`` what is asked are blocks
+    of lists (:func:`_packed`), and pairs below the query's floor are left out.
+    With ``scores`` pairs have no columns of the rows.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
     spark = queries.sparkSession
     counts = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # a row for each list at most
-    rows = spark.read.schema(index.schema).parquet(f"{index.path}/rows").where(F.col("list").isin(*counts) if counts else F.lit(False))
-    sizes = dict(zip(index.lists.tolist(), index.sizes.tolist(), strict=True))
-    parts = [(x, -(-sizes[x] // ROWS_OF_BLOCK), -(-n // QUERIES_OF_BLOCK)) for x, n in counts.items()]
-    blocks = F.broadcast(spark.createDataFrame(parts, "list int, rows_in int, queries_in int"))
+    of = _packed(index) if floor else index.lists
+    parts = [(x, b, -(-n // ROWS_OF_BLOCK), -(-counts[b] // QUERIES_OF_BLOCK)) for x, b, n in zip(index.lists.tolist(), of.tolist(), index.sizes.tolist(), strict=True) if b in counts]
+    rows = spark.read.schema(index.schema).parquet(f"{index.path}/rows").where(F.col("list").isin(*(x[0] for x in parts)) if parts else F.lit(False))
+    blocks = F.broadcast(spark.createDataFrame(parts, "list int, _block int, rows_in int, queries_in int"))
+    of_block = F.broadcast(spark.createDataFrame(sorted({x[1]: x[1:] for x in parts}.values()), "list int, rows_in int, queries_in int"))
     deal = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("string")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.select("list", index.key, index.vec, *keep).join(blocks, "list").withColumn("r", deal(index.key, "rows_in")).withColumn("q", every("queries_in")).drop("rows_in", "queries_in")
-    right = asked.join(queries.select(name, vec), name).join(blocks, "list").withColumn("q", deal(name, "queries_in")).withColumn("r", every("rows_in")).select(F.col("list").alias("_list"), F.col("r").alias("_r"), F.col("q").alias("_q"), F.col(name).alias("_query"), F.col(vec).alias("_query_vec"))
+    own_columns = [index.key, index.vec, *keep]
+    left = rows.withColumn("_in", F.col("list")).join(blocks, "list").select("_block", *own_columns, "rows_in", "queries_in").withColumn("r", deal(index.key, "rows_in")).withColumn("q", every("queries_in")).drop("rows_in", "queries_in")
+    bound = [F.col(floor).alias("_floor")] if floor else []
+    right = asked.join(queries.select(name, vec, *([floor] if floor else [])), name).join(of_block, "list").withColumn("q", deal(name, "queries_in")).withColumn("r", every("rows_in")).select(F.col("list").alias("_list"), F.col("r").alias("_r"), F.col("q").alias("_q"), F.col(name).alias("_query"), F.col(vec).alias("_query_vec"), *bound)
     kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (index.key, index.vec, *keep)), f"`{name}` {queries.schema[name].dataType.simpleString()}"])
+    told = [] if scores else own_columns
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in told), f"`{name}` {queries.schema[name].dataType.simpleString()}", "_about double"])
 
     def best(own, asking):
-        own = own.select([index.key, index.vec, *keep]).combine_chunks()
+        own = own.select(own_columns).combine_chunks()
         few = _fewer_copies(own, index.key, index.vec, k)
         v, q = _unit(_matrix(few[index.vec].combine_chunks())), _unit(_matrix(asking["_query_vec"].combine_chunks()))
-        i, j = [], []
+        floors = np.array([-np.inf if x is None else x for x in asking["_floor"].to_pylist()]) if floor else np.full(len(q), -np.inf)
+        i, j, found = [], [], []
         for low in range(0, len(q), 256):
             score = q[low : low + 256] @ v.T
-            least = -np.partition(-score, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+            least = floors[low : low + 256]
+            many = np.nonzero((score >= least[:, None] - 1e-9).sum(axis=1) > k)[0]
+            if len(many):
+                least[many] = np.maximum(least[many], -np.partition(-score[many], k - 1, axis=1)[:, k - 1])
             a, b = np.nonzero(score >= least[:, None] - 1e-9)
             i.append(a + low)
             j.append(b)
-        return few.take(pa.array(np.concatenate(j))).append_column(name, pc.take(asking["_query"], pa.array(np.concatenate(i))))
-
-    return left.groupBy("list", "r", "q").cogroup(right.groupBy("_list", "_r", "_q")).applyInArrow(lambda own, asking: best(own, asking) if own.num_rows and asking.num_rows else _empty(own, asking, index, keep, name), schema)
+            found.append(score[a, b])
+        out = few.select(told).take(pa.array(np.concatenate(j)))
+        pairs = {name: pc.take(asking["_query"], pa.array(np.concatenate(i))), "_about": pa.array(np.concatenate(found))}
+        return pa.table({**{c: out[c] for c in told}, **pairs})
 
+    def none(own, asking):
+        return pa.table({**{c: own[c].slice(0, 0) for c in told}, name: asking["_query"].slice(0, 0), "_about": pa.array([], pa.float64())})
 
-def _empty(own, asking, index: Index, keep: list[str], name: str):
-    return own.select([index.key, index.vec, *keep]).slice(0, 0).append_column(name, asking["_query"].slice(0, 0))
+    return left.groupBy("_block", "r", "q").cogroup(right.groupBy("_list", "_r", "_q")).applyInArrow(lambda own, asking: (best if own.num_rows and asking.num_rows else none)(own, asking), schema)
 
 
 def _fewer_copies(rows, key: str, vec: str, k: int):
@@ -215,27 +239,31 @@ def _fewer_copies(rows, key: str, vec: str, k: int):
 
 
 def _ranked(pairs: DataFrame, queries: DataFrame, index: Index, k: int, name: str, vec: str) -> DataFrame:
+    """The ``k`` best pairs of each query, of those that rounding leaves open scored by expressions."""
+    own, about = Window.partitionBy(name), Window.partitionBy(name).orderBy(F.desc("_about"))
+    best = pairs.withColumn("_n", F.row_number().over(about)).withColumn("_least", F.min(F.when(F.col("_n") <= k, F.col("_about"))).over(own)).where(F.col("_about") >= F.col("_least") - 1e-9)
     q = queries.select(name, vec)
     score = vector.dot(F.col(vec), F.col(index.vec)) / (vector.norm(F.col(vec)) * vector.norm(F.col(index.vec)))
-    scored = pairs.join(q, name).withColumn("score", score).drop(vec, index.vec)
+    scored = best.drop("_n", "_least", "_about").join(q, name).withColumn("score", score).drop(vec, index.vec)
     return vector.rank_by_score(scored, name, "score", index.key).where(F.col("vector_rank") <= k)
 
 
 def search(queries: DataFrame, index: Index, k: int, *, probes: int = 8, exact: bool = False, query: str = "query_id", query_vec: str = "query_vec", keep: tuple[str, ...] = ()) -> DataFrame:
     """The ``max(k, 1)`` best rows of the lists that each query reads, ranked: ``query, key, *keep, score, vector_rank``.
 
-    With ``exact``, of all rows. Queries without a valid vector find nothing.
+    With ``exact``, of all rows: the ``k``-th best of the root of the number of lists, and of
+    ``probes`` at most, is a floor below which no row is told. Queries without a valid vector find nothing.
     """
     k = max(k, 1)
     q = valid(queries.select(query, query_vec), query_vec)
-    asked = _asked(q, index, query_vec, query, probes)
-    found = _ranked(_scanned(asked, q, index, k, query, query_vec, list(keep)), q, index, k, query, query_vec)
-    if not exact or probes >= len(index.lists):
-        return found
-    floor = found.groupBy(query).agg(F.when(F.count("*") >= k, F.min("score")).alias("_floor"))
-    more = _asked(q.join(floor, query, "left"), index, query_vec, query, probes, "_floor")
-    rest = _ranked(_scanned(more, q, index, k, query, query_vec, list(keep)), q, index, k, query, query_vec)
-    return vector.rank_by_score(found.drop("vector_rank").unionByName(rest.drop("vector_rank")), query, "score", index.key).where(F.col("vector_rank") <= k)
+    few = min(probes, int(len(index.lists) ** 0.5) + 1) if exact else probes
+    asked = _asked(q, index, query_vec, query, few)
+    if not exact:
+        return _ranked(_scanned(asked, q, index, k, query, query_vec, list(keep)), q, index, k, query, query_vec)
+    first = _scanned(asked, q, index, k, query, query_vec, [], scores=True).groupBy(query).agg(F.sort_array(F.collect_list("_about"), False).alias("_best"))
+    floored = q.join(first.select(query, F.get("_best", F.lit(k - 1)).alias("_floor")), query, "left")
+    more = _asked(floored, index, query_vec, query, 0, "_floor")
+    return _ranked(_scanned(more, floored, index, k, query, query_vec, list(keep), "_floor"), q, index, k, query, query_vec)
 
 
 def recall(found: DataFrame, truth: DataFrame, query: str, key: str) -> float:
@@ -249,15 +277,20 @@ def calibrated(queries: DataFrame, index: Index, k: int, *, least: float = 0.95,
     """The probes, doubled until the audit's recall is ``least``, and that recall.
 
     The audit asks the first ``AUDIT`` queries by hash of their id; the truth is
-    the exact search of all rows. At all lists the recall is 1.
+    the exact search of all rows, made once: a search finds those true rows whose
+    lists it reads. At all lists the recall is 1.
     """
     q = valid(queries.select(query, query_vec), query_vec)
     asked = q.orderBy(F.xxhash64(F.col(query).cast("string")), query).limit(AUDIT)
-    truth = search(asked, index, k, probes=len(index.lists), query=query, query_vec=query_vec).select(query, index.key).cache()
+    truth = search(asked, index, k, probes=len(index.lists), exact=True, query=query, query_vec=query_vec, keep=("_in",)).select(query, "_in").collect()  # k rows for each of few queries
+    nth = {}
+    for r in asked.collect() if truth else ():
+        near = np.argsort(-(_unit(np.array([r[query_vec]], np.float64)) @ index.centroids.T)[0], kind="stable")
+        nth[r[query]] = {x: i for i, x in enumerate(index.lists[near].tolist())}
+    at = np.array([nth[r[query]][r["_in"]] for r in truth])
     probes = 1
     while True:
-        got = 1.0 if probes >= len(index.lists) else recall(search(asked, index, k, probes=probes, query=query, query_vec=query_vec), truth, query, index.key)
+        got = 1.0 if probes >= len(index.lists) or not len(at) else float((at < probes).mean())
         if got >= least:
-            truth.unpersist()
             return min(probes, len(index.lists)), got
         probes *= 2

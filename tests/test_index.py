@@ -99,3 +99,21 @@ def test_hybrid_search_by_index(spark, tmp_path):
     want = shown(search.research(t["queries"], t["statutes"], None, t["edges"], t["nodes"], bulk=True)[0])
     assert len(want) == 75
     assert shown(search.research(t["queries"], t["statutes"], None, t["edges"], t["nodes"], lists=lists, probes=2, exact=True)[0]) == want
+
+
+def test_exact_search_tells_few_pairs(spark, tmp_path, monkeypatch):
+    """Pairs that go on from the scan don't grow with the lists: those below a query's floor stay behind."""
+    rng = np.random.default_rng(2)
+    corpus = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(2000)], "vec_id long, embedding array<float>")
+    built = index.build(corpus, str(tmp_path / "i"))
+    asked = corpus.where("vec_id < 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    seen, ranked = [], index._ranked
+    monkeypatch.setattr(index, "_ranked", lambda pairs, *rest: seen.append(pairs.count()) or ranked(pairs, *rest))
+    got = pairs(index.search(asked, built, 5, probes=len(built.lists), exact=True))
+    assert len(built.lists) > 40 and sum(seen) < 100 * 5 * 8
+    assert got == pairs(vector.top_k(asked, corpus, 5))
+    monkeypatch.undo()
+    calls, scanned = [], index._scanned
+    monkeypatch.setattr(index, "_scanned", lambda *a, **k: calls.append(1) or scanned(*a, **k))
+    index.calibrated(asked, built, 5)
+    assert len(calls) == 2  # one exact search, however often probes are doubled
