@@ -73,7 +73,7 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, *, cap_word
         last = last_of_each(batch, "doc_id", "_arrived").drop("_arrived")
         brought = chunks(last, cap_words, concepts or {}).withColumn("batch", F.lit(number))
         brought.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/increments")
-        rows = session.read.parquet(f"{out}/increments").where(F.col("batch") == number).drop("batch") if not brought.isEmpty() else brought.drop("batch")
+        rows = session.read.schema(brought.schema).parquet(f"{out}/increments").where(F.col("batch") == number).drop("batch")
         merged = tables.replace_in_table(f"{out}/collection", rows, batch.select("doc_id"), "doc_id", buckets)
         seen = batch.agg(F.count("*").alias("rows_read"), F.count_distinct("doc_id").alias("documents"), F.count_if(~F.coalesce("text", F.lit("")).rlike(r"\S")).alias("blank")).withColumns({"chunks": F.lit(merged.rows), "buckets_rewritten": F.lit(merged.rewritten), "batch": F.lit(number)})
         seen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(f"{out}/report")

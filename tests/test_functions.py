@@ -128,3 +128,10 @@ def test_patterns_are_tried_where_their_literals_are(spark):
     # a column of the same select that has the name of the text is not taken for it
     named = rows.select(F.substring("t", 1, 1).alias("t"), T.tagged(F.coalesce("t", F.lit("")), {"Murder": "murder"}).alias("c")).collect()
     assert [len(x.c) for x in named] == [0, 0, 1] + [0] * 9
+
+
+def test_words_are_counted_without_rebuilding_texts(spark):
+    for said, n in (("", 0), (None, 0), (" \n\t ", 0), ("a b", 2), (" a b\u0085c \n", 3), ("　x", 1)):
+        assert one(spark, T.word_count(F.lit(said).cast("string"))) == n
+    plan = spark.createDataFrame([("a",)], "t string").select(T.word_count(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "split(" not in plan
