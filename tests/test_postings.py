@@ -131,3 +131,15 @@ def test_a_word_of_all_nodes_is_not_one_task(spark):
     plan = postings.containing(each, nodes, phrase="word", key="id", text="name")._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "SortMergeJoin [word#" in x or ("SortMergeJoin" in x and "LeftSemi" in x)]
     assert hits(graph.anchors(asked, nodes, limit=3)) == [(1, "0", "concept"), (1, "1", "concept"), (1, "10", "concept")]
+
+
+def test_only_the_first_nodes_are_gathered(spark):
+    """Of a word of all nodes each batch tells the first few; what is sorted doesn't grow with the hits."""
+    nodes = spark.range(0, 3000, 1, 2).selectExpr("cast(id as string) as id", "'a red ring' as name")
+    asked = spark.createDataFrame([(1, ["red", "ring"]), (None, ["red"]), (3, ["none"])], "query_id int, words array<string>")
+    every = asked.selectExpr("query_id", "explode(words) as word").crossJoin(nodes).where("word <> 'none'").select("query_id", "id")
+    few = graph._pruned(every, "query_id", 5)
+    assert few.count() <= 2 * 5 * every.rdd.getNumPartitions() * 2
+    want = sorted(str(i) for i in range(3000))[:5]
+    assert sorted({r.id for r in few.where("query_id = 1").collect()})[:5] == want
+    assert hits(graph.anchors(asked, nodes, limit=5).where("query_id = 1")) == [(1, i, "concept") for i in want]
