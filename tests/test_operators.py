@@ -256,3 +256,24 @@ def test_bulk_gives_pairs_in_small_batches(spark, monkeypatch):
     asked = rows.where("vec_id < 80").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     pick = lambda df: sorted((r.query_id, r.vector_rank, r.vec_id) for r in df.collect())
     assert pick(X.top_k(asked, rows, 9, bulk=True)) == pick(X.top_k(asked, rows, 9))
+
+
+def test_anchors_build_the_graph_of_their_cases_alone(spark, monkeypatch, tmp_path):
+    """The graph that is written for a few cases doesn't grow with the tables, and the walk in it is that in the whole graph."""
+    from corpusmill.operators import graph
+    from corpusmill.plans import legal_queries
+
+    written = []
+    stored = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda g, path: written.append(stored(g, str(tmp_path / "g"))) or written[-1])
+    d = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, legal_queries.anchor_traversal(spark, d).collect()))
+    whole = graph.judgment_graph(legal_queries._chunks(spark, d))
+    assert written[0].nodes.where("label = 'Case'").count() <= 6 < whole.nodes.where("label = 'Case'").count()
+    start = whole.nodes.where("(label = 'Case' and id in ('C1', 'C2', 'C4', 'C25')) or id in ('O1', 'O32')").selectExpr("id as query_id", "id as node")
+    want = graph.traverse(start, whole.nodes, whole.edges)
+    assert got == sorted((r.query_id, ",".join(r.statutes), ",".join(r.judgments), ",".join(r.cited_cases)) for r in want.collect())
+    rows, wanted = spark.range(20), spark.range(3, 6)
+    few = graph.only_of(rows, "id", wanted)
+    monkeypatch.setattr(graph, "FEW", 1)
+    assert [r.id for r in few.orderBy("id").collect()] == [r.id for r in graph.only_of(rows, "id", wanted).orderBy("id").collect()] == [3, 4, 5]
