@@ -163,3 +163,25 @@ def test_windows_of_texts_are_looked_up(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Generate explode") == 1
     assert sorted((r[2], r[0]) for r in out.collect()) == [(t, i) for t, x in enumerate(want) for i in x]
+
+
+def test_sizes_of_a_reach_are_counted_in_tasks(spark, tmp_path, monkeypatch):
+    """What is written is the graph and the sizes, not the nodes that queries meet; a graph too large for a task is walked by joins."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "PACK", 100)
+    edges = spark.range(900).selectExpr("concat('n', id % 400) as src", "if(id % 9 = 0, 'n7', concat('n', pmod(hash(id), 400))) as dst")
+    edges = edges.unionByName(spark.createDataFrame([("x1", "x2"), (None, "x2"), ("x3", None), ("x4", "x4")], "src string, dst string"))
+    start = spark.range(400).selectExpr("id as query_id", "concat('n', id) as node").unionByName(spark.createDataFrame([(1, "n3"), (500, "x1"), (501, "nowhere"), (502, "x4"), (None, "x2")], "query_id long, node string"))
+    start = start.where("query_id is not null")
+    want = graph.reach(start, edges.where("src is not null and dst is not null"), 5)
+    want = hits(want.groupBy("query_id", "hop").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node")))
+    assert hits(graph.reach_sizes(start, edges, 5, str(tmp_path / "a"))) == want
+    assert {f.name for f in tmp_path.iterdir()} == {f"a-{x}" for x in ("names", "asked", "pairs", "packs", "starts", "sizes")}
+    batch = lambda *src: pa.RecordBatch.from_arrays([pa.array(src), pa.array([x + 1 for x in src])], ["src", "dst"])
+    monkeypatch.setattr(graph, "PACK", 2)
+    packs = [np.frombuffer(b.column("ids")[0].as_buffer(), np.uint32).tolist() for b in graph._packed([batch(1, 1, 2), batch(2, 2, 3), batch(3, 3), batch(3, 4, 5), batch()])]
+    assert packs == [[1, 2], [3], [4, 5]] or packs == [[1, 2], [3, 4, 5]]
+    assert hits(graph.reach_sizes(start, edges, 5, str(tmp_path / "b"), held=100)) == want and (tmp_path / "b").exists()
