@@ -167,8 +167,6 @@ def test_windows_of_texts_are_looked_up(spark, monkeypatch):
 
 def test_sizes_of_a_reach_are_counted_in_tasks(spark, tmp_path, monkeypatch):
     """What is written is the graph and the sizes, not the nodes that queries meet; a graph too large for a task is walked by joins."""
-    import numpy as np
-    import pyarrow as pa
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(graph, "PACK", 100)
@@ -180,8 +178,17 @@ def test_sizes_of_a_reach_are_counted_in_tasks(spark, tmp_path, monkeypatch):
     want = hits(want.groupBy("query_id", "hop").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node")))
     assert hits(graph.reach_sizes(start, edges, 5, str(tmp_path / "a"))) == want
     assert {f.name for f in tmp_path.iterdir()} == {f"a-{x}" for x in ("names", "asked", "pairs", "packs", "starts", "sizes")}
-    batch = lambda *src: pa.RecordBatch.from_arrays([pa.array(src), pa.array([x + 1 for x in src])], ["src", "dst"])
-    monkeypatch.setattr(graph, "PACK", 2)
-    packs = [np.frombuffer(b.column("ids")[0].as_buffer(), np.uint32).tolist() for b in graph._packed([batch(1, 1, 2), batch(2, 2, 3), batch(3, 3), batch(3, 4, 5), batch()])]
-    assert packs == [[1, 2], [3], [4, 5]] or packs == [[1, 2], [3, 4, 5]]
     assert hits(graph.reach_sizes(start, edges, 5, str(tmp_path / "b"), held=100)) == want and (tmp_path / "b").exists()
+
+
+def test_the_steps_of_a_node_are_in_one_pack(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    batch = lambda *src: pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array([x + 1 for x in src], pa.int64())], ["src", "dst"])
+    monkeypatch.setattr(graph, "PACK", 2)
+    packs = list(graph._packed([batch(1, 1, 2), batch(2, 2, 3), batch(3, 3), batch(3, 4, 5), batch(), batch(6)]))
+    of = lambda name, kind: [np.frombuffer(b.column(name)[0].as_buffer(), kind).tolist() for b in packs]
+    assert len(packs) > 1 and sum(of("ids", np.uint32), []) == [1, 2, 3, 4, 5, 6]
+    assert sum(of("counts", np.int64), []) == [2, 3, 4, 1, 1, 1]
+    assert sum(of("ends", np.uint32), []) == [2, 2, 3, 3, 3, 4, 4, 4, 4, 5, 6, 7]
