@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fingerprint, materialize
+from .shared import fingerprint, forget, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = materialize(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        before, e = e, materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        forget(before, large)
         now = fingerprint(e)
         if now == seen:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import BLOOM_BITS, bloom, fresh, integral_ids, materialize, quoted, small_batches
+from .shared import BLOOM_BITS, bloom, forget, fresh, in_bloom, integral_ids, materialize, quoted, small_batches
 
 U = np.uint64
 #: Ratio of the bounds of neighbouring size levels.
@@ -282,12 +282,14 @@ def ngram_groups(docs: DataFrame, n: int, num: int, den: int, part: int = PART,
     bounds = lambda rows: rows.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top")
     listed = signature_rows(docs, n, plan).repartition("sig")  # moved once, for both uses
     multi = listed.join(bounds(listed), "sig").select("sig", "cls").distinct()
-    multi = materialize(multi.withColumn("level", F.expr(f"cast(sig & {LEVELS}L as int)")), "buckets")
+    buckets = materialize(multi.withColumn("level", F.expr(f"cast(sig & {LEVELS}L as int)")), "buckets")
     # a linked set shares a known number of signatures; classes that share fewer with all others leave
     needs = sizes.select("cls", F.inline("needs")).where("least > 1")
-    few = multi.groupBy("cls", "level").agg(F.count("*").alias("k")).join(needs, ["cls", "level"]).where("k < least").select("cls", "level")
-    multi = materialize(multi.join(few, ["cls", "level"], "left_anti").select("sig", "cls"), "likely")
-    multi = materialize(multi.join(bounds(multi), "sig"), "candidates")
+    few = buckets.groupBy("cls", "level").agg(F.count("*").alias("k")).join(needs, ["cls", "level"]).where("k < least").select("cls", "level")
+    likely = materialize(buckets.join(few, ["cls", "level"], "left_anti").select("sig", "cls"), "likely")
+    forget(buckets)
+    multi = materialize(likely.join(bounds(likely), "sig"), "candidates")
+    forget(likely)
 
     pairs = multi.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     pairs = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
@@ -296,9 +298,12 @@ def ngram_groups(docs: DataFrame, n: int, num: int, den: int, part: int = PART,
     parts = materialize(fragment_rows(docs, n, plan, wanted).dropDuplicates(["cls", "m", "frag"]), "fragments")
 
     links = materialize(overlaps(pairs, parts, plan), "links")
+    forget(pairs)
     found = materialize(components(links), "found")
     more = _exhaustive(multi, found, sizes, parts, plan)
+    forget(multi, parts, sizes, found)
     final = components(links.unionByName(more)).withColumnRenamed("node", "cls")
+    forget(links, more)
 
     return rows.join(final, "cls", "left").select("doc_id", "th", "n", F.coalesce("root", "cls").alias("root"))
 
@@ -331,16 +336,26 @@ def keep_one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int
     integer column (an error otherwise). An empty table gives an empty result.
     """
     integral_ids(docs)
-    rows = materialize(ngram_groups(docs, n, num, den), "groups").where("root is not null")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
-    d, th = fresh("d", docs.columns), fresh("th", docs.columns)
+    d, th, h, nth = (fresh(x, docs.columns) for x in ("d", "th", "h", "nth"))
     key = F.expr("coalesce(cast(doc_id as long), -9223372036854775808L)")
-    gone = rows.join(best, "root").where(rank != F.col("best")).select(key.alias(d), F.col("th").alias(th)).distinct()
-    left = docs.withColumn(d, key).withColumn(th, F.xxhash64("text")).join(gone.hint("shuffle_hash"), [d, th], "left_anti")
-    nth = fresh("nth", left.columns)
+    rows = materialize(ngram_groups(docs, n, num, den), "groups")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    best = rows.where("root is not null").groupBy("root").agg(F.min(rank).alias("best"))
+    told = rows.join(best, "root", "left").select(key.alias(d), F.col("th").alias(th), F.coalesce(rank != F.col("best"), F.lit(False)).alias("gone"))
+    told = told.groupBy(d, th).agg(F.first("gone").alias("gone"), (F.count("*") > 1).alias("repeated")).withColumn(h, F.xxhash64(d, th))
+    told = materialize(told, "told")
+    forget(rows)
+    # two bitmaps of fixed size settle nearly all rows where they are: those that share no bit with a row to look at stay, and
+    # of the others those that share none with a row that isn't simply gone go; only the rest is dealt with its texts
+    some = bloom(told.where("gone or repeated").select(h))
+    open_ = bloom(told.where(in_bloom(h, some) & ~F.col("gone")).select(h))
+    each = docs.withColumn(d, key).withColumn(th, F.xxhash64("text")).withColumn(h, F.xxhash64(d, th))
+    plain = each.where(~in_bloom(h, some))
+    gone = told.where(F.col("gone") & in_bloom(h, open_)).select(d, th)
+    left = each.where(in_bloom(h, some) & in_bloom(h, open_)).join(gone.hint("shuffle_hash"), [d, th], "left_anti")
     left = left.withColumn(nth, F.row_number().over(Window.partitionBy(d, th).orderBy(F.lit(1))))
-    return left.where((F.col(nth) == 1) | ~F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))).select(*quoted(*docs.columns))
+    left = left.where((F.col(nth) == 1) | ~F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False)))
+    return plain.select(*quoted(*docs.columns)).unionByName(left.select(*quoted(*docs.columns)))
 
 
 def _exhaustive(multi: DataFrame, found: DataFrame, sizes: DataFrame, parts: DataFrame, plan: Plan) -> DataFrame:
@@ -363,7 +378,9 @@ def _exhaustive(multi: DataFrame, found: DataFrame, sizes: DataFrame, parts: Dat
     second = members.join(duels.where("bi < bj").withColumn("block", F.col("bj")), ["cluster", "block"]).withColumn("side", F.lit(1))
     jobs = first.unionByName(second).select("cluster", "bi", "bj", "side", "cls", "comp", "n")
     jobs = jobs.join(parts.where("own").select("cls", "part"), "cls")
-    return materialize(jobs.groupBy("cluster", "bi", "bj").applyInPandas(lambda pdf: count_blocks(pdf, plan), "a long, b long"), "more")
+    more = materialize(jobs.groupBy("cluster", "bi", "bj").applyInPandas(lambda pdf: count_blocks(pdf, plan), "a long, b long"), "more")
+    forget(each, open_, members)
+    return more
 
 
 #: The same by comparing all pairs, for small tables.

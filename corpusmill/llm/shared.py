@@ -10,14 +10,19 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import FREED, settings
+
 #: Bytes of an Arrow batch of texts, about.
 BATCH_BYTES = 8 << 20
 
 _made: list[tuple[SparkSession, str]] = []
+#: Paths of tables that are held, by the identity of their DataFrames.
+_path: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,10 +58,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+    """Write ``df`` to the shared folder and return the table read back; the shuffles of writing it go at once."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with settings(df.sparkSession, **FREED):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path[id(out)] = path
+    weakref.finalize(out, _path.pop, id(out), None)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned, once nothing that is still to be computed reads them."""
+    for t in tables:
+        if path := _path.pop(id(t), None):
+            drop(t.sparkSession, path)
+            _made.remove((t.sparkSession, path))
 
 
 def quoted(*names: str) -> list[str]:
@@ -105,6 +122,15 @@ def bloom(keys: DataFrame) -> bytes:
     return np.unpackbits(bits.view(np.uint8), bitorder="little").tobytes()
 
 
+def in_bloom(key: str, bits: bytes) -> Column:
+    """Whether the ``long`` column is among the keys of a :func:`bloom`, or shares a bit with one of them."""
+    import numpy as np
+
+    packed = F.lit(bytearray(np.packbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").tobytes()))
+    byte = F.conv(F.hex(F.substring(packed, F.expr(f"cast(shiftright(`{key}` & {BLOOM_BITS - 1}L, 3) as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.expr(f"shiftleft(1, cast(`{key}` & 7L as int))")) != 0
+
+
 def extend(docs: DataFrame, fn, fields: list[tuple[str, str]], text: str = "text", keep: list[str] | None = None, done=None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, if None) and the ``fields`` that ``fn`` makes of the texts.
 

@@ -83,3 +83,24 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == df.columns
     want = [(1, text + " end", "x"), (2, None, "x"), (2, None, "x"), (4, " ", "x"), (5, "other words here", "x"), (5, "not the same at all", "x"), (None, "alone", "x")]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_that_stay_are_not_dealt(spark, tmp_path):
+    """Bitmaps settle rows where they are: what is dealt with its text doesn't grow with the documents, and tables go once they are used."""
+    from corpusmill.llm import shared
+
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    docs = [(i, text()) for i in range(300)]
+    docs += [(1000, docs[7][1]), (8, docs[8][1]), (1009, docs[9][1] + " more"), (400, ""), (400, ""), (401, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    shared.release()
+    out = keep_one_of_each_group(df)
+    got = sorted((r.doc_id, r.text or "") for r in out.collect())
+    assert got == sorted((i, t or "") for i, t in docs[:300] + docs[-3:])
+    df.write.parquet(str(tmp_path / "d"))
+    plan = keep_one_of_each_group(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id#") == 2 and plan.splitlines()[0].startswith("Union")
+    left = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path in shared._made}
+    assert not left & {"buckets", "likely", "candidates", "pairs", "fragments", "placed", "large", "groups"}
+    shared.release()
