@@ -277,3 +277,19 @@ def test_anchors_build_the_graph_of_their_cases_alone(spark, monkeypatch, tmp_pa
     few = graph.only_of(rows, "id", wanted)
     monkeypatch.setattr(graph, "FEW", 1)
     assert [r.id for r in few.orderBy("id").collect()] == [r.id for r in graph.only_of(rows, "id", wanted).orderBy("id").collect()] == [3, 4, 5]
+
+
+def test_far_traversal_takes_each_step_once(spark, tmp_path, monkeypatch):
+    """In numbers and in blocks of queries the sets are those of the plain traversal, and what queries share is moved once for a block."""
+    from corpusmill.operators import graph
+
+    asked = 70  # more than a word has bits
+    monkeypatch.setattr(graph, "WORDS", 1)
+    nodes = [(f"S{i}", "StatuteSection") for i in range(asked)] + [(f"K{i}", "Chunk") for i in range(30)] + [(f"C{i}", "Case") for i in range(5)] + [(f"X{i}", "CitedCase") for i in range(4)] + [("L", "LegalConcept")]
+    edges = [(f"K{i % 30}", f"S{i}", "REFERS_TO") for i in range(asked)] + [(f"K{i}", f"S{i + 1}", "REFERS_TO") for i in range(5)] + [(f"C{i % 5}", f"K{i}", "HAS_CHUNK") for i in range(30)]
+    edges += [(f"C{i % 5}", f"X{i % 3}", "CITES_CASE") for i in range(15)] + [("K3", "L", "DISCUSSES"), ("K3", "X3", "DISCUSSES_CASE")]
+    g = graph.Graph(spark.createDataFrame(nodes, "id string, label string").selectExpr("id", "label", "id as name"), spark.createDataFrame(edges, "src string, dst string, type string"))
+    start = spark.createDataFrame([(i, f"S{i}") for i in range(asked)] + [(100, "L"), (101, "C2"), (102, "nowhere"), (103, "K4")], "query_id int, node string")
+    pick = lambda df: sorted((r.query_id, r.statutes, r.judgments, r.cited_cases) for r in df.collect())
+    assert pick(graph.traverse_far(start, g, str(tmp_path / "w"))) == pick(graph.traverse(start, g.nodes, g.edges))
+    assert spark.read.parquet(str(tmp_path / "w" / "edges")).dtypes[:2] == [("src", "bigint"), ("dst", "bigint")]
